@@ -43,13 +43,13 @@ def rules() -> list[Rule]:
     capitals = F.length(F.regexp_replace(text, r"[^\p{Lu}]", ""))
     return [
         Rule("symbols", 10 * F.col("n_symbols") > 3 * n),
-        Rule("repeated_lines", 10 * F.col("n_dup_lines") > 3 * F.size(F.split(text, "\n", -1))),
+        Rule("repeated_lines", (F.col("n_dup_lines") >= 3) & (10 * F.col("n_dup_lines") > 3 * F.size(F.split(text, "\n", -1)))),
         Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 25 * n)),
         Rule("shouting", 10 * capitals > 6 * letters),
         Rule("exclamations", 10 * (F.length(text) - F.length(F.translate(text, "!?", ""))) > 5 * n),
         Rule("ellipses", 10 * F.regexp_count(text, F.lit(r"(?:\.\.\.|…)\s*(?:\n|$)")) > 3 * F.size(F.split(text, "\n", -1))),
-        Rule("digits", 10 * (F.length(text) - F.length(F.translate(text, "0123456789", ""))) > 3 * F.col("word_chars")),
-        Rule("few_letters", 10 * letters < 5 * F.col("word_chars")),
+        Rule("digits", 10 * (F.length(text) - F.length(F.translate(text, "0123456789", ""))) > 5 * F.col("word_chars")),
+        Rule("few_letters", 10 * letters < 4 * F.col("word_chars")),
     ]
 
 
@@ -148,9 +148,9 @@ counts AS (
   FROM counts
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 10 * n_symbols > 3 * n_words OR 10 * n_dup_lines > 3 * n_lines
+       NOT (base_failed OR 10 * n_symbols > 3 * n_words OR (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines)
             OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 10 * capitals > 6 * letters
-            OR 10 * shouts > 5 * n_words OR 10 * ellipses > 3 * n_lines OR 10 * digits > 3 * word_chars
-            OR 10 * letters < 5 * word_chars) AS kept
+            OR 10 * shouts > 5 * n_words OR 10 * ellipses > 3 * n_lines OR 10 * digits > 5 * word_chars
+            OR 10 * letters < 4 * word_chars) AS kept
 FROM shapes
 """
