@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from srcloom.functions.shared import even_partitions, written
 from srcloom.llm.components import components
-from srcloom.llm.textbytes import mix64, shingle_sets, text_slices
+from srcloom.llm.textbytes import mix64, runs_as_binary, shingle_sets, text_slices
 
 #: Elements that a bucket sorts at once, postings that a map block holds, and elements of a group joined in one task.
 BUCKET_ELEMENTS = 4_000_000
@@ -72,11 +72,6 @@ _POSTINGS = "bucket int, direct boolean, fps binary, sizes binary, owners binary
 _SHARED = "fp long, n long, elements binary, frequencies binary"
 
 
-def _binary(flat: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    """Runs of `flat` between cuts as a binary array."""
-    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * flat.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
-
-
 class _Block:
     """Sets of one map block, until they are dealt to buckets."""
 
@@ -153,7 +148,7 @@ def _by_class(fps: np.ndarray, sizes: np.ndarray, ids: np.ndarray, frequencies:
     """Rows sorted by class become one row for each class."""
     starts = np.flatnonzero(np.concatenate(([True], fps[1:] != fps[:-1]))) if len(fps) else np.zeros(0, dtype=np.int64)
     cuts = np.append(starts, len(fps))
-    return pa.Table.from_arrays([pa.array(fps[starts]), pa.array(sizes[starts].astype(np.int64)), _binary(ids, cuts), _binary(frequencies.astype(np.int32), cuts)], ["fp", "n", "elements", "frequencies"])
+    return pa.Table.from_arrays([pa.array(fps[starts]), pa.array(sizes[starts].astype(np.int64)), runs_as_binary(ids, cuts), runs_as_binary(frequencies.astype(np.int32), cuts)], ["fp", "n", "elements", "frequencies"])
 
 
 def _shared_in_bucket(table: pa.Table) -> pa.Table:

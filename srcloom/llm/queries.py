@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from srcloom.llm import line_dedup, ngram_join, packing, quality_rules, toxicity
+from srcloom.llm import line_dedup, ngram_join, packing, quality_classifier, quality_rules, toxicity
 from srcloom.sources.tables import table
 
 
@@ -25,6 +25,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"), width=5, percent=75)
 
 
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_classifier.report(table(spark, folder, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.digest(table(spark, folder, "documents"))
 
@@ -40,6 +44,7 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_line_dedup": op7_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,

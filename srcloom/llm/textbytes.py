@@ -135,3 +135,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out
+
+
+def runs_as_binary(flat: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Runs of `flat` between cuts as a binary array."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * flat.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])

@@ -31,6 +31,7 @@ from srcloom.llm.textbytes import LOWER_VALUE, byte_classes, mix64, text_slices,
 POSITIVES, UNLABELLED, CANDIDATES = 4_000, 12_000, 40_000
 #: Bytes of the word beginnings that are features besides whole words.
 BEGINNINGS = (4, 5, 6, 7, 8)
+LEVELS = 3
 FOLDS = 5
 
 _WORD = byte_classes(bytes([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]))
@@ -40,43 +41,56 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, feature) of every word and word beginning, with repeats."""
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, feature, word) of every word and word beginning, with repeats."""
     starts, stops, first = word_spans(data, offsets, _WORD)
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    owners, found = [owner], [word_hashes(data, starts, stops, LOWER_VALUE)]
+    words = word_hashes(data, starts, stops, LOWER_VALUE)
+    owners, found, of = [owner], [words], [words]
     for n in BEGINNINGS:
         long = stops - starts > n
         owners.append(owner[long])
         found.append(mix64(word_hashes(data, starts[long], starts[long] + n, LOWER_VALUE) + np.uint64(n)))
-    return np.concatenate(owners), np.concatenate(found)
+        of.append(words[long])
+    return np.concatenate(owners), np.concatenate(found), np.concatenate(of)
 
 
 class _Chosen:
-    """Looks features up in a sorted list; a bitmap over their low bits rules most others out first."""
+    """Looks features up in a sorted list; a bitmap over their low bits rules most others out first.
+
+    A feature has LEVELS places: place k says that more than k different words of the text show it.
+    """
 
     def __init__(self, chosen: np.ndarray):
         self.chosen = chosen
+        self.places = len(chosen) * LEVELS
         self.maybe = np.zeros(1 << 20, dtype=bool)
         self.maybe[chosen & np.uint64((1 << 20) - 1)] = True
 
     def present(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (text number, place in the list), sorted."""
-        owner, found = features(data, offsets)
+        """Distinct (text number, place), sorted."""
+        owner, found, word = features(data, offsets)
         some = self.maybe[found & np.uint64((1 << 20) - 1)]
-        owner, found = owner[some], found[some]
+        owner, found, word = owner[some], found[some], word[some]
         at = np.searchsorted(self.chosen, found)
         at[at == len(self.chosen)] = 0
         hit = self.chosen[at] == found if len(self.chosen) else np.zeros(len(at), dtype=bool)
-        pairs = np.unique(owner[hit] * len(self.chosen) + at[hit])
-        return pairs // max(1, len(self.chosen)), pairs % max(1, len(self.chosen))
+        pair, word = owner[hit] * self.places + at[hit] * LEVELS, word[hit]
+        order = np.lexsort((word, pair))
+        pair, word = pair[order], word[order]
+        new = np.ones(len(pair), dtype=bool)
+        new[1:] = (pair[1:] != pair[:-1]) | (word[1:] != word[:-1])
+        pair, n = np.unique(pair[new], return_counts=True)
+        level = np.minimum(n, LEVELS)
+        pair = np.repeat(pair, level) + np.arange(level.sum()) - np.repeat(np.cumsum(level) - level, level)
+        return pair // max(1, self.places), pair % max(1, self.places)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many texts of the batch each feature occurs."""
     for batch in batches:
         for _, _, data, offsets in text_slices(batch.column("text")):
-            owner, found = features(data, offsets)
+            owner, found, _ = features(data, offsets)
             order = np.lexsort((owner, found))
             owner, found = owner[order], found[order]
             new = np.ones(len(found), dtype=bool)
@@ -107,9 +121,8 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prio
         p = 1 / (1 + np.exp(-g))
         as_negative = np.logaddexp(0, g)
         rest = (unlabelled * as_negative).sum() - (share * as_negative).sum()
-        slope = -share * (1 - p)
-        if rest >= 0:
-            slope = slope + unlabelled * p - share * p
+        slope = unlabelled * p - share * p
+        slope = -share * (1 - p) + slope if rest >= 0 else -slope  # back to where the difference is a risk
         grad = np.append(np.bincount(columns, weights=slope[owner], minlength=n_features) + decay * w, slope.sum())
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
@@ -153,19 +166,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     if not positive.any():
         return None
     # features that toxic texts show clearly more often than unlabelled text
-    count = lambda which: np.bincount(np.concatenate([x for x, y in zip(lists, positive, strict=True) if y == which] or [np.zeros(0, dtype=np.int64)]), minlength=len(candidates))
+    places = len(candidates) * LEVELS
+    count = lambda which: np.bincount(np.concatenate([x for x, y in zip(lists, positive, strict=True) if y == which] or [np.zeros(0, dtype=np.int64)]), minlength=places)
     n_p, n_u = positive.sum(), max(1, (~positive).sum())
-    p, u = count(True) / n_p, count(False) / n_u
-    pooled = np.clip((count(True) + count(False)) / (n_p + n_u), 1e-9, 1 - 1e-9)
+    in_p, in_u = count(True), count(False)
+    p, u = in_p / n_p, in_u / n_u
+    pooled = np.clip((in_p + in_u) / (n_p + n_u), 1e-9, 1 - 1e-9)
     z = (p - u) / np.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u))
-    use = np.flatnonzero((z > 4) & (p > 2.5 * u))
-    place = np.full(len(candidates), -1)
+    use = np.flatnonzero((z > 4) & (p > 2.5 * u) & (in_p >= least))
+    place = np.full(places, -1)
     place[use] = np.arange(len(use))
     lists = [place[x][place[x] >= 0] for x in lists]
     prior = n_toxic / n
     w, b = fit_nnpu(lists, positive, len(use), prior)
-    keep = w > 0  # a word cannot make a text less toxic
-    return Model(candidates[use][keep], w[keep], b, prior)
+    weights = np.zeros(places)
+    weights[use] = np.maximum(w, 0)  # a word cannot make a text less toxic
+    weights = weights.reshape(-1, LEVELS)
+    keep = weights.any(axis=1)
+    return Model(candidates[keep], weights[keep].ravel(), b, prior)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
