@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from srcloom.llm import line_dedup, ngram_join, packing, quality_classifier, quality_rules, toxicity
+from srcloom.llm import chat, line_dedup, nearest, ngram_join, packing, quality_classifier, quality_rules, toxicity
 from srcloom.sources.tables import table
 
 
@@ -17,6 +17,14 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.nearest(table(spark, folder, "embeddings"), queries_each=50, k=5)
+
+
+def op3_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.digest(chat.events_of_messages(chat.with_probe(spark, table(spark, folder, "conversations"))))
+
+
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -42,6 +50,8 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_nearest_neighbours": op2_nearest_neighbours,
+    "op3_chat_formatting": op3_chat_formatting,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_quality_classifier": op6_quality_classifier,
@@ -51,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_nearest_neighbours": nearest.SQL,
+    "op3_chat_formatting": chat.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op10_quality_rules": quality_rules.SQL,
 }
