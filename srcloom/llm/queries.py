@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from srcloom.llm import chat, line_dedup, nearest, ngram_join, packing, quality_classifier, quality_rules, toxicity
+from srcloom.llm import chat, licenses, line_dedup, nearest, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_codec, toxicity
 from srcloom.sources.tables import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepiece_codec.report(table(spark, folder, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op2_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest.nearest(table(spark, folder, "embeddings"), queries_each=50, k=5)
 
@@ -41,21 +45,27 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.digest(table(spark, folder, "documents"))
 
 
-def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return quality_rules.report(table(spark, folder, "documents"))
+def op8_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.report(table(spark, folder, "documents"))
 
 
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.report(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_line_dedup": op7_line_dedup,
+    "op8_license_scans": op8_license_scans,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
