@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from srcloom.jobs import code_queries, finding_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**code_queries.QUERIES, **finding_queries.QUERIES}
+SQL: dict[str, str] = {**code_queries.SQL, **finding_queries.SQL}
