@@ -100,7 +100,8 @@ class LineRuns:
 
 
 def deduplicated(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = BATCHES, fan_in: int = FAN_IN) -> DataFrame:
-    """`docs` with text replaced by its kept lines, and n_lines (before) and n_dropped."""
+    """`docs` with text replaced by its kept lines, and n_lines (before) and n_dropped; columns of these names are replaced."""
+    docs = docs.drop("n_lines", "n_dropped", "_goes", "_lines", "_kept")
     keyed = docs.select(
         F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch"),
         "doc_id",

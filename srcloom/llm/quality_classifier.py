@@ -230,7 +230,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
     picked = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
     rows = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in picked.mapInArrow(shapes, "votes int, bucket binary, value binary").collect())
-    text = np.repeat(np.arange(len(rows)), [len(r[1]) // 4 for r in rows])
+    text = np.repeat(np.arange(len(rows)), np.array([len(r[1]) // 4 for r in rows], dtype=np.int64))
     target = labellers.posterior(np.array([r[0] for r in rows], dtype=np.int64)) if rows else np.zeros(0)
     bucket, value = (np.frombuffer(b"".join(r[k] for r in rows), dtype=kind) for k, kind in ((1, np.int32), (2, np.float32)))
     weights, bias = fit_scorer(text, bucket.astype(np.int64), value.astype(np.float64), target)

@@ -54,7 +54,8 @@ def rules() -> list[Rule]:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """`docs` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words, all long."""
+    """`docs` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words, all long; columns named like results are replaced."""
+    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "rejected_by", "base_failed", "kept")
     text = F.coalesce("text", F.lit(""))
     split = docs.withColumn("_text", text).withColumn("_words", F.split(F.btrim("_text", F.lit(SPACE)), WORD_GAP, -1))
     counted = split.withColumn("n_words", F.when(F.col("_words") == F.array(F.lit("")), 0).otherwise(F.size("_words")).cast("long"))
