@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcloom.functions.rule_catalog import MIGRATIONS, RULES, Rule
-from srcloom.functions.textual import any_glob, matches, trim_both
-from srcloom.sources.corpora import is_test
+from srcloom.functions.textual import glob_pattern, matches, trim_both
+from srcloom.sources.corpora import EXTENSIONS, is_test
 
 
 def _any(columns: list[Column]) -> Column:
@@ -20,28 +20,28 @@ def pattern_hits(lines: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     """path, n, rule, severity, category and match of every line that a rule of its file hits.
 
     One pass over the lines evaluates the rules of each line's language; a rule whose `unless` pattern is on any line of
-    a file has no hits there, which costs one aggregation over the few lines that bear on such rules.
+    a file has no hits there, which a window over the file's few hits tells, so the text is read once.
     """
-    by_language: dict[str, list[Rule]] = {}
-    for rule in rules:
-        by_language.setdefault(rule.language, []).append(rule)
-    common = by_language.get("common", [])
-    languages = [x for x in by_language if x != "common"] or ["typescript", "python", "go", "java", "csharp"]
-    fields = lambda r, veto: F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"), F.lit(veto).alias("veto"))
+    languages = sorted({r.language for r in rules} - {"common"}) or sorted(EXTENSIONS)
+    applies = {x: [(k, r) for k, r in enumerate(rules) if r.language in ("common", x)] for x in languages}
 
     def tried(language: str) -> Column:
+        """Codes of the rules that the line hits (twice the place in `rules`) or is the undoing of (one more)."""
         out = []
-        for r in [*common, *by_language.get(language, [])]:
-            here = F.col("path").rlike(_files(r)) & ~any_glob(F.col("path"), r.excludes)
-            out.append(F.when(matches(F.col("line"), r.pattern) & here, fields(r, False)))
+        for k, r in applies[language]:
+            out.append(F.when(matches(F.col("line"), r.pattern), 2 * k))
             if r.unless:
-                out.append(F.when(matches(F.col("line"), r.unless) & here, fields(r, True)))
+                out.append(F.when(matches(F.col("line"), r.unless), 2 * k + 1))
         return F.array_compact(F.array(*out))
 
     found = reduce(lambda a, x: a.when(F.col("language") == x, tried(x)), languages[1:], F.when(F.col("language") == languages[0], tried(languages[0])))
-    hits = lines.select("path", "n", "line", F.explode(found).alias("f")).select("path", "n", "line", "f.*")
-    vetoed = hits.filter("veto").select("path", "rule").distinct()
-    return hits.filter("NOT veto").join(vetoed, ["path", "rule"], "left_anti").select("path", "n", "rule", "severity", "category", trim_both(F.col("line")).alias("match"))
+    # which files a rule reads is asked of its hits only; the catalog is the one table small enough to send everywhere
+    excluded = [("|".join(f"(?:{glob_pattern(g)})" for g in r.excludes) or "(?!)") for r in rules]
+    catalog = lines.sparkSession.createDataFrame([(k, r.id, r.severity, r.category, _files(r), x) for k, (r, x) in enumerate(zip(rules, excluded, strict=True))], "k int, rule string, severity string, category string, files string, excludes string")
+    hits = lines.select("path", "n", "line", F.explode(found).alias("code")).withColumn("k", F.expr("code div 2").cast("int"))
+    hits = hits.join(F.broadcast(catalog), "k").filter("path rlike files AND NOT path rlike excludes AND NOT element_at(split(path, '/'), -1) rlike excludes")
+    marked = hits.withColumn("cleared", F.max(F.col("code") % 2).over(Window.partitionBy("path", "rule")))
+    return marked.filter("code % 2 = 0 AND cleared = 0").select("path", "n", "rule", "severity", "category", trim_both(F.col("line")).alias("match"))
 
 
 def _files(rule: Rule) -> str:
