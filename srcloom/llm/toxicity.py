@@ -3,7 +3,8 @@
 A linear classifier over distinct hashed word features (whole words, and their beginnings, which catch inflected
 forms) is trained in numpy from confirmed toxic documents and unlabelled text, with the class prior's share taken out
 of the unlabelled risk and that difference held at zero or above (nnPU). The prior is the share of toxic rows among the
-labelled rows that may be learned from.
+labelled rows that may be learned from, or less where toxic features are rarer in unlabelled text than that would make
+them, as when labelled rows were not drawn evenly.
 
 The fit uses bounded samples, POSITIVES confirmed toxic documents and UNLABELLED others, chosen by a hash of doc_id;
 the driver receives only their candidate features, at most CANDIDATES different ones. Scoring reads every whole text
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from srcloom.llm.textbytes import LOWER_VALUE, byte_classes, mix64, text_slices, word_hashes, word_spans
+from srcloom.llm.textbytes import LOWER_VALUE, byte_classes, mix64, runs_as_binary, text_slices, word_hashes, word_spans
 
 POSITIVES, UNLABELLED, CANDIDATES = 4_000, 12_000, 40_000
 #: Bytes of the word beginnings that are features besides whole words.
@@ -156,13 +157,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column("text")):
                 owner, at = lookup.present(data, offsets)
-                cuts = np.searchsorted(owner, np.arange(b - a + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(at.astype(np.int32)))
+                lists = runs_as_binary(at.astype(np.int32), np.searchsorted(owner, np.arange(b - a + 1)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("positive").slice(a, b - a), lists], ["doc_id", "positive", "at"])
 
-    rows = sorted(((r[1], r[0], r[2]) for r in texts.select("doc_id", "positive", "text").mapInArrow(present, "doc_id long, positive boolean, at array<int>").collect()), key=lambda r: (r[0], r[1], r[2]))
+    rows = sorted((r[1], r[0], bytes(r[2])) for r in texts.select("doc_id", "positive", "text").mapInArrow(present, "doc_id long, positive boolean, at binary").collect())
     positive = np.array([r[0] for r in rows], dtype=bool)
-    lists = [np.array(r[2], dtype=np.int64) for r in rows]
+    lists = [np.frombuffer(r[2], dtype=np.int32) for r in rows]
     if not positive.any():
         return None
     # features that toxic texts show clearly more often than unlabelled text
@@ -177,7 +177,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     place = np.full(places, -1)
     place[use] = np.arange(len(use))
     lists = [place[x][place[x] >= 0] for x in lists]
-    prior = n_toxic / n
+    # toxic texts are at most the share of the unlabelled ones that the rates of their clearest features allow, and a fifth
+    clear = use[np.argsort(-z[use], kind="stable")[:15]]
+    prior = min(n_toxic / n, 1.2 * float(np.median(u[clear] / p[clear])) if len(clear) else 1.0)
     w, b = fit_nnpu(lists, positive, len(use), prior)
     weights = np.zeros(places)
     weights[use] = np.maximum(w, 0)  # a word cannot make a text less toxic
