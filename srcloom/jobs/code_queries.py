@@ -259,6 +259,12 @@ def single_implementations(spark: SparkSession, folder: str) -> DataFrame:
     return symbols.implementations(code_lines(spark, folder))
 
 
+def pass_throughs(spark: SparkSession, folder: str) -> DataFrame:
+    lines = code_lines(spark, folder)
+    files = _contents(lines).withColumn("language", language(F.col("path")))
+    return symbols.pass_throughs(files, symbols.fan_in(lines))
+
+
 def unused_imports(spark: SparkSession, folder: str) -> DataFrame:
     return symbols.unused_imports(code_lines(spark, folder))
 
@@ -324,6 +330,18 @@ CLUSTERS = f"""{_WINDOWS.replace('WITH items', 'WITH RECURSIVE items', 1)}, link
 SELECT path, root, count(*) OVER (PARTITION BY root)::BIGINT AS size FROM rooted"""
 
 
+_FAN_IN = """, wanted AS (SELECT DISTINCT path AS importer, name FROM imports WHERE name IS NOT NULL), pairs AS (
+  SELECT e.path, count(DISTINCT importer) AS k FROM exports e JOIN wanted w ON w.name = e.name AND w.importer <> e.path GROUP BY e.path
+), fan_in AS (SELECT p.path, coalesce(k, 0)::BIGINT AS fan_in FROM (SELECT DISTINCT path FROM exports) p LEFT JOIN pairs USING (path))"""
+PASS_THROUGHS = f"""{CODE}{_EXPORTS}{_IMPORTS}{_FAN_IN}, whole AS (
+  SELECT path, language, string_agg(line, chr(10) ORDER BY n) AS x FROM code WHERE NOT {_TEST} GROUP BY path, language
+), counted AS (
+  SELECT path, CASE WHEN language = 'go' THEN {_count('x', symbols.GO_PASS_THROUGH)} ELSE {_count('x', symbols.PASS_THROUGH)} + {_count('x', symbols.CONCISE_ARROW)} END::BIGINT AS n_pass,
+         {_count('x', symbols.ANY_FUNCTION)}::BIGINT AS n_functions FROM whole
+)
+SELECT path, fan_in, n_pass, n_functions FROM counted JOIN fan_in USING (path)
+WHERE n_pass > 0 AND n_functions > 0 AND n_pass >= 0.5 * n_functions AND fan_in BETWEEN 1 AND 2"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "file_metrics": file_metrics,
     "code_metrics": code_metrics,
@@ -342,6 +360,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "divergent_exports": divergent_exports,
     "fan_in": fan_in,
     "implementations": single_implementations,
+    "pass_through_files": pass_throughs,
     "unused_imports": unused_imports,
     "classified_files": classified_files,
     "token_histogram": token_histogram,
@@ -364,7 +383,8 @@ SQL: dict[str, str] = {
     "dead_exports": f"{CODE}{_EXPORTS}{_IMPORTS} SELECT path, language, n, name, {_CONFIDENCE} AS confidence FROM exports e WHERE language IN ('typescript', 'python', 'java') AND NOT {_TEST} AND NOT EXISTS (SELECT 1 FROM imports i WHERE i.language = e.language AND i.name = e.name)",
     "dead_exports_by_words": f"{CODE}{_EXPORTS}, words AS (SELECT language, path, unnest(regexp_extract_all(line, '[A-Za-z0-9_]+')) AS word FROM code WHERE language IN ('go', 'csharp')), totals AS (SELECT language, word, count(DISTINCT path) AS k FROM words GROUP BY 1, 2) SELECT path, language, n, name, {_CONFIDENCE} AS confidence FROM exports e JOIN totals t USING (language) WHERE t.word = e.name AND t.k = 1 AND NOT {_TEST}",
     "divergent_exports": f"{CODE}{_EXPORTS} SELECT name, count(DISTINCT path)::BIGINT AS n_files, min(path) AS first_path FROM exports WHERE NOT {_TEST} AND CASE WHEN regexp_matches(name, '[a-z][A-Z]') OR (contains(name, '_') AND len(list_filter(string_split(name, '_'), lambda p: p <> '')) >= 2) THEN length(name) >= 6 ELSE length(name) >= 12 END GROUP BY name HAVING count(DISTINCT path) >= 2",
-    "fan_in": f"{CODE}{_EXPORTS}{_IMPORTS}, wanted AS (SELECT DISTINCT path AS importer, name FROM imports WHERE name IS NOT NULL), pairs AS (SELECT e.path, count(DISTINCT importer) AS k FROM exports e JOIN wanted w ON w.name = e.name AND w.importer <> e.path GROUP BY e.path) SELECT p.path, coalesce(k, 0)::BIGINT AS fan_in FROM (SELECT DISTINCT path FROM exports) p LEFT JOIN pairs USING (path)",
+    "fan_in": f"{CODE}{_EXPORTS}{_IMPORTS}{_FAN_IN} SELECT * FROM fan_in",
+    "pass_through_files": PASS_THROUGHS,
     "implementations": f"{CODE}, each AS (SELECT trim(unnest(string_split(nullif(regexp_extract(line, 'implements\\s+([A-Za-z_$][\\w$]*(?:\\s*,\\s*[A-Za-z_$][\\w$]*)*)', 1), ''), ','))) AS interface FROM code) SELECT interface, count(*)::BIGINT AS n_implementations FROM each GROUP BY 1",
     "unused_imports": f"{CODE}{_IMPORTS}, words AS (SELECT path, n, unnest(regexp_extract_all(line, '[A-Za-z0-9_]+')) AS word FROM code), last AS (SELECT path, word, max(n) AS n FROM words GROUP BY 1, 2) SELECT i.path, i.language, i.n, i.name FROM imports i LEFT JOIN last l ON l.path = i.path AND l.word = i.name WHERE i.name IS NOT NULL AND i.language <> 'csharp' AND NOT {_TEST.replace('(path,', '(i.path,')} AND coalesce(l.n, 0) <= i.n",
     "classified_files": CLASSIFIED,

@@ -62,7 +62,8 @@ def _listed(symbols: Column) -> Column:
 
 def imports(lines: DataFrame) -> DataFrame:
     """path, language, n and name of imported symbols, by the one-line forms of each language."""
-    line = trim_both(F.col("line"))
+    lines = lines.select("path", "language", "n", trim_both(F.col("line")).alias("line"))
+    line = F.col("line")
     one = lambda x: F.when(x.isNotNull(), F.array(x))
     mixed = r"^import\s+([A-Za-z_$][\w$]*)\s*,\s*\{([^}]+)\}\s+from"
     typescript = F.coalesce(
@@ -159,3 +160,20 @@ def unused_imports(lines: DataFrame) -> DataFrame:
     some = lines.filter((F.col("language") != "csharp") & ~is_test(F.col("path")))
     last = words(some).groupBy("path", F.col("word").alias("name")).agg(F.max("n").alias("last"))
     return imports(some).join(last, ["path", "name"], "left").filter(F.col("last").isNull() | (F.col("last") <= F.col("n"))).select("path", "language", "n", "name")
+
+
+#: Functions whose whole body is one returned call, and what counts as a function.
+PASS_THROUGH = r"(?:function\s+\w+\s*\([^)]*\)|(?:const|let|var)\s+\w+\s*=\s*(?:\([^)]*\)|[^=])\s*=>)\s*\{?\s*return\s+\w+[\w.]*\([^)]*\)\s*;?\s*\}?"
+CONCISE_ARROW = r"(?:const|let|var)\s+\w+\s*=\s*(?:\([^)]*\)|\w+)\s*=>\s*\w+[\w.]*\([^)]*\)\s*;?"
+GO_PASS_THROUGH = r"func\s+\w+\s*\([^)]*\)[^{]*\{\s*return\s+\w+\s*\([^)]*\)\s*\}"
+ANY_FUNCTION = r"(?:function\s+\w+|=>\s*[{(]|=>\s*\w|\w+\s*\([^)]*\)\s*\{)"
+
+
+def pass_throughs(files: DataFrame, importers: DataFrame, least: float = 0.5) -> DataFrame:
+    """path, fan_in, n_pass and n_functions of files (path, language, content) with one or two importers whose functions
+    mostly hand on to another. Tests are left out; `importers` is fan_in's result."""
+    content = F.col("content")
+    passing = F.when(F.col("language") == "go", F.regexp_count(content, F.lit(GO_PASS_THROUGH))).otherwise(F.regexp_count(content, F.lit(PASS_THROUGH)) + F.regexp_count(content, F.lit(CONCISE_ARROW)))
+    counted = files.filter(~is_test(F.col("path"))).withColumn("n_pass", passing.cast("long")).withColumn("n_functions", F.regexp_count(content, F.lit(ANY_FUNCTION)).cast("long"))
+    met = counted.filter((F.col("n_pass") > 0) & (F.col("n_functions") > 0) & (F.col("n_pass") >= least * F.col("n_functions")))
+    return met.join(importers.filter("fan_in BETWEEN 1 AND 2"), "path").select("path", "fan_in", "n_pass", "n_functions")
