@@ -18,6 +18,7 @@ sequence, and the rest. Repeated rows are packed each; an empty table gives an e
 from __future__ import annotations
 
 import array
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +35,13 @@ LENGTH, END_ID = 4096, 1
 OPEN_SEQUENCES = 8192
 PIECES_EACH = 25_000
 #: Entries of each half of a worker's chunk cache, and the longest chunk (bytes) kept there.
-CACHED_CHUNKS, LONGEST_CACHED = 300_000, 48
+CACHED_CHUNKS, LONGEST_CACHED = 800_000, 48
+#: A word of Latin letters (ASCII, or two bytes of U+00DF to U+00FF without the division sign), then ASCII marks but no apostrophe.
+_WORD_AND_MARKS = re.compile(rb"((?:[A-Za-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+
+#: Byte-level tokenizers spell a byte as its Latin-1 character, and those without a visible one as the characters from U+0100 on.
+_UNSEEN = [*range(33), *range(127, 161), 173]
+_BYTE_ALPHABET = {byte: 256 + n for n, byte in enumerate(_UNSEEN)}
 
 _encoders: dict[str, _ChunkIds] = {}
 
@@ -50,17 +57,34 @@ class _ChunkIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.old: dict[bytes, bytes] = {}
 
     def __missing__(self, chunk: bytes) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
-            ids = np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+            parts = _WORD_AND_MARKS.fullmatch(chunk)
+            if parts:  # words are in lower case for the tokenizer, and marks after them are tokens of their own
+                word, marks = parts.groups()
+                stem = word.lower()
+                ids = None if stem == chunk else self.get(stem) or self.old.get(stem)
+                if ids is None:
+                    ids = self._of_stem(stem)
+                    if stem != chunk and len(stem) <= LONGEST_CACHED:
+                        self[stem] = ids
+                if marks:
+                    ids += self[marks]
+            else:
+                ids = array.array("I", self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
             if len(chunk) > LONGEST_CACHED:
                 return ids
         self[chunk] = ids
         return ids
 
+    def _of_stem(self, stem: bytes) -> bytes:
+        """Letters that normalisation leaves alone go to the tokenizer's model at once, spelt in its byte alphabet."""
+        return array.array("I", [t.id for t in self.model.tokenize(stem.decode("latin-1").translate(_BYTE_ALPHABET))]).tobytes()
+
     def turn(self) -> None:
         if len(self) >= CACHED_CHUNKS:
             self.old = dict(self)
