@@ -6,8 +6,9 @@ backpointer paths run through one boundary, the ids before it are final and are
 the text. Characters that no piece covers become byte pieces, as in the library.
 
 No piece of the vocabulary goes on past a word's end (this is read off the vocabulary, and otherwise not used), so all
-paths converge before each new word. A worker therefore keeps the ids of words in a bounded cache and runs the stream
-on words it has not met.
+paths converge before each new word; so they do between any two characters that no piece holds side by side, such as
+most letters and the marks after them. A worker therefore keeps the ids of words and such parts of them in a bounded
+cache and runs the stream on those it has not met.
 
 A vocabulary of kind BPE is used as pieces with scores: ids are those of the best-scoring segmentation, which the library
 gives when the same file is read as a unigram model, and not those of BPE merges. Decoding gives back the exact text.
@@ -17,6 +18,7 @@ Null text is empty and has no ids. Repeated rows are encoded each; an empty tabl
 
 from __future__ import annotations
 
+import array
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-CACHED_WORDS, LONGEST_CACHED = 250_000, 48
+CACHED_WORDS, LONGEST_CACHED = 600_000, 48
 
 _codecs: dict[str, Codec] = {}
 
@@ -49,7 +51,11 @@ class Vocabulary:
         #: What an uncovered character costs: ten below the worst piece.
         self.worst = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
         self.cut_at_words = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        #: Neighbours within some piece. Between two other characters every path has a boundary.
+        self.joined = {p[k : k + 2].replace(SPACE, " ") for p in self.ids for k in range(len(p) - 1)}
+        #: Beginnings of pieces; a whole piece has its id and score, a mere beginning has none.
+        self.table: dict[str, tuple[int, float] | None] = {p[:k]: None for p in self.ids for k in range(1, len(p) + 1)}
+        self.table.update({p: (i, self.scores[i]) for p, i in self.ids.items()})
         self.spelt: list[bytes] = [b""] * n
         for i, p in enumerate(self.pieces):
             if not special[i]:
@@ -76,7 +82,8 @@ class StreamingViterbi:
         for at in range(0, len(text), self.v.longest):
             self.held += text[at : at + self.v.longest]
             self._extend(len(self.held) - self.v.longest + 1)
-            out += self._commit()
+            if self.done:
+                out += self._commit()
             self.most_held = max(self.most_held, len(self.held))
         return out
 
@@ -89,22 +96,28 @@ class StreamingViterbi:
 
     def _extend(self, end: int) -> None:
         """Tries all pieces that begin before `end`; those positions have all the characters they may need."""
-        v, held, best, back = self.v, self.held, self.best, self.back
+        held, best, back = self.held, self.best, self.back
+        table, longest, worst = self.v.table, self.v.longest, self.v.worst
         size = len(held)
         best += [-np.inf] * (size + 1 - len(best))
         back += [(0, -1)] * (size + 1 - len(back))
-        for i in range(self.done, max(end, self.done)):
+        for i in range(self.done, end):
             score = best[i]
-            for j in range(i + 1, min(size, i + v.longest) + 1):
-                piece = held[i:j]
-                if piece not in v.prefixes:
+            covered = False
+            for j in range(i + 1, min(size, i + longest) + 1):
+                found = table.get(held[i:j], covered)  # a bool where no piece begins like this
+                if found is None:
+                    continue
+                if found is True or found is False:
                     break
-                found = v.ids.get(piece)
-                if found is not None and score + v.scores[found] > best[j]:
-                    best[j], back[j] = score + v.scores[found], (i, found)
-            if held[i] not in v.ids and score + v.worst > best[i + 1]:
-                best[i + 1], back[i + 1] = score + v.worst, (i, -1)
-            self.done = i + 1
+                total = score + found[1]
+                if total > best[j]:
+                    best[j], back[j] = total, (i, found[0])
+                if j == i + 1:
+                    covered = True
+            if not covered and score + worst > best[i + 1]:
+                best[i + 1], back[i + 1] = score + worst, (i, -1)
+        self.done = max(end, self.done)
 
     def _path(self, end: int) -> tuple[list[int], list[int]]:
         ids: list[int] = []
@@ -158,12 +171,21 @@ class Codec(dict):
 
     def _ids(self, text: str) -> bytes:
         text = text.replace(" ", SPACE)
-        return np.array(self.stream.feed(text) + self.stream.flush(), dtype="<u4").tobytes()
+        if len(text) <= self.vocabulary.longest:  # it fits the window
+            self.stream.held = text
+            return array.array("I", self.stream.flush()).tobytes()
+        return array.array("I", self.stream.feed(text) + self.stream.flush()).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            ids = self._ids(word)
+            joined = self.vocabulary.joined
+            for k in range(1, len(word)):
+                if word[k - 1 : k + 1] not in joined:
+                    ids = self[word[:k]] + self[word[k:]] if k < 64 and len(word) < 512 else self._ids(word)
+                    break
+            else:
+                ids = self._ids(word)
             if len(word) > LONGEST_CACHED:
                 return ids
         self[word] = ids
