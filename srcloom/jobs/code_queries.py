@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from srcloom.functions.rule_catalog import MIGRATIONS, RULES
 from srcloom.functions.textual import any_glob, glob_pattern
+from srcloom.functions.shared import written
 from srcloom.operators import duplicates, metrics, patterns, symbols
 from srcloom.sources.corpora import CODE_LINES, EXTENSIONS, TEST_NAMES, code_lines, extension, is_test, language, lines_of, prose_files
 from srcloom.sources.tables import table
@@ -306,8 +307,7 @@ def window_matches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def duplicate_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = duplicates.window_matches(_word_items(spark, folder), WINDOW).filter("path_a <> path_b").select("path_a", "path_b")
-    return duplicates.clusters(pairs)
+    return duplicates.clusters(written(duplicates.window_links(_word_items(spark, folder), WINDOW), "window-links"))
 
 
 _WINDOWS = f"""WITH items AS (

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from srcloom.functions.rule_catalog import MIGRATIONS, RULES
 from srcloom.functions.textual import ascii_pattern, glob_pattern, hundredths
+from srcloom.jobs.code_queries import duplicate_clusters
 from srcloom.operators import duplicates, findings, metrics, patterns, symbols
 from srcloom.operators.components import components
 from srcloom.sources.corpora import files_of_folder, language, lines_of
@@ -85,6 +86,15 @@ def test_window_matches_and_clusters(spark):
     assert sorted((r.path, r.root, r["size"]) for r in duplicates.clusters(chain).collect()) == [("a", "a", 3), ("b", "a", 3), ("c", "a", 3), ("x", "x", 2), ("y", "x", 2)]
 
 
+def test_clusters_hold_windows_met_more_often_than_the_cap(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(45))
+    docs = [(i, text, "s") for i in range(duplicates.MOST_IN_BUCKET + 101)] + [(9000, text.replace("w", "v") + " " + text.replace("w", "v"), "s"), (9001, None, None)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = duplicate_clusters(spark, str(tmp_path)).collect()
+    assert {(r.root, r["size"]) for r in found} == {("s/0.py", 601)}
+    assert {r.path for r in found} == {f"s/{i}.py" for i in range(601)}
+
+
 def test_components_of_a_long_path_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 2000 + i) for i in range(50)] + [(5, 5)]
     found = dict(components(spark.createDataFrame(edges, "u long, v long")).collect())
