@@ -28,9 +28,9 @@ def stamped(spark: SparkSession, folder: str) -> DataFrame:
     return f.stamped(findings(spark, folder)).select("run_id", "ord", "id")
 
 
-def _state(rows: DataFrame) -> DataFrame:
+def _state(rows: DataFrame, *others: str) -> DataFrame:
     """A run's findings as stored: some severities overridden, some with notes."""
-    return rows.select("id", "severity", "status", F.when(F.col("ord") % 5 == 0, F.concat(F.lit("note "), F.col("ord").cast("string"))).alias("notes"), (F.col("ord") % 6 == 0).alias("severity_overridden"))
+    return rows.select(*others, "id", "severity", "status", F.when(F.col("ord") % 5 == 0, F.concat(F.lit("note "), F.col("ord").cast("string"))).alias("notes"), (F.col("ord") % 6 == 0).alias("severity_overridden"))
 
 
 def merged(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,6 +50,30 @@ def patched(spark: SparkSession, folder: str) -> DataFrame:
     return f.patched(_state(rows), patches.union(later))
 
 
+_KEY = ("run_id", "id")
+
+
+def merged_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every run merged into the run before it; run_id is that of the incoming one."""
+    all_runs = f.stamped(findings(spark, folder))
+    scans = all_runs.join(F.broadcast(f.before(all_runs).select("run_id")), "run_id")
+    return f.merged(f.as_prior(_state(all_runs, "run_id")), scans.select("run_id", "id", "severity", F.when(F.col("status") == "fixed", "fixed").alias("status")), _KEY)
+
+
+def carried_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Dismissals carried from every run to the run after it."""
+    all_runs = f.stamped(findings(spark, folder))
+    return f.carried(all_runs, f.as_prior(all_runs), _KEY)
+
+
+def patched_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The findings of all runs after patches to each of them."""
+    rows = f.stamped(findings(spark, folder))
+    patches = rows.filter("ord % 3 = 0").select(*_KEY, F.lit("ignored").alias("status"), F.lit(None).cast("string").alias("notes"), F.when(F.col("ord") % 2 == 0, "high").alias("severity"), F.lit(1).alias("seq"))
+    later = rows.filter("ord % 9 = 0").select(*_KEY, F.lit("in-progress").alias("status"), F.lit("later").alias("notes"), F.lit(None).cast("string").alias("severity"), F.lit(2).alias("seq"))
+    return f.patched(_state(rows, "run_id"), patches.union(later), _KEY)
+
+
 def page(spark: SparkSession, folder: str) -> DataFrame:
     some = f.filtered(findings(spark, folder), severity=["critical", "high"], fixable=True, min_confidence=0.5)
     return f.page(some, "severity", 100, 50).select("ord", "severity", "confidence", "status", "file")
@@ -72,6 +96,8 @@ def bulk_fix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _STATE = "SELECT id, severity, status, CASE WHEN ord % 5 = 0 THEN 'note ' || ord::VARCHAR END AS notes, ord % 6 = 0 AS severity_overridden FROM stamped"
+_STATE_OF_RUNS = _STATE.replace("SELECT id", "SELECT run_id, id", 1)
+_STEPS = "steps AS (SELECT run_id, lag(run_id) OVER (ORDER BY run_id) AS prior FROM (SELECT DISTINCT run_id FROM f))"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_findings": scored,
@@ -79,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "merge_findings": merged,
     "carry_forward": carried,
     "patch_findings": patched,
+    "merge_runs": merged_runs,
+    "carry_forward_runs": carried_runs,
+    "patch_runs": patched_runs,
     "page_findings": page,
     "findings_by_file": by_file,
     "findings_by_category": by_category,
@@ -101,6 +130,20 @@ FROM o FULL JOIN n ON o.id = n.id""",
 SELECT id, CASE WHEN ord % 9 = 0 THEN severity WHEN ord % 6 = 0 THEN 'high' ELSE severity END AS severity,
        CASE WHEN ord % 9 = 0 THEN 'in-progress' WHEN ord % 3 = 0 THEN 'ignored' ELSE status END AS status,
        CASE WHEN ord % 9 = 0 THEN 'later' ELSE notes END AS notes, severity_overridden OR (ord % 6 = 0 AND ord % 9 <> 0) AS severity_overridden FROM r""",
+    "merge_runs": f"""{_F}{_STAMPED}, {_STEPS}, o AS ({_STATE_OF_RUNS}), n AS (
+  SELECT run_id, id, severity, CASE WHEN status = 'fixed' THEN 'fixed' END AS status FROM stamped WHERE run_id IN (SELECT run_id FROM steps WHERE prior IS NOT NULL)
+), old AS (SELECT steps.run_id AS next, o.* FROM o JOIN steps ON steps.prior = o.run_id)
+SELECT coalesce(old.next, n.run_id) AS run_id, coalesce(old.id, n.id) AS id,
+       CASE WHEN old.id IS NOT NULL AND (old.severity_overridden OR n.id IS NULL) THEN old.severity ELSE n.severity END AS severity,
+       CASE WHEN old.id IS NULL THEN coalesce(n.status, 'open') WHEN n.id IS NULL THEN CASE WHEN old.status = 'open' THEN 'stale' ELSE old.status END
+            WHEN old.status IN ('open', 'stale') THEN coalesce(n.status, 'open') ELSE old.status END AS status,
+       old.notes, coalesce(old.severity_overridden, false) AS severity_overridden
+FROM old FULL JOIN n ON old.id = n.id AND old.next = n.run_id""",
+    "carry_forward_runs": f"{_F}{_STAMPED}, {_STEPS} SELECT c.run_id, c.id, p.status FROM stamped c JOIN steps ON steps.run_id = c.run_id JOIN stamped p ON p.id = c.id AND p.run_id = steps.prior WHERE p.status IN ('false-positive', 'ignored')",
+    "patch_runs": f"""{_F}{_STAMPED}, r AS ({_STATE_OF_RUNS.replace("SELECT run_id", "SELECT ord, run_id")})
+SELECT run_id, id, CASE WHEN ord % 9 = 0 THEN severity WHEN ord % 6 = 0 THEN 'high' ELSE severity END AS severity,
+       CASE WHEN ord % 9 = 0 THEN 'in-progress' WHEN ord % 3 = 0 THEN 'ignored' ELSE status END AS status,
+       CASE WHEN ord % 9 = 0 THEN 'later' ELSE notes END AS notes, severity_overridden OR (ord % 6 = 0 AND ord % 9 <> 0) AS severity_overridden FROM r""",
     "page_findings": f"{_F} SELECT ord, severity, confidence, status, file FROM f WHERE status <> 'stale' AND severity IN ('critical', 'high') AND coalesce(fixable, true) AND coalesce(confidence, 1.0) >= 0.5 ORDER BY {_RANK}, ord LIMIT 50 OFFSET 100",
     "findings_by_file": f"{_F} SELECT file, count(*)::BIGINT AS n, min({_RANK})::INTEGER AS worst_rank FROM f WHERE status <> 'stale' GROUP BY file",
     "findings_by_category": f"{_F} SELECT category AS value, count(*)::BIGINT AS n FROM f WHERE status <> 'stale' GROUP BY category",

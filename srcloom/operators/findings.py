@@ -39,14 +39,25 @@ def stamped(findings: DataFrame) -> DataFrame:
     return counted.withColumn("id", F.concat(F.lit("f-"), F.substring(digest, 1, 16))).drop("signature", "occurrence")
 
 
-def merged(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The state after a scan: id, severity, status, notes and severity_overridden.
+def before(runs: DataFrame) -> DataFrame:
+    """run_id and prior: each run of `runs` that has one before it, and that one. Run numbers may have gaps."""
+    return runs.select("run_id").distinct().withColumn("prior", F.lag("run_id").over(Window.orderBy("run_id"))).filter("prior IS NOT NULL")
 
-    A finding met again keeps its notes, an overridden severity, and a status that is neither open nor stale; stale ones
+
+def as_prior(findings: DataFrame) -> DataFrame:
+    """findings with the run_id of the run after their own, for which they are the state before; the last run's have none."""
+    steps = before(findings).select(F.col("run_id").alias("next"), F.col("prior").alias("run_id"))
+    return findings.join(F.broadcast(steps), "run_id").withColumn("run_id", F.col("next")).drop("next")
+
+
+def merged(existing: DataFrame, incoming: DataFrame, key: tuple[str, ...] = ("id",)) -> DataFrame:
+    """The state after a scan: the key, severity, status, notes and severity_overridden.
+
+    With the key (run_id, id) many scans are merged at once. A finding met again keeps its notes, an overridden severity, and a status that is neither open nor stale; stale ones
     open again. Open findings that the scan did not meet become stale. New ones come with their own status or open.
     """
     old, new = existing.alias("o"), incoming.alias("n")
-    joined = old.join(new, F.col("o.id") == F.col("n.id"), "full_outer")
+    joined = old.join(new, [F.col(f"o.{k}") == F.col(f"n.{k}") for k in key], "full_outer")
     was, now = F.col("o.id").isNotNull(), F.col("n.id").isNotNull()
     status = (
         F.when(was & now, F.when(F.col("o.status").isin("open", "stale"), F.coalesce("n.status", F.lit("open"))).otherwise(F.col("o.status")))
@@ -55,7 +66,7 @@ def merged(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     )
     overridden = F.coalesce("o.severity_overridden", F.lit(False))
     return joined.select(
-        F.coalesce("o.id", "n.id").alias("id"),
+        *[F.coalesce(f"o.{k}", f"n.{k}").alias(k) for k in key],
         F.when(was & (overridden | ~now), F.col("o.severity")).otherwise(F.col("n.severity")).alias("severity"),
         status.alias("status"),
         F.col("o.notes").alias("notes"),
@@ -63,17 +74,17 @@ def merged(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
-def carried(current: DataFrame, prior: DataFrame) -> DataFrame:
-    """id and status of dismissals of a prior run whose finding the current run has again."""
-    dismissed = prior.filter(F.col("status").isin(*DISMISSED)).select("id", F.col("status").alias("status"))
-    return current.select("id").join(dismissed, "id")
+def carried(current: DataFrame, prior: DataFrame, key: tuple[str, ...] = ("id",)) -> DataFrame:
+    """The key and status of dismissals of a prior run whose finding the current run has again."""
+    dismissed = prior.filter(F.col("status").isin(*DISMISSED)).select(*key, F.col("status").alias("status"))
+    return current.select(*key).join(dismissed, list(key))
 
 
-def patched(findings: DataFrame, patches: DataFrame) -> DataFrame:
-    """findings after `patches` (id, status, notes, severity, seq): the last patch of an id holds, nulls change nothing."""
-    last = patches.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("seq")))).filter("k = 1")
-    p = last.select("id", F.col("status").alias("p_status"), F.col("notes").alias("p_notes"), F.col("severity").alias("p_severity"))
-    out = findings.join(p, "id", "left")
+def patched(findings: DataFrame, patches: DataFrame, key: tuple[str, ...] = ("id",)) -> DataFrame:
+    """findings after `patches` (the key, status, notes, severity, seq): the last patch of a key holds, nulls change nothing."""
+    last = patches.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("seq")))).filter("k = 1")
+    p = last.select(*key, F.col("status").alias("p_status"), F.col("notes").alias("p_notes"), F.col("severity").alias("p_severity"))
+    out = findings.join(p, list(key), "left")
     return (
         out.withColumn("severity_overridden", F.col("severity_overridden") | F.col("p_severity").isNotNull())
         .withColumn("severity", F.coalesce("p_severity", "severity"))

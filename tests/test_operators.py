@@ -144,3 +144,20 @@ def test_folder_source(spark, tmp_path):
     got = files_of_folder(spark, str(tmp_path), largest=50).collect()
     assert [r.content for r in got] == ["one\ntwo"]
     assert spark.createDataFrame([("a.jsx",), ("b.none",), (".ts",)], "p string").select(language(F.col("p"))).collect() == [("typescript",), (None,), (None,)]
+
+
+def test_findings_of_all_runs(spark, folder):
+    from srcloom.jobs import finding_queries as q
+
+    all_runs = {r.run_id for r in q.stamped(spark, folder).select("run_id").distinct().collect()}
+    assert q.patched_runs(spark, folder).count() == q.stamped(spark, folder).count()
+    assert {r.run_id for r in q.merged_runs(spark, folder).select("run_id").distinct().collect()} == all_runs - {min(all_runs)}
+    assert {r.run_id for r in q.carried_runs(spark, folder).select("run_id").distinct().collect()} <= all_runs - {min(all_runs)}
+    of = lambda rows, run: sorted(map(str, (r[1:] for r in rows.filter(f"run_id = {run}").collect())))
+    assert of(q.patched_runs(spark, folder).select("run_id", *q.patched(spark, folder).columns), 2) == sorted(str(tuple(r)) for r in q.patched(spark, folder).collect())
+    assert of(q.merged_runs(spark, folder), 1) == sorted(str(tuple(r)) for r in q.merged(spark, folder).collect())
+
+
+def test_runs_follow_each_other_over_gaps(spark):
+    rows = spark.createDataFrame([(1, "x", "ignored"), (4, "x", "open"), (4, "y", "false-positive"), (9, "y", "open"), (9, "x", "open")], "run_id long, id string, status string")
+    assert sorted(tuple(r) for r in findings.carried(rows, findings.as_prior(rows), ("run_id", "id")).collect()) == [(4, "x", "ignored"), (9, "y", "false-positive")]
