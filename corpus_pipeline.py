@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from srcloom.functions.shared import written
@@ -30,10 +30,22 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
-    groups = ngram_join.near_duplicates(docs)
-    stays = groups.filter("component_id = doc_id").select("doc_id")
-    return docs.join(stays, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group of near copies: the one with the smallest doc_id, or any if none has one.
+
+    Rows of null doc_id group by their text as all others do, and stay where they have no partner; wordless ones are
+    linked with nothing and all stay. Rows repeated with one doc_id and text are copies, also wordless ones, so one stays;
+    rows of one doc_id whose texts do not link are no copies, and stay unless other documents' rows link with them.
+    """
+    row = [F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"]
+    marked = docs.withColumns({"_a": F.xxhash64(*row), "_b": F.xxhash64(F.lit(1), *row)})
+    rows = ngram_join.grouped_rows(marked, keep=("_a", "_b")).filter("doc_id <=> component_id")
+    every = F.col("component").isNull() & F.col("doc_id").isNull()
+    alone = rows.filter(every).select("_a", "_b", F.lit(True).alias("_every")).distinct()
+    one = rows.filter(~every).groupBy("component", F.when(F.col("component").isNull(), F.col("doc_id")).alias("wordless")).agg(F.min(F.struct("_a", "_b")).alias("row"))
+    stays = one.select("row._a", "row._b", F.lit(False).alias("_every")).union(alone)
+    order = Window.partitionBy("_a", "_b").orderBy(F.xxhash64(*[c for c in docs.columns if c != "text"]))
+    kept = marked.join(stays, ["_a", "_b"]).withColumn("_n", F.row_number().over(order)).filter("_n = 1 OR _every")
+    return kept.select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

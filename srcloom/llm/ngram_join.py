@@ -58,14 +58,17 @@ def _documents_sets(batches: Iterator[pa.RecordBatch], width: int):
             yield ids.slice(a, b - a), shingle_sets(data, offsets, width)
 
 
-def digests(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles and the fingerprint of the set."""
+def digests(docs: DataFrame, width: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles and the fingerprint of the set, and the columns (longs) to keep."""
 
     def run(batches):
-        for ids, sets in _documents_sets(batches, width):
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_fingerprint(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "fp"])
+        for batch in batches:
+            for a, b, data, offsets in text_slices(batch.column("text")):
+                sets = shingle_sets(data, offsets, width)
+                columns = [batch.column("doc_id").slice(a, b - a).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_fingerprint(s) for s in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns + [batch.column(c).slice(a, b - a) for c in keep], ["doc_id", "n_shingles", "fp", *keep])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp long")
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, "doc_id long, n_shingles long, fp long" + "".join(f", {c} long" for c in keep))
 
 
 _POSTINGS = "bucket int, direct boolean, fps binary, sizes binary, owners binary, low binary, high binary"
@@ -364,8 +367,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
 
     An empty set is linked with nothing: its component is its own doc_id. An empty table gives an empty result.
     """
+    return grouped_rows(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped_rows(docs: DataFrame, width: int = 5, percent: int = 75, keep: tuple[str, ...] = ()) -> DataFrame:
+    """As near_duplicates, with the columns (longs) to keep and `component`, which tells components apart whatever their
+    rows' doc_id is, and is null for an empty set."""
     spark = docs.sparkSession
-    digest = written(digests(docs, width), "digest")
+    digest = written(digests(docs, width, keep), "digest")
     total = digest.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = min(1 << 24, even_partitions(spark, total, BUCKET_ELEMENTS, 12))
     shared = _postings(docs, width, buckets).groupBy("bucket").applyInArrow(_shared_in_bucket, _SHARED)
@@ -387,9 +396,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     found = components(links)
     classes = digest.filter("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("first"))
     smallest = found.join(classes, found["node"] == classes["fp"]).groupBy("root").agg(F.min("first").alias("component_id"))
-    named = classes.join(found.join(smallest, "root").select(F.col("node").alias("fp"), "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    named = classes.join(found.join(smallest, "root").select(F.col("node").alias("fp"), "component_id", F.col("root").alias("component")), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("component", "fp").alias("component"))
     return (
         digest.withColumn("key", F.when(F.col("n_shingles") > 0, F.col("fp")))
         .join(named.withColumnRenamed("fp", "key"), "key", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component", *keep)
     )

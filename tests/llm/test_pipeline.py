@@ -32,3 +32,19 @@ def test_pipeline_on_an_empty_table(spark, folder, tmp_path):
     table(spark, folder, "documents").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     table(spark, folder, "labels").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicate_stage_with_null_and_repeated_ids(spark):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(30))
+    rows = [
+        (None, text("unique")),
+        (None, text("shared")), (7, text("shared")), (8, text("shared") + " more"),
+        (None, text("nameless")), (None, text("nameless")),
+        (3, text("repeated")), (3, text("repeated")), (3, text("repeated")), (4, text("repeated")),
+        (5, text("one")), (5, text("other")),
+        (6, ""), (6, ""), (9, None), (None, ""), (None, ""),
+    ]
+    kept = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    want = [(None, text("unique")), (7, text("shared")), (None, text("nameless")), (3, text("repeated")), (5, text("one")), (5, text("other")), (6, ""), (9, None), (None, ""), (None, "")]
+    assert kept.columns == ["doc_id", "text"]
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, want))
