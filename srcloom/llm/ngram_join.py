@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,13 +77,17 @@ _SHARED = "fp long, n long, elements binary, frequencies binary"
 
 
 class _Block:
-    """Sets of one map block, until they are dealt to buckets."""
+    """Sets of one map block, until they are dealt to buckets.
 
-    def __init__(self, buckets: int):
-        self.buckets = buckets
+    Hot postings need no meeting, so they go to buckets by the task's and the block's number, whatever the block holds.
+    """
+
+    def __init__(self, buckets: int, task: int = 0):
+        self.buckets, self.task, self.number = buckets, task, -1
         self.clear()
 
     def clear(self) -> None:
+        self.number += 1
         self.of: dict[int, int] = {}
         self.sets: list[np.ndarray] = []
         self.elements = 0
@@ -112,7 +117,8 @@ class _Block:
         if hot.any():
             h, o = ids[hot], owners[hot]
             by = np.argsort(o, kind="stable")
-            out.append((int(fps[0] % self.buckets), True, fps, sizes, o[by], h[by], None))
+            dealt = int(mix64(np.array([(self.task << 32) + self.number], dtype=np.uint64))[0] % np.uint64(self.buckets))
+            out.append((dealt, True, fps, sizes, o[by], h[by], None))
         marks = ids[starts[counts >= HOT_IN_BLOCK]]
         cold_ids, cold_owners = ids[~hot], owners[~hot]
         where = (cold_ids >> np.uint64(40)).astype(np.int64)
@@ -135,7 +141,7 @@ class _Block:
 
 def _postings(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     def run(batches):
-        block = _Block(buckets)
+        block = _Block(buckets, TaskContext.get().partitionId())
         for _, sets in _documents_sets(batches, width):
             for s in sets:
                 block.add(s)

@@ -272,6 +272,14 @@ def test_ngram_join_with_hot_elements_and_split_groups(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df).collect()} == brute_components(rows)
 
 
+def test_ngram_join_deals_hot_postings_of_like_blocks(spark):
+    passage = "a passage that many documents share"
+    rows = [(k, passage + f" {k % 40}") for k in range(320)]  # 8 blocks with the same texts, the same one first
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 8), "doc_id long, text string")
+    direct = ngram_join._postings(df, 5, 1000).filter("direct").select("bucket").collect()
+    assert len(direct) == 8 and len({r.bucket for r in direct}) > 4
+
+
 def test_prefix_tree_finds_all_links():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.choice(40, size=rng.integers(1, 40))) for _ in range(80)]
