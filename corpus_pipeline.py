@@ -49,8 +49,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents placed in sequences."""
-    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
+    """Pieces of documents placed in sequences, with their token ids: the packed corpus itself."""
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -1,5 +1,7 @@
 """Each stage of the pipeline does what its operator decides, and the whole keeps clean documents."""
 
+import zlib
+
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -48,3 +50,8 @@ def test_near_duplicate_stage_with_null_and_repeated_ids(spark):
     want = [(None, text("unique")), (7, text("shared")), (None, text("nameless")), (3, text("repeated")), (5, text("one")), (5, text("other")), (6, ""), (9, None), (None, ""), (None, "")]
     assert kept.columns == ["doc_id", "text"]
     assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, want))
+
+
+def test_packing_stage_gives_the_ids(spark, folder):
+    rows = corpus_pipeline.packing_stage(spark, table(spark, folder, "documents"), folder).collect()
+    assert rows and all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
