@@ -145,7 +145,7 @@ def nearest(vectors: DataFrame, queries_each: int = 50, k: int = 5) -> DataFrame
     spark = vectors.sparkSession
     rows = usable(vectors)
     n, n_queries = rows.agg(F.count("*"), F.count_if(F.pmod("vec_id", F.lit(queries_each)) == 0)).first()
-    groups, blocks = even_partitions(spark, n, GROUP), even_partitions(spark, n_queries, QUERY_BLOCK)
+    groups, blocks = even_partitions(n, GROUP), even_partitions(n_queries, QUERY_BLOCK)
     dealt = lambda df, parts, rows_each: df.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).repartition("part").sortWithinPartitions("part", "vec_id").mapInArrow(_packed(rows_each), _BLOCK)
     asked = written(dealt(rows.filter(F.pmod("vec_id", F.lit(queries_each)) == 0), blocks, QUERY_BLOCK), "queries")
     held = dealt(rows, groups, GROUP)

@@ -382,7 +382,7 @@ def grouped_rows(docs: DataFrame, width: int = 5, percent: int = 75, keep: tuple
     spark = docs.sparkSession
     digest = written(digests(docs, width, keep), "digest")
     total = digest.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = min(1 << 24, even_partitions(spark, total, BUCKET_ELEMENTS, 12))
+    buckets = min(1 << 24, even_partitions(total, BUCKET_ELEMENTS, 12))
     shared = _postings(docs, width, buckets).groupBy("bucket").applyInArrow(_shared_in_bucket, _SHARED)
     gathered = shared.groupBy("fp", "n").agg(F.collect_list("elements").alias("elements"), F.collect_list("frequencies").alias("frequencies"), F.sum(F.octet_length("elements")).alias("bytes")).filter(F.col("bytes") * 100 >= F.col("n") * 8 * percent)
     sets = written(gathered.drop("bytes").mapInArrow(_ordered(percent), "fp long, n long, elements binary, prefix array<long>"), "sets")

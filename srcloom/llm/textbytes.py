@@ -6,13 +6,14 @@ numpy passes instead of a Python loop over words. Nothing here knows Spark.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; numpy temporaries are a small multiple of it. One longer document still goes whole.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _SEED_MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x5851F42D4C957F2D)
@@ -39,6 +40,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BYTE_VALUE = mix64((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _SEED_MIX)
 
+#: Longest power tables that are kept between texts.
+_KEPT_POWERS = 2 * SLICE_BYTES
+
 _powers = np.ones(1, dtype=np.uint64)
 _inverses = np.ones(1, dtype=np.uint64)
 
@@ -46,16 +50,28 @@ _inverses = np.ones(1, dtype=np.uint64)
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverses
     if len(_powers) < n:
-        size = max(n, 1 << 16)
-        steps = np.full(size, _BASE, dtype=np.uint64)
-        steps[0] = 1
-        _powers = np.multiply.accumulate(steps)
-        steps = np.full(size, _BASE_INVERSE, dtype=np.uint64)
-        steps[0] = 1
-        _inverses = np.multiply.accumulate(steps)
+        powers, inverses = (_power_table(step, max(n, 1 << 16)) for step in (_BASE, _BASE_INVERSE))
+        if len(powers) > _KEPT_POWERS:
+            return powers, inverses
+        _powers, _inverses = powers, inverses
     return _powers, _inverses
 
 
+def _power_table(step: np.uint64, size: int) -> np.ndarray:
+    steps = np.full(size, step, dtype=np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+def give_back() -> None:
+    """Returns memory that a task has freed to the machine; the worker may serve other jobs next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return  # another C library
+
+
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) for runs of whole texts of about `limit` bytes. Null reads as empty."""
     if isinstance(column, pa.ChunkedArray):

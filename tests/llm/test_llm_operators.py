@@ -199,7 +199,7 @@ def test_packing_chunks_like_the_tokenizer():
     from tokenizers import Tokenizer
 
     path = tokenizer_file("word_bpe_49k.json")
-    tokenizer, cached = Tokenizer.from_file(path), packing._ChunkIds(path)
+    tokenizer, cached = Tokenizer.from_file(path), packing.ChunkIds(path)
     cases = ["It's 5 o'clock, HE'LL say... \"no!!\"", "<|endoftext|>a <|ENDOFTEXT|>", "Straße ÉCOLE École é ﬁ ÷ ×", "a\x1cb\x85c d", "x" * 300, "***bold*** $$$ wh,?!", "Σας ΣΑΣ İi", "漢字 😀🏽 ١٢"]
     for text in cases:
         assert np.frombuffer(cached.encode(text.encode()), dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
@@ -212,6 +212,36 @@ def test_packing_bounded_bins():
     assert [bins.place(n) for n in (6, 7, 4)] == [(0, 0), (1, 0), (2, 0)]  # the fullest closed
 
 
+def test_packing_closes_the_fullest_and_stays_full(documents):
+    sizes = [r.length for r in packing.tokenised(documents, tokenizer_file("word_bpe_49k.json"), with_ids=False).orderBy("doc_id", "piece").collect()]
+    bins, place, full = packing.OpenSequences(4096, 16), [], {}
+    for size in sizes:
+        place.append(bins.place(size))
+    for (sequence, offset), size in zip(place, sizes, strict=True):
+        assert full.get(sequence, 0) == offset
+        full[sequence] = offset + size
+    assert bins.closed > 0 and max(full.values()) <= 4096
+    assert len(full) <= math.ceil(sum(sizes) / 4096) * 1.03 + 1
+
+
+def test_packing_encodes_whole_texts_for_other_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    assert packing.encoded_by_chunks(tokenizer_file("word_bpe_49k.json")) and not packing.encoded_by_chunks(path)
+    rows = packing.tokenised(spark.createDataFrame([(1, "The cat  sat\n")], "doc_id long, text string"), path).collect()
+    assert np.frombuffer(rows[0].ids, dtype="<u4").tolist() == Tokenizer.from_file(path).encode("The cat  sat\n", add_special_tokens=False).ids + [1]
+
+
+def test_packing_cache_is_bounded_and_dropped():
+    cached = packing.ChunkIds(tokenizer_file("word_bpe_49k.json"), most_bytes=20_000)
+    for k in range(0, 5000, 20):
+        cached.encode(" ".join(f"word{i}" for i in range(k, k + 20)).encode())
+        assert cached.held <= 20_000 + 40 * 300
+    cached.forget()
+    assert not cached and cached.held == 0
+
+
 def test_packing_rows(spark, odd, empty):
     rows = packing.pack(odd, tokenizer_file("word_bpe_49k.json")).collect()
     assert sum(r.doc_id == 1 and r.length == 1 for r in rows) == 1 and sum(r.doc_id == 5 for r in rows) == 2
