@@ -29,6 +29,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def even_partitions(spark: SparkSession, total: int, each: int, least: int = 1) -> int:
+def even_partitions(total: int, each: int, least: int = 1) -> int:
     """How many partitions hold about `each` of `total` units, so that work per task stays level as data grow."""
     return max(least, -(-total // each))
