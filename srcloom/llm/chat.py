@@ -83,8 +83,9 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 def formatted(events: DataFrame) -> DataFrame:
     """conv_id, part, formatted and loss (whether its text is trained on): a row for each message, each conversation's
     rows neighbours in one partition and in order. Concatenated, they are the conversation."""
-    log = events.select("conv_id", "turn", "seq", F.coalesce("kind", F.lit("message")).alias("kind"), escaped(F.col("role")).alias("role"), escaped(F.col("text")).alias("text"))
-    ordered = log.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "seq", "kind", "role", "text")
+    log = events.select("conv_id", "turn", "seq", F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    sorted_ = log.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "seq", "kind", "role", "text")
+    ordered = sorted_.select("conv_id", "turn", "kind", escaped(F.col("role")).alias("role"), escaped(F.col("text")).alias("text"))
     return ordered.mapInArrow(_fold, "conv_id long, part long, formatted string, loss boolean")
 
 

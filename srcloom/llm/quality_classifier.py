@@ -7,8 +7,8 @@ linear scorer over the text's shape (trigrams of byte classes, and the labellers
 beyond the thresholds of single labellers.
 
 The vote patterns that reach the driver number at most 2 ** labellers. The scorer is fitted there on a bounded sample of
-about SAMPLE documents, chosen by a hash of doc_id, with its sparse features only. Texts are read twice where they
-lie, once to vote and once to score, and are never shuffled.
+about SAMPLE documents, chosen by a hash of doc_id and text, repeated rows once, with its sparse features only (at most
+BUCKETS of each). Texts are read twice where they lie, once to vote and once to score; only those of the sample are shuffled.
 
 Null and empty texts have no shape: no labeller fires, and their score is that of the bias. Repeated rows are scored
 each and alike; an empty table gives an empty result; columns named like the results are replaced.
@@ -23,11 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from srcloom.llm.textbytes import LOWER_VALUE, SPACE, byte_classes, mix64, runs_as_binary, text_slices, word_hashes, word_spans
+from srcloom.llm.textbytes import LOWER_VALUE, SPACE, byte_classes, give_back, mix64, runs_as_binary, text_slices, word_hashes, word_spans
 
-SAMPLE = 8_000
+SAMPLE = 6_000
 BUCKETS = 1 << 12
 
 _UPPER = byte_classes(bytes(range(65, 91)))
@@ -228,8 +227,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
                     ["votes", "bucket", "value"],
                 )
 
-    picked = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
-    rows = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in picked.mapInArrow(shapes, "votes int, bucket binary, value binary").collect())
+    key = F.xxhash64("doc_id", "text")
+    picked = docs.select("text", key.alias("key")).filter(F.pmod("key", F.lit(1 << 20)) < int(share * (1 << 20))).groupBy("key").agg(F.max("text").alias("text"))
+    rows = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in picked.select("text").mapInArrow(shapes, "votes int, bucket binary, value binary").collect())
     text = np.repeat(np.arange(len(rows)), np.array([len(r[1]) // 4 for r in rows], dtype=np.int64))
     target = labellers.posterior(np.array([r[0] for r in rows], dtype=np.int64)) if rows else np.zeros(0)
     bucket, value = (np.frombuffer(b"".join(r[k] for r in rows), dtype=kind) for k, kind in ((1, np.int32), (2, np.float32)))
@@ -239,23 +239,24 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 def scored(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """`docs` with votes (bits by labeller), posterior (of being good, by the labellers) and score (0 to 1, by the scorer)."""
-    added = [T.StructField("votes", T.IntegerType()), T.StructField("posterior", T.DoubleType()), T.StructField("score", T.DoubleType())]
-    docs = docs.drop(*[f.name for f in added])
+    names = ("votes", "posterior", "score")
+    docs = docs.drop(*names, "_judged")
     model = model or fit(docs)
-    names = docs.columns
-    text = names.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            votes, score = np.zeros(batch.num_rows, dtype=np.int32), np.zeros(batch.num_rows)
-            for a, b, data, offsets in text_slices(batch.column(text)):
+    @F.arrow_udf("struct<votes:int,posterior:double,score:double>")
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            votes, score = np.zeros(len(column), dtype=np.int32), np.zeros(len(column))
+            for a, b, data, offsets in text_slices(column):
                 found = measures(data, offsets)
                 at, bucket, value = shape(data, offsets, found)
                 g = np.bincount(at, weights=model.weights[bucket] * value, minlength=b - a) + model.bias
                 votes[a:b], score[a:b] = _votes(found), 1 / (1 + np.exp(-np.clip(g, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(votes), pa.array(model.labellers.posterior(votes.astype(np.int64))), pa.array(score)], [*names, *[f.name for f in added]])
+            yield pa.StructArray.from_arrays([pa.array(votes), pa.array(model.labellers.posterior(votes.astype(np.int64))), pa.array(score)], list(names))
+        give_back()
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    judged = docs.withColumn("_judged", judge("text"))
+    return judged.select(*docs.columns, *[F.col(f"_judged.{n}") for n in names])
 
 
 def report(docs: DataFrame) -> DataFrame:

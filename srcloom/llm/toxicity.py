@@ -6,8 +6,8 @@ of the unlabelled risk and that difference held at zero or above (nnPU). The pri
 labelled rows that may be learned from, or less where toxic features are rarer in unlabelled text than that would make
 them, as when labelled rows were not drawn evenly.
 
-The fit uses bounded samples, POSITIVES confirmed toxic documents and UNLABELLED others, chosen by a hash of doc_id;
-the driver receives only their candidate features, at most CANDIDATES different ones. Scoring reads every whole text
+The fit uses bounded samples, POSITIVES confirmed toxic documents and UNLABELLED others, chosen by a hash of doc_id, one
+text each; the driver receives only their candidate features, at most CANDIDATES different ones. Scoring reads every whole text
 once, where it lies, with the fitted weights (a few hundred kB) in the task: nothing is shuffled.
 
 Only rows with crc32(doc_id as text) mod 5 other than 0 teach; held-out documents are in neither sample. Labels, lang,
@@ -25,9 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from srcloom.llm.textbytes import LOWER_VALUE, byte_classes, mix64, runs_as_binary, text_slices, word_hashes, word_spans
+from srcloom.llm.textbytes import LOWER_VALUE, byte_classes, give_back, mix64, runs_as_binary, text_slices, word_hashes, word_spans
 
 POSITIVES, UNLABELLED, CANDIDATES = 4_000, 12_000, 40_000
 #: Bytes of the word beginnings that are features besides whole words.
@@ -108,27 +107,39 @@ class Model:
     prior: float
 
 
+def pu_risk(g: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of raw scores g, and the slope to follow at each of them.
+
+    risk = prior E_p[loss(g, 1)] + max(0, E_u[loss(g, 0)] - prior E_p[loss(g, 0)]). Where the difference is negative the
+    slope is that of its negative, which leads back to where it is a risk.
+    """
+    g = np.clip(g, -30, 30)
+    p = 1 / (1 + np.exp(-g))
+    share = np.where(positive, prior / max(1, positive.sum()), 0.0)
+    unlabelled = np.where(positive, 0.0, 1.0 / max(1, (~positive).sum()))
+    as_negative = np.logaddexp(0, g)
+    rest = (unlabelled * as_negative).sum() - (share * as_negative).sum()
+    slope = unlabelled * p - share * p
+    return float((share * np.logaddexp(0, -g)).sum() + max(0.0, rest)), -share * (1 - p) + slope if rest >= 0 else -slope
+
+
 def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, rounds: int = 400, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of least non-negative PU risk, logistic loss, full-batch Adam. rows: feature places of each text."""
+    """Weights and bias of least non-negative PU risk, logistic loss, full-batch Adam. rows: feature places of each text.
+
+    No weight goes below 0, as a word cannot make a text less toxic: each step is projected onto that.
+    """
     lengths = np.array([len(r) for r in rows])
     columns = np.concatenate(rows) if len(rows) else np.zeros(0, dtype=np.int64)
     owner = np.repeat(np.arange(len(rows)), lengths)
     w, b = np.zeros(n_features), 0.0
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
-    share = np.where(positive, prior / max(1, positive.sum()), 0.0)
-    unlabelled = np.where(positive, 0.0, 1.0 / max(1, (~positive).sum()))
     for step in range(1, rounds + 1):
-        g = np.clip(np.bincount(owner, weights=w[columns], minlength=len(rows)) + b, -30, 30)
-        p = 1 / (1 + np.exp(-g))
-        as_negative = np.logaddexp(0, g)
-        rest = (unlabelled * as_negative).sum() - (share * as_negative).sum()
-        slope = unlabelled * p - share * p
-        slope = -share * (1 - p) + slope if rest >= 0 else -slope  # back to where the difference is a risk
+        _, slope = pu_risk(np.bincount(owner, weights=w[columns], minlength=len(rows)) + b, positive, prior)
         grad = np.append(np.bincount(columns, weights=slope[owner], minlength=n_features) + decay * w, slope.sum())
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
+        w, b = np.maximum(w - move[:-1], 0), b - move[-1]
     return w, float(b)
 
 
@@ -147,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         return None
     spark = docs.sparkSession
     sample = spark.createDataFrame(chosen, "doc_id long, positive boolean")
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "positive").agg(F.max("text").alias("text"))
     least = max(2, len(positives) // 200)
     counted = texts.filter("positive").select("text").mapInArrow(_counts, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     candidates = np.sort(np.array([r[0] for r in counted.orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect()], dtype=np.int64).view(np.uint64))
@@ -182,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     prior = min(n_toxic / n, 1.2 * float(np.median(u[clear] / p[clear])) if len(clear) else 1.0)
     w, b = fit_nnpu(lists, positive, len(use), prior)
     weights = np.zeros(places)
-    weights[use] = np.maximum(w, 0)  # a word cannot make a text less toxic
+    weights[use] = w
     weights = weights.reshape(-1, LEVELS)
     keep = weights.any(axis=1)
     return Model(candidates[keep], weights[keep].ravel(), b, prior)
@@ -192,21 +203,21 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` with score (double, 0 to 1) and predicted (int); columns of these names are replaced."""
     docs = docs.drop("score", "predicted")
     model = fit(docs, labels)
-    names = docs.columns
-    text = names.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = _Chosen(model.features) if model else None
-        for batch in batches:
-            score = np.zeros(batch.num_rows)
-            if model:
-                for a, b, data, offsets in text_slices(batch.column(text)):
-                    owner, at = lookup.present(data, offsets)
-                    g = np.bincount(owner, weights=model.weights[at], minlength=b - a) + model.bias
-                    score[a:b] = 1 / (1 + np.exp(-np.clip(g, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        lookup = _Chosen(model.features)
+        for column in batches:
+            out = np.zeros(len(column))
+            for a, b, data, offsets in text_slices(column):
+                owner, at = lookup.present(data, offsets)
+                g = np.bincount(owner, weights=model.weights[at], minlength=b - a) + model.bias
+                out[a:b] = 1 / (1 + np.exp(-np.clip(g, -500, 500)))
+            yield pa.array(out)
+        give_back()
+
+    scores = docs.withColumn("score", score("text") if model else F.lit(0.0))
+    return scores.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -173,6 +173,17 @@ def test_chat_digest(spark):
     assert got[4].loss_chars == 100_000
 
 
+def test_chat_ties_sort_by_the_text_itself(spark):
+    rows = [(1, 0, "assistant", t) for t in ("<\\x", "</s>", "<.")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert chat.digest(chat.events_of_messages(df)).first().loss_sha256 == hashlib.sha256(b"<.</s><\\x").hexdigest()
+
+
+def test_chat_on_an_empty_table(spark):
+    df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.digest(chat.events_of_messages(df)).count() == 0
+
+
 # Packing
 
 
@@ -345,6 +356,60 @@ def test_label_model_recovers_rates():
     assert abs(model.junk - 0.2) < 0.01 and np.abs(model.hit - hit).max() < 0.02 and np.abs(model.false_alarm - alarm).max() < 0.005
 
 
+def brute_measures(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    lines = [x for x in text.split("\n") if x]
+    raw = text.encode()
+    letters = sum(chr(c).isalpha() if c < 128 else True for c in raw)
+    filled = sum(c not in b" \t\n\x0b\x0c\r" for c in raw)
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    repeated = len(lines) - len(set(lines))
+    if not words:
+        return [0.0] * 8
+    return [
+        sum(c in "#*$%&|<>{}[]\\^~=+_@" for c in text) / len(words),
+        sum(c in "#*$%&|<>{}[]\\^~=+_@" for c in text) / len(raw),
+        sum(c in "!?" for c in text) / len(words),
+        sum(65 <= c <= 90 for c in raw) / max(letters, 1),
+        sum(a == b for a, b in zip(words, words[1:], strict=False)) / len(words),
+        (len(windows) - len(set(windows))) / len(words),
+        repeated / max(len(lines), 1) if repeated >= 3 else 0.0,
+        1 - (letters + 0.5 * sum(48 <= c <= 57 for c in raw)) / max(filled, 1),
+    ]
+
+
+def test_quality_measures_votes_and_posteriors_are_brute_force(spark, documents, texts):
+    model = quality_classifier.fit(documents)
+    got = {r.doc_id: r for r in quality_classifier.scored(documents, model).collect()}
+    labellers = model.labellers
+    for i, text in texts.items():
+        found = brute_measures(text)
+        votes = [x > bound for x, (_, bound) in zip(found, quality_classifier.LABELLERS, strict=True)]
+        assert got[i].votes == sum(v << k for k, v in enumerate(votes)), (i, found)
+        bad, good = labellers.junk, 1 - labellers.junk
+        for v, h, f in zip(votes, labellers.hit, labellers.false_alarm, strict=True):
+            bad, good = bad * (h if v else 1 - h), good * (f if v else 1 - f)
+        assert math.isclose(got[i].posterior, good / (good + bad), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_quality_scorer_follows_its_gradient():
+    rng = np.random.default_rng(8)
+    n = 60
+    text, bucket, value = np.repeat(np.arange(n), 5), rng.integers(0, 30, n * 5), rng.random(n * 5)
+    target = (np.bincount(text, weights=(bucket < 10) * value) > 0.7).astype(float)
+    w, b = quality_classifier.fit_scorer(text, bucket, value, target, rounds=2000, decay=1e-3)
+    g = np.bincount(text, weights=w[bucket] * value) + b
+    slope = (1 / (1 + np.exp(-g)) - target) / n
+    grad = np.bincount(bucket, weights=slope[text] * value, minlength=len(w)) + 1e-3 * w
+    assert np.abs(grad).max() < 1e-3 and abs(slope.sum()) < 1e-3
+
+
+def test_quality_sample_takes_repeated_rows_once(spark):
+    rows = [(1, "the same words again and again here")] * 500 + [(k, f"document number {k} says this") for k in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(quality_classifier.report(docs).collect()) == 528
+
+
 def test_quality_classifier_rows(odd, empty):
     got = quality_classifier.scored(odd).collect()
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
@@ -436,6 +501,59 @@ def test_toxicity_learns_words(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
 
 
+def test_toxicity_risk_and_slope_are_numeric(spark):
+    rng = np.random.default_rng(6)
+    positive = rng.random(40) < 0.3
+    g = rng.normal(size=40)
+    loss = lambda z, y: np.log1p(np.exp(-z)) if y else np.log1p(np.exp(z))
+
+    def parts(z, prior):
+        p = np.mean([loss(x, 1) for x in z[positive]]) * prior
+        rest = np.mean([loss(x, 0) for x in z[~positive]]) - prior * np.mean([loss(x, 0) for x in z[positive]])
+        return p, rest
+
+    for prior in (0.1, 0.9):
+        z = g - 3 * (~positive) if prior == 0.9 else g  # negative rest, and positive
+        p, rest = parts(z, prior)
+        assert (rest < 0) == (prior == 0.9)
+        risk, slope = toxicity.pu_risk(z, positive, prior)
+        assert math.isclose(risk, p + max(0, rest))
+        for k in range(40):
+            up, down = z.copy(), z.copy()
+            up[k] += 1e-6
+            down[k] -= 1e-6
+            (pu, ru), (pd_, rd) = parts(up, prior), parts(down, prior)
+            want = (pu + ru - pd_ - rd) / 2e-6 if rest >= 0 else -(ru - rd) / 2e-6
+            assert math.isclose(slope[k], want, rel_tol=1e-3, abs_tol=1e-7)
+
+
+def test_toxicity_fit_is_the_constrained_minimum():
+    rng = np.random.default_rng(7)
+    positive = np.arange(2000) < 600
+    toxic = positive | (rng.random(2000) < 0.25)
+    rows = [np.flatnonzero(rng.random(4) < np.array([0.5, 0.4, 0.3, 0.3] if t else [0.3, 0.3, 0.25, 0.4])) for t in toxic]
+    w, b = toxicity.fit_nnpu(rows, positive, 4, 0.25, rounds=3000, rate=0.02)
+
+    def risk(weights, bias):
+        return toxicity.pu_risk(np.array([weights[r].sum() + bias for r in rows]), positive, 0.25)[0] + 0.5e-4 * (weights**2).sum()
+
+    best = risk(w, b)
+    assert (w >= 0).all()
+    assert w[3] == 0  # this one would be negative
+    for k in range(4):
+        for step in (0.05, -0.05):
+            other = w.copy()
+            other[k] = max(0, other[k] + step)
+            assert risk(other, b) >= best - 1e-5
+    assert risk(w, b + 0.05) >= best - 1e-5 and risk(w, b - 0.05) >= best - 1e-5
+
+
+def test_toxicity_with_repeated_documents(spark):
+    docs = spark.createDataFrame([(1, "vile words")] * 300 + [(k, f"plain words {k % 5}") for k in range(2, 60)] + [(k, "vile") for k in range(60, 90)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k == 1 or k >= 60)) for k in range(1, 90)], "doc_id long, toxic int")
+    assert toxicity.report(docs, labels).count() == 388
+
+
 def test_toxicity_held_out(spark, folder):
     sf = folder.replace("sf0.001", "sf0.01")
     rows = toxicity.report(table(spark, sf, "documents"), table(spark, sf, "labels")).join(table(spark, sf, "labels"), "doc_id").filter("held_out").collect()
@@ -476,6 +594,18 @@ def test_quality_rules_order_does_not_matter(documents):
     assert sorted(a) == sorted(b)
 
 
+def test_quality_rules_stay_linear_under_filters(spark):
+    text = " ".join(f"w{i % 5000}" for i in range(60_000))
+    rows = quality_rules.judged(spark.createDataFrame([(1, text)], "doc_id long, text string"), quality_rules.rules())
+    assert rows.filter("n_repeat_words > 0 AND NOT kept").select("n_repeat_words").first()[0] == 60_000
+
+
+def test_quality_rules_order_is_repeatable(documents):
+    names = [r.name for r in quality_rules.ordered_rules(documents)]
+    assert sorted(names) == sorted(r.name for r in quality_rules.rules())
+    assert names == [r.name for r in quality_rules.ordered_rules(documents.repartition(3))]
+
+
 def test_quality_rules_rows(odd, empty):
     got = quality_rules.judged(odd).collect()
     assert len(got) == len(ODD) and not any(r.kept for r in got if r.text is None or not r.text.strip())
