@@ -1,13 +1,17 @@
 """Line deduplication with levelled sorted runs of line hashes. DataFrame functions only.
 
-Documents are dealt into batches by their id. Each batch is reduced to one row for each line key (how many documents
-hold it, the largest of them), merge-anti-joined with the runs kept so far to tell keys never seen from known ones, and
-added as a sorted run of level 0. When a level has gathered `fan_in` runs they are merged into one run of the next
-level, so a key lies in few runs however many batches come. The runs then say which lines go, and documents lose them.
-
-Text itself crosses the network at most once (the join of documents with their lists of dropped keys); everything else
-moves 128-bit hashes. Keys held by a third of all documents are counted by partial aggregation, and the join that
-returns verdicts to their documents is a plain equi-join that adaptive execution splits.
+Documents are dealt into batches by their id, and the keys of their lines are written in one folder for each batch. A
+run is a table of keys sorted by (hi, lo), with how many documents of the batches so far hold the key and the largest of
+them. Each batch is reduced to one row a key and merge-joined with the runs: known keys take their tally along and add
+to it, keys that no run holds come in by the anti-join (the rows without a match), and the batch's rows become a run of
+level 0. A key's newest run is the one that counts. When a level has `fan_in` runs they are compacted into one run of the next
+level, newer ones anti-joining older ones, so that later batches meet few runs. At the end the runs themselves are the
+verdict: nothing is counted again.
+
+Text crosses the network at most once (the join of documents with their lists of dropped keys); everything else moves
+128-bit hashes. Keys held by many documents are counted by partial aggregation. On the way back to their documents keys
+with at least a HOT_SHARE of all lines are joined by broadcast, being fewer than 1 / HOT_SHARE by that bound (64 bytes
+each), and all others by sorting, where none fills a task.
 
 Null or empty text is one empty line. A line's key is the line without [\\x20\\x09-\\x0D] at both ends and with A-Z in
 lower case; keys under `least_chars` code points are never dropped. A doc_id that occurs in several rows counts as one
@@ -17,17 +21,22 @@ document, and each of its rows is returned. An empty table gives an empty result
 from __future__ import annotations
 
 import string
+import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcloom.functions.shared import written
+from srcloom.functions.shared import even_partitions, shared_folder, written
 
 #: Fixed values of the contract.
 SPACE = " \t\n\x0b\x0c\r"
 LEAST_CHARS, LEAST_DOCS = 40, 5
 
-BATCHES, FAN_IN = 4, 4
+#: Documents that a batch should hold, the fewest and most batches, and runs of a level before it is compacted.
+BATCH_DOCS, LEAST_BATCHES, MOST_BATCHES, FAN_IN = 20_000_000, 6, 24, 3
+#: Share of all line rows from which a key is hot.
+HOT_SHARE = 1 / 4000
 
 
 def lower_ascii(x: Column) -> Column:
@@ -50,71 +59,74 @@ def _hashes(line: Column, least_chars: int) -> Column:
     return F.when(F.length(trimmed) >= least_chars, F.struct(F.xxhash64(key).alias("hi"), F.xxhash64(F.lit(1), key).alias("lo")))
 
 
-class LineRuns:
-    """Sorted runs of (hi, lo, n_docs, last_doc, fresh) in levels, as tables in the shared folder."""
+KEY = ("hi", "lo")
+
+
+def superseded(newer: DataFrame, older: DataFrame) -> DataFrame:
+    """One run of both: the newer one's rows, and those of the older one whose keys the newer one lacks."""
+    return newer.unionByName(older.join(newer.select(*KEY), list(KEY), "left_anti"))
 
-    KEY = ("hi", "lo")
+
+class LineRuns:
+    """Sorted runs of (hi, lo, n_docs, last_doc) in levels, newest first, as tables in the shared folder."""
 
     def __init__(self, fan_in: int = FAN_IN):
         self.fan_in = fan_in
         self.levels: list[list[DataFrame]] = []
+        self.compactions = 0
 
-    def all(self) -> DataFrame | None:
+    def newest(self) -> DataFrame | None:
+        """The newest row of each key, over all runs."""
         runs = [run for level in self.levels for run in level]
-        if not runs:
-            return None
-        out = runs[0]
-        for run in runs[1:]:
-            out = out.union(run)
-        return out
-
-    def _merged(self, runs: DataFrame) -> DataFrame:
-        return runs.groupBy(*self.KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.max("fresh").alias("fresh"))
-
-    def add(self, lines: DataFrame) -> DataFrame:
-        """Adds one batch of (hi, lo, doc_id), whose documents no other batch holds, and returns its run."""
-        own = lines.groupBy(*self.KEY).agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        seen = self.all()
-        if seen is None:
-            own = own.withColumn("fresh", F.lit(True))
-        else:
-            known = seen.filter("fresh").select(*self.KEY, F.lit(True).alias("known"))
-            own = own.join(known, list(self.KEY), "left").withColumn("fresh", F.col("known").isNull()).drop("known")
-        run = written(own.sortWithinPartitions(*self.KEY), "run")
-        self._place(run, 0)
-        return run
+        return reduce(superseded, runs) if runs else None
+
+    def add(self, lines: DataFrame) -> None:
+        """Adds one batch of (hi, lo, doc_id), whose documents no other batch holds."""
+        run = lines.groupBy(*KEY).agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        seen = self.newest()
+        if seen is not None:
+            known = seen.select(*KEY, F.col("n_docs").alias("_n"), F.col("last_doc").alias("_last"))
+            merged = run.join(known, list(KEY), "left")  # rows without a match are new keys
+            run = merged.select(*KEY, (F.col("n_docs") + F.coalesce("_n", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "_last").alias("last_doc"))
+        self._place(written(run.sortWithinPartitions(*KEY), "run"), 0)
 
     def _place(self, run: DataFrame, level: int) -> None:
         if len(self.levels) == level:
             self.levels.append([])
-        self.levels[level].append(run)
+        self.levels[level].insert(0, run)
         if len(self.levels[level]) >= self.fan_in:
-            merged = self.levels[level][0]
-            for other in self.levels[level][1:]:
-                merged = merged.union(other)
+            merged = reduce(superseded, self.levels[level])
             self.levels[level] = []
-            self._place(written(self._merged(merged).sortWithinPartitions(*self.KEY), "run"), level + 1)
+            self.compactions += 1
+            self._place(written(merged.sortWithinPartitions(*KEY), "run"), level + 1)
+
 
-    def tallies(self) -> DataFrame:
-        return self._merged(self.all())
+def keyed_lines(docs: DataFrame, least_chars: int, batches: int) -> DataFrame:
+    """batch, hi, lo and doc_id of every line whose key is long enough, written by batch."""
+    spark = docs.sparkSession
+    hashes = F.filter(F.transform(lines_of(F.col("text")), lambda x: _hashes(x, least_chars)), lambda x: x.isNotNull())
+    keyed = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), "doc_id", F.explode(hashes).alias("key")).select("batch", "key.hi", "key.lo", "doc_id")
+    path = f"{shared_folder(spark)}/srcloom-lines-{uuid.uuid4().hex}"
+    keyed.write.partitionBy("batch").parquet(path)
+    return spark.read.schema("hi long, lo long, doc_id long, batch int").parquet(path)
 
 
-def deduplicated(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = BATCHES, fan_in: int = FAN_IN) -> DataFrame:
+def deduplicated(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
     """`docs` with text replaced by its kept lines, and n_lines (before) and n_dropped; columns of these names are replaced."""
     docs = docs.drop("n_lines", "n_dropped", "_goes", "_lines", "_kept")
-    keyed = docs.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch"),
-        "doc_id",
-        F.explode(F.filter(F.transform(lines_of(F.col("text")), lambda x: _hashes(x, least_chars)), lambda x: x.isNotNull())).alias("key"),
-    ).select("batch", "key.hi", "key.lo", "doc_id")
-    lines = written(keyed, "lines")
+    batches = batches or min(MOST_BATCHES, even_partitions(docs.count(), BATCH_DOCS, LEAST_BATCHES))
+    lines = keyed_lines(docs, least_chars, batches)
     runs = LineRuns(fan_in)
     for batch in range(batches):
         runs.add(lines.filter(F.col("batch") == batch).select("hi", "lo", "doc_id"))
-    goes = runs.tallies().filter(F.col("n_docs") >= least_docs).select("hi", "lo", "last_doc")
-    dropped = lines.join(goes, ["hi", "lo"]).filter(F.col("doc_id") < F.col("last_doc")).groupBy("doc_id").agg(F.collect_set("hi").alias("_goes"))
+    goes = written(runs.newest().filter(F.col("n_docs") >= least_docs).select(*KEY, "n_docs", "last_doc"), "verdicts")
+    hot = F.col("n_docs") >= int(lines.count() * HOT_SHARE) + 1
+    holds = lines.select(*KEY, "doc_id")
+    cold = holds.join(goes.filter(~hot).drop("n_docs"), list(KEY))
+    found = cold.unionByName(holds.join(F.broadcast(goes.filter(hot).drop("n_docs")), list(KEY)))
+    dropped = found.filter(F.col("doc_id") < F.col("last_doc")).groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("_goes"))
     split = docs.join(dropped, "doc_id", "left").withColumn("_lines", lines_of(F.col("text")))
-    kept = F.filter("_lines", lambda x: ~F.coalesce(F.array_contains("_goes", _hashes(x, least_chars)["hi"]), F.lit(False)))
+    kept = F.filter("_lines", lambda x: ~F.coalesce(F.array_contains("_goes", _hashes(x, least_chars)), F.lit(False)))
     split = split.withColumn("_kept", F.when(F.col("_goes").isNull(), F.col("_lines")).otherwise(kept))
     return split.select(
         *[F.when(F.col("_goes").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")).alias("text") if c == "text" else F.col(c) for c in docs.columns],

@@ -444,6 +444,32 @@ def test_line_dedup_is_brute_force(spark, batches, fan_in):
     assert got == brute_lines(rows)
 
 
+def test_line_runs_carry_tallies_through_joins_and_compactions(spark, monkeypatch):
+    rng = random.Random(11)
+    batches = [[(rng.randrange(12), 7, doc) for doc in range(b * 10, b * 10 + 10) for _ in range(3)] for b in range(7)]
+
+    def verdicts():
+        runs = line_dedup.LineRuns(fan_in=2)
+        for batch in batches:
+            runs.add(spark.createDataFrame(batch, "hi long, lo long, doc_id long"))
+        return runs, {(r.hi, r.n_docs, r.last_doc) for r in runs.newest().collect()}
+
+    runs, got = verdicts()
+    rows = {(h, d) for batch in batches for h, _, d in batch}
+    want = {(h, sum(x == h for x, _ in rows), max(d for x, d in rows if x == h)) for h, _ in rows}
+    assert got == want and runs.compactions >= 3 and len(runs.levels) >= 3
+    assert sum(len(level) for level in runs.levels) < 7
+    monkeypatch.setattr(line_dedup, "superseded", lambda newer, older: newer.unionByName(older))
+    assert verdicts()[1] != want  # without the anti-join old tallies stay
+
+
+def test_line_dedup_without_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", 2.0)
+    rows = [(i, "a line that is held by all the documents here\nown line number {i} of this very document".format(i=i)) for i in range(9)]
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (2, int(i < 8)) for i in range(9)}
+
+
 def test_line_dedup_rows(odd, empty):
     assert sorted(str(r.doc_id) for r in line_dedup.digest(odd).collect()) == sorted(str(r[0]) for r in ODD)
     assert line_dedup.digest(empty).count() == 0
