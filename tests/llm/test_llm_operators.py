@@ -72,9 +72,9 @@ def test_sentencepiece_is_the_best_segmentation(texts):
         if not text:
             continue
         ids = np.frombuffer(codec.encode(text), dtype="<u4").tolist()
-        unknown = sum(1 for c in (" " + text).replace(" ", sentencepiece_codec.SPACE) if c not in v.ids)
+        unknown = sum(1 for c in " " + text if c not in v.ids)
         score = sum(v.scores[i] for i in ids if i not in v.byte_ids.values()) + unknown * v.worst
-        assert math.isclose(score, best_score(v, (" " + text).replace(" ", sentencepiece_codec.SPACE)), rel_tol=1e-12)
+        assert math.isclose(score, best_score(v, " " + text), rel_tol=1e-12)
         assert codec.decode(codec.encode(text)) == text
 
 
@@ -82,10 +82,36 @@ def test_sentencepiece_streams_in_a_small_window(texts):
     codec = sentencepiece_codec.Codec(tokenizer_file("piece_bpe_32k.model"))
     stream = sentencepiece_codec.StreamingViterbi(codec.vocabulary)
     text = max(texts.values(), key=len)
-    marked = (" " + text).replace(" ", sentencepiece_codec.SPACE)
+    marked = " " + text
     ids = [i for k in range(0, len(marked), 7) for i in stream.feed(marked[k : k + 7])] + stream.flush()
     assert ids == np.frombuffer(codec.encode(text), dtype="<u4").tolist()
     assert stream.most_held <= 4 * codec.vocabulary.longest
+    assert stream.commits > len(text) / 100
+
+
+def test_sentencepiece_commits_within_long_stretches():
+    codec = sentencepiece_codec.Codec(tokenizer_file("piece_bpe_32k.model"))
+    word = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=20_000))
+    ids = np.frombuffer(codec.encode(word), dtype="<u4").tolist()
+    v = codec.vocabulary
+    assert codec.stream.commits > 500 and codec.stream.most_held <= 4 * v.longest
+    assert math.isclose(sum(v.scores[i] for i in ids), best_score(v, " " + word), rel_tol=1e-9) and codec.decode(codec.encode(word)) == word
+
+
+def test_sentencepiece_keeps_the_mark_of_the_vocabulary():
+    codec = sentencepiece_codec.Codec(tokenizer_file("piece_bpe_32k.model"))
+    for text in ("a▁b", "▁", " ▁ ▁▁x", "▁the ▁the", "x" * 70_000 + " ▁" + "y z" * 30_000):
+        assert codec.decode(codec.encode(text)) == text
+
+
+def test_sentencepiece_cache_is_bounded_and_dropped():
+    codec = sentencepiece_codec.Codec(tokenizer_file("piece_bpe_32k.model"), most_bytes=30_000)
+    whole = sentencepiece_codec.Codec(tokenizer_file("piece_bpe_32k.model"))
+    for k in range(0, 3000, 20):
+        text = " ".join(f"word{i}" for i in range(k, k + 20))
+        assert codec.encode(text) == whole.encode(text) and codec.kept <= 30_000 + 60 * 400
+    codec.forget()
+    assert not codec and codec.kept == 0
 
 
 def test_sentencepiece_matches_the_library_on_words():
