@@ -120,10 +120,10 @@ def deduplicated(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: in
     for batch in range(batches):
         runs.add(lines.filter(F.col("batch") == batch).select("hi", "lo", "doc_id"))
     goes = written(runs.newest().filter(F.col("n_docs") >= least_docs).select(*KEY, "n_docs", "last_doc"), "verdicts")
-    hot = F.col("n_docs") >= int(lines.count() * HOT_SHARE) + 1
+    hot = F.broadcast(goes.filter(F.col("n_docs") >= int(lines.count() * HOT_SHARE) + 1).drop("n_docs"))
     holds = lines.select(*KEY, "doc_id")
-    cold = holds.join(goes.filter(~hot).drop("n_docs"), list(KEY))
-    found = cold.unionByName(holds.join(F.broadcast(goes.filter(hot).drop("n_docs")), list(KEY)))
+    cold = holds.join(hot, list(KEY), "left_anti").join(goes.drop("n_docs"), list(KEY))
+    found = cold.unionByName(holds.join(hot, list(KEY)))
     dropped = found.filter(F.col("doc_id") < F.col("last_doc")).groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("_goes"))
     split = docs.join(dropped, "doc_id", "left").withColumn("_lines", lines_of(F.col("text")))
     kept = F.filter("_lines", lambda x: ~F.coalesce(F.array_contains("_goes", _hashes(x, least_chars)), F.lit(False)))

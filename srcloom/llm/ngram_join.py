@@ -1,25 +1,31 @@
 """N-gram Jaccard join: documents linked when their word-shingle sets have a Jaccard similarity of 0.75 or more.
 
 Method: prefix-tree join. Sets are ordered by one global order (rarest element first), sets that can meet are
-brought together by their prefixes, stored in a trie, and joined by a traversal that carries partial overlaps
-down shared paths and prunes subtrees by length and remaining-length bounds.
+brought together by their prefixes, stored in a trie, and joined by a traversal that starts at the roots whose sets hold
+an element of the query's prefix, carries partial overlaps down shared paths and prunes subtrees by length and
+remaining-length bounds.
 
 Stages, each a Spark job over packed Arrow rows:
 
-1. digest: per document the size of its set and a fingerprint. Equal sets form a class that acts once from here on.
-2. postings: every element of every class goes to a bucket of its hash, packed per map block as arrays. Buckets are
+1. digest: per document the size of its set and a fingerprint. Equal sets form a class, which is joined once.
+2. postings: every element of every class goes to a bucket of its hash, packed per map block as arrays; a task sends a
+   class once, however many copies it reads, and a bucket keeps one posting of a class and an element. Buckets are
    made in proportion to the number of elements. A bucket finds the elements that two classes share and returns them,
    with their document frequency, to their classes. An element met by many classes of one map block is sent to its
-   bucket as one mark instead of one posting for each, so a passage that a third of the corpus repeats stays small.
-3. An element of one class only cannot lie in an intersection, so a class whose shared elements are fewer than 75 % of
-   its set links with nothing and leaves. This is a bound, not a cut: no link is lost.
+   bucket as one mark instead of one posting for each, so a passage that a third of the corpus repeats stays small; its
+   classes get such elements straight from the block, and those of copies in many blocks are merged in two salted steps.
+3. A class's rows are merged as a sorted stream. An element of one class only cannot lie in an intersection, so a class
+   whose shared elements are fewer than 75 % of its set links with nothing and leaves. This is a bound, not a cut.
 4. prefixes: in rarest-first order two linked classes share an element of their prefixes; classes that do are put in
    one group (connected components of that relation), which holds every link inside itself.
-5. Each group is joined by trie; groups above a size are dealt in blocks, one task for each pair of blocks.
-6. Links become components, and components come back to documents through the fingerprint.
+5. Each group is joined by trie. Groups above a size are dealt in blocks by length class (two linked sets lie in the same
+   or in neighbouring ones) and hash; a block is joined with itself once, and with another only by those of its classes
+   that share a prefix element with a class there.
+6. Links become components, and components come back to documents through the fingerprint; classes of at least a
+   HOT_SHARE of all documents, of which there are fewer than 1 / HOT_SHARE, by broadcast.
 
 Nulls, empty texts and texts without words have an empty set and link with nothing. A row is a document: repeated rows
-are exact copies of each other. Elements are 64-bit hashes, kept as 40 bits within a bucket; fingerprints are 64 bits.
+are exact copies of each other. Elements and fingerprints are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -34,17 +40,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcloom.functions.shared import even_partitions, written
-from srcloom.llm.textbytes import mix64, runs_as_binary, shingle_sets, text_slices
+from srcloom.llm.textbytes import give_back, mix64, runs_as_binary, shingle_sets, text_slices
 from srcloom.operators.components import components
 
 #: Elements that a bucket sorts at once, postings that a map block holds, and elements of a group joined in one task.
-BUCKET_ELEMENTS = 4_000_000
-BLOCK_ELEMENTS = 2_000_000
-GROUP_ELEMENTS = 4_000_000
+BUCKET_ELEMENTS = 2_000_000
+BLOCK_ELEMENTS = 1_000_000
+GROUP_ELEMENTS = 2_000_000
+#: Fingerprints that a task remembers having sent, parts in which one class's hot elements are merged first, and the share
+#: of all documents from which a class is hot.
+SENT, SALTS, HOT_SHARE = 200_000, 64, 1 / 4000
 #: An element of so many classes of one map block is hot: it goes to the end of the order, whatever its exact frequency.
 HOT_IN_BLOCK = 32
 HOT_FREQUENCY = 2**31 - 1
-_LOW = np.uint64((1 << 40) - 1)
 
 
 def _fingerprint(elements: np.ndarray) -> int:
@@ -72,44 +80,48 @@ def digests(docs: DataFrame, width: int, keep: tuple[str, ...] = ()) -> DataFram
     return docs.select("doc_id", "text", *keep).mapInArrow(run, "doc_id long, n_shingles long, fp long" + "".join(f", {c} long" for c in keep))
 
 
-_POSTINGS = "bucket int, direct boolean, fps binary, sizes binary, owners binary, low binary, high binary"
-_SHARED = "fp long, n long, elements binary, frequencies binary"
+_POSTINGS = "bucket int, salt int, fps binary, sizes binary, owners binary, low binary, high binary"
+_SHARED = "fp long, n long, salt int, elements binary, frequencies binary"
 
 
 class _Block:
     """Sets of one map block, until they are dealt to buckets.
 
     Hot postings need no meeting, so they go to buckets by the task's and the block's number, whatever the block holds.
+    They are told by their salt, which is null for others.
     """
 
     def __init__(self, buckets: int, task: int = 0):
         self.buckets, self.task, self.number = buckets, task, -1
+        self.sent: set[int] = set()
         self.clear()
 
     def clear(self) -> None:
         self.number += 1
-        self.of: dict[int, int] = {}
+        self.fps: list[int] = []
         self.sets: list[np.ndarray] = []
         self.elements = 0
 
     def add(self, elements: np.ndarray) -> None:
         fp = _fingerprint(elements)
-        if len(elements) and fp not in self.of:
-            self.of[fp] = len(self.sets)
+        if len(elements) and fp not in self.sent:
+            if len(self.sent) >= SENT:
+                self.sent.clear()  # later copies are sent again and dropped by the buckets
+            self.sent.add(fp)
+            self.fps.append(fp)
             self.sets.append(elements)
             self.elements += len(elements)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         if not self.sets:
             return
-        fps = np.fromiter(self.of, dtype=np.int64, count=len(self.of))
+        fps = np.array(self.fps, dtype=np.int64)
         sizes = np.array([len(s) for s in self.sets], dtype=np.uint32)
-        keys = np.concatenate(self.sets)
+        ids = np.concatenate(self.sets)
         owners = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
-        bucket = ((keys >> np.uint64(40)) % np.uint64(self.buckets)).astype(np.int64)
-        order = np.lexsort((keys & _LOW, bucket))
-        ids = (keys & _LOW)[order] | (bucket[order].astype(np.uint64) << np.uint64(40))
-        owners = owners[order]
+        where = _bucket_of(ids, self.buckets)
+        order = np.lexsort((ids, where))
+        ids, owners, where = ids[order], owners[order], where[order]
         starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
         counts = np.diff(np.append(starts, len(ids)))
         hot = np.repeat(counts >= HOT_IN_BLOCK, counts)
@@ -117,28 +129,31 @@ class _Block:
         if hot.any():
             h, o = ids[hot], owners[hot]
             by = np.argsort(o, kind="stable")
-            dealt = int(mix64(np.array([(self.task << 32) + self.number], dtype=np.uint64))[0] % np.uint64(self.buckets))
-            out.append((dealt, True, fps, sizes, o[by], h[by], None))
-        marks = ids[starts[counts >= HOT_IN_BLOCK]]
-        cold_ids, cold_owners = ids[~hot], owners[~hot]
-        where = (cold_ids >> np.uint64(40)).astype(np.int64)
-        mark_at = (marks >> np.uint64(40)).astype(np.int64)
+            dealt = int(mix64(np.array([(self.task << 32) + self.number], dtype=np.uint64))[0] >> np.uint64(1))
+            out.append((dealt % self.buckets, dealt // self.buckets % SALTS, fps, sizes, o[by], h[by], None))
+        hot_starts = starts[counts >= HOT_IN_BLOCK]
+        marks, mark_at = ids[hot_starts], where[hot_starts]
+        ids, owners, where = ids[~hot], owners[~hot], where[~hot]
         for b in np.unique(np.concatenate((where, mark_at))).tolist():
             x, y = np.searchsorted(where, [b, b + 1])
             p, q = np.searchsorted(mark_at, [b, b + 1])
-            present, local = np.unique(cold_owners[x:y], return_inverse=True)
+            present, local = np.unique(owners[x:y], return_inverse=True)
             # a mark is a posting of an owner beyond the list
-            e = np.concatenate((cold_ids[x:y], marks[p:q])) & _LOW
+            e = np.concatenate((ids[x:y], marks[p:q]))
             who = np.concatenate((local.astype(np.uint16), np.full(q - p, 0xFFFF, dtype=np.uint16)))
-            out.append((b, False, fps[present], sizes[present], who, (e & np.uint64(0xFFFFFFFF)).astype(np.uint32), (e >> np.uint64(32)).astype(np.uint8)))
+            out.append((b, None, fps[present], sizes[present], who, (e & np.uint64(0xFFFFFFFF)).astype(np.uint32), (e >> np.uint64(32)).astype(np.uint32)))
         for k in range(0, len(out), 64):
             part = out[k : k + 64]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.bool_())] + [pa.array([None if r[c] is None else r[c].tobytes() for r in part], pa.binary()) for c in range(2, 7)],
-                ["bucket", "direct", "fps", "sizes", "owners", "low", "high"],
+                [pa.array([r[c] for r in part], pa.int32()) for c in range(2)] + [pa.array([None if r[c] is None else r[c].tobytes() for r in part], pa.binary()) for c in range(2, 7)],
+                ["bucket", "salt", "fps", "sizes", "owners", "low", "high"],
             )
 
 
+def _bucket_of(elements: np.ndarray, buckets: int) -> np.ndarray:
+    return ((elements >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+
+
 def _postings(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     def run(batches):
         block = _Block(buckets, TaskContext.get().partitionId())
@@ -149,15 +164,18 @@ def _postings(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                     yield from block.rows()
                     block.clear()
         yield from block.rows()
+        del block
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, _POSTINGS)
 
 
-def _by_class(fps: np.ndarray, sizes: np.ndarray, ids: np.ndarray, frequencies: np.ndarray) -> pa.Table:
+def _by_class(fps: np.ndarray, sizes: np.ndarray, ids: np.ndarray, frequencies: np.ndarray, salt: int | None = None) -> pa.Table:
     """Rows sorted by class become one row for each class."""
     starts = np.flatnonzero(np.concatenate(([True], fps[1:] != fps[:-1]))) if len(fps) else np.zeros(0, dtype=np.int64)
     cuts = np.append(starts, len(fps))
-    return pa.Table.from_arrays([pa.array(fps[starts]), pa.array(sizes[starts].astype(np.int64)), runs_as_binary(ids, cuts), runs_as_binary(frequencies.astype(np.int32), cuts)], ["fp", "n", "elements", "frequencies"])
+    columns = [pa.array(fps[starts]), pa.array(sizes[starts].astype(np.int64)), pa.array([salt] * len(starts), pa.int32()), runs_as_binary(ids, cuts), runs_as_binary(frequencies.astype(np.int32), cuts)]
+    return pa.Table.from_arrays(columns, ["fp", "n", "salt", "elements", "frequencies"])
 
 
 def _shared_in_bucket(table: pa.Table) -> pa.Table:
@@ -170,16 +188,16 @@ def _shared_in_bucket(table: pa.Table) -> pa.Table:
             get = lambda c: row.column(c)[k].as_buffer()  # noqa: E731, B023
             f, n = np.frombuffer(get("fps"), dtype=np.int64), np.frombuffer(get("sizes"), dtype=np.uint32)
             who = np.frombuffer(get("owners"), dtype=np.uint16)
-            if row.column("direct")[k].as_py():
-                parts.append(_by_class(f[who], n[who], np.frombuffer(get("low"), dtype=np.uint64), np.full(len(who), HOT_FREQUENCY)))
+            salt = row.column("salt")[k].as_py()
+            if salt is not None:
+                parts.append(_by_class(f[who], n[who], np.frombuffer(get("low"), dtype=np.uint64), np.full(len(who), HOT_FREQUENCY), salt))
                 continue
-            e = np.frombuffer(get("low"), dtype=np.uint32).astype(np.uint64) | (np.frombuffer(get("high"), dtype=np.uint8).astype(np.uint64) << np.uint64(32))
-            e |= np.uint64(row.column("bucket")[k].as_py()) << np.uint64(40)
+            e = np.frombuffer(get("low"), dtype=np.uint32).astype(np.uint64) | (np.frombuffer(get("high"), dtype=np.uint32).astype(np.uint64) << np.uint64(32))
             mark = who == 0xFFFF
             marks.append(e[mark])
             fps.append(f)
             sizes.append(n)
-            owners.append(who[~mark].astype(np.int64) + at)
+            owners.append(who[~mark].astype(np.int32) + np.int32(at))
             ids.append(e[~mark])
             at += len(f)
     if ids:
@@ -197,7 +215,7 @@ def _shared_in_bucket(table: pa.Table) -> pa.Table:
         order = np.lexsort((fp, ids))
         ids, fp, n = ids[order], fp[order], n[order]
         if len(ids):
-            once = np.concatenate(([True], (ids[1:] != ids[:-1]) | (fp[1:] != fp[:-1])))  # copies in other blocks
+            once = np.concatenate(([True], (ids[1:] != ids[:-1]) | (fp[1:] != fp[:-1])))  # copies of other tasks
             ids, fp, n = ids[once], fp[once], n[once]
             starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
             counts = np.diff(np.append(starts, len(ids)))
@@ -208,28 +226,85 @@ def _shared_in_bucket(table: pa.Table) -> pa.Table:
     return pa.concat_tables(parts) if parts else _by_class(*(np.zeros(0, dtype=t) for t in (np.int64, np.uint32, np.uint64, np.int32)))
 
 
+def _merged_classes(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int | None, np.ndarray, np.ndarray]]:
+    """fp, n, salt, elements and frequencies of each class, from rows that come sorted by class; of equal elements the
+    greatest frequency. Only one class's elements are held, whatever the number of its rows."""
+    key = None
+    elements, frequencies = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+
+    def settle():
+        nonlocal elements, frequencies, waiting
+        if waiting:
+            e, f = (np.concatenate([own, *more]) for own, more in zip((elements, frequencies), zip(*waiting, strict=True), strict=True))
+            order = np.lexsort((-f.astype(np.int64), e))
+            e, f = e[order], f[order]
+            first = np.concatenate(([True], e[1:] != e[:-1]))
+            elements, frequencies, waiting = e[first], f[first], []
+
+    for batch in rows:
+        for fp, size, salt, e, f in zip(*(batch.column(c) for c in ("fp", "n", "salt", "elements", "frequencies")), strict=True):
+            fp, salt = fp.as_py(), salt.as_py()
+            if (fp, salt) != key:
+                settle()
+                if key is not None:
+                    yield *key[:1], n, key[1], elements, frequencies
+                key, n = (fp, salt), size.as_py()
+                elements, frequencies = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
+            waiting.append((np.frombuffer(e.as_buffer(), dtype=np.uint64), np.frombuffer(f.as_buffer(), dtype=np.int32)))
+            if len(waiting) >= 256:
+                settle()
+    settle()
+    if key is not None:
+        yield *key[:1], n, key[1], elements, frequencies
+
+
+def _salted_merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hot elements of a class from many blocks, once for each salt."""
+    out: list[tuple] = []
+    held = 0
+
+    def rows() -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["fp", "n", "salt", "elements", "frequencies"])
+
+    for fp, n, salt, e, f in _merged_classes(batches):
+        out.append((fp, n, salt, e.tobytes(), f.tobytes()))
+        held += 12 * len(e)
+        if held > 4 << 20:
+            yield rows()
+            out, held = [], 0
+    yield rows()
+
+
+_RANKED = np.dtype([("f", np.int32), ("e", np.uint64)])
+
+
 def _ordered(percent: int):
-    """Merges what the buckets returned for a class: its shared elements, rarest first, if they can reach the threshold."""
+    """A class's shared elements, rarest first, if they can reach the threshold, and its prefix."""
 
     def run(batches):
-        for batch in batches:
-            fps, ns, sets, pre = [], [], [], []
-            for fp, n, es, fs in zip(batch.column("fp"), batch.column("n"), batch.column("elements"), batch.column("frequencies"), strict=True):
-                e = np.frombuffer(b"".join(x.as_py() for x in es), dtype=np.uint64)
-                f = np.frombuffer(b"".join(x.as_py() for x in fs), dtype=np.int32)
-                e, first = np.unique(e, return_index=True)  # hot elements come again from each block with a copy
-                n = n.as_py()
-                least = -(-percent * n // 100)
-                if len(e) < least:
-                    continue
-                order = np.lexsort((e, f[first]))
-                fps.append(fp.as_py())
-                ns.append(n)
-                rank = np.empty(len(e), dtype=[("f", np.int32), ("e", np.uint64)])
-                rank["f"], rank["e"] = f[first][order], e[order]
-                sets.append(rank.tobytes())
-                pre.append(e[order][: len(e) - least + 1].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(ns, pa.int64()), pa.array(sets, pa.binary()), pa.array(pre, pa.list_(pa.int64()))], ["fp", "n", "elements", "prefix"])
+        out: list[tuple] = []
+        held = 0
+
+        def rows() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["fp", "n", "elements", "prefix"])
+
+        for fp, n, _, e, f in _merged_classes(batches):
+            least = -(-percent * n // 100)
+            if len(e) < least:
+                continue
+            order = np.lexsort((e, f))
+            rank = np.empty(len(e), dtype=_RANKED)
+            rank["f"], rank["e"] = f[order], e[order]
+            out.append((fp, n, rank.tobytes(), e[order][: len(e) - least + 1].astype(np.int64)))
+            held += 16 * len(e)
+            if held > 4 << 20:
+                yield rows()
+                out, held = [], 0
+        yield rows()
 
     return run
 
@@ -237,93 +312,156 @@ def _ordered(percent: int):
 class PrefixTree:
     """A trie of sets written in the global order, and the join of sets with it.
 
-    `sets` are increasing arrays of small ints (ranks in the global order), `sizes` the full set sizes. A node holds up
-    to STEP elements; sets share the nodes of their common beginning. Nodes are numbered in preorder; per node the
+    `sets` are increasing arrays of small ints (ranks in the global order), `sizes` the full set sizes. A node holds the
+    elements between two branchings, STEP of them at most; sets share the nodes of their common beginning. Per node the
     smallest and largest full size and the farthest end below it serve as bounds.
     """
 
-    STEP = 16
+    STEP = 32
+    #: (query, node) pairs that a traversal looks at together.
+    FRONTIER = 1 << 16
 
     def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, percent: int):
-        step = self.STEP
         self.percent, self.sets, self.sizes = percent, sets, sizes.astype(np.int64)
         lengths = np.array([len(s) for s in sets], dtype=np.int64)
-        self.nothing = int(max((int(s[-1]) for s in sets if len(s)), default=-1)) + 1  # fills short nodes; no set holds it
-        order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
-        rows, parent, depth, leaf_node = [], [], [], np.zeros(len(sets), dtype=np.int64)
-        path, last, total = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), 0
+        self.universe = int(max((int(s[-1]) for s in sets if len(s)), default=-1)) + 1
+        begin, end, parent, of, self.leaf_node = self._built(sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes()))
+        cuts = np.concatenate(([0], np.cumsum(lengths)))
+        self.flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64)
+        self.first, self.count, self.end, self.parent = cuts[of] + begin, end - begin, end, parent
+        total = len(parent)
+        self.children = np.argsort(parent, kind="stable")
+        self.child_cut = np.searchsorted(parent[self.children], np.arange(-1, total + 1))
+        self.by_level = self._levels()
+        self.ends = np.argsort(self.leaf_node, kind="stable")
+        self.end_cut = np.searchsorted(self.leaf_node[self.ends], np.arange(total + 1))
+        self.smallest = self._up(self.sizes, np.minimum, 1 << 60)
+        self.largest = self._up(self.sizes, np.maximum, -1)
+        self.below = np.maximum(self._up(lengths, np.maximum, -1) - end, 0)
+        root = np.arange(total)
+        for level in self.by_level[1:]:
+            root[level] = root[parent[level]]
+        prefixes = [s[: self.prefix_length(len(s), n)] for s, n in zip(sets, self.sizes.tolist(), strict=True)]
+        pairs = np.unique(np.concatenate(prefixes) * np.int64(total) + np.repeat(root[self.leaf_node], [len(p) for p in prefixes]))
+        #: Which roots have a set below them with an element in its prefix.
+        self.index_element, self.index_root = pairs // total, pairs % total
+
+    def prefix_length(self, held: int, size: int) -> int:
+        return max(0, held + (-self.percent * size // 100) + 1)
+
+    def _built(self, order: list[int]) -> tuple[np.ndarray, ...]:
+        begin, end, parent, of, leaf = [], [], [], [], np.zeros(len(order), dtype=np.int64)
+        path: list[int] = []
+        last = np.zeros(0, dtype=np.int64)
+
+        def node(a: int, b: int, above: int, owner: int) -> int:
+            begin.append(a)
+            end.append(b)
+            parent.append(above)
+            of.append(owner)
+            return len(begin) - 1
+
         for i in order:
-            s = sets[i]
+            s = self.sets[i]
             k = min(len(s), len(last))
             differs = np.flatnonzero(s[:k] != last[:k])
-            common = (int(differs[0]) if len(differs) else k) // step
-            new = -(-len(s) // step) - common
-            nodes = np.arange(total, total + new)
-            path = np.concatenate((path[:common], nodes))
-            padded = np.full(new * step, self.nothing, dtype=np.int32)
-            padded[: len(s) - common * step] = s[common * step :]
-            rows.append(padded.reshape(new, step))
-            parent.append(path[common - 1 : common - 1 + new] if common else np.concatenate(([-1], nodes[:-1]))[:new])
-            depth.append(np.arange(common, common + new))
-            leaf_node[i] = path[-1]
-            total += new
+            common = int(differs[0]) if len(differs) else k
+            while path and begin[path[-1]] >= common and end[path[-1]] > common:
+                path.pop()
+            if path and end[path[-1]] > common:  # the paths part inside a node
+                whole = path.pop()
+                upper = node(begin[whole], common, parent[whole], of[whole])
+                begin[whole], parent[whole] = common, upper
+                path.append(upper)
+            for a in range(common, len(s), self.STEP):
+                path.append(node(a, min(a + self.STEP, len(s)), path[-1] if path else -1, i))
+            leaf[i] = path[-1]
             last = s
-        self.elements, self.parent, self.depth = np.concatenate(rows), np.concatenate(parent).astype(np.int64), np.concatenate(depth)
-        self.children = np.argsort(self.parent, kind="stable")
-        self.child_cut = np.searchsorted(self.parent[self.children], np.arange(-1, total + 1))
-        self.levels = np.argsort(self.depth, kind="stable")
-        self.level_cut = np.searchsorted(self.depth[self.levels], np.arange(int(self.depth.max()) + 2))
-        self.leaf_node = leaf_node
-        self.ends = np.argsort(leaf_node, kind="stable")
-        self.end_cut = np.searchsorted(leaf_node[self.ends], np.arange(total + 1))
-        self.smallest = self._up(self.sizes, np.minimum, 1 << 60)
-        self.largest = self._up(self.sizes, np.maximum, -1)
-        self.below = np.maximum(self._up(lengths, np.maximum, -1) - (self.depth + 1) * step, 0)
+        return (*(np.array(x, dtype=np.int64) for x in (begin, end, parent, of)), leaf)
+
+    def _levels(self) -> list[np.ndarray]:
+        out, level = [], self._children_of(np.array([-1]))[1]
+        while len(level):
+            out.append(level)
+            level = self._children_of(level)[1]
+        return out
+
+    def _children_of(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each child of the nodes, the place of its parent among them, and the child."""
+        at, n = self.child_cut[nodes + 1], self.child_cut[nodes + 2] - self.child_cut[nodes + 1]
+        reps = np.repeat(np.arange(len(nodes)), n)
+        return reps, self.children[at[reps] + np.arange(len(reps)) - np.repeat(np.cumsum(n) - n, n)]
 
     def _up(self, values: np.ndarray, best, start: int) -> np.ndarray:
         out = np.full(len(self.parent), start, dtype=np.int64)
         best.at(out, self.leaf_node, values)
-        for d in range(len(self.level_cut) - 2, 0, -1):
-            nodes = self.levels[self.level_cut[d] : self.level_cut[d + 1]]
-            best.at(out, self.parent[nodes], out[nodes])
+        for level in self.by_level[:0:-1]:
+            best.at(out, self.parent[level], out[level])
         return out
 
     def _least_overlap(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The smallest overlap at which sets of a and b elements link: 100 o >= percent (a + b - o)."""
         return -(-self.percent * (a + b) // (100 + self.percent))
 
-    def join(self, queries: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, set) pairs that link; subtrees wholly in the query's component are passed over."""
+    def _starts(self, queries: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, root) for roots above a set that holds, in its prefix, an element of the query's prefix."""
+        wanted = [s[: self.prefix_length(len(s), n)] for s, n in zip(queries, sizes.tolist(), strict=True)]
+        element, query = np.concatenate(wanted), np.repeat(np.arange(len(wanted)), [len(w) for w in wanted])
+        at = np.searchsorted(self.index_element, element)
+        n = np.searchsorted(self.index_element, element, side="right") - at
+        reps = np.repeat(np.arange(len(element)), n)
+        roots = self.index_root[at[reps] + np.arange(len(reps)) - np.repeat(np.cumsum(n) - n, n)]
+        pairs = np.unique(query[reps] * np.int64(max(1, len(self.parent))) + roots)
+        return pairs // max(1, len(self.parent)), pairs % max(1, len(self.parent))
+
+    def join(self, queries: list[np.ndarray], sizes: np.ndarray, own: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, set) pairs of different components that link, by place; `own` and `component` name the components of
+        queries and sets, and subtrees wholly in the query's component are passed over."""
         low, high = self._up(component, np.minimum, 1 << 60), self._up(component, np.maximum, -1)
-        bits = np.zeros((len(queries), self.nothing // 8 + 1), dtype=np.uint8)
-        for k, q in enumerate(queries):
-            np.bitwise_or.at(bits[k], self.sets[q] >> 3, (1 << (self.sets[q] & 7)).astype(np.uint8))
-        a_of, own, held = self.sizes[queries], component[queries], np.array([len(self.sets[q]) for q in queries])
-        roots = self.children[self.child_cut[0] : self.child_cut[1]]
-        q, node = np.repeat(np.arange(len(queries)), len(roots)), np.tile(roots, len(queries))
-        overlap = np.zeros(len(q), dtype=np.int64)
+        bits = np.zeros((len(queries), self.universe // 8 + 1), dtype=np.uint8)
+        for k, s in enumerate(queries):
+            s = s[s < self.universe]
+            np.bitwise_or.at(bits[k], s >> 3, (1 << (s & 7)).astype(np.uint8))
+        held = np.array([len(s) for s in queries])
+        q, node = self._starts(queries, sizes)
+        stack = [(q, node, np.zeros(len(q), dtype=np.int64))]
         left, right = [], []
-        while len(q):
-            e = self.elements[node]
-            overlap = overlap + ((bits[q[:, None], e >> 3] >> (e & 7)) & 1).sum(axis=1)
-            a = a_of[q]
+        while stack:
+            q, node, overlap = stack.pop()
+            if len(q) > self.FRONTIER:
+                stack.append((q[self.FRONTIER :], node[self.FRONTIER :], overlap[self.FRONTIER :]))
+                q, node, overlap = q[: self.FRONTIER], node[: self.FRONTIER], overlap[: self.FRONTIER]
+            within = ~((low[node] == high[node]) & (low[node] == own[q]))
+            a = sizes[q]
+            within &= (100 * self.largest[node] >= self.percent * a) & (self.percent * self.smallest[node] <= 100 * a)
+            q, node, overlap = q[within], node[within], overlap[within]
+            if not len(q):
+                continue
+            n = self.count[node]
+            reps = np.repeat(np.arange(len(node)), n)
+            e = self.flat[self.first[node][reps] + np.arange(len(reps)) - np.repeat(np.cumsum(n) - n, n)]
+            overlap = overlap + np.bincount(reps, weights=(bits[q[reps], e >> 3] >> (e & 7)) & 1, minlength=len(node)).astype(np.int64)
+            a = sizes[q]
             smallest = np.maximum(self.smallest[node], -(-self.percent * a // 100))
-            alive = (overlap + np.minimum(held[q] - overlap, self.below[node]) >= self._least_overlap(a, smallest)) & (100 * self.largest[node] >= self.percent * a) & (self.percent * self.smallest[node] <= 100 * a)
-            alive &= ~((low[node] == high[node]) & (low[node] == own[q]))
+            alive = overlap + np.minimum(held[q] - overlap, self.below[node]) >= self._least_overlap(a, smallest)
             q, node, overlap = q[alive], node[alive], overlap[alive]
             n_ends = self.end_cut[node + 1] - self.end_cut[node]
             at = np.flatnonzero(n_ends)
             if len(at):
                 reps = np.repeat(at, n_ends[at])
-                within = np.arange(len(reps)) - np.repeat(np.cumsum(n_ends[at]) - n_ends[at], n_ends[at])
-                other = self.ends[self.end_cut[node[reps]] + within]
-                ok = (overlap[reps] >= self._least_overlap(a_of[q[reps]], self.sizes[other])) & (queries[q[reps]] != other)
-                left.append(queries[q[reps][ok]])
+                place = np.arange(len(reps)) - np.repeat(np.cumsum(n_ends[at]) - n_ends[at], n_ends[at])
+                other = self.ends[self.end_cut[node[reps]] + place]
+                ok = (overlap[reps] >= self._least_overlap(sizes[q[reps]], self.sizes[other])) & (component[other] != own[q[reps]])
+                left.append(q[reps][ok])
                 right.append(other[ok])
-            n_children = self.child_cut[node + 2] - self.child_cut[node + 1]
-            reps = np.repeat(np.arange(len(node)), n_children)
-            within = np.arange(len(reps)) - np.repeat(np.cumsum(n_children) - n_children, n_children)
-            q, overlap, node = q[reps], overlap[reps], self.children[self.child_cut[node[reps] + 1] + within]
+            total = np.cumsum(self.child_cut[node + 2] - self.child_cut[node + 1])
+            cut = 0
+            while cut < len(node):  # children of so many nodes as fill a frontier
+                stop = max(cut + 1, int(np.searchsorted(total, (total[cut - 1] if cut else 0) + self.FRONTIER, side="right")))
+                reps, child = self._children_of(node[cut:stop])
+                if len(child):
+                    stack.append((q[cut:stop][reps], child, overlap[cut:stop][reps]))
+                cut = stop
         return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, dtype=np.int64),) * 2
 
 
@@ -334,15 +472,22 @@ def _find(parent: np.ndarray, x: int) -> int:
     return x
 
 
-def linked_sets(sets: list[np.ndarray], sizes: np.ndarray, percent: int, batch: int = 64) -> np.ndarray:
-    """For each set the smallest index that it reaches over links."""
+def linked_sets(sets: list[np.ndarray], sizes: np.ndarray, percent: int, asks: np.ndarray | None = None, batch: int = 64) -> np.ndarray:
+    """For each set the smallest index that it reaches over links. With `asks` only links between a set that asks and one
+    that does not are looked for."""
     parent = np.arange(len(sets))
-    tree = PrefixTree(sets, sizes, percent)
-    by_length = np.argsort(sizes, kind="stable")
+    sizes = sizes.astype(np.int64)
+    stands = np.arange(len(sets)) if asks is None else np.flatnonzero(~asks)
+    asking = np.arange(len(sets)) if asks is None else np.flatnonzero(asks)
+    if not len(stands) or not len(asking):
+        return parent
+    tree = PrefixTree([sets[i] for i in stands.tolist()], sizes[stands], percent)
+    by_length = asking[np.argsort(sizes[asking], kind="stable")]
     at, step = 0, 4
-    while at < len(sets):
+    while at < len(by_length):
         queries = by_length[at : at + step]
-        for x, y in zip(*(v.tolist() for v in tree.join(queries, parent)), strict=True):
+        found = tree.join([sets[i] for i in queries.tolist()], sizes[queries], parent[queries], parent[stands])
+        for x, y in zip(queries[found[0]].tolist(), stands[found[1]].tolist(), strict=True):
             x, y = _find(parent, x), _find(parent, y)
             parent[max(x, y)] = min(x, y)
         for _ in range(64):
@@ -356,18 +501,42 @@ def linked_sets(sets: list[np.ndarray], sizes: np.ndarray, percent: int, batch:
 
 def _join_group(percent: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        """Links (as a spanning star of each component) among the classes of one group, or of two of its blocks."""
-        raw = [np.frombuffer(x, dtype=[("f", np.int32), ("e", np.uint64)]) for x in frame["elements"]]
-        flat = np.concatenate(raw)
-        _, rank = np.unique(flat, return_inverse=True)  # by frequency, then id: the global order
+        """Links (as a spanning star of each component) among the classes of one group or block, or between two blocks."""
+        raw = [np.frombuffer(x, dtype=_RANKED) for x in frame["elements"]]
+        _, rank = np.unique(np.concatenate(raw), return_inverse=True)  # by frequency, then id: the global order
         sets = np.split(rank.astype(np.int64), np.cumsum([len(x) for x in raw])[:-1])
-        root = linked_sets(sets, frame["n"].to_numpy(), percent)
+        asks = frame["asks"].to_numpy()
+        root = linked_sets(sets, frame["n"].to_numpy(), percent, asks.astype(bool) if frame["i"].iloc[0] != frame["j"].iloc[0] else None)
         fps = frame["fp"].to_numpy()
         return pd.DataFrame({"u": fps, "v": fps[root]})
 
     return run
 
 
+def dealt_groups(sets: DataFrame, groups: DataFrame, percent: int, group_elements: int | None = None) -> DataFrame:
+    """Which classes meet where: root, blocks i and j, fp, n, elements and asks (whether it is of block j, i being another).
+
+    A group above `group_elements` is cut in blocks by length class and hash. Each block meets itself, and a class visits
+    another block of its own or a neighbouring length class where a class holds an element of its prefix.
+    """
+    most = group_elements or GROUP_ELEMENTS
+    placed = sets.select("fp", "n", F.octet_length("elements").alias("w")).join(groups.withColumnRenamed("node", "fp"), "fp")
+    # links need sizes within percent of each other, so length classes of that ratio
+    length = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("long")
+    weight = placed.groupBy("root").agg(F.sum("w").alias("w")).filter(F.col("w") > most * _RANKED.itemsize).select("root", F.lit(True).alias("large"))
+    marked = placed.join(weight, "root", "left").withColumn("k", F.when(F.col("large"), length))
+    parts = marked.filter("large").groupBy("root", "k").agg(F.ceil(F.sum("w") / (most * _RANKED.itemsize)).alias("parts"))
+    blocked = marked.join(parts, ["root", "k"], "left").withColumn("h", F.when(F.col("large"), F.pmod(F.xxhash64("fp"), F.col("parts"))))
+    home = blocked.select("fp", "root", F.coalesce(F.col("k") * (1 << 32) + F.col("h"), F.lit(0)).alias("b"), "large")
+    home = written(home, "blocks")
+    own = home.select("fp", "root", F.col("b").alias("i"), F.col("b").alias("j"), F.lit(False).alias("asks"))
+    held = home.filter("large").join(sets.select("fp", F.explode("prefix").alias("element")), "fp")
+    hosts = held.select("element", F.col("b").alias("host")).distinct()
+    near = (F.col("b") != F.col("host")) & (F.abs(F.shiftright("b", 32) - F.shiftright("host", 32)) <= 1)
+    visits = held.join(hosts, "element").filter(near).select("fp", "root", F.least("b", "host").alias("i"), F.greatest("b", "host").alias("j"), (F.col("b") > F.col("host")).alias("asks")).distinct()
+    return own.unionByName(visits).join(sets.select("fp", "n", "elements"), "fp")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, n_shingles and component_id, the smallest doc_id reachable over links.
 
@@ -379,32 +548,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
 def grouped_rows(docs: DataFrame, width: int = 5, percent: int = 75, keep: tuple[str, ...] = ()) -> DataFrame:
     """As near_duplicates, with the columns (longs) to keep and `component`, which tells components apart whatever their
     rows' doc_id is, and is null for an empty set."""
-    spark = docs.sparkSession
     digest = written(digests(docs, width, keep), "digest")
-    total = digest.agg(F.sum("n_shingles")).first()[0] or 0
+    total, n_rows = digest.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
     buckets = min(1 << 24, even_partitions(total, BUCKET_ELEMENTS, 12))
-    shared = _postings(docs, width, buckets).groupBy("bucket").applyInArrow(_shared_in_bucket, _SHARED)
-    gathered = shared.groupBy("fp", "n").agg(F.collect_list("elements").alias("elements"), F.collect_list("frequencies").alias("frequencies"), F.sum(F.octet_length("elements")).alias("bytes")).filter(F.col("bytes") * 100 >= F.col("n") * 8 * percent)
-    sets = written(gathered.drop("bytes").mapInArrow(_ordered(percent), "fp long, n long, elements binary, prefix array<long>"), "sets")
+    shared = written(_postings(docs, width, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared_in_bucket, _SHARED), "shared")
+    hot = shared.filter("salt IS NOT NULL").repartition("fp", "salt").sortWithinPartitions("fp", "salt").mapInArrow(_salted_merge, _SHARED)
+    gathered = shared.filter("salt IS NULL").unionByName(hot).withColumn("salt", F.lit(None).cast("int")).repartition("fp").sortWithinPartitions("fp")
+    sets = written(gathered.mapInArrow(_ordered(percent), "fp long, n long, elements binary, prefix array<long>"), "sets")
     prefix = sets.select("fp", F.explode("prefix").alias("element"))
     leaders = prefix.groupBy("element").agg(F.min("fp").alias("v"), F.count("*").alias("k")).filter("k > 1").select("element", "v")
     groups = components(prefix.join(leaders, "element").select(F.col("fp").alias("u"), "v"))
-    grouped = sets.select("fp", "n", "elements").join(groups.withColumnRenamed("node", "fp"), "fp")
-    weight = groups.join(sets.select(F.col("fp").alias("node"), F.octet_length("elements").alias("w")), "node").groupBy("root").agg((F.sum("w") / (12 * GROUP_ELEMENTS)).alias("w"))
-    blocks = weight.select("root", F.ceil("w").cast("int").alias("blocks"))
-    dealt = (
-        grouped.join(blocks, "root")
-        .withColumn("b", F.expr("cast(pmod(xxhash64(fp), blocks) as int)"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("root", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), "fp", "n", "elements")
-    )
-    links = dealt.groupBy("root", "i", "j").applyInPandas(_join_group(percent), "u long, v long").filter("u <> v")
+    links = dealt_groups(sets, groups, percent).groupBy("root", "i", "j").applyInPandas(_join_group(percent), "u long, v long").filter("u <> v")
     found = components(links)
-    classes = digest.filter("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("first"))
+    classes = written(digest.filter("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "classes")
     smallest = found.join(classes, found["node"] == classes["fp"]).groupBy("root").agg(F.min("first").alias("component_id"))
-    named = classes.join(found.join(smallest, "root").select(F.col("node").alias("fp"), "component_id", F.col("root").alias("component")), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("component", "fp").alias("component"))
-    return (
-        digest.withColumn("key", F.when(F.col("n_shingles") > 0, F.col("fp")))
-        .join(named.withColumnRenamed("fp", "key"), "key", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component", *keep)
-    )
+    linked = found.join(smallest, "root").select(F.col("node").alias("fp"), "component_id", F.col("root").alias("component"))
+    named = classes.join(linked, "fp", "left").select(F.col("fp").alias("key"), "copies", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("component", "fp").alias("component"))
+    named = written(named, "named")
+    many = F.broadcast(named.filter(F.col("copies") >= int(n_rows * HOT_SHARE) + 1).drop("copies"))
+    keyed = digest.withColumn("key", F.when(F.col("n_shingles") > 0, F.col("fp")))
+    few = keyed.join(many, "key", "left_anti").join(named.drop("copies"), "key", "left")
+    return few.unionByName(keyed.join(many, "key")).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component", *keep)

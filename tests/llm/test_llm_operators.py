@@ -343,7 +343,7 @@ def test_ngram_join_deals_hot_postings_of_like_blocks(spark):
     passage = "a passage that many documents share"
     rows = [(k, passage + f" {k % 40}") for k in range(320)]  # 8 blocks with the same texts, the same one first
     df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 8), "doc_id long, text string")
-    direct = ngram_join._postings(df, 5, 1000).filter("direct").select("bucket").collect()
+    direct = ngram_join._postings(df, 5, 1000).filter("salt IS NOT NULL").select("bucket").collect()
     assert len(direct) == 8 and len({r.bucket for r in direct}) > 4
 
 
@@ -351,11 +351,64 @@ def test_prefix_tree_finds_all_links():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.choice(40, size=rng.integers(1, 40))) for _ in range(80)]
     sizes = np.array([len(s) for s in sets])
-    left, right = ngram_join.PrefixTree(sets, sizes, 75).join(np.arange(80), np.arange(80))
+    places = np.arange(80)
+    left, right = ngram_join.PrefixTree(sets, sizes, 75).join(sets, sizes, places, places)
     want = {(i, j) for i in range(80) for j in range(80) if i != j and 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
     assert set(zip(left.tolist(), right.tolist(), strict=True)) == want
 
 
+def test_prefix_tree_starts_from_matching_prefixes_in_a_bounded_frontier(monkeypatch):
+    sets = [np.array([k, 20_000]) for k in range(20_000)]  # all share one element, which is last in the order
+    sizes = np.full(20_000, 2)
+    tree = ngram_join.PrefixTree(sets, sizes, 75)
+    assert len(tree._starts(sets[:64], sizes[:64])[0]) == 64
+    monkeypatch.setattr(ngram_join.PrefixTree, "FRONTIER", 50)
+    rng = np.random.default_rng(9)
+    sets = [np.unique(np.concatenate((np.arange(30), rng.choice(np.arange(30, 60), 6)))) for _ in range(150)]
+    sizes = np.array([len(s) for s in sets])
+    tree = ngram_join.PrefixTree(sets, sizes, 75)
+    assert len(tree.parent) < 0.5 * sum(map(len, sets)) / tree.STEP * 10 and len(tree.by_level[0]) == 1
+    left, right = tree.join(sets, sizes, np.arange(150), np.arange(150))
+    want = {(i, j) for i in range(150) for j in range(150) if i != j and 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    assert set(zip(left.tolist(), right.tolist(), strict=True)) == want
+
+
+def test_ngram_join_keeps_one_row_a_class_however_many_copies(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(k, passage if k % 2 else passage + f" q{k % 80}") for k in range(1600)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 8), "doc_id long, text string")
+    merged = ngram_join._postings(df, 5, 12).repartition(12, "bucket").groupBy("bucket").applyInArrow(ngram_join._shared_in_bucket, ngram_join._SHARED)
+    per_class = merged.filter("salt IS NOT NULL").groupBy("fp").count().agg({"count": "max"}).first()[0]
+    assert per_class <= 8  # blocks, not copies
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(df).collect()}
+    assert set(got.values()) == {0}
+
+
+def test_ngram_join_deals_a_giant_group_by_prefix_and_length(spark):
+    # a chain: neighbours share half of their words, so prefixes meet all along it, but nothing links
+    words = [f"w{i}" for i in range(4000)]
+    chain = [(k, " ".join(words[k * 20 : k * 20 + 40])) for k in range(190)]
+    near = [(1000 + k, " ".join(words[:39] + [f"x{k}"])) for k in range(20)]
+    rows = chain + near
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = spark.createDataFrame(
+        [(k, 36, np.array([(1, e) for e in range(k * 20, k * 20 + 36)], dtype=ngram_join._RANKED).tobytes(), list(range(k * 20, k * 20 + 25))) for k in range(190)],
+        "fp long, n long, elements binary, prefix array<long>",
+    )
+    groups = spark.createDataFrame([(k, 0) for k in range(190)], "node long, root long")
+    dealt = ngram_join.dealt_groups(sets, groups, 75, group_elements=360)
+    n = dealt.count()
+    assert dealt.filter("i = j").count() == 190 and n <= 190 * 3  # each class at home once, and at two neighbours' at most
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df).collect()}
+    assert got == brute_components(rows)
+
+
+def test_ngram_join_without_hot_classes(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_SHARE", 2.0)
+    rows = near_copies(6, 60)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == brute_components(rows)
+
+
 def test_ngram_join_rows(odd, empty):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(odd).collect()]
     assert sorted(got, key=str) == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 977, 4), (5, 1, 5), (5, 1, 5), (6, 2, 6), (None, 1, None)], key=str)
