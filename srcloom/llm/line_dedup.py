@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcloom.functions.shared import even_partitions, shared_folder, written
+from srcloom.llm.skew import HOT_SHARE, joined
 
 #: Fixed values of the contract.
 SPACE = " \t\n\x0b\x0c\r"
@@ -35,8 +36,6 @@ LEAST_CHARS, LEAST_DOCS = 40, 5
 
 #: Documents that a batch should hold, the fewest and most batches, and runs of a level before it is compacted.
 BATCH_DOCS, LEAST_BATCHES, MOST_BATCHES, FAN_IN = 20_000_000, 6, 24, 3
-#: Share of all line rows from which a key is hot.
-HOT_SHARE = 1 / 4000
 
 
 def lower_ascii(x: Column) -> Column:
@@ -120,10 +119,7 @@ def deduplicated(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: in
     for batch in range(batches):
         runs.add(lines.filter(F.col("batch") == batch).select("hi", "lo", "doc_id"))
     goes = written(runs.newest().filter(F.col("n_docs") >= least_docs).select(*KEY, "n_docs", "last_doc"), "verdicts")
-    hot = F.broadcast(goes.filter(F.col("n_docs") >= int(lines.count() * HOT_SHARE) + 1).drop("n_docs"))
-    holds = lines.select(*KEY, "doc_id")
-    cold = holds.join(hot, list(KEY), "left_anti").join(goes.drop("n_docs"), list(KEY))
-    found = cold.unionByName(holds.join(hot, list(KEY)))
+    found = joined(lines.select(*KEY, "doc_id"), goes, list(KEY), "n_docs", lines.count(), HOT_SHARE)
     dropped = found.filter(F.col("doc_id") < F.col("last_doc")).groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("_goes"))
     split = docs.join(dropped, "doc_id", "left").withColumn("_lines", lines_of(F.col("text")))
     kept = F.filter("_lines", lambda x: ~F.coalesce(F.array_contains("_goes", _hashes(x, least_chars)), F.lit(False)))

@@ -11,10 +11,10 @@ Stages, each a Spark job over packed Arrow rows:
 2. postings: every element of every class goes to a bucket of its hash, packed per map block as arrays; a task sends a
    class once, however many copies it reads, and a bucket keeps one posting of a class and an element. Buckets are
    made in proportion to the number of elements. A bucket finds the elements that two classes share and returns them,
-   with their document frequency, to their classes. An element met by many classes of one map block is sent to its
+   with their document frequency, to their classes: one row for each target, a hash of classes. An element met by many classes of one map block is sent to its
    bucket as one mark instead of one posting for each, so a passage that a third of the corpus repeats stays small; its
    classes get such elements straight from the block, and those of copies in many blocks are merged in two salted steps.
-3. A class's rows are merged as a sorted stream. An element of one class only cannot lie in an intersection, so a class
+3. A target merges the elements of its classes. An element of one class only cannot lie in an intersection, so a class
    whose shared elements are fewer than 75 % of its set links with nothing and leaves. This is a bound, not a cut.
 4. prefixes: in rarest-first order two linked classes share an element of their prefixes; classes that do are put in
    one group (connected components of that relation), which holds every link inside itself.
@@ -40,16 +40,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcloom.functions.shared import even_partitions, written
-from srcloom.llm.textbytes import give_back, mix64, runs_as_binary, shingle_sets, text_slices
+from srcloom.llm.skew import joined
+from srcloom.llm.textbytes import give_back, mix64, shingle_sets, text_slices
 from srcloom.operators.components import components
 
 #: Elements that a bucket sorts at once, postings that a map block holds, and elements of a group joined in one task.
 BUCKET_ELEMENTS = 2_000_000
 BLOCK_ELEMENTS = 1_000_000
 GROUP_ELEMENTS = 2_000_000
-#: Fingerprints that a task remembers having sent, parts in which one class's hot elements are merged first, and the share
-#: of all documents from which a class is hot.
-SENT, SALTS, HOT_SHARE = 200_000, 64, 1 / 4000
+#: Fingerprints that a task remembers having sent, and parts in which one class's hot elements are merged first.
+SENT, SALTS = 200_000, 64
 #: An element of so many classes of one map block is hot: it goes to the end of the order, whatever its exact frequency.
 HOT_IN_BLOCK = 32
 HOT_FREQUENCY = 2**31 - 1
@@ -81,7 +81,7 @@ def digests(docs: DataFrame, width: int, keep: tuple[str, ...] = ()) -> DataFram
 
 
 _POSTINGS = "bucket int, salt int, fps binary, sizes binary, owners binary, low binary, high binary"
-_SHARED = "fp long, n long, salt int, elements binary, frequencies binary"
+_SHARED = "target int, salt int, fps binary, sizes binary, counts binary, elements binary, frequencies binary"
 
 
 class _Block:
@@ -170,17 +170,61 @@ def _postings(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _POSTINGS)
 
 
-def _by_class(fps: np.ndarray, sizes: np.ndarray, ids: np.ndarray, frequencies: np.ndarray, salt: int | None = None) -> pa.Table:
-    """Rows sorted by class become one row for each class."""
-    starts = np.flatnonzero(np.concatenate(([True], fps[1:] != fps[:-1]))) if len(fps) else np.zeros(0, dtype=np.int64)
-    cuts = np.append(starts, len(fps))
-    columns = [pa.array(fps[starts]), pa.array(sizes[starts].astype(np.int64)), pa.array([salt] * len(starts), pa.int32()), runs_as_binary(ids, cuts), runs_as_binary(frequencies.astype(np.int32), cuts)]
-    return pa.Table.from_arrays(columns, ["fp", "n", "salt", "elements", "frequencies"])
+def _target_of(fps: np.ndarray, targets: int) -> np.ndarray:
+    return (mix64(fps.view(np.uint64)) % np.uint64(targets)).astype(np.int32)
 
 
-def _shared_in_bucket(table: pa.Table) -> pa.Table:
-    """The elements of a bucket that several classes hold, by class."""
-    parts: list[pa.Table] = []
+def _by_target(fps: np.ndarray, sizes: np.ndarray, ids: np.ndarray, frequencies: np.ndarray, targets: int, salt: int | None = None) -> list[tuple]:
+    """(class, element) postings as one row for each target, sorted by class."""
+    target = _target_of(fps, targets)
+    order = np.lexsort((fps, target))
+    target, fps, sizes, ids, frequencies = target[order], fps[order], sizes[order], ids[order], frequencies[order].astype(np.int32)
+    out = []
+    for t in np.unique(target).tolist():
+        a, b = np.searchsorted(target, [t, t + 1])
+        starts = np.flatnonzero(np.concatenate(([True], fps[a + 1 : b] != fps[a : b - 1]))) + a
+        counts = np.diff(np.append(starts, b)).astype(np.uint32)
+        out.append((t, salt, fps[starts].tobytes(), sizes[starts].astype(np.uint32).tobytes(), counts.tobytes(), ids[a:b].tobytes(), frequencies[a:b].tobytes()))
+    return out
+
+
+def _table_of(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
+    return pa.Table.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["target", "salt", "fps", "sizes", "counts", "elements", "frequencies"])
+
+
+def _merged(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """fp, size, element and frequency of the distinct (class, element) postings of rows, by class and element; of equal
+    ones the greatest frequency."""
+    columns = []
+    for name, kind in (("fps", np.int64), ("sizes", np.uint32), ("counts", np.uint32), ("elements", np.uint64), ("frequencies", np.int32)):
+        columns.append(np.concatenate([np.frombuffer(x.as_buffer(), dtype=kind) for x in table.column(name)] or [np.zeros(0, dtype=kind)]))
+    fps, sizes, counts, ids, frequencies = columns
+    fps, sizes = np.repeat(fps, counts), np.repeat(sizes, counts)
+    order = np.lexsort((-frequencies.astype(np.int64), ids, fps))
+    fps, ids = fps[order], ids[order]
+    first = np.ones(len(ids), dtype=bool)
+    first[1:] = (fps[1:] != fps[:-1]) | (ids[1:] != ids[:-1])
+    order = order[first]
+    return fps[first], sizes[order], ids[first], frequencies[order]
+
+
+def _salted_merge(targets: int):
+    """Hot elements of classes from many blocks, once for each salt."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return _table_of(_by_target(*_merged(table), targets))
+
+    return run
+
+
+def _shared_in_bucket(targets: int):
+    return lambda table: _table_of(_shared_postings(table, targets))
+
+
+def _shared_postings(table: pa.Table, targets: int) -> list[tuple]:
+    """The elements of a bucket that several classes hold, for the targets of these classes."""
+    parts: list[tuple] = []
     fps, sizes, owners, ids, at = [], [], [], [], 0
     marks = []
     for row in table.to_batches():
@@ -190,7 +234,7 @@ def _shared_in_bucket(table: pa.Table) -> pa.Table:
             who = np.frombuffer(get("owners"), dtype=np.uint16)
             salt = row.column("salt")[k].as_py()
             if salt is not None:
-                parts.append(_by_class(f[who], n[who], np.frombuffer(get("low"), dtype=np.uint64), np.full(len(who), HOT_FREQUENCY), salt))
+                parts += _by_target(f[who], n[who], np.frombuffer(get("low"), dtype=np.uint64), np.full(len(who), HOT_FREQUENCY), targets, salt)
                 continue
             e = np.frombuffer(get("low"), dtype=np.uint32).astype(np.uint64) | (np.frombuffer(get("high"), dtype=np.uint32).astype(np.uint64) << np.uint64(32))
             mark = who == 0xFFFF
@@ -221,90 +265,32 @@ def _shared_in_bucket(table: pa.Table) -> pa.Table:
             counts = np.diff(np.append(starts, len(ids)))
             df = np.repeat(np.where(np.isin(ids[starts], marks), HOT_FREQUENCY, counts), counts)
             ids, fp, n, df = ids[df > 1], fp[df > 1], n[df > 1], df[df > 1]
-            order = np.argsort(fp, kind="stable")
-            parts.append(_by_class(fp[order], n[order], ids[order], df[order]))
-    return pa.concat_tables(parts) if parts else _by_class(*(np.zeros(0, dtype=t) for t in (np.int64, np.uint32, np.uint64, np.int32)))
-
-
-def _merged_classes(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int | None, np.ndarray, np.ndarray]]:
-    """fp, n, salt, elements and frequencies of each class, from rows that come sorted by class; of equal elements the
-    greatest frequency. Only one class's elements are held, whatever the number of its rows."""
-    key = None
-    elements, frequencies = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
-    waiting: list[tuple[np.ndarray, np.ndarray]] = []
-    n = 0
-
-    def settle():
-        nonlocal elements, frequencies, waiting
-        if waiting:
-            e, f = (np.concatenate([own, *more]) for own, more in zip((elements, frequencies), zip(*waiting, strict=True), strict=True))
-            order = np.lexsort((-f.astype(np.int64), e))
-            e, f = e[order], f[order]
-            first = np.concatenate(([True], e[1:] != e[:-1]))
-            elements, frequencies, waiting = e[first], f[first], []
-
-    for batch in rows:
-        for fp, size, salt, e, f in zip(*(batch.column(c) for c in ("fp", "n", "salt", "elements", "frequencies")), strict=True):
-            fp, salt = fp.as_py(), salt.as_py()
-            if (fp, salt) != key:
-                settle()
-                if key is not None:
-                    yield *key[:1], n, key[1], elements, frequencies
-                key, n = (fp, salt), size.as_py()
-                elements, frequencies = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
-            waiting.append((np.frombuffer(e.as_buffer(), dtype=np.uint64), np.frombuffer(f.as_buffer(), dtype=np.int32)))
-            if len(waiting) >= 256:
-                settle()
-    settle()
-    if key is not None:
-        yield *key[:1], n, key[1], elements, frequencies
-
-
-def _salted_merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hot elements of a class from many blocks, once for each salt."""
-    out: list[tuple] = []
-    held = 0
-
-    def rows() -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["fp", "n", "salt", "elements", "frequencies"])
-
-    for fp, n, salt, e, f in _merged_classes(batches):
-        out.append((fp, n, salt, e.tobytes(), f.tobytes()))
-        held += 12 * len(e)
-        if held > 4 << 20:
-            yield rows()
-            out, held = [], 0
-    yield rows()
+            parts += _by_target(fp, n, ids, df, targets)
+    return parts
 
 
 _RANKED = np.dtype([("f", np.int32), ("e", np.uint64)])
 
 
 def _ordered(percent: int):
-    """A class's shared elements, rarest first, if they can reach the threshold, and its prefix."""
-
-    def run(batches):
-        out: list[tuple] = []
-        held = 0
-
-        def rows() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["fp", "n", "elements", "prefix"])
-
-        for fp, n, _, e, f in _merged_classes(batches):
-            least = -(-percent * n // 100)
-            if len(e) < least:
-                continue
-            order = np.lexsort((e, f))
-            rank = np.empty(len(e), dtype=_RANKED)
-            rank["f"], rank["e"] = f[order], e[order]
-            out.append((fp, n, rank.tobytes(), e[order][: len(e) - least + 1].astype(np.int64)))
-            held += 16 * len(e)
-            if held > 4 << 20:
-                yield rows()
-                out, held = [], 0
-        yield rows()
+    """Classes of a target whose shared elements can reach the threshold: these, rarest first, and the prefix."""
+
+    def run(table: pa.Table) -> pa.Table:
+        fps, sizes, ids, frequencies = _merged(table)
+        starts = np.flatnonzero(np.concatenate(([True], fps[1:] != fps[:-1]))) if len(fps) else np.zeros(0, dtype=np.int64)
+        counts = np.diff(np.append(starts, len(fps)))
+        least = -(-percent * sizes[starts].astype(np.int64) // 100)
+        enough = np.repeat(counts >= least, counts)
+        fps, sizes, ids, frequencies = fps[enough], sizes[enough], ids[enough], frequencies[enough]
+        order = np.lexsort((ids, frequencies, fps))
+        rank = np.empty(len(order), dtype=_RANKED)
+        rank["f"], rank["e"] = frequencies[order], ids[order]
+        counts, least = counts[counts >= least], least[counts >= least]
+        cuts = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
+        sets = [rank[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        prefixes = [s["e"][: len(s) - k + 1].astype(np.int64) for s, k in zip(sets, least.tolist(), strict=True)]
+        columns = [pa.array(fps[cuts[:-1]]), pa.array(sizes[cuts[:-1]].astype(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+        return pa.Table.from_arrays(columns, ["fp", "n", "elements", "prefix"])
 
     return run
 
@@ -551,21 +537,20 @@ def grouped_rows(docs: DataFrame, width: int = 5, percent: int = 75, keep: tuple
     digest = written(digests(docs, width, keep), "digest")
     total, n_rows = digest.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
     buckets = min(1 << 24, even_partitions(total, BUCKET_ELEMENTS, 12))
-    shared = written(_postings(docs, width, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared_in_bucket, _SHARED), "shared")
-    hot = shared.filter("salt IS NOT NULL").repartition("fp", "salt").sortWithinPartitions("fp", "salt").mapInArrow(_salted_merge, _SHARED)
-    gathered = shared.filter("salt IS NULL").unionByName(hot).withColumn("salt", F.lit(None).cast("int")).repartition("fp").sortWithinPartitions("fp")
-    sets = written(gathered.mapInArrow(_ordered(percent), "fp long, n long, elements binary, prefix array<long>"), "sets")
+    shared = _postings(docs, width, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared_in_bucket(buckets), _SHARED)
+    shared = written(shared, "shared")
+    hot = shared.filter("salt IS NOT NULL").groupBy("target", "salt").applyInArrow(_salted_merge(buckets), _SHARED)
+    gathered = shared.filter("salt IS NULL").unionByName(hot).repartition(buckets, "target")
+    sets = written(gathered.groupBy("target").applyInArrow(_ordered(percent), "fp long, n long, elements binary, prefix array<long>"), "sets")
     prefix = sets.select("fp", F.explode("prefix").alias("element"))
     leaders = prefix.groupBy("element").agg(F.min("fp").alias("v"), F.count("*").alias("k")).filter("k > 1").select("element", "v")
     groups = components(prefix.join(leaders, "element").select(F.col("fp").alias("u"), "v"))
     links = dealt_groups(sets, groups, percent).groupBy("root", "i", "j").applyInPandas(_join_group(percent), "u long, v long").filter("u <> v")
     found = components(links)
     classes = written(digest.filter("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "classes")
-    smallest = found.join(classes, found["node"] == classes["fp"]).groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = found.join(smallest, "root").select(F.col("node").alias("fp"), "component_id", F.col("root").alias("component"))
+    smallest = found.join(classes, found["node"] == classes["fp"]).groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members"))
+    linked = joined(found, written(smallest, "smallest"), ["root"], "members", found.count()).select(F.col("node").alias("fp"), "component_id", F.col("root").alias("component"))
     named = classes.join(linked, "fp", "left").select(F.col("fp").alias("key"), "copies", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("component", "fp").alias("component"))
-    named = written(named, "named")
-    many = F.broadcast(named.filter(F.col("copies") >= int(n_rows * HOT_SHARE) + 1).drop("copies"))
-    keyed = digest.withColumn("key", F.when(F.col("n_shingles") > 0, F.col("fp")))
-    few = keyed.join(many, "key", "left_anti").join(named.drop("copies"), "key", "left")
-    return few.unionByName(keyed.join(many, "key")).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component", *keep)
+    empty = digest.filter("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "component": F.lit(None).cast("long")})
+    filled = joined(digest.filter("n_shingles > 0").withColumnRenamed("fp", "key"), written(named, "named"), ["key"], "copies", n_rows)
+    return filled.unionByName(empty.withColumnRenamed("fp", "key")).select("doc_id", "n_shingles", "component_id", "component", *keep)
