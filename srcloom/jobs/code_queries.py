@@ -65,9 +65,22 @@ _NESTING = r""", steps AS (
   SELECT *, after_ - least(0, min(after_ - up) OVER (PARTITION BY path ORDER BY n)) AS depth FROM summed
 ), held AS (
   SELECT *, coalesce(lag(depth) OVER (PARTITION BY path ORDER BY n), 0) AS depth_before FROM dipped
-), nested AS (
+), braces AS (
   SELECT path, max(depth)::BIGINT AS max_depth, sum(branches * (1 + depth_before))::BIGINT AS complexity FROM held GROUP BY path
-)"""
+), indented AS (
+  SELECT path, n, branches, t <> '' AS filled, length(line) - length(t) AS indent FROM facts WHERE language = 'python'
+), opened AS (
+  -- a line is open at a later one while all in between, and that one, are indented deeper
+  SELECT i.path, i.n, count(*) AS depth FROM indented i JOIN indented j ON i.path = j.path AND j.n <= i.n AND i.filled AND j.filled AND j.indent > 0
+  WHERE NOT EXISTS (SELECT 1 FROM indented k WHERE k.path = i.path AND k.filled AND k.n > j.n AND k.n <= i.n AND k.indent <= j.indent)
+  GROUP BY i.path, i.n
+), levels AS (
+  SELECT i.path, i.n, i.branches, CASE WHEN i.filled THEN coalesce(o.depth, 0) END AS depth FROM indented i LEFT JOIN opened o ON o.path = i.path AND o.n = i.n
+), weighed AS (
+  SELECT *, coalesce(last_value(depth IGNORE NULLS) OVER (PARTITION BY path ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM levels
+), indents AS (
+  SELECT path, coalesce(max(depth), 0)::BIGINT AS max_depth, sum(branches * (1 + before))::BIGINT AS complexity FROM weighed GROUP BY path
+), nested AS (SELECT * FROM braces UNION ALL SELECT * FROM indents)"""
 
 
 def file_metrics(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,11 +92,11 @@ def code_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def brace_nesting(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.nesting(code_lines(spark, folder))
+    return metrics.brace_nesting(metrics.line_facts(code_lines(spark, folder).filter("language <> 'python'")))
 
 
 def indent_nesting(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.indent_depths(metrics.line_facts(code_lines(spark, folder).filter("language = 'python'")))
+    return metrics.indent_nesting(metrics.line_facts(code_lines(spark, folder).filter("language = 'python'")))
 
 
 #: Lower than the defaults, so that the small files of the code corpus exceed them.
@@ -371,7 +384,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "file_metrics": f"{PROSE}{_FACTS} SELECT * FROM file_metrics",
     "code_metrics": f"{CODE}{_FACTS} SELECT * FROM file_metrics",
-    "brace_nesting": f"{CODE}{_FACTS}{_NESTING} SELECT * FROM nested",
+    "brace_nesting": f"{CODE}{_FACTS}{_NESTING} SELECT * FROM braces",
+    "indent_nesting": f"{CODE}{_FACTS}{_NESTING} SELECT * FROM indents",
     "metric_findings": METRIC_FINDINGS,
     "pattern_hits": _pattern_sql(CODE, ("typescript", "python", "go", "java", "csharp")),
     "prose_pattern_hits": _pattern_sql(PROSE, ("python",)),

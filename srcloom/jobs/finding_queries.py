@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from srcloom.functions.shared import written
+from srcloom.jobs import code_queries
 from srcloom.operators import findings as f
-from srcloom.sources.corpora import FINDINGS, findings
+from srcloom.operators import scan
+from srcloom.sources.corpora import FINDINGS, code_lines, findings
+from srcloom.sources.tables import table
 
 _F = f"WITH f AS ({FINDINGS.format(lineitem='lineitem')})"
 _SCORE = "CASE severity WHEN 'critical' THEN 4.0 WHEN 'high' THEN 3.0 WHEN 'medium' THEN 2.0 ELSE 1.0 END::DOUBLE * coalesce(confidence, 1.0)"
@@ -33,40 +37,23 @@ def _state(rows: DataFrame, *others: str) -> DataFrame:
     return rows.select(*others, "id", "severity", "status", F.when(F.col("ord") % 5 == 0, F.concat(F.lit("note "), F.col("ord").cast("string"))).alias("notes"), (F.col("ord") % 6 == 0).alias("severity_overridden"))
 
 
-def merged(spark: SparkSession, folder: str) -> DataFrame:
-    all_runs = f.stamped(findings(spark, folder))
-    return f.merged(_state(all_runs.filter("run_id = 0")), all_runs.filter("run_id = 1").select("id", "severity", F.when(F.col("status") == "fixed", "fixed").alias("status")))
-
-
-def carried(spark: SparkSession, folder: str) -> DataFrame:
-    all_runs = f.stamped(findings(spark, folder))
-    return f.carried(all_runs.filter("run_id = 1"), all_runs.filter("run_id = 0"))
-
-
-def patched(spark: SparkSession, folder: str) -> DataFrame:
-    rows = f.stamped(findings(spark, folder)).filter("run_id = 2")
-    patches = rows.filter("ord % 3 = 0").select("id", F.lit("ignored").alias("status"), F.lit(None).cast("string").alias("notes"), F.when(F.col("ord") % 2 == 0, "high").alias("severity"), F.lit(1).alias("seq"))
-    later = rows.filter("ord % 9 = 0").select("id", F.lit("in-progress").alias("status"), F.lit("later").alias("notes"), F.lit(None).cast("string").alias("severity"), F.lit(2).alias("seq"))
-    return f.patched(_state(rows), patches.union(later))
-
-
 _KEY = ("run_id", "id")
 
 
-def merged_runs(spark: SparkSession, folder: str) -> DataFrame:
+def merged(spark: SparkSession, folder: str) -> DataFrame:
     """Every run merged into the run before it; run_id is that of the incoming one."""
     all_runs = f.stamped(findings(spark, folder))
     scans = all_runs.join(F.broadcast(f.before(all_runs).select("run_id")), "run_id")
     return f.merged(f.as_prior(_state(all_runs, "run_id")), scans.select("run_id", "id", "severity", F.when(F.col("status") == "fixed", "fixed").alias("status")), _KEY)
 
 
-def carried_runs(spark: SparkSession, folder: str) -> DataFrame:
+def carried(spark: SparkSession, folder: str) -> DataFrame:
     """Dismissals carried from every run to the run after it."""
     all_runs = f.stamped(findings(spark, folder))
     return f.carried(all_runs, f.as_prior(all_runs), _KEY)
 
 
-def patched_runs(spark: SparkSession, folder: str) -> DataFrame:
+def patched(spark: SparkSession, folder: str) -> DataFrame:
     """The findings of all runs after patches to each of them."""
     rows = f.stamped(findings(spark, folder))
     patches = rows.filter("ord % 3 = 0").select(*_KEY, F.lit("ignored").alias("status"), F.lit(None).cast("string").alias("notes"), F.when(F.col("ord") % 2 == 0, "high").alias("severity"), F.lit(1).alias("seq"))
@@ -95,6 +82,127 @@ def bulk_fix(spark: SparkSession, folder: str) -> DataFrame:
     return f.to_fix(findings(spark, folder)).select("ord", "severity", "confidence")
 
 
+def _scans(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The stored findings of all runs, and those of new scans of every run but the first, as open ones."""
+    all_runs = f.stamped(findings(spark, folder))
+    again = all_runs.join(F.broadcast(f.before(all_runs).select("run_id")), "run_id")
+    columns = ("run_id", "id", "severity")
+    return all_runs.select(*columns, "status"), again.select(*columns, F.lit("open").alias("status"))
+
+
+def replaced(spark: SparkSession, folder: str) -> DataFrame:
+    return f.replaced(*_scans(spark, folder))
+
+
+def cleared(spark: SparkSession, folder: str) -> DataFrame:
+    return f.cleared(*_scans(spark, folder))
+
+
+def _stored(spark: SparkSession, folder: str) -> DataFrame:
+    return _state(f.stamped(findings(spark, folder)), "run_id", "ord", "check_name")
+
+
+def _some_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of critical findings, and as many that no run has."""
+    ids = f.stamped(findings(spark, folder)).filter("severity = 'critical'").select("run_id", "id", "ord")
+    return ids.unionByName(ids.withColumn("id", F.concat(F.lit("no-"), F.col("ord").cast("string"))))
+
+
+def patched_where(spark: SparkSession, folder: str) -> DataFrame:
+    return f.patched_where(_stored(spark, folder), F.col("check_name") == "metrics", status="ignored", severity="low").drop("check_name")
+
+
+def patched_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return f.patched_ids(_stored(spark, folder), _some_ids(spark, folder), _KEY, status="in-progress", notes="seen").drop("check_name")
+
+
+def outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    return f.outcomes(_stored(spark, folder), _some_ids(spark, folder), _KEY)
+
+
+def existing_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return f.existing_ids(_stored(spark, folder), _some_ids(spark, folder), _KEY)
+
+
+def of_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return f.of_ids(_stored(spark, folder), _some_ids(spark, folder), _KEY).select("run_id", "id", "severity", "status")
+
+
+def pruned(spark: SparkSession, folder: str) -> DataFrame:
+    return f.pruned(_stored(spark, folder), ("stale", "fixed")).select("run_id", "id", "status")
+
+
+def relative_paths(spark: SparkSession, folder: str) -> DataFrame:
+    rows = findings(spark, folder).withColumn("file", F.when(F.col("ord") % 2 == 0, F.concat(F.lit("/work\\shop/"), F.col("file"))).otherwise(F.col("file")))
+    return f.relative_paths(rows, "/work/shop").select("ord", "file")
+
+
+def page_facts(spark: SparkSession, folder: str) -> DataFrame:
+    return f.page_facts(f.filtered(findings(spark, folder), severity=["critical", "high"], fixable=True, min_confidence=0.5), 100, 50)
+
+
+def compact(spark: SparkSession, folder: str) -> DataFrame:
+    return f.compact(f.stamped(findings(spark, folder)).withColumn("start_line", F.col("line_number")))
+
+
+def members(spark: SparkSession, folder: str) -> DataFrame:
+    return f.members_of_groups(f.stamped(findings(spark, folder)), "check_name")
+
+
+def file_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return f.file_groups(findings(spark, folder), 5, 20)
+
+
+def counted(spark: SparkSession, folder: str) -> DataFrame:
+    return f.counted(f.filtered(findings(spark, folder), status=["open", "in-progress"], category=["security"]))
+
+
+def _registry(spark: SparkSession, folder: str) -> DataFrame:
+    """A run for each customer, touched by each of its orders."""
+    orders = table(spark, folder, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "archived").otherwise("active")
+    return f.run_registry(orders.select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("label"), status.alias("status"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("touch_seq")))
+
+
+def run_registry(spark: SparkSession, folder: str) -> DataFrame:
+    return _registry(spark, folder)
+
+
+def listed_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return f.listed_runs(_registry(spark, folder)).select("id", "label", "active")
+
+
+def without_runs(spark: SparkSession, folder: str) -> DataFrame:
+    runs = _registry(spark, folder)
+    return f.without_run(runs, runs.filter("active OR label = '1-URGENT'")).select("id", "touch_seq", "active")
+
+
+def scan_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """All scans of the code corpus as one findings table; rules of one kind of check are switched off."""
+    rows = scan.scan(written(code_lines(spark, folder), "code"), code_queries.LOW, ["magic-number"])
+    return rows.select("id", *scan.COLUMNS, "score")
+
+
+def scan_summary(spark: SparkSession, folder: str) -> DataFrame:
+    rows = scan.scan(written(code_lines(spark, folder), "code"), code_queries.LOW, ["magic-number"])
+    return f.summaries(rows.withColumn("status", F.lit("open"))).drop("run_id")
+
+
+_CRITICAL = "SELECT run_id, id FROM stamped WHERE severity = 'critical' UNION ALL SELECT run_id, 'no-' || ord::VARCHAR FROM stamped WHERE severity = 'critical'"
+_REGISTRY = """WITH runs AS (
+  SELECT o_custkey AS id, arg_max(o_orderpriority, o_orderkey) AS label, CASE WHEN arg_max(o_orderstatus, o_orderkey) = 'F' THEN 'archived' ELSE 'active' END AS status,
+         min(o_orderdate) AS created_at, max(o_orderdate) AS updated_at, max(o_orderkey) AS touch_seq
+  FROM orders GROUP BY o_custkey
+), registry AS (SELECT *, touch_seq = (SELECT max(touch_seq) FROM runs) AS active FROM runs)"""
+_SCANNED = f"""WITH scanned AS (
+  SELECT rule AS check_name, severity, category, 'common' AS language, path AS file, 1 AS start_line, rule || ' ' || value::VARCHAR AS description, NULL::VARCHAR AS symbol, 0.95::DOUBLE AS confidence FROM ({code_queries.SQL['metric_findings']})
+  UNION ALL SELECT rule, severity, category, 'common', path, n::INTEGER, rule, NULL, 0.9 FROM ({code_queries.SQL['pattern_hits']})
+  UNION ALL SELECT 'toctou', 'high', 'security', 'common', path, n::INTEGER, 'check and act ' || (act_n - n)::VARCHAR || ' lines apart', NULL, 0.85 FROM ({code_queries.SQL['race_findings']})
+  UNION ALL SELECT 'dead-export', 'low', 'dead-code', language, path, n::INTEGER, 'Exported symbol ' || chr(39) || name || chr(39) || ' appears unused', name, confidence FROM (({code_queries.SQL['dead_exports']}) UNION ALL BY NAME ({code_queries.SQL['dead_exports_by_words']}))
+  UNION ALL SELECT 'unused-import', 'low', 'dead-code', language, path, n::INTEGER, 'Import ' || chr(39) || name || chr(39) || ' is never used', name, 0.85 FROM ({code_queries.SQL['unused_imports']})
+  UNION ALL SELECT 'divergent-export', 'medium', 'duplication', 'common', first_path, 1, chr(39) || name || chr(39) || ' is exported by ' || n_files::VARCHAR || ' files', name, 0.8 FROM ({code_queries.SQL['divergent_exports']})
+), f AS (SELECT *, 0 AS run_id, start_line AS ord, true AS fixable FROM scanned WHERE check_name <> 'magic-number')"""
+
 _STATE = "SELECT id, severity, status, CASE WHEN ord % 5 = 0 THEN 'note ' || ord::VARCHAR END AS notes, ord % 6 = 0 AS severity_overridden FROM stamped"
 _STATE_OF_RUNS = _STATE.replace("SELECT id", "SELECT run_id, id", 1)
 _STEPS = "steps AS (SELECT run_id, lag(run_id) OVER (ORDER BY run_id) AS prior FROM (SELECT DISTINCT run_id FROM f))"
@@ -105,32 +213,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "merge_findings": merged,
     "carry_forward": carried,
     "patch_findings": patched,
-    "merge_runs": merged_runs,
-    "carry_forward_runs": carried_runs,
-    "patch_runs": patched_runs,
     "page_findings": page,
     "findings_by_file": by_file,
     "findings_by_category": by_category,
     "summarise_runs": summaries,
     "bulk_fix_selection": bulk_fix,
+    "replace_runs": replaced,
+    "clear_runs": cleared,
+    "patch_by_filter": patched_where,
+    "patch_by_ids": patched_ids,
+    "update_outcomes": outcomes,
+    "existing_ids": existing_ids,
+    "findings_of_ids": of_ids,
+    "prune_findings": pruned,
+    "relative_paths": relative_paths,
+    "page_facts": page_facts,
+    "compact_findings": compact,
+    "findings_of_groups": members,
+    "file_groups_page": file_groups,
+    "count_findings": counted,
+    "run_registry": run_registry,
+    "list_runs": listed_runs,
+    "delete_runs": without_runs,
+    "scan_findings": scan_findings,
+    "scan_summary": scan_summary,
 }
 
 SQL: dict[str, str] = {
     "score_findings": f"{_F} SELECT ord, severity, confidence, {_SCORE} AS score FROM f",
     "stamp_findings": f"{_F}{_STAMPED} SELECT run_id, ord, id FROM stamped",
-    "merge_findings": f"""{_F}{_STAMPED}, o AS ({_STATE} WHERE run_id = 0), n AS (SELECT id, severity, CASE WHEN status = 'fixed' THEN 'fixed' END AS status FROM stamped WHERE run_id = 1)
-SELECT coalesce(o.id, n.id) AS id,
-       CASE WHEN o.id IS NOT NULL AND (o.severity_overridden OR n.id IS NULL) THEN o.severity ELSE n.severity END AS severity,
-       CASE WHEN o.id IS NULL THEN coalesce(n.status, 'open') WHEN n.id IS NULL THEN CASE WHEN o.status = 'open' THEN 'stale' ELSE o.status END
-            WHEN o.status IN ('open', 'stale') THEN coalesce(n.status, 'open') ELSE o.status END AS status,
-       o.notes, coalesce(o.severity_overridden, false) AS severity_overridden
-FROM o FULL JOIN n ON o.id = n.id""",
-    "carry_forward": f"{_F}{_STAMPED} SELECT c.id, p.status FROM stamped c JOIN stamped p ON c.id = p.id AND p.run_id = 0 WHERE c.run_id = 1 AND p.status IN ('false-positive', 'ignored')",
-    "patch_findings": f"""{_F}{_STAMPED}, r AS (SELECT ord, x.* FROM (SELECT ord, id AS i FROM stamped WHERE run_id = 2) k JOIN ({_STATE} WHERE run_id = 2) x ON x.id = k.i)
-SELECT id, CASE WHEN ord % 9 = 0 THEN severity WHEN ord % 6 = 0 THEN 'high' ELSE severity END AS severity,
-       CASE WHEN ord % 9 = 0 THEN 'in-progress' WHEN ord % 3 = 0 THEN 'ignored' ELSE status END AS status,
-       CASE WHEN ord % 9 = 0 THEN 'later' ELSE notes END AS notes, severity_overridden OR (ord % 6 = 0 AND ord % 9 <> 0) AS severity_overridden FROM r""",
-    "merge_runs": f"""{_F}{_STAMPED}, {_STEPS}, o AS ({_STATE_OF_RUNS}), n AS (
+    "merge_findings": f"""{_F}{_STAMPED}, {_STEPS}, o AS ({_STATE_OF_RUNS}), n AS (
   SELECT run_id, id, severity, CASE WHEN status = 'fixed' THEN 'fixed' END AS status FROM stamped WHERE run_id IN (SELECT run_id FROM steps WHERE prior IS NOT NULL)
 ), old AS (SELECT steps.run_id AS next, o.* FROM o JOIN steps ON steps.prior = o.run_id)
 SELECT coalesce(old.next, n.run_id) AS run_id, coalesce(old.id, n.id) AS id,
@@ -139,8 +251,8 @@ SELECT coalesce(old.next, n.run_id) AS run_id, coalesce(old.id, n.id) AS id,
             WHEN old.status IN ('open', 'stale') THEN coalesce(n.status, 'open') ELSE old.status END AS status,
        old.notes, coalesce(old.severity_overridden, false) AS severity_overridden
 FROM old FULL JOIN n ON old.id = n.id AND old.next = n.run_id""",
-    "carry_forward_runs": f"{_F}{_STAMPED}, {_STEPS} SELECT c.run_id, c.id, p.status FROM stamped c JOIN steps ON steps.run_id = c.run_id JOIN stamped p ON p.id = c.id AND p.run_id = steps.prior WHERE p.status IN ('false-positive', 'ignored')",
-    "patch_runs": f"""{_F}{_STAMPED}, r AS ({_STATE_OF_RUNS.replace("SELECT run_id", "SELECT ord, run_id")})
+    "carry_forward": f"{_F}{_STAMPED}, {_STEPS} SELECT c.run_id, c.id, p.status FROM stamped c JOIN steps ON steps.run_id = c.run_id JOIN stamped p ON p.id = c.id AND p.run_id = steps.prior WHERE p.status IN ('false-positive', 'ignored')",
+    "patch_findings": f"""{_F}{_STAMPED}, r AS ({_STATE_OF_RUNS.replace("SELECT run_id", "SELECT ord, run_id")})
 SELECT run_id, id, CASE WHEN ord % 9 = 0 THEN severity WHEN ord % 6 = 0 THEN 'high' ELSE severity END AS severity,
        CASE WHEN ord % 9 = 0 THEN 'in-progress' WHEN ord % 3 = 0 THEN 'ignored' ELSE status END AS status,
        CASE WHEN ord % 9 = 0 THEN 'later' ELSE notes END AS notes, severity_overridden OR (ord % 6 = 0 AND ord % 9 <> 0) AS severity_overridden FROM r""",
@@ -149,4 +261,25 @@ SELECT run_id, id, CASE WHEN ord % 9 = 0 THEN severity WHEN ord % 6 = 0 THEN 'hi
     "findings_by_category": f"{_F} SELECT category AS value, count(*)::BIGINT AS n FROM f WHERE status <> 'stale' GROUP BY category",
     "summarise_runs": f"{_F} " + " UNION ALL ".join(f"SELECT run_id, '{d}' AS dimension, {d} AS value, count(*)::BIGINT AS n FROM f WHERE {d} IS NOT NULL" + ("" if d == "status" else " AND status <> 'stale'") + f" GROUP BY run_id, {d}" for d in ("severity", "category", "status", "check_name", "language")),
     "bulk_fix_selection": f"{_F} SELECT ord, severity, confidence FROM f WHERE status = 'open' AND coalesce(fixable, true) AND (coalesce(confidence, 1.0) >= 0.8 OR severity IN ('critical', 'high'))",
+    "replace_runs": f"{_F}{_STAMPED}, {_STEPS} SELECT run_id, id, severity, CASE WHEN run_id = (SELECT min(run_id) FROM f) THEN status ELSE 'open' END AS status FROM stamped",
+    "clear_runs": f"{_F}{_STAMPED} SELECT run_id, id, severity, status FROM stamped WHERE run_id = (SELECT min(run_id) FROM f)",
+    "patch_by_filter": f"""{_F}{_STAMPED} SELECT run_id, ord, id, CASE WHEN check_name = 'metrics' THEN 'low' ELSE severity END AS severity, CASE WHEN check_name = 'metrics' THEN 'ignored' ELSE status END AS status,
+       CASE WHEN ord % 5 = 0 THEN 'note ' || ord::VARCHAR END AS notes, (ord % 6 = 0 OR check_name = 'metrics') AS severity_overridden FROM stamped""",
+    "patch_by_ids": f"""{_F}{_STAMPED} SELECT run_id, ord, id, severity, CASE WHEN severity = 'critical' THEN 'in-progress' ELSE status END AS status,
+       CASE WHEN severity = 'critical' THEN 'seen' WHEN ord % 5 = 0 THEN 'note ' || ord::VARCHAR END AS notes, ord % 6 = 0 AS severity_overridden FROM stamped""",
+    "update_outcomes": f"{_F}{_STAMPED} SELECT run_id, id, count(*)::BIGINT AS n_patches, CASE WHEN id LIKE 'no-%' THEN 'not found' ELSE 'updated' END AS outcome FROM ({_CRITICAL}) GROUP BY run_id, id",
+    "existing_ids": f"{_F}{_STAMPED} SELECT DISTINCT run_id, id FROM stamped WHERE severity = 'critical'",
+    "findings_of_ids": f"{_F}{_STAMPED} SELECT run_id, id, severity, status FROM stamped WHERE severity = 'critical'",
+    "prune_findings": f"{_F}{_STAMPED} SELECT run_id, id, status FROM stamped WHERE status NOT IN ('stale', 'fixed')",
+    "relative_paths": f"{_F} SELECT ord, file FROM f",
+    "page_facts": f"{_F}, g AS (SELECT count(*)::BIGINT AS total FROM f WHERE status <> 'stale' AND severity IN ('critical', 'high') AND coalesce(fixable, true) AND coalesce(confidence, 1.0) >= 0.5) SELECT total, 100::BIGINT AS \"offset\", 50::BIGINT AS \"limit\", greatest(least(total - 100, 50), 0)::BIGINT AS n, total > 100 + greatest(least(total - 100, 50), 0) AS truncated FROM g",
+    "compact_findings": f'{_F}{_STAMPED} SELECT id, check_name AS "check", severity, category, status, description, file, line_number AS start_line, fixable, confidence FROM stamped',
+    "findings_of_groups": f"{_F}{_STAMPED} SELECT check_name AS value, id, count(*) OVER (PARTITION BY check_name)::BIGINT AS n FROM stamped WHERE status <> 'stale'",
+    "file_groups_page": f"{_F} SELECT file, count(*)::BIGINT AS n, min({_RANK})::INTEGER AS worst_rank FROM f WHERE status <> 'stale' GROUP BY file ORDER BY 3, 2 DESC, 1 LIMIT 20 OFFSET 5",
+    "count_findings": f"{_F} SELECT count(*)::BIGINT AS total FROM f WHERE status IN ('open', 'in-progress') AND category = 'security'",
+    "run_registry": f"{_REGISTRY} SELECT * FROM registry",
+    "list_runs": f"{_REGISTRY} SELECT id, label, active FROM registry WHERE status <> 'archived' OR active",
+    "delete_runs": f"{_REGISTRY}, l AS (SELECT * FROM registry WHERE NOT active AND label <> '1-URGENT') SELECT id, touch_seq, touch_seq = (SELECT max(touch_seq) FROM l) AS active FROM l",
+    "scan_findings": f"{_SCANNED}{_STAMPED} SELECT id, check_name, severity, category, language, file, start_line, description, symbol, confidence, fixable, score FROM stamped",
+    "scan_summary": f"{_SCANNED}, g AS (SELECT *, 'open' AS status FROM f) " + " UNION ALL ".join(f"SELECT '{d}' AS dimension, {d} AS value, count(*)::BIGINT AS n FROM g GROUP BY {d}" for d in ("severity", "category", "status", "check_name", "language")),
 }

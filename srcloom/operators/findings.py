@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 WEIGHTS = {"critical": 4.0, "high": 3.0, "medium": 2.0, "low": 1.0}
 RANKS = {"critical": 0, "high": 1, "medium": 2, "low": 3}
 DISMISSED = ("false-positive", "ignored")
+STATUSES = ("open", "in-progress", "fixed", "false-positive", "ignored", "stale")
 
 
 def _by(x: Column, values: dict, otherwise) -> Column:
@@ -51,11 +52,14 @@ def as_prior(findings: DataFrame) -> DataFrame:
 
 
 def merged(existing: DataFrame, incoming: DataFrame, key: tuple[str, ...] = ("id",)) -> DataFrame:
-    """The state after a scan: the key, severity, status, notes and severity_overridden.
+    """The state after a scan, with the key, severity, status, notes, severity_overridden and every other column.
 
-    With the key (run_id, id) many scans are merged at once. A finding met again keeps its notes, an overridden severity, and a status that is neither open nor stale; stale ones
-    open again. Open findings that the scan did not meet become stale. New ones come with their own status or open.
+    With the key (run_id, id) many scans are merged at once. A finding met again keeps its notes, an overridden severity,
+    and a status that is neither open nor stale; stale ones open again; its other columns are those of the scan. Open
+    findings that the scan did not meet become stale. New ones come with their own status or open, and with their notes.
     """
+    kept = (*key, "severity", "status", "notes", "severity_overridden")
+    others = [c for c in dict.fromkeys([*existing.columns, *incoming.columns]) if c not in kept]
     old, new = existing.alias("o"), incoming.alias("n")
     joined = old.join(new, [F.col(f"o.{k}") == F.col(f"n.{k}") for k in key], "full_outer")
     was, now = F.col("o.id").isNotNull(), F.col("n.id").isNotNull()
@@ -65,15 +69,34 @@ def merged(existing: DataFrame, incoming: DataFrame, key: tuple[str, ...] = ("id
         .otherwise(F.coalesce("n.status", F.lit("open")))
     )
     overridden = F.coalesce("o.severity_overridden", F.lit(False))
+    side = lambda c: F.when(now, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) if c in existing.columns and c in incoming.columns else F.col(f"{'o' if c in existing.columns else 'n'}.{c}")
     return joined.select(
         *[F.coalesce(f"o.{k}", f"n.{k}").alias(k) for k in key],
         F.when(was & (overridden | ~now), F.col("o.severity")).otherwise(F.col("n.severity")).alias("severity"),
         status.alias("status"),
-        F.col("o.notes").alias("notes"),
+        (F.coalesce("o.notes", "n.notes") if "notes" in incoming.columns else F.col("o.notes")).alias("notes"),
         overridden.alias("severity_overridden"),
+        *[side(c).alias(c) for c in others],
     )
 
 
+def replaced(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """`existing` with all findings of the runs of `incoming` replaced by those of `incoming`."""
+    return cleared(existing, incoming).unionByName(incoming)
+
+
+def cleared(existing: DataFrame, runs: DataFrame) -> DataFrame:
+    """`existing` without the findings of `runs` (run_id)."""
+    return existing.join(runs.select("run_id").distinct(), "run_id", "left_anti")
+
+
+def relative_paths(findings: DataFrame, root: str) -> DataFrame:
+    """findings whose file is relative to `root`, with forward slashes, whichever way a scan named it."""
+    file = F.translate("file", "\\", "/")
+    start = root.replace("\\", "/").rstrip("/") + "/"
+    return findings.withColumn("file", F.when(file.startswith(start), F.substring(file, len(start) + 1, 1 << 30)).otherwise(file))
+
+
 def carried(current: DataFrame, prior: DataFrame, key: tuple[str, ...] = ("id",)) -> DataFrame:
     """The key and status of dismissals of a prior run whose finding the current run has again."""
     dismissed = prior.filter(F.col("status").isin(*DISMISSED)).select(*key, F.col("status").alias("status"))
@@ -94,6 +117,46 @@ def patched(findings: DataFrame, patches: DataFrame, key: tuple[str, ...] = ("id
     )
 
 
+def patched_where(findings: DataFrame, applies: Column, status: str | None = None, notes: str | None = None, severity: str | None = None) -> DataFrame:
+    """findings after one patch to all that `applies` holds for; what is None stays, and a severity counts as overridden."""
+    here = F.coalesce(applies, F.lit(False))
+    values = {c: F.when(here, v).otherwise(F.col(c)) for c, v in (("status", status), ("notes", notes), ("severity", severity)) if v is not None}
+    if severity is not None:
+        values["severity_overridden"] = F.col("severity_overridden") | here
+    return findings.withColumns(values)
+
+
+def patched_ids(findings: DataFrame, ids: DataFrame, key: tuple[str, ...] = ("id",), **patch: str) -> DataFrame:
+    """findings after one patch to those whose key is in `ids`."""
+    marked = findings.join(ids.select(*key).distinct().withColumn("_meant", F.lit(True)), list(key), "left")
+    return patched_where(marked, F.col("_meant"), **patch).drop("_meant")
+
+
+def outcomes(findings: DataFrame, patches: DataFrame, key: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Per key of `patches`: n_patches, and whether it was updated or not found."""
+    asked = patches.groupBy(*key).agg(F.count("*").alias("n_patches"))
+    there = findings.select(*key).distinct().withColumn("_there", F.lit(True))
+    return asked.join(there, list(key), "left").select(*key, "n_patches", F.when(F.col("_there"), "updated").otherwise("not found").alias("outcome"))
+
+
+def existing_ids(findings: DataFrame, ids: DataFrame, key: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Those of `ids` that findings hold."""
+    return ids.select(*key).distinct().join(findings.select(*key), list(key), "left_semi")
+
+
+def of_ids(findings: DataFrame, ids: DataFrame, key: tuple[str, ...] = ("id",)) -> DataFrame:
+    """The findings of `ids`, whatever their status."""
+    return findings.join(ids.select(*key).distinct(), list(key), "left_semi")
+
+
+def pruned(findings: DataFrame, statuses: tuple[str, ...] = ("stale",)) -> DataFrame:
+    """findings without those of some statuses."""
+    unknown = set(statuses) - set(STATUSES)
+    if unknown:
+        raise ValueError(f"no such status: {', '.join(sorted(unknown))}")
+    return findings.filter(~F.coalesce(F.col("status").isin(*statuses), F.lit(False)))
+
+
 def filtered(findings: DataFrame, severity: list[str] | None = None, category: list[str] | None = None, language: list[str] | None = None, check: list[str] | None = None, status: list[str] | None = None, fixable: bool | None = None, min_confidence: float | None = None, files: list[str] | None = None) -> DataFrame:
     """Findings that meet every given filter; without a status filter stale ones are left out.
 
@@ -141,3 +204,54 @@ def to_fix(findings: DataFrame) -> DataFrame:
     """Open fixable findings that are sure enough or severe enough to fix in bulk."""
     sure = F.coalesce("confidence", F.lit(1.0)) >= 0.8
     return filtered(findings, status=["open"], fixable=True).filter(sure | F.col("severity").isin("critical", "high"))
+
+
+def page_facts(findings: DataFrame, offset: int = 0, limit: int = 200) -> DataFrame:
+    """One row on a page of findings: total, offset, limit, n (rows on the page) and whether more follow."""
+    total = F.count("*")
+    n = F.greatest(F.least(total - offset, F.lit(limit)), F.lit(0)).cast("long")
+    return findings.agg(total.alias("total"), F.lit(offset).cast("long").alias("offset"), F.lit(limit).cast("long").alias("limit"), n.alias("n"), (total > offset + n).alias("truncated"))
+
+
+def compact(findings: DataFrame) -> DataFrame:
+    """The ten columns that triage needs."""
+    return findings.select("id", F.col("check_name").alias("check"), "severity", "category", F.coalesce("status", F.lit("open")).alias("status"), "description", "file", "start_line", "fixable", "confidence")
+
+
+def members_of_groups(findings: DataFrame, column: str) -> DataFrame:
+    """value, n and id: every member of each group with the group's size, a row for each, so no group is one row."""
+    live = findings.filter(F.col(column).isNotNull() & (F.col("status") != "stale"))
+    sizes = live.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    return live.select(F.col(column).alias("value"), "id").join(sizes, "value")
+
+
+def file_groups(findings: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
+    """A page of files with findings, the worst severity first, then the most findings, then by name."""
+    return grouped_by_file(findings).orderBy("worst_rank", F.desc("n"), "file").offset(offset).limit(limit)
+
+
+def counted(findings: DataFrame) -> DataFrame:
+    """How many findings there are, as one row."""
+    return findings.agg(F.count("*").alias("total"))
+
+
+def run_registry(touches: DataFrame) -> DataFrame:
+    """id, label, status, created_at, updated_at, touch_seq and active of every run, by its log of touches
+    (id, label, status, at, touch_seq): the latest touch tells label and status. The run touched last is the active one."""
+    latest = F.max(F.struct("touch_seq", "label", "status"))
+    runs = touches.groupBy("id").agg(latest.alias("last"), F.min("at").alias("created_at"), F.max("at").alias("updated_at"))
+    newest = touches.agg(F.max("touch_seq").alias("newest"))
+    flat = runs.select("id", "last.label", "last.status", "created_at", "updated_at", "last.touch_seq")
+    return flat.join(newest, flat["touch_seq"] == newest["newest"], "left").select(*flat.columns, F.col("newest").isNotNull().alias("active"))
+
+
+def listed_runs(runs: DataFrame) -> DataFrame:
+    """Runs that are not archived, and the active one in any case."""
+    return runs.filter("status <> 'archived' OR active")
+
+
+def without_run(runs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The registry after the runs of `gone` (id) are deleted: the one touched last of the others becomes active."""
+    left = runs.join(gone.select("id").distinct(), "id", "left_anti").drop("active")
+    newest = left.agg(F.max("touch_seq").alias("newest"))
+    return left.join(newest, left["touch_seq"] == newest["newest"], "left").select(*left.columns, F.col("newest").isNotNull().alias("active"))

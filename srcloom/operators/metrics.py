@@ -81,27 +81,38 @@ def brace_depths(facts: DataFrame) -> DataFrame:
     return dips.withColumn("depth", F.col("after") - F.col("dip")).withColumn("depth_before", F.coalesce(F.lag("depth").over(in_order), F.lit(0)))
 
 
-def indent_depths(facts: DataFrame) -> DataFrame:
-    """path and max_depth by indentation: a deeper line opens a level, a shallower one closes those deeper than itself.
+def indent_nesting(facts: DataFrame) -> DataFrame:
+    """path, max_depth and complexity by indentation: a deeper line opens a level, a shallower one closes those deeper than
+    itself; a line's branch points weigh one more than the depth before it.
 
-    The fold over a file's indents keeps the stack of open levels; blank lines change nothing.
+    Only small numbers of each line are gathered, and the fold over a file's lines keeps the stack of open levels; blank
+    lines change nothing.
     """
-    indents = facts.filter("trimmed <> ''").withColumn("indent", F.length("line") - F.length("trimmed"))
-    rows = indents.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "indent"))), lambda x: x["indent"]).alias("indents"))
-    start = F.struct(F.array(F.lit(0)).alias("stack"), F.lit(0).alias("most"))
+    lines = facts.select("path", "n", F.when(F.col("trimmed") != "", F.length("line") - F.length("trimmed")).alias("indent"), F.col("branches").cast("long").alias("branches"))
+    rows = lines.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("n", "indent", "branches"))).alias("steps"))
+    start = F.struct(F.array(F.lit(0)).alias("stack"), F.lit(0).alias("most"), F.lit(0).cast("long").alias("weighed"))
 
-    def step(state: Column, indent: Column) -> Column:
+    def step(state: Column, line: Column) -> Column:
+        indent = line["indent"]
         open_ = F.filter(state["stack"], lambda level: level <= indent)
-        stack = F.when(F.array_contains(open_, indent), open_).otherwise(F.concat(open_, F.array(indent)))
-        return F.struct(stack.alias("stack"), F.greatest(state["most"], F.size(stack) - 1).alias("most"))
+        deeper = F.when(F.array_contains(open_, indent), open_).otherwise(F.concat(open_, F.array(indent)))
+        stack = F.when(indent.isNull(), state["stack"]).otherwise(deeper)
+        return F.struct(stack.alias("stack"), F.greatest(state["most"], F.size(stack) - 1).alias("most"), (state["weighed"] + line["branches"] * F.size(state["stack"])).alias("weighed"))
 
-    return rows.select("path", F.aggregate("indents", start, step, lambda s: s["most"].cast("long")).alias("max_depth"))
+    folded = rows.select("path", F.aggregate("steps", start, step).alias("end"))
+    return folded.select("path", F.col("end.most").cast("long").alias("max_depth"), F.col("end.weighed").alias("complexity"))
+
+
+def brace_nesting(facts: DataFrame) -> DataFrame:
+    """path, max_depth and complexity (branch points weighted by one more than the depth before their line) by braces."""
+    depths = brace_depths(facts)
+    return depths.groupBy("path").agg(F.max("depth").cast("long").alias("max_depth"), F.sum(F.col("branches") * (1 + F.col("depth_before"))).cast("long").alias("complexity"))
 
 
 def nesting(lines: DataFrame) -> DataFrame:
-    """max_depth and complexity (branch points weighted by one more than the depth before their line) of brace languages."""
-    facts = brace_depths(line_facts(lines.filter("language <> 'python'")))
-    return facts.groupBy("path").agg(F.max("depth").cast("long").alias("max_depth"), F.sum(F.col("branches") * (1 + F.col("depth_before"))).cast("long").alias("complexity"))
+    """max_depth and complexity of every file, by indentation in Python and by braces elsewhere."""
+    facts, python = line_facts(lines), F.coalesce(F.col("language") == "python", F.lit(False))
+    return brace_nesting(facts.filter(~python)).unionByName(indent_nesting(facts.filter(python)))
 
 
 def metric_findings(lines: DataFrame, thresholds: dict[str, int] | None = None) -> DataFrame:
