@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from srcloom.functions.rule_catalog import MIGRATIONS, RULES
 from srcloom.functions.shared import written
 from srcloom.functions.textual import any_glob, glob_pattern
-from srcloom.operators import duplicates, metrics, patterns, symbols
-from srcloom.sources.corpora import CODE_LINES, EXTENSIONS, TEST_NAMES, code_lines, extension, is_test, language, lines_of, prose_files
+from srcloom.operators import duplicates, metrics, patterns, statements, symbols
+from srcloom.sources.corpora import CODE_LINES, EXTENSIONS, TEST_NAMES, code_files, code_lines, extension, is_test, language, lines_of, prose_files
 from srcloom.sources.tables import table
 
 _CODE = CODE_LINES.format(orders="orders", lineitem="lineitem", part="part")
@@ -280,7 +280,7 @@ def pass_throughs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def unused_imports(spark: SparkSession, folder: str) -> DataFrame:
-    return symbols.unused_imports(code_lines(spark, folder))
+    return statements.unused_imports(code_files(spark, folder))
 
 
 def classified_files(spark: SparkSession, folder: str) -> DataFrame:

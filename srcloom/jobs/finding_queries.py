@@ -11,7 +11,7 @@ from srcloom.functions.shared import written
 from srcloom.jobs import code_queries
 from srcloom.operators import findings as f
 from srcloom.operators import scan
-from srcloom.sources.corpora import FINDINGS, code_lines, findings
+from srcloom.sources.corpora import FINDINGS, code_files, findings
 from srcloom.sources.tables import table
 
 _F = f"WITH f AS ({FINDINGS.format(lineitem='lineitem')})"
@@ -179,12 +179,12 @@ def without_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 def scan_findings(spark: SparkSession, folder: str) -> DataFrame:
     """All scans of the code corpus as one findings table; rules of one kind of check are switched off."""
-    rows = scan.scan(written(code_lines(spark, folder), "code"), code_queries.LOW, ["magic-number"])
+    rows = scan.scan(written(code_files(spark, folder), "code"), code_queries.LOW, ["magic-number"])
     return rows.select("id", *scan.COLUMNS, "score")
 
 
 def scan_summary(spark: SparkSession, folder: str) -> DataFrame:
-    rows = scan.scan(written(code_lines(spark, folder), "code"), code_queries.LOW, ["magic-number"])
+    rows = scan.scan(written(code_files(spark, folder), "code"), code_queries.LOW, ["magic-number"])
     return f.summaries(rows.withColumn("status", F.lit("open"))).drop("run_id")
 
 

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcloom.operators import findings, metrics, patterns, symbols
+from srcloom.operators import findings, metrics, patterns, statements, symbols
+from srcloom.sources.corpora import lines_of
 
 COLUMNS = ("check_name", "severity", "category", "language", "file", "start_line", "description", "symbol", "confidence", "fixable")
 
@@ -54,15 +55,16 @@ def enabled(rows: DataFrame, disabled: list[str] | None) -> DataFrame:
     return rows.filter(~F.col("check_name").isin(*disabled)) if disabled else rows
 
 
-def scan(lines: DataFrame, thresholds: dict[str, int] | None = None, disabled: list[str] | None = None) -> DataFrame:
-    """The findings of all scans of a corpus (path, language, n, line) in one schema, with run_id 0, a place, score and id."""
+def scan(files: DataFrame, thresholds: dict[str, int] | None = None, disabled: list[str] | None = None) -> DataFrame:
+    """The findings of all scans of files (path, language, content) in one schema, with run_id 0, a place, score and id."""
+    lines = lines_of(files)
     parts = [
         of_metrics(metrics.metric_findings(lines, thresholds)),
         of_patterns(patterns.pattern_hits(lines)),
         of_races(patterns.races(lines)),
         of_dead_exports(symbols.dead_exports(lines)),
         of_dead_exports(symbols.dead_exports_by_words(lines)),
-        of_unused_imports(symbols.unused_imports(lines)),
+        of_unused_imports(statements.unused_imports(files)),
         of_divergent_exports(symbols.divergent_exports(lines)),
     ]
     rows = enabled(reduce(DataFrame.unionByName, parts), disabled)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcloom.functions.textual import group_of, matches, trim_both
-from srcloom.sources.corpora import is_test
+from srcloom.sources.corpora import is_entry_point, is_test
 
 #: What exports a name, in the order tried.
 EXPORTS = {
@@ -101,7 +101,7 @@ def _confidence() -> Column:
 def dead_exports(lines: DataFrame) -> DataFrame:
     """path, language, n, name and confidence of exports outside tests that no file of the language imports."""
     imported = imports(lines).select("language", "name").distinct()
-    offered = exports(lines).filter(F.col("language").isin("typescript", "python", "java") & ~is_test(F.col("path")))
+    offered = exports(lines).filter(F.col("language").isin("typescript", "python", "java") & ~is_test(F.col("path")) & ~is_entry_point(F.col("path")))
     return offered.join(imported, ["language", "name"], "left_anti").select("path", "language", "n", "name", _confidence().alias("confidence"))
 
 
@@ -113,7 +113,7 @@ def words(lines: DataFrame) -> DataFrame:
 def dead_exports_by_words(lines: DataFrame) -> DataFrame:
     """Go and C# exports whose name stands nowhere but in their own file, by word counts of the language's files."""
     some = lines.filter(F.col("language").isin("go", "csharp"))
-    offered = exports(some).filter(~is_test(F.col("path")))
+    offered = exports(some).filter(~is_test(F.col("path")) & ~is_entry_point(F.col("path")))
     names = offered.select("language", F.col("name").alias("word")).distinct()
     counted = words(some).join(names, ["language", "word"], "left_semi").groupBy("language", "word", "path").count()
     totals = counted.groupBy("language", "word").agg(F.sum("count").alias("total"))
@@ -152,16 +152,6 @@ def implementations(lines: DataFrame) -> DataFrame:
     return each.groupBy("interface").agg(F.count("*").alias("n_implementations"))
 
 
-def unused_imports(lines: DataFrame) -> DataFrame:
-    """path, language, n and name of imports whose name stands on no later line of the file. C# and tests are left out.
-
-    The last line that a word stands on decides, so the range anti-join is one aggregation and an equi-join.
-    """
-    some = lines.filter((F.col("language") != "csharp") & ~is_test(F.col("path")))
-    last = words(some).groupBy("path", F.col("word").alias("name")).agg(F.max("n").alias("last"))
-    return imports(some).join(last, ["path", "name"], "left").filter(F.col("last").isNull() | (F.col("last") <= F.col("n"))).select("path", "language", "n", "name")
-
-
 #: Functions whose whole body is one returned call, and what counts as a function.
 PASS_THROUGH = r"(?:function\s+\w+\s*\([^)]*\)|(?:const|let|var)\s+\w+\s*=\s*(?:\([^)]*\)|[^=])\s*=>)\s*\{?\s*return\s+\w+[\w.]*\([^)]*\)\s*;?\s*\}?"
 CONCISE_ARROW = r"(?:const|let|var)\s+\w+\s*=\s*(?:\([^)]*\)|\w+)\s*=>\s*\w+[\w.]*\([^)]*\)\s*;?"
@@ -174,6 +164,6 @@ def pass_throughs(files: DataFrame, importers: DataFrame, least: float = 0.5) ->
     mostly hand on to another. Tests are left out; `importers` is fan_in's result."""
     content = F.col("content")
     passing = F.when(F.col("language") == "go", F.regexp_count(content, F.lit(GO_PASS_THROUGH))).otherwise(F.regexp_count(content, F.lit(PASS_THROUGH)) + F.regexp_count(content, F.lit(CONCISE_ARROW)))
-    counted = files.filter(~is_test(F.col("path"))).withColumn("n_pass", passing.cast("long")).withColumn("n_functions", F.regexp_count(content, F.lit(ANY_FUNCTION)).cast("long"))
+    counted = files.filter(~is_test(F.col("path")) & ~is_entry_point(F.col("path"))).withColumn("n_pass", passing.cast("long")).withColumn("n_functions", F.regexp_count(content, F.lit(ANY_FUNCTION)).cast("long"))
     met = counted.filter((F.col("n_pass") > 0) & (F.col("n_functions") > 0) & (F.col("n_pass") >= least * F.col("n_functions")))
     return met.join(importers.filter("fan_in BETWEEN 1 AND 2"), "path").select("path", "fan_in", "n_pass", "n_functions")
