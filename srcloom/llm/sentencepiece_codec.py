@@ -35,7 +35,7 @@ from srcloom.llm.textbytes import give_back
 
 SPACE = "▁"
 #: Bytes that a worker's cache of committed stretches may take, about ENTRY_BYTES an entry besides its ids, and its longest stretch.
-CACHE_BYTES, ENTRY_BYTES, LONGEST_CACHED = 64 << 20, 230, 48
+CACHE_BYTES, ENTRY_BYTES, LONGEST_CACHED = 192 << 20, 230, 48
 #: Characters of a text that the stream takes at once, and settled positions between two looks for a common boundary.
 FED, LOOK = 1 << 16, 8
 
