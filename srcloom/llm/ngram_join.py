@@ -80,7 +80,7 @@ def digests(docs: DataFrame, width: int, keep: tuple[str, ...] = ()) -> DataFram
     return docs.select("doc_id", "text", *keep).mapInArrow(run, "doc_id long, n_shingles long, fp long" + "".join(f", {c} long" for c in keep))
 
 
-_POSTINGS = "bucket int, salt int, fps binary, sizes binary, owners binary, low binary, high binary"
+_POSTINGS = "bucket int, salt int, fps binary, sizes binary, counts binary, elements binary"
 _SHARED = "target int, salt int, fps binary, sizes binary, counts binary, elements binary, frequencies binary"
 
 
@@ -130,7 +130,7 @@ class _Block:
             h, o = ids[hot], owners[hot]
             by = np.argsort(o, kind="stable")
             dealt = int(mix64(np.array([(self.task << 32) + self.number], dtype=np.uint64))[0] >> np.uint64(1))
-            out.append((dealt % self.buckets, dealt // self.buckets % SALTS, fps, sizes, o[by], h[by], None))
+            out.append((dealt % self.buckets, dealt // self.buckets % SALTS, fps, sizes, np.bincount(o, minlength=len(fps)).astype(np.uint32), h[by]))
         hot_starts = starts[counts >= HOT_IN_BLOCK]
         marks, mark_at = ids[hot_starts], where[hot_starts]
         ids, owners, where = ids[~hot], owners[~hot], where[~hot]
@@ -138,15 +138,14 @@ class _Block:
             x, y = np.searchsorted(where, [b, b + 1])
             p, q = np.searchsorted(mark_at, [b, b + 1])
             present, local = np.unique(owners[x:y], return_inverse=True)
-            # a mark is a posting of an owner beyond the list
-            e = np.concatenate((ids[x:y], marks[p:q]))
-            who = np.concatenate((local.astype(np.uint16), np.full(q - p, 0xFFFF, dtype=np.uint16)))
-            out.append((b, None, fps[present], sizes[present], who, (e & np.uint64(0xFFFFFFFF)).astype(np.uint32), (e >> np.uint64(32)).astype(np.uint32)))
+            by = np.argsort(local, kind="stable")
+            # elements owner by owner; what is beyond the owners' counts are marks
+            out.append((b, None, fps[present], sizes[present], np.bincount(local, minlength=len(present)).astype(np.uint32), np.concatenate((ids[x:y][by], marks[p:q]))))
         for k in range(0, len(out), 64):
             part = out[k : k + 64]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[c] for r in part], pa.int32()) for c in range(2)] + [pa.array([None if r[c] is None else r[c].tobytes() for r in part], pa.binary()) for c in range(2, 7)],
-                ["bucket", "salt", "fps", "sizes", "owners", "low", "high"],
+                [pa.array([r[c] for r in part], pa.int32()) for c in range(2)] + [pa.array([r[c].tobytes() for r in part], pa.binary()) for c in range(2, 6)],
+                ["bucket", "salt", "fps", "sizes", "counts", "elements"],
             )
 
 
@@ -231,18 +230,17 @@ def _shared_postings(table: pa.Table, targets: int) -> list[tuple]:
         for k in range(row.num_rows):
             get = lambda c: row.column(c)[k].as_buffer()  # noqa: E731, B023
             f, n = np.frombuffer(get("fps"), dtype=np.int64), np.frombuffer(get("sizes"), dtype=np.uint32)
-            who = np.frombuffer(get("owners"), dtype=np.uint16)
+            e, counts = np.frombuffer(get("elements"), dtype=np.uint64), np.frombuffer(get("counts"), dtype=np.uint32)
+            who = np.repeat(np.arange(len(f), dtype=np.int32), counts)
             salt = row.column("salt")[k].as_py()
             if salt is not None:
-                parts += _by_target(f[who], n[who], np.frombuffer(get("low"), dtype=np.uint64), np.full(len(who), HOT_FREQUENCY), targets, salt)
+                parts += _by_target(f[who], n[who], e, np.full(len(who), HOT_FREQUENCY), targets, salt)
                 continue
-            e = np.frombuffer(get("low"), dtype=np.uint32).astype(np.uint64) | (np.frombuffer(get("high"), dtype=np.uint32).astype(np.uint64) << np.uint64(32))
-            mark = who == 0xFFFF
-            marks.append(e[mark])
+            marks.append(e[len(who) :])
             fps.append(f)
             sizes.append(n)
-            owners.append(who[~mark].astype(np.int32) + np.int32(at))
-            ids.append(e[~mark])
+            owners.append(who + np.int32(at))
+            ids.append(e[: len(who)])
             at += len(f)
     if ids:
         fps, sizes, owners, ids, marks = (np.concatenate(x) for x in (fps, sizes, owners, ids, marks))
