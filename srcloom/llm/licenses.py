@@ -15,8 +15,10 @@ table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -113,11 +115,30 @@ def rules() -> list[Rule]:
 
 
 def resolved(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
-    """Detections (first word, word after the last, rule) that no stronger one contains."""
+    """Detections (first word, word after the last, rule) that no stronger one contains.
+
+    Detections of one priority and length are judged together, as none of them contains another but its equal. Of stronger
+    ones those that no other contains are held by place: their beginnings and ends both increase, so the last that begins
+    no later than a detection tells whether it is contained.
+    """
     kept: list[tuple[int, int, Rule]] = []
-    for one in sorted(found, key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label)):
-        if one[2].base or not any(k[0] <= one[0] and one[1] <= k[1] for k in kept):
-            kept.append(one)
+    begins, ends = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    in_order = sorted(found, key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label))
+    for _, alike in groupby(in_order, key=lambda x: (x[2].priority, x[1] - x[0])):
+        some = list(alike)
+        first, end = (np.array([x[k] for x in some], dtype=np.int64) for k in (0, 1))
+        contained = np.zeros(len(some), dtype=bool)
+        contained[1:] = first[1:] == first[:-1]
+        if len(begins):
+            at = np.searchsorted(begins, first, side="right")
+            contained |= (at > 0) & (ends[np.maximum(at - 1, 0)] >= end)
+        kept += [x for x, inside in zip(some, contained.tolist(), strict=True) if x[2].base or not inside]
+        begins, ends = np.concatenate((begins, first[~contained])), np.concatenate((ends, end[~contained]))
+        order = np.lexsort((-ends, begins))
+        begins, ends = begins[order], ends[order]
+        outer = np.ones(len(ends), dtype=bool)
+        outer[1:] = ends[1:] > np.maximum.accumulate(ends)[:-1]
+        begins, ends = begins[outer], ends[outer]
     return kept
 
 
@@ -163,10 +184,12 @@ class Scanner:
     def _stretch(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, begin: int, met: set[int]) -> Iterator[tuple[int, int, Rule]]:
         low = LOWER[data[starts[0] : stops[-1]]].tobytes()
         zero = int(starts[0])
-        spelt = " " + " ".join(low[a - zero : b - zero].decode() for a, b in zip(starts.tolist(), stops.tolist(), strict=True)) + " "
+        words = [low[a - zero : b - zero].decode() for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+        spelt = " " + " ".join(words) + " "
+        begins = list(accumulate((len(w) + 1 for w in words), initial=1))  # of each word in `spelt`
         for rule in {id(r): r for m in met for r in self.rules_of[m]}.values():
             for match in rule.pattern.finditer(spelt):
-                first = begin + spelt.count(" ", 0, match.start()) - 1
+                first = begin + bisect_left(begins, match.start())
                 yield first, first + match.group().count(" ") + 1, rule
 
 

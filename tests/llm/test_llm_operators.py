@@ -583,6 +583,46 @@ def test_licenses_keep_the_wider_detection(spark):
     assert len(licenses.rules()) > 200
 
 
+def plain_resolved(found):
+    kept = []
+    for one in sorted(found, key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label)):
+        if one[2].base or not any(k[0] <= one[0] and one[1] <= k[1] for k in kept):
+            kept.append(one)
+    return kept
+
+
+def test_licenses_own_labels_and_scores_are_brute_force(spark):
+    rng = random.Random(12)
+    parts = ["MIT", "License", "apache", "license", "version", "2", "cc by", "nc", "sa", "released under the terms of", "GPL v3", "SPDX-License-Identifier:", "all rights reserved", "BSD", "3 clause", "word", "other"]
+    rows = [(i, " ".join(rng.choices(parts, k=60))) for i in range(40)]
+    got = {r.doc_id: r for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower())
+        spelt = " " + " ".join(words) + " "
+        found = []
+        for rule in licenses.rules():  # every rule over the whole text, without keywords or stretches
+            for match in rule.pattern.finditer(spelt):
+                first = spelt.count(" ", 0, match.start()) - 1
+                found.append((first, first + match.group().count(" ") + 1, rule))
+        kept = plain_resolved(found)
+        assert got[i].labels == ",".join(sorted({d[2].label for d in kept}))
+        assert got[i].score == max((d[2].confidence for d in kept), default=0.0)
+        assert sorted((d.first_word, d.end_word, d.label) for d in got[i].detections) == sorted((a, b, r.label) for a, b, r in kept)
+
+
+def test_licenses_resolve_like_pairwise_comparison():
+    rng = random.Random(13)
+    some = licenses.rules()
+    for _ in range(200):
+        found = [(a, a + rng.randrange(1, 9), rng.choice(some)) for a in rng.choices(range(30), k=25)]
+        assert licenses.resolved(found) == plain_resolved(found)
+
+
+def test_licenses_on_a_long_text_dense_with_keywords(spark):
+    row = licenses.report(spark.createDataFrame([(1, "mit license " * 100_000)], "doc_id long, text string")).first()
+    assert row.n_base == 100_000 and row.last_word == 199_998
+
+
 def test_licenses_rows(odd, empty):
     assert licenses.report(odd).count() == len(ODD) and licenses.report(empty).count() == 0
 
