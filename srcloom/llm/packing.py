@@ -38,7 +38,7 @@ LENGTH, END_ID = 4096, 1
 OPEN_SEQUENCES = 256
 PIECES_EACH = 100_000
 #: Bytes that a worker's chunk cache may take (an entry: its texts and about ENTRY_BYTES), and the longest chunk kept there.
-CACHE_BYTES, ENTRY_BYTES, LONGEST_CACHED = 48 << 20, 200, 48
+CACHE_BYTES, ENTRY_BYTES, LONGEST_CACHED = 128 << 20, 200, 48
 #: A word of Latin letters (ASCII, or two bytes of U+00DF to U+00FF without the division sign), then ASCII marks but no apostrophe.
 _WORD_AND_MARKS = re.compile(rb"((?:[A-Za-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
 
