@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from srcloom.functions.rule_catalog import MIGRATIONS, RULES
 from srcloom.functions.textual import ascii_pattern, glob_pattern, hundredths
 from srcloom.jobs.code_queries import duplicate_clusters
-from srcloom.operators import duplicates, findings, metrics, patterns, symbols
+from srcloom.operators import duplicates, findings, metrics, patterns, statements, symbols
 from srcloom.operators.components import components
 from srcloom.sources.corpora import files_of_folder, language, lines_of
 
@@ -32,7 +32,7 @@ def test_depth_never_falls_below_zero(spark):
 def test_indent_depth(spark):
     text = "def a():\n  if x:\n    y\n\n  z\nw"
     facts = metrics.line_facts(lines(spark, a__py=text))
-    assert metrics.indent_depths(facts).first().max_depth == 2
+    assert metrics.indent_nesting(facts).first().max_depth == 2
 
 
 def test_optional_marks_are_no_branches(spark):
@@ -74,8 +74,9 @@ def test_dead_and_divergent_exports(spark):
 
 
 def test_unused_imports(spark):
-    some = lines(spark, a__ts="import { used, unused } from './b'\nused()", b__py="from m import (x, y)\nprint(x)", c__cs="using Foo = Bar;")
-    assert sorted((r.path, r.name) for r in symbols.unused_imports(some).collect()) == [("a.ts", "unused"), ("b.py", "y")]
+    data = [("a.ts", "typescript", "import { used, unused } from './b'\nused()"), ("b.py", "python", "from m import (x, y)\nprint(x)"), ("c.cs", "csharp", "using Foo = Bar;")]
+    some = spark.createDataFrame(data, "path string, language string, content string")
+    assert sorted((r.path, r.name) for r in statements.unused_imports(some).collect()) == [("a.ts", "unused"), ("b.py", "y")]
 
 
 def test_window_matches_and_clusters(spark):
@@ -149,13 +150,19 @@ def test_folder_source(spark, tmp_path):
 def test_findings_of_all_runs(spark, folder):
     from srcloom.jobs import finding_queries as q
 
-    all_runs = {r.run_id for r in q.stamped(spark, folder).select("run_id").distinct().collect()}
-    assert q.patched_runs(spark, folder).count() == q.stamped(spark, folder).count()
-    assert {r.run_id for r in q.merged_runs(spark, folder).select("run_id").distinct().collect()} == all_runs - {min(all_runs)}
-    assert {r.run_id for r in q.carried_runs(spark, folder).select("run_id").distinct().collect()} <= all_runs - {min(all_runs)}
-    of = lambda rows, run: sorted(map(str, (r[1:] for r in rows.filter(f"run_id = {run}").collect())))
-    assert of(q.patched_runs(spark, folder).select("run_id", *q.patched(spark, folder).columns), 2) == sorted(str(tuple(r)) for r in q.patched(spark, folder).collect())
-    assert of(q.merged_runs(spark, folder), 1) == sorted(str(tuple(r)) for r in q.merged(spark, folder).collect())
+    stamped = findings.stamped(q.findings(spark, folder))
+    all_runs = sorted(r.run_id for r in stamped.select("run_id").distinct().collect())
+    assert q.patched(spark, folder).count() == stamped.count()
+    merged = sorted(str(tuple(r)) for r in q.merged(spark, folder).collect())
+    carried = sorted(str(tuple(r)) for r in q.carried(spark, folder).collect())
+    want_merged, want_carried = [], []
+    for prior, run in zip(all_runs, all_runs[1:], strict=False):  # run by run
+        old, new = stamped.filter(F.col("run_id") == prior), stamped.filter(F.col("run_id") == run)
+        scan = new.select("id", "severity", F.when(F.col("status") == "fixed", "fixed").alias("status"))
+        want_merged += [str((run, *r)) for r in findings.merged(q._state(old), scan).collect()]
+        want_carried += [str((run, *r)) for r in findings.carried(new, old).collect()]
+    assert merged == sorted(want_merged) and carried == sorted(want_carried)
+
 
 
 def test_runs_follow_each_other_over_gaps(spark):
