@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from srcloom.llm.license_signatures import SIGNATURES
 from srcloom.llm.textbytes import LOWER, LOWER_VALUE, byte_classes, text_slices, word_hashes, word_spans
 
 WORD = byte_classes(bytes([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]))
@@ -105,8 +106,9 @@ def _compiled(pattern: str) -> re.Pattern:
 
 
 def rules() -> list[Rule]:
-    """Base phrases first, then every license in every phrasing, then statements and bare names of several words."""
+    """Base phrases first, then signatures, every license in every phrasing, statements and bare names of several words."""
     out = [Rule(label, _compiled(phrase), (max(phrase.split(), key=lambda w: (w != "license", len(w), w)),), 100, 1.0, True) for phrase, label in BASE]
+    out += [Rule(label, _compiled(pattern), keywords, 95, confidence) for label, pattern, keywords, confidence in SIGNATURES]
     for at, (phrasing, confidence) in enumerate(PHRASINGS):
         out += [Rule(label, _compiled(phrasing.replace("{name}", f"(?:{name})")), keywords, 90 - at, confidence) for label, name, keywords in LICENSES]
     out += [Rule(label, _compiled(pattern), keywords, 50, confidence) for pattern, label, keywords, confidence in STATEMENTS]

@@ -9,6 +9,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from srcloom.llm import chat, licenses, line_dedup, nearest, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_codec, skew, toxicity
@@ -610,6 +612,37 @@ def test_licenses_own_labels_and_scores_are_brute_force(spark):
         assert sorted((d.first_word, d.end_word, d.label) for d in got[i].detections) == sorted((a, b, r.label) for a, b, r in kept)
 
 
+@settings(max_examples=400, deadline=None, derandomize=True, suppress_health_check=list(HealthCheck))
+@given(st.data())
+def test_licenses_every_match_holds_a_keyword_within_reach(data):
+    rule = data.draw(st.sampled_from(licenses.rules()))
+    pattern = rule.pattern.pattern.removeprefix("(?<= )").removesuffix("(?= )")
+    words = data.draw(st.from_regex(re.compile(pattern), fullmatch=True, alphabet="abcdefghijklmnopqrstuvwxyz0123456789 ")).split(" ")
+    places = [k for k, word in enumerate(words) if word in rule.keywords]
+    assert any(k <= licenses.REACH and len(words) - 1 - k <= licenses.REACH for k in places), (rule.label, words)
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("This program is free software under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "gpl-2-or-later"),
+        ("GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "lgpl-2.1-or-later"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software)", "mit"),
+        ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "bsd-3-clause"),
+        ("see http://www.apache.org/licenses/LICENSE-2.0.txt", "apache-2"),
+        ("https://creativecommons.org/licenses/by-nc-sa/4.0/", "cc-by-nc-sa"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at", "mpl-2"),
+        ("SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note", "gpl-2-syscall"),
+        ("Unauthorized copying of this file, via any medium is strictly prohibited. Proprietary and confidential", "proprietary"),
+        ("The Apache tribe and the public, commons and a foundation of freedom: nothing here is a license.", ""),
+    ],
+)
+def test_licenses_signatures_of_texts_and_headers(text, labels):
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    _, found = licenses.Scanner(licenses.rules()).scan(data, np.array([0, len(data)]))
+    assert ",".join(sorted({d[2].label for d in found.get(0, [])})) == labels
+
+
 def test_licenses_resolve_like_pairwise_comparison():
     rng = random.Random(13)
     some = licenses.rules()
