@@ -110,11 +110,13 @@ def _cell(k: int):
         for q_ids, q_vectors, q_codes, q_scales, q_errors in _unpacked(left):
             heaps = Heaps(len(q_ids), k)
             q_wide = q_codes.astype(np.float32)
+            dim = q_codes.shape[1]
+            rounding = 1e-6 if 127 * 127 * dim < 1 << 24 else 1e-6 + dim * 2.0**-22  # sums of codes are whole in float32 up to 2^24
             for ids, vectors, codes, scales, errors in _unpacked(right):
                 for t in range(0, len(ids), TILE):
                     cut = slice(t, t + TILE)
                     near = (q_wide @ codes[cut].astype(np.float32).T).astype(np.float64) * q_scales[:, None] * scales[cut]
-                    slack = q_errors[:, None] * (1 + errors[cut]) + errors[cut] + 1e-6
+                    slack = q_errors[:, None] * (1 + errors[cut]) + errors[cut] + rounding
                     own = q_ids[:, None] == ids[cut]
                     low = np.where(own, -np.inf, near - slack)
                     floor = heaps.floor

@@ -557,6 +557,20 @@ def test_line_dedup_rows(odd, empty):
     assert line_dedup.digest(empty).count() == 0
 
 
+def test_nearest_of_long_vectors_is_brute_force(spark):
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=3000)
+    vectors = [(i, [float(x) for x in (base + rng.normal(size=3000) * 1e-3).astype(np.float32)]) for i in range(120)]
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in nearest.nearest(spark.createDataFrame(vectors, "vec_id long, embedding array<float>")).collect()}
+    x = np.array([v for _, v in vectors])
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    for q in (0, 50, 100):
+        score = unit @ unit[q]
+        best = [i for i in np.argsort(-score, kind="stable") if i != q][:5]
+        assert [got[q, k + 1][0] for k in range(5)] == best
+        assert all(math.isclose(got[q, k + 1][1], score[i], abs_tol=1e-12) for k, i in enumerate(best))
+
+
 # Licenses
 
 
