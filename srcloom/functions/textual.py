@@ -11,11 +11,26 @@ from pyspark.sql import functions as F
 #: White space that trimming removes.
 TRIMMED = r"\s ﻿  "
 _BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+_WORD = r"[0-9A-Za-z_]"
+#: A word character, or a group of alternatives that all begin (end) with one, that no quantifier makes optional.
+_BEGINS = re.compile(rf"(?:{_WORD}|\((?:\?:)?{_WORD}[^()\[\]|]*(?:\|{_WORD}[^()\[\]|]*)*\))(?![?*{{])")
+_ENDS = re.compile(rf"(?:(?<!\\){_WORD}|\((?:\?:)?(?:{_WORD}*\|)*{_WORD}+\))$")
 
 
+@lru_cache(maxsize=None)
 def ascii_pattern(pattern: str) -> str:
-    r"""A pattern whose \b stands between ASCII word characters only; Java's own looks at Unicode."""
-    return re.sub(r"(?<!\\)((?:\\\\)*)\\b", lambda m: m[1] + _BOUNDARY, pattern)
+    r"""A pattern whose \b stands between ASCII word characters only; Java's own looks at Unicode.
+
+    Where the pattern itself says that a word character comes next, or came before, only the other side is asked.
+    """
+    out, at = "", 0
+    for m in re.finditer(r"(?<!\\)(?:\\\\)*(\\b)", pattern):
+        before, after = pattern[: m.start(1)], pattern[m.end(1) :]
+        begins = _BEGINS.match(after)
+        surely = begins and not re.search(rf"(?:^\((?:\?:)?|\|){_WORD}[?*{{]", begins[0])
+        side = r"(?<!\w)" if surely else r"(?!\w)" if _ENDS.search(before) else _BOUNDARY
+        out, at = out + pattern[at : m.start(1)] + side, m.end(1)
+    return out + pattern[at:]
 
 
 def matches(x: Column, pattern: str) -> Column:
@@ -31,6 +46,11 @@ def group_of(x: Column, pattern: str, group: int = 1) -> Column:
     return F.when(matches(x, pattern), F.regexp_extract(x, ascii_pattern(pattern), group))
 
 
+def replaced(x: Column, holds: str, pattern: str, by: str) -> Column:
+    """regexp_replace where x holds a string that every match of the pattern holds; other texts skip the pattern."""
+    return F.when(x.contains(holds), F.regexp_replace(x, pattern, by)).otherwise(x)
+
+
 def trim_start(x: Column) -> Column:
     return F.regexp_replace(x, f"^[{TRIMMED}]+", "")
 

@@ -6,12 +6,10 @@ file; nesting is a running sum over a file's lines, so nothing but the file is e
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcloom.functions.textual import base_name, count_of, matches, trim_start
+from srcloom.functions.textual import base_name, count_of, matches, replaced, trim_start
 from srcloom.sources.corpora import is_test
 
 #: Words and operators that each add one branch point.
@@ -23,17 +21,18 @@ THRESHOLDS = {"lines": 300, "complexity": 100, "nesting": 4, "exports": 10, "imp
 
 def stripped(trimmed: Column, python: Column) -> Column:
     """A trimmed line without trailing comments and the insides of quotes."""
-    x = F.regexp_replace(trimmed, r"//.*$", "")
-    x = F.when(python, F.regexp_replace(x, r"#.*$", "")).otherwise(x)
-    x = F.regexp_replace(x, r'"(?:[^"\\]|\\.)*"', '""')
-    return F.regexp_replace(x, r"'(?:[^'\\]|\\.)*'", "''")
+    x = replaced(trimmed, "//", r"//.*$", "")
+    x = F.when(python, replaced(x, "#", r"#.*$", "")).otherwise(x)
+    x = replaced(x, '"', r'"(?:[^"\\]|\\.)*"', '""')
+    return replaced(x, "'", r"'(?:[^'\\]|\\.)*'", "''")
 
 
 def branch_points(x: Column) -> Column:
-    words = reduce(lambda a, b: a + b, [count_of(x, p) for p in BRANCH_WORDS])
-    ifs = count_of(x, r"\bif\b") + count_of(x, r"\belse\b") - count_of(x, r"\belse\s+if\b")
-    marks = count_of(x, r"\?") - count_of(x, r"\?\.") - 2 * count_of(x, r"\?\?") - count_of(x, r"\w\s*\?\s*[:)(]")
-    return ifs + words + marks
+    """Branch points of a stripped line. No two of the words overlap, so one pass counts them all."""
+    words = count_of(x, "|".join((*BRANCH_WORDS, r"\bif\b", r"\belse\b")))
+    chained = F.when(x.contains("else"), count_of(x, r"\belse\s+if\b")).otherwise(0)
+    marks = F.when(x.contains("?"), count_of(x, r"\?") - count_of(x, r"\?\.") - 2 * count_of(x, r"\?\?") - count_of(x, r"\w\s*\?\s*[:)(]")).otherwise(0)
+    return words - chained + marks
 
 
 def line_facts(lines: DataFrame) -> DataFrame:
@@ -48,8 +47,8 @@ def line_facts(lines: DataFrame) -> DataFrame:
         facts.withColumn("is_comment", F.coalesce(comment, F.lit(False)))
         .withColumn("is_code", (F.col("trimmed") != "") & ~F.col("is_comment"))
         .withColumn("branches", branch_points(code))
-        .withColumn("exports", F.when(go, matches(code, r"\b(?:func|type|var|const)\s+[A-Z]")).otherwise(matches(code, r"\bexport\b")).cast("int"))
-        .withColumn("imports", F.when(go, go_import).otherwise(matches(code, r"\bimport\b") | matches(code, r"\brequire\s*\(")).cast("int"))
+        .withColumn("exports", F.when(go, matches(code, r"\b(?:func|type|var|const)\s+[A-Z]")).otherwise(code.contains("export") & matches(code, r"\bexport\b")).cast("int"))
+        .withColumn("imports", F.when(go, go_import).otherwise((code.contains("import") & matches(code, r"\bimport\b")) | (code.contains("require") & matches(code, r"\brequire\s*\("))).cast("int"))
     )
 
 
