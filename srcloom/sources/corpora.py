@@ -153,11 +153,11 @@ _NAMES = "SELECT CASE kind" + _SELECT.split("CAST(row_number()", 1)[0]
 
 
 def code_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The code corpus as files: path, language and content."""
+    """The code corpus as files: path, language and content. They lie by path, so that windows by path move nothing."""
     tables = {name: table(spark, folder, name) for name in ("orders", "lineitem", "part")}
     lines = spark.sql(f"{_NUMBERED}{_NAMES} ord, line FROM numbered", **tables)
-    gathered = lines.groupBy("path", "language").agg(F.sort_array(F.collect_list(F.struct("ord", "line"))).alias("lines"))
-    return gathered.select("path", "language", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("content"))
+    gathered = lines.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("ord", "line"))).alias("lines"))
+    return gathered.select("path", language(F.col("path")).alias("language"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("content"))
 
 
 def code_lines(spark: SparkSession, folder: str) -> DataFrame:
