@@ -141,8 +141,8 @@ def fan_in(lines: DataFrame) -> DataFrame:
     """
     offered = exports(lines).select(F.col("path").alias("provider"), "name").distinct()
     wanted = imports(lines).select(F.col("path").alias("importer"), F.explode(F.array_distinct(F.array("name", F.element_at(F.split("name", r"\."), -1)))).alias("name")).distinct()
-    pairs = offered.join(wanted, "name").filter("provider <> importer").groupBy("provider").agg(F.count_distinct("importer").alias("fan_in"))
-    return offered.select("provider").distinct().join(pairs, "provider", "left").select(F.col("provider").alias("path"), F.coalesce("fan_in", F.lit(0)).cast("long").alias("fan_in"))
+    met = offered.join(wanted, "name", "left").groupBy(F.col("provider").alias("path"))
+    return met.agg(F.count_distinct(F.when(F.col("importer") != F.col("provider"), F.col("importer"))).alias("fan_in"))
 
 
 def implementations(lines: DataFrame) -> DataFrame:
