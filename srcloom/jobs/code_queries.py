@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from srcloom.functions.rule_catalog import MIGRATIONS, RULES
 from srcloom.functions.shared import written
 from srcloom.functions.textual import any_glob, glob_pattern
-from srcloom.operators import duplicates, metrics, patterns, statements, symbols
+from srcloom.operators import code_duplicates, duplicates, metrics, patterns, statements, symbols
 from srcloom.sources.corpora import CODE_LINES, EXTENSIONS, TEST_NAMES, code_files, code_lines, extension, is_test, language, lines_of, prose_files
 from srcloom.sources.tables import table
 
@@ -323,6 +323,20 @@ def duplicate_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return duplicates.clusters(written(duplicates.window_links(_word_items(spark, folder), WINDOW), "window-links"))
 
 
+def code_window_matches(spark: SparkSession, folder: str) -> DataFrame:
+    tokens = written(code_duplicates.token_files(code_files(spark, folder)), "tokens")
+    found = duplicates.pairs_of_windows(code_duplicates.code_windows(tokens, code_duplicates.SIZE), code_duplicates.SIZE)
+    return found.groupBy("path_a", "path_b").agg(F.count("*").alias("n_windows"))
+
+
+def code_duplicate_regions(spark: SparkSession, folder: str) -> DataFrame:
+    return code_duplicates.duplicate_regions(code_files(spark, folder))
+
+
+def code_duplicate_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return code_duplicates.region_clusters(code_duplicate_regions(spark, folder))
+
+
 _WINDOWS = f"""WITH items AS (
   SELECT coalesce(source, 'none') || '/' || doc_id::VARCHAR || '.py' AS path, regexp_extract_all(coalesce(text, ''), '[^\\s]+') AS w FROM documents
 ), windows AS (
@@ -343,6 +357,20 @@ CLUSTERS = f"""{_WINDOWS.replace('WITH items', 'WITH RECURSIVE items', 1)}, link
 SELECT path, root, count(*) OVER (PARTITION BY root)::BIGINT AS size FROM rooted"""
 
 
+# the corpus holds no negative numbers, which RE2 could not tell from differences
+_ONE_TOKEN = "|".join((code_duplicates.COMMENT.replace(r"\Z", r"\z"), code_duplicates.STRING, code_duplicates.NAME, code_duplicates.NUMBER, r"[(){}\[\];,.<>+*/=!&|?:-]"))
+CODE_WINDOWS = f"""{CODE}, whole AS (SELECT path, string_agg(line, chr(10) ORDER BY n) AS x FROM code GROUP BY path), raw AS (
+  SELECT path, list_filter(regexp_extract_all(x, {_q(_ONE_TOKEN)}), lambda t: NOT (t[1] = '#' OR starts_with(t, '//') OR starts_with(t, '/*'))) AS w FROM whole
+), items AS (
+  SELECT path, list_transform(w, lambda t: CASE WHEN t[1] IN ('"', '''', '`') THEN 'STR' WHEN regexp_matches(t[1], '[0-9]') THEN 'NUM' WHEN t IN ({_KEYWORD_LIST}) OR NOT regexp_matches(t[1], '[A-Za-z_$]') THEN t ELSE 'IDENT' END) AS w
+  FROM raw WHERE len(w) >= {code_duplicates.SIZE}
+), held AS (
+  SELECT path, start, md5(array_to_string(list_slice(w, start + 1, start + {code_duplicates.SIZE}), ' ')) AS key FROM (SELECT path, w, unnest(range(len(w) - {code_duplicates.SIZE} + 1)) AS start FROM items)
+), common AS (SELECT key FROM held GROUP BY key HAVING count(*) BETWEEN 2 AND {duplicates.MOST_IN_BUCKET}), kept AS (SELECT * FROM held SEMI JOIN common USING (key))
+SELECT a.path AS path_a, b.path AS path_b, count(*)::BIGINT AS n_windows FROM kept a JOIN kept b ON a.key = b.key
+ AND (a.path < b.path OR (a.path = b.path AND b.start - a.start >= {code_duplicates.SIZE})) GROUP BY 1, 2"""
+
+
 _FAN_IN = """, wanted AS (SELECT DISTINCT path AS importer, name FROM imports WHERE name IS NOT NULL), pairs AS (
   SELECT e.path, count(DISTINCT importer) AS k FROM exports e JOIN wanted w ON w.name = e.name AND w.importer <> e.path GROUP BY e.path
 ), fan_in AS (SELECT p.path, coalesce(k, 0)::BIGINT AS fan_in FROM (SELECT DISTINCT path FROM exports) p LEFT JOIN pairs USING (path))"""
@@ -379,6 +407,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "token_histogram": token_histogram,
     "window_matches": window_matches,
     "duplicate_clusters": duplicate_clusters,
+    "code_window_matches": code_window_matches,
+    "code_duplicate_regions": code_duplicate_regions,
+    "code_duplicate_clusters": code_duplicate_clusters,
 }
 
 SQL: dict[str, str] = {
@@ -405,4 +436,5 @@ SQL: dict[str, str] = {
     "token_histogram": TOKENS,
     "window_matches": f"{_WINDOWS} SELECT * FROM pairs",
     "duplicate_clusters": CLUSTERS,
+    "code_window_matches": CODE_WINDOWS,
 }
