@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from srcloom.functions.rule_catalog import MIGRATIONS, RULES
 from srcloom.functions.shared import written
 from srcloom.functions.textual import any_glob, glob_pattern
-from srcloom.operators import code_duplicates, duplicates, metrics, patterns, statements, symbols
+from srcloom.operators import abstractions, code_duplicates, duplicates, metrics, patterns, statements, symbols
 from srcloom.sources.corpora import CODE_LINES, EXTENSIONS, TEST_NAMES, code_files, code_lines, extension, is_test, language, lines_of, prose_files
 from srcloom.sources.tables import table
 
@@ -279,6 +279,18 @@ def pass_throughs(spark: SparkSession, folder: str) -> DataFrame:
     return symbols.pass_throughs(files, symbols.fan_in(lines))
 
 
+def _with_importers(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return code_files(spark, folder), symbols.fan_in(code_lines(spark, folder))
+
+
+def single_method_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return abstractions.single_method_classes(*_with_importers(spark, folder))
+
+
+def single_implementation_interfaces(spark: SparkSession, folder: str) -> DataFrame:
+    return abstractions.single_implementation_interfaces(*_with_importers(spark, folder))
+
+
 def unused_imports(spark: SparkSession, folder: str) -> DataFrame:
     return statements.unused_imports(code_files(spark, folder))
 
@@ -383,6 +395,20 @@ PASS_THROUGHS = f"""{CODE}{_EXPORTS}{_IMPORTS}{_FAN_IN}, whole AS (
 SELECT path, fan_in, n_pass, n_functions FROM counted JOIN fan_in USING (path)
 WHERE n_pass > 0 AND n_functions > 0 AND n_pass >= 0.5 * n_functions AND fan_in BETWEEN 1 AND 2"""
 
+# a file of the corpus has one class at most, which its last line closes
+_ASKED = f"""{CODE}{_EXPORTS}{_IMPORTS}{_FAN_IN}, whole AS (SELECT path, language, string_agg(line, chr(10) ORDER BY n) AS x FROM code GROUP BY path, language), asked AS (
+  SELECT path, language, x FROM whole JOIN fan_in USING (path) WHERE fan_in BETWEEN 1 AND 2 AND language IN ('typescript', 'java', 'csharp') AND NOT {_TEST}
+)"""
+SINGLE_METHODS = f"""{_ASKED}, classes AS (
+  SELECT path, regexp_extract(x, {_q(abstractions.CLASS)}, 1) AS symbol, regexp_extract_all(substr(x, strpos(x, 'class ')), {_q('(?m)' + abstractions.METHOD)}, 1) AS methods FROM asked WHERE contains(x, 'class ')
+)
+SELECT path, symbol, methods[1] AS method FROM classes WHERE len(methods) = 1"""
+SINGLE_IMPLEMENTATIONS = f"""{_ASKED}, offered AS (SELECT DISTINCT path, language, unnest(regexp_extract_all(x, {_q(abstractions.INTERFACE)}, 1)) AS symbol FROM asked), listed AS (
+  SELECT trim(unnest(string_split(list, ','))) AS symbol, colon FROM (
+    SELECT unnest(regexp_extract_all(x, {_q(abstractions.IMPLEMENTS)}, 1)) AS list, false AS colon FROM whole UNION ALL SELECT unnest(regexp_extract_all(x, {_q(abstractions.COLON)}, 1)), true FROM whole)
+)
+SELECT o.path, o.symbol FROM offered o JOIN listed n ON n.symbol = o.symbol AND (NOT n.colon OR o.language = 'csharp') GROUP BY o.path, o.symbol HAVING count(*) = 1"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "file_metrics": file_metrics,
     "code_metrics": code_metrics,
@@ -402,6 +428,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fan_in": fan_in,
     "implementations": single_implementations,
     "pass_through_files": pass_throughs,
+    "single_method_classes": single_method_classes,
+    "single_implementation_interfaces": single_implementation_interfaces,
     "unused_imports": unused_imports,
     "classified_files": classified_files,
     "token_histogram": token_histogram,
@@ -430,6 +458,8 @@ SQL: dict[str, str] = {
     "divergent_exports": f"{CODE}{_EXPORTS} SELECT name, count(DISTINCT path)::BIGINT AS n_files, min(path) AS first_path FROM exports WHERE NOT {_TEST} AND CASE WHEN regexp_matches(name, '[a-z][A-Z]') OR (contains(name, '_') AND len(list_filter(string_split(name, '_'), lambda p: p <> '')) >= 2) THEN length(name) >= 6 ELSE length(name) >= 12 END GROUP BY name HAVING count(DISTINCT path) >= 2",
     "fan_in": f"{CODE}{_EXPORTS}{_IMPORTS}{_FAN_IN} SELECT * FROM fan_in",
     "pass_through_files": PASS_THROUGHS,
+    "single_method_classes": SINGLE_METHODS,
+    "single_implementation_interfaces": SINGLE_IMPLEMENTATIONS,
     "implementations": f"{CODE}, each AS (SELECT trim(unnest(string_split(nullif(regexp_extract(line, 'implements\\s+([A-Za-z_$][\\w$]*(?:\\s*,\\s*[A-Za-z_$][\\w$]*)*)', 1), ''), ','))) AS interface FROM code) SELECT interface, count(*)::BIGINT AS n_implementations FROM each GROUP BY 1",
     "unused_imports": f"{CODE}{_IMPORTS}, words AS (SELECT path, n, unnest(regexp_extract_all(line, '[A-Za-z0-9_]+')) AS word FROM code), last AS (SELECT path, word, max(n) AS n FROM words GROUP BY 1, 2) SELECT i.path, i.language, i.n, i.name FROM imports i LEFT JOIN last l ON l.path = i.path AND l.word = i.name WHERE i.name IS NOT NULL AND i.language <> 'csharp' AND NOT {_TEST.replace('(path,', '(i.path,')} AND coalesce(l.n, 0) <= i.n",
     "classified_files": CLASSIFIED,

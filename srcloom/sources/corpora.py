@@ -134,6 +134,14 @@ WITH o AS (
   SELECT 'p', p, lang, 3, CASE WHEN lang = 0 THEN '  size: any; // ' || size ELSE '  brand = "' || brand || '";' END FROM p
   UNION ALL
   SELECT 'p', p, lang, 4, '}}' FROM p
+  UNION ALL
+  SELECT 'p', p, lang, 5, 'class Kit' || s || ' implements Part' || s || CASE WHEN p % 10 = 0 THEN ', Part' || CAST(p + 5 AS STRING) ELSE '' END || ' {{' FROM p WHERE lang = 0
+  UNION ALL
+  SELECT 'p', p, lang, 6, '  weigh(q) {{ return q; }}' FROM p WHERE lang = 0
+  UNION ALL
+  SELECT 'p', p, lang, 7, '  price(q) {{ return q; }}' FROM p WHERE lang = 0 AND p % 3 = 0
+  UNION ALL
+  SELECT 'p', p, lang, 8, '}}' FROM p WHERE lang = 0
 )
 SELECT CASE kind WHEN 'o' THEN 'orders/' ELSE 'parts/' END
        || CASE kind WHEN 'o' THEN 'order' ELSE 'part' END || CAST(k AS STRING)
