@@ -12,7 +12,7 @@ hash, so no source or group of copies meets in a cell. Query blocks are replicat
 
 Vectors that are null, empty, zero or have null or non-finite components take no part. Only vectors of equal length
 meet. Rows of the query's own vec_id are never its neighbours; repeated vec_ids are candidates each. Ties go to the
-smaller vec_id. An empty table gives an empty result; other columns are not read.
+smaller vec_id. Components keep the precision of the column. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -72,12 +72,18 @@ def _packed(rows_each: int):
 
 def _unpacked(table: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
     for row in table.to_pylist():
-        d = row["dim"]
-        yield np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["vectors"], dtype=np.float32).reshape(-1, d), np.frombuffer(row["codes"], dtype=np.int8).reshape(-1, d), np.frombuffer(row["scales"]), np.frombuffer(row["errors"])
+        d, ids = row["dim"], np.frombuffer(row["ids"], dtype=np.int64)
+        kind = np.float32 if len(row["vectors"]) == 4 * d * len(ids) else np.float64
+        yield ids, np.frombuffer(row["vectors"], dtype=kind).reshape(-1, d), np.frombuffer(row["codes"], dtype=np.int8).reshape(-1, d), np.frombuffer(row["scales"]), np.frombuffer(row["errors"])
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise cosine in double precision, each sum in the order of the components."""
+    """Row-wise cosine in double precision, each sum in the order of the components.
+
+    Rows of doubles are first divided by a power of two near their largest component, which rounds nothing and keeps
+    squares in range.
+    """
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None]) if x.dtype == np.float64 else x for x in (a, b))
     dot, x, y = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
     for k in range(a.shape[1]):
         p, q = a[:, k].astype(np.float64), b[:, k].astype(np.float64)
@@ -137,9 +143,10 @@ def _cell(k: int):
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and vector (array<float>) of the rows that take part."""
+    """vec_id and vector (array<float> where the column is that, else array<double>) of the rows that take part."""
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     finite = ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("vector")).filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0))
+    return vectors.select("vec_id", F.col("embedding").cast(kind).alias("vector")).filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0))
 
 
 def nearest(vectors: DataFrame, queries_each: int = 50, k: int = 5) -> DataFrame:

@@ -159,6 +159,18 @@ def test_nearest_is_brute_force(spark):
     assert nearest.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_keeps_doubles(spark):
+    far, close = [1.0, 1.0 + 2e-9], [1.0, 1.0 + 1e-9]  # equal as floats
+    rows = [(0, [1.0, 1.0]), (1, far), (2, close), (3, [1e300, 1.00001e300]), (4, [1e-300, -1e-300])]
+    got = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 3, 4] and [round(r.score, 9) for r in got] == [1.0, 1.0, 1.0, 0.0]
+    turned = [(0, [1.0, 0.0]), (1, [1.0, 2e-5]), (2, [1.0, 1e-5]), (3, [1.0, 1e-5 + 1e-12])]
+    doubles = nearest.nearest(spark.createDataFrame(turned, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [r.vec_id for r in doubles] == [2, 3, 1]
+    whole = nearest.nearest(spark.createDataFrame([(0, [3, 4]), (1, [6, 8]), (2, [16777217, 1])], "vec_id long, embedding array<int>")).orderBy("rank").collect()
+    assert [(r.vec_id, round(r.score, 9)) for r in whole] == [(1, 1.0), (2, round((3 * 16777217 + 4) / 5 / (16777217**2 + 1) ** 0.5, 9))]
+
+
 def test_nearest_with_fewer_candidates_than_k(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (50, [1.0, 0.0]), (50, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = [(r.query_id, r["rank"], r.vec_id) for r in nearest.nearest(df).orderBy("query_id", "rank").collect()]
