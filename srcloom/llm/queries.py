@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from srcloom.llm import chat, licenses, line_dedup, nearest, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_codec, toxicity
+from srcloom.llm import chat, licenses, line_dedup, manifest, nearest, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_codec, toxicity
 from srcloom.sources.tables import table
 
 
@@ -57,6 +57,10 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.report(table(spark, folder, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.report(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scans": op8_license_scans,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 SQL: dict[str, str] = {
@@ -75,4 +80,5 @@ SQL: dict[str, str] = {
     "op3_chat_formatting": chat.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op10_quality_rules": quality_rules.SQL,
+    "op13_merkle_manifest": manifest.SQL,
 }
