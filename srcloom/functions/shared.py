@@ -32,3 +32,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def even_partitions(total: int, each: int, least: int = 1) -> int:
     """How many partitions hold about `each` of `total` units, so that work per task stays level as data grow."""
     return max(least, -(-total // each))
+
+
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """`df` as a table in the shared folder that is bucketed by `key`: joins by it move only their other side.
+
+    Give rows whose tasks hold few values of the key each, as every task writes one file for each bucket it meets.
+    """
+    spark = df.sparkSession
+    unique = f"srcloom_{name}_{uuid.uuid4().hex}".replace("-", "_")
+    df.write.format("parquet").bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/{unique}").saveAsTable(unique)
+    return spark.table(unique)
