@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from srcloom.llm import chat, licenses, line_dedup, manifest, nearest, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_codec, toxicity
+from srcloom.llm import chat, licenses, line_dedup, manifest, nearest, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_codec, substrings, toxicity
 from srcloom.sources.tables import table
 
 
@@ -57,6 +57,10 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.report(table(spark, folder, "documents"))
 
 
+def op12_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.report(table(spark, folder, "documents"), window=50)
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return manifest.report(table(spark, folder, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scans": op8_license_scans,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
