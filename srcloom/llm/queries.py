@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from srcloom.llm import chat, licenses, line_dedup, manifest, nearest, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_codec, substrings, toxicity
+from srcloom.llm import chat, hard_negatives, licenses, line_dedup, manifest, nearest, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_codec, substrings, toxicity
 from srcloom.sources.tables import table
 
 
@@ -57,6 +57,10 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.report(table(spark, folder, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.report(table(spark, folder, "embeddings"))
+
+
 def op12_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.report(table(spark, folder, "documents"), window=50)
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scans": op8_license_scans,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_substring_dedup": op12_substring_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -85,5 +90,6 @@ SQL: dict[str, str] = {
     "op3_chat_formatting": chat.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op10_quality_rules": quality_rules.SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
     "op13_merkle_manifest": manifest.SQL,
 }
