@@ -1,12 +1,12 @@
 """Substring deduplication: words covered by a window of 50 words that also starts in a document with a smaller doc_id go.
 
-Method: prefix-partitioned suffix trees. Every window of 50 words has an anchor, the run of 25 words inside it whose hash is
+Method: prefix-partitioned suffix trees. Every window of 50 words has an anchor, the run of 16 words inside it whose hash is
 smallest (the leftmost of equals): equal windows have equal anchors at equal offsets, so it is enough to sort the suffixes
-that start at anchors, one for 13 words of text. They are split by variable-length prefixes:
+that start at anchors, one for 15 words of text. They are split by variable-length prefixes:
 
-1. blocks: documents are packed into blocks of about 1 MB where they are read, with the anchors of each, in a table that
+1. blocks: documents are packed into blocks of about 512 KB where they are read, with the anchors of each, in a table that
    is bucketed by the task that wrote it; later stages join their findings to it by that task, so texts never move again.
-2. The first prefix is the anchor itself, 25 words. A prefix that only one document holds heads no repeat between
+2. The first prefix is the anchor itself, 16 words. A prefix that only one document holds heads no repeat between
    documents and leaves; counts for that are two numbers a prefix and block, summed with partial aggregation.
 3. Suffixes of the other prefixes travel with the words that their windows need, in groups of many prefixes that fit
    a task. A block sends equal suffixes once. A group's suffixes are sorted; lengths of the common prefixes of neighbours
@@ -17,7 +17,7 @@ that start at anchors, one for 13 words of text. They are split by variable-leng
    all, the whole window: suffixes that share 50 words are one deep node, of which only the smallest doc_id is needed, so
    they are summed up with partial aggregation and none is gathered; windows that many share come back by broadcast.
 
-Words are compared by 64-bit hashes, whole windows of hot prefixes by 128 bits. Windows of one document that repeat in it alone stay.
+Prefixes are compared by 64-bit hashes, the other words of a window by 40 bits each, whole windows of hot prefixes by 128 bits. Windows of one document that repeat in it alone stay.
 Rows with equal doc_id are one document to each other, and each is returned. Rows of null doc_id neither lose words
 nor cost others any. Null, empty and short texts lose nothing. An empty table gives no rows. Other columns are not read.
 """
@@ -38,10 +38,10 @@ from srcloom.llm.skew import joined
 from srcloom.llm.textbytes import SPACE, give_back, mix64, text_slices, word_hashes, word_spans
 
 #: Fixed value of the contract, and the words of an anchor.
-WINDOW, ANCHOR = 50, 25
+WINDOW, ANCHOR = 50, 16
 
 #: Bytes of text in a block, suffixes in a group, and suffixes from which a prefix is hot.
-BLOCK_BYTES, GROUP_SUFFIXES, HOT = 1 << 20, 40_000, 4096
+BLOCK_BYTES, GROUP_SUFFIXES, HOT = 1 << 19, 40_000, 4096
 
 #: Words looked at together in a very long text, and the bits that their places take beside a hash.
 _STRETCH, _PLACE_BITS = 1 << 25, np.uint64(26)
@@ -166,10 +166,22 @@ def _blocks(window: int, anchor: int, block_bytes: int):
     return run
 
 
-_SENT = (
-    "task int, block int, bucket int, h binary, doc binary, row binary, place binary, offsets binary, more binary, words binary,"
-    " flagged binary, hot array<struct<w1:bigint,w2:bigint,doc:bigint,row:int,at:bigint>>"
-)
+_SENT = "task int, block int, bucket int, h binary, doc binary, row binary, place binary, offsets binary, more binary, words binary"
+_OWN = "task int, block int, flagged binary, hot array<struct<w1:bigint,w2:bigint,doc:bigint,row:int,at:bigint>>"
+_HOT = pa.list_(pa.struct([("w1", pa.int64()), ("w2", pa.int64()), ("doc", pa.int64()), ("row", pa.int32()), ("at", pa.int64())]))
+
+#: Bytes of a word's hash that travel with a suffix.
+_WORD_BYTES = 5
+
+
+def _narrow(words: np.ndarray) -> bytes:
+    return np.ascontiguousarray(words.view(np.uint8).reshape(-1, 8)[:, :_WORD_BYTES]).tobytes()
+
+
+def _widened(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // _WORD_BYTES, 8), dtype=np.uint8)
+    out[:, :_WORD_BYTES] = np.frombuffer(data, dtype=np.uint8).reshape(-1, _WORD_BYTES)
+    return out.reshape(-1).view(np.uint64)
 
 
 def _runs_of(keep: np.ndarray, row: np.ndarray, start: np.ndarray, window: int) -> bytes:
@@ -185,43 +197,48 @@ def _runs_of(keep: np.ndarray, row: np.ndarray, start: np.ndarray, window: int)
     return np.stack([row[begins], start[begins], start[ends] + window], axis=1).astype(np.int64).tobytes()
 
 
+def _told(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[tuple[int, int, Tokens, np.ndarray, np.ndarray]]:
+    """Task and number of each block, its tokens, and which of its suffixes have repeated prefixes, and hot ones."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            t = Tokens(_unpacked_docs(batch.column("docs")[r].as_py()), window, anchor)
+            inside = []
+            for name in ("wanted", "hot"):
+                some = np.sort(batch.column(name)[r].values.to_numpy(zero_copy_only=False))
+                inside.append(np.flatnonzero(some[np.minimum(np.searchsorted(some, t.h), len(some) - 1)] == t.h) if len(some) else np.zeros(0, dtype=np.int64))
+            yield batch.column("task")[r].as_py(), batch.column("block")[r].as_py(), t, *inside
+
+
 def _suffixes(window: int, anchor: int, buckets: int):
-    """Of each block: the distinct suffixes of repeated prefixes, windows of hot ones, and windows flagged by the block itself."""
+    """Of each block the distinct suffixes of repeated prefixes."""
+    names = [f.split()[0] for f in _SENT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in _SENT.split(", ")]
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            for r in range(batch.num_rows):
-                task, block = batch.column("task")[r].as_py(), batch.column("block")[r].as_py()
-                t = Tokens(_unpacked_docs(batch.column("docs")[r].as_py()), window, anchor)
-                wanted = np.sort(batch.column("wanted")[r].values.to_numpy(zero_copy_only=False))
-                hot = np.sort(batch.column("hot")[r].values.to_numpy(zero_copy_only=False))
-                inside = lambda some: some[np.minimum(np.searchsorted(some, t.h), max(0, len(some) - 1))] == t.h if len(some) else np.zeros(len(t.h), dtype=bool)  # noqa: E731, B023
-                rows: list[dict] = []
-                flags: list[tuple[np.ndarray, np.ndarray]] = []
-                cold = np.flatnonzero(inside(wanted))
-                if len(cold):
-                    rows += _sent_suffixes(t, cold, flags, window, buckets, squeeze)
-                which = np.flatnonzero(inside(hot))
-                if len(which):
-                    rows.append({"hot": _sent_windows(t, which, flags, window)})
-                if flags:
-                    row, start = (np.concatenate(c) for c in zip(*flags, strict=True))
-                    rows.append({"flagged": _runs_of(np.ones(len(row), dtype=bool), row, start, window)})
-                for k in range(0, len(rows), 64):
-                    part = [{"task": task, "block": block, **x} for x in rows[k : k + 64]]
-                    types = [pa.int32()] * 3 + [pa.binary()] * 8 + [pa.list_(pa.struct([("w1", pa.int64()), ("w2", pa.int64()), ("doc", pa.int64()), ("row", pa.int32()), ("at", pa.int64())]))]
-                    columns = []
-                    for n, kind in zip(names, types, strict=True):
-                        cells = [x.get(n) for x in part]
-                        if n == "hot":
-                            cuts = np.cumsum([0, *(0 if c is None else len(c) for c in cells)])
-                            full = [c for c in cells if c is not None]
-                            columns.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.concat_arrays(full) if full else pa.array([], kind.value_type)))
-                        else:
-                            columns.append(pa.array(cells, kind))
-                    yield pa.RecordBatch.from_arrays(columns, names)
+        for task, block, t, at, _ in _told(batches, window, anchor):
+            rows = _sent_suffixes(t, at, _distinct(t, at, window)[0], window, buckets, squeeze) if len(at) else []
+            for k in range(0, len(rows), 64):
+                part = [{"task": task, "block": block, **x} for x in rows[k : k + 64]]
+                yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in part], pa.int32() if n in names[:3] else pa.binary()) for n in names], names)
+        give_back()
+
+    return run
+
+
+def _own(window: int, anchor: int):
+    """Of each block the windows that it flags by itself, and its windows with hot prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for task, block, t, at, hot in _told(batches, window, anchor):
+            flags = [_distinct(t, at, window)[1]] if len(at) else []
+            windows = pa.array([], _HOT.value_type)
+            if len(hot):
+                windows, own = _sent_windows(t, hot, window)
+                flags.append(own)
+            row, start = (np.concatenate(c) for c in zip(*flags, strict=True)) if flags else (np.zeros(0, dtype=np.int64),) * 2
+            runs = _runs_of(np.ones(len(row), dtype=bool), row, start, window)
+            if runs or len(windows):
+                yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([block], pa.int32()), pa.array([runs or None], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(windows)], pa.int32()), windows)], ["task", "block", "flagged", "hot"])
         give_back()
 
     return run
@@ -238,7 +255,9 @@ def _firsts(keys: tuple[np.ndarray, ...], doc: np.ndarray) -> tuple[np.ndarray,
     return order, np.repeat(cuts, np.diff(np.append(cuts, len(order))))
 
 
-def _sent_suffixes(t: Tokens, at: np.ndarray, flags: list, window: int, buckets: int, squeeze) -> list[dict]:
+def _distinct(t: Tokens, at: np.ndarray, window: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, np.ndarray]]:
+    """Suffixes `at` grouped by the words of their windows (order, first of the group, whether of its smallest document), and
+    rows and starts of the windows of other documents, which are repeats."""
     h, place, i0, i1, row = (x[at] for x in (t.h, t.place, t.i0, t.i1, t.row))
     doc, begin, end = t.doc[row], i0, i1 + window
     powers, inverses = np.full(len(t.words) + 1, _B2, dtype=np.uint64), np.full(len(t.words) + 1, np.uint64(pow(int(_B2), -1, 1 << 64)), dtype=np.uint64)
@@ -248,33 +267,36 @@ def _sent_suffixes(t: Tokens, at: np.ndarray, flags: list, window: int, buckets:
     order, first = _firsts((content, h), doc)
     least = doc[order][first]
     later = order[doc[order] > least]
-    if len(later):
-        runs = (i1 - i0 + 1)[later]
-        steps = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
-        flags.append((np.repeat(row[later], runs), np.repeat(i0[later], runs) + steps - np.repeat(t.first[row[later]], runs)))
-    same = doc[order] == least
+    runs = (i1 - i0 + 1)[later]
+    steps = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+    flags = np.repeat(row[later], runs), np.repeat(i0[later] - t.first[row[later]], runs) + steps
+    return (order, first, doc[order] == least), flags
+
+
+def _sent_suffixes(t: Tokens, at: np.ndarray, groups: tuple[np.ndarray, ...], window: int, buckets: int, squeeze) -> list[dict]:
+    h, place, i0, i1, row = (x[at] for x in (t.h, t.place, t.i0, t.i1, t.row))
+    order, first, same = groups
     lead = np.flatnonzero(first == np.arange(len(order)))  # one for each distinct suffix; its document's others follow it
-    extra = np.add.reduceat(same, lead) - 1
+    extra = np.add.reduceat(same, lead, dtype=np.int64) - 1
     out = []
     where = (h[order[lead]].view(np.uint64) >> np.uint64(13)) % np.uint64(buckets)
+    local = place - t.first[row]
     for b in np.unique(where).tolist():
         mine = np.flatnonzero(where == b)
-        s = order[lead[mine]]
-        n = (end - begin)[s]
-        flat = np.repeat(begin[s] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        m = extra[mine]
+        s, m = order[lead[mine]], extra[mine]
+        n = (i1 - i0)[s] + window
+        flat = np.repeat(i0[s] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         others = order[np.repeat(lead[mine] + 1 - (np.cumsum(m) - m), m) + np.arange(m.sum())]
-        local = place - t.first[row]
         out.append({
-            "bucket": b, "h": h[s].tobytes(), "doc": doc[s].tobytes(), "row": row[s].astype(np.int32).tobytes(), "place": local[s].tobytes(),
+            "bucket": b, "h": h[s].tobytes(), "doc": t.doc[row[s]].tobytes(), "row": row[s].astype(np.int32).tobytes(), "place": local[s].tobytes(),
             "offsets": np.stack([place[s] - i1[s], place[s] - i0[s]], axis=1).astype(np.uint16).tobytes(),
             "more": np.concatenate((m, row[others], local[others])).astype(np.int64).tobytes() if m.any() else None,
-            "words": squeeze.compress(t.words[flat].tobytes()),
+            "words": squeeze.compress(_narrow(t.words[flat])),
         })
     return out
 
 
-def _sent_windows(t: Tokens, at: np.ndarray, flags: list, window: int) -> pa.Array:
+def _sent_windows(t: Tokens, at: np.ndarray, window: int) -> tuple[pa.Array, tuple[np.ndarray, np.ndarray]]:
     runs = (t.i1 - t.i0 + 1)[at]
     start = np.repeat(t.i0[at] - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
     row = np.repeat(t.row[at], runs)
@@ -282,11 +304,8 @@ def _sent_windows(t: Tokens, at: np.ndarray, flags: list, window: int) -> pa.Arr
     doc, local = t.doc[row], start - t.first[row]
     order, first = _firsts((w1, w2), doc)
     least = doc[order][first]
-    later = order[doc[order] > least]
-    if len(later):
-        flags.append((row[later], local[later]))
-    s = order[doc[order] == least]
-    return pa.StructArray.from_arrays([pa.array(w1[s]), pa.array(w2[s]), pa.array(doc[s]), pa.array(row[s].astype(np.int32)), pa.array(local[s])], ["w1", "w2", "doc", "row", "at"])
+    later, s = order[doc[order] > least], order[doc[order] == least]
+    return pa.StructArray.from_arrays([pa.array(w1[s]), pa.array(w2[s]), pa.array(doc[s]), pa.array(row[s].astype(np.int32)), pa.array(local[s])], ["w1", "w2", "doc", "row", "at"]), (row[later], local[later])
 
 
 class SuffixTree:
@@ -341,7 +360,7 @@ def _group(window: int, anchor: int):
             origins.append((x["task"], x["block"]))
             for n, kind in (("h", np.int64), ("doc", np.int64), ("row", np.int32), ("place", np.int64), ("offsets", np.uint16)):
                 got[n].append(np.frombuffer(x[n], dtype=kind))
-            got["words"].append(np.frombuffer(expand.decompress(x["words"]), dtype=np.uint64))
+            got["words"].append(_widened(expand.decompress(x["words"])))
             got["owner"].append(np.full(len(h), origin))
             if x["more"] is not None:
                 more = np.frombuffer(x["more"], dtype=np.int64)
@@ -363,6 +382,8 @@ def _group(window: int, anchor: int):
         for b in np.unique(whose).tolist():
             a, z = np.searchsorted(whose, [b, b + 1])
             out.append((*origins[b], _runs_of(np.ones(z - a, dtype=bool), where[a:z], start[a:z], window)))
+        del got, words, seen
+        give_back()
         return pa.table({"task": pa.array([r[0] for r in out], pa.int32()), "block": pa.array([r[1] for r in out], pa.int32()), "flagged": pa.array([r[2] for r in out], pa.binary())})
 
     return run
@@ -377,6 +398,7 @@ def _removed(window: int):
                 docs = _unpacked_docs(batch.column("docs")[r].as_py())
                 cells = batch.column("flagged")[r].as_py() or []
                 yield _kept(docs, np.concatenate([np.zeros((0, 3), dtype=np.int64), *(np.frombuffer(c, dtype=np.int64).reshape(-1, 3) for c in cells)]))
+        give_back()
 
     return run
 
@@ -431,14 +453,15 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, ho
     answers = _by_task(asked, of_block).hint("shuffle_hash")
     told = blocks.select("task", "block", "docs").join(answers, "task").withColumn("v", F.element_at("of", F.col("block"))).filter("v IS NOT NULL")
     buckets = even_partitions(n_suffixes, group_suffixes)
-    sent = written(told.select("task", "block", "docs", "v.wanted", "v.hot").mapInArrow(_suffixes(window, anchor, buckets), _SENT), "suffixes")
-    trees = sent.filter("bucket IS NOT NULL").drop("flagged", "hot").groupBy("bucket").applyInArrow(_group(window, anchor), "task int, block int, flagged binary")
-    windows = written(sent.filter("size(hot) > 0").select("task", "block", F.explode("hot").alias("w")).select("task", "block", "w.*"), "hot-windows")
+    told = told.select("task", "block", "docs", "v.wanted", "v.hot")
+    trees = told.mapInArrow(_suffixes(window, anchor, buckets), _SENT).groupBy("bucket").applyInArrow(_group(window, anchor), "task int, block int, flagged binary")
+    own = written(told.mapInArrow(_own(window, anchor), _OWN), "own-windows")
+    windows = written(own.select("task", "block", F.explode("hot").alias("w")).select("task", "block", "w.*"), "hot-windows")
     nodes = written(windows.groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.count("*").alias("n")), "hot-nodes")
     late = joined(windows, nodes, ["w1", "w2"], "n", windows.count()).filter("doc > least")
     pair = F.struct(F.col("row").cast("long").alias("row"), "at")
     hot_flags = late.groupBy("task", "block").agg(F.collect_list(pair).alias("at")).mapInArrow(_as_runs(window), "task int, block int, flagged binary")
-    flags = sent.filter("flagged IS NOT NULL").select("task", "block", "flagged").union(trees).union(hot_flags)
+    flags = own.filter("flagged IS NOT NULL").select("task", "block", "flagged").union(trees).union(hot_flags)
     found = blocks.select("task", "block", "docs").join(_by_task(flags, F.collect_list("flagged")).hint("shuffle_hash"), "task", "left")
     out = found.select("docs", F.element_at("of", F.col("block")).alias("flagged"))
     return out.mapInArrow(_removed(window), "doc_id long, text string, n_words long, n_removed long, removed array<struct<start:bigint,end:bigint>>")

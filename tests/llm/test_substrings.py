@@ -61,7 +61,7 @@ def some_rows(seed, n, window):
 def test_removed_words_are_those_of_brute_force(spark, seed, hot, block, group):
     rows = some_rows(seed, 60, 10) + [(None, None), (None, " ".join("abcdefghijklm")), (3, None), (4, ""), (5, " \t\n"), (90, "x " * 400), (91, "x " * 300), (2, "y " * 200), (2, "y " * 200)]
     rows += [(i, " ".join("abcdefghijklm")) for i in (70, 71, 71, 72)]
-    got = substrings.deduplicated(rows_of(spark, rows).repartition(3), 10, 5, hot, block, group)
+    got = substrings.deduplicated(rows_of(spark, rows).repartition(3), 10, 4, hot, block, group)
     assert told(got) == sorted(map(repr, brute(rows, 10)))
 
 
