@@ -59,6 +59,11 @@ def trim_both(x: Column) -> Column:
     return F.regexp_replace(x, f"^[{TRIMMED}]+|[{TRIMMED}]+$", "")
 
 
+def spaced(pattern: str) -> str:
+    r"""A pattern whose \s means all white space that trimming removes."""
+    return pattern.replace(r"\s", f"[{TRIMMED}]")
+
+
 def hundredths(x: Column) -> Column:
     """Rounded to two places, halves up, by the same steps in every engine."""
     return F.floor(x * 100 + 0.5) / 100

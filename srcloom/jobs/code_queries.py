@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from srcloom.functions.rule_catalog import MIGRATIONS, RULES
 from srcloom.functions.shared import written
 from srcloom.functions.textual import any_glob, glob_pattern
-from srcloom.operators import abstractions, code_duplicates, duplicates, metrics, patterns, statements, symbols
-from srcloom.sources.corpora import CODE_LINES, EXTENSIONS, TEST_NAMES, code_files, code_lines, extension, is_test, language, lines_of, prose_files
+from srcloom.operators import abstractions, code_duplicates, duplicates, metrics, modules, patterns, statements, symbols
+from srcloom.sources import rendered
+from srcloom.sources.corpora import ENTRY_POINTS, EXTENSIONS, TEST_NAMES, code_files, code_lines, extension, is_test, language, lines_of, project_files, prose_files
 from srcloom.sources.tables import table
 
-_CODE = CODE_LINES.format(orders="orders", lineitem="lineitem", part="part")
-CODE = f"WITH code AS ({_CODE})"
+CODE = f"WITH code AS ({rendered.duckdb_lines(rendered.CODE)})"
 PROSE = """WITH code AS (
   SELECT coalesce(source, 'none') || '/' || doc_id::VARCHAR || '.py' AS path, 'python' AS language, unnest(range(1, len(parts) + 1))::INTEGER AS n, unnest(parts) AS line
   FROM (SELECT *, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
@@ -227,60 +227,116 @@ def _coalesced_groups(patterns_: tuple[str, ...], x: str = "line") -> str:
     return "coalesce(" + ", ".join(f"nullif(regexp_extract({x}, {_q(p)}, 1), '')" for p in patterns_) + ")"
 
 
-_EXPORTS = f""", named AS (
+# several-line forms by the line that opened them last and the one that closed last
+_STATES = r""", opened AS (
+  SELECT *, trim(line, ' ' || chr(9)) AS t,
+         CASE WHEN regexp_matches(line, '^import \{$') OR regexp_matches(line, '^from \S+ import \($') OR regexp_matches(line, '^import \($') THEN n END AS import_n,
+         CASE WHEN regexp_matches(line, '^export \{$') THEN n END AS export_n, CASE WHEN regexp_matches(line, '^(?:var|const) \($') THEN n END AS block_n,
+         CASE WHEN regexp_matches(line, '^[})]') THEN n END AS close_n FROM code
+), states AS (
+  SELECT *, last_value(import_n IGNORE NULLS) OVER before AS import_at, last_value(export_n IGNORE NULLS) OVER before AS export_at, last_value(block_n IGNORE NULLS) OVER before AS block_at,
+         coalesce(last_value(close_n IGNORE NULLS) OVER before, 0) AS closed_at, first_value(close_n IGNORE NULLS) OVER (PARTITION BY path ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ends
+  FROM opened WINDOW before AS (PARTITION BY path ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+)"""
+_EXPORTS = f"""{_STATES}, named AS (
   SELECT path, language, n, line, CASE language {' '.join(f"WHEN '{x}' THEN {_coalesced_groups(p)}" for x, p in symbols.EXPORTS.items())} END AS name,
-         coalesce(starts_with(trim(lag(line) OVER (PARTITION BY path ORDER BY n)), '@'), false) AS decorated FROM code
+         language = 'python' AND coalesce(starts_with(trim(lag(line) OVER (PARTITION BY path ORDER BY n)), '@'), false) AS decorated FROM code
 ), exports AS (
-  SELECT path, language, n, name, regexp_matches(line, '^export\\s+(?:type|interface)\\b') AS is_type, decorated FROM named WHERE name IS NOT NULL
-)"""
-_IMPORTS = r""", imports AS (
-  SELECT path, language, n, CASE language
-    WHEN 'typescript' THEN nullif(regexp_extract(trim(line), '^import\s+\{\s*([^}]+?)\s*\}\s+from', 1), '')
-    WHEN 'python' THEN coalesce(nullif(regexp_extract(trim(line), '^from\s+\S+\s+import\s+(.+)', 1), ''), nullif(regexp_extract(trim(line), '^import\s+(.+)', 1), ''))
-    WHEN 'go' THEN nullif(regexp_extract(trim(line), '^import\s+([A-Za-z_.][A-Za-z0-9_]*)\s+"[^"]+"', 1), '')
-    WHEN 'java' THEN nullif(regexp_extract(trim(line), '^import\s+(?:static\s+)?(?:\w+\.)*(\w+)\s*;', 1), '')
-    ELSE nullif(regexp_extract(trim(line), '^using\s+([A-Za-z_][A-Za-z0-9_]*)\s*=', 1), '') END AS name
-  FROM code WHERE regexp_matches(line, '^(import|from|using)\s')
+  SELECT path, language, n, name, language = 'typescript' AND regexp_matches(line, '^export\\s+(?:type|interface)\\b') AS is_type, decorated FROM named WHERE name IS NOT NULL
+  UNION ALL
+  SELECT path, language, export_at, regexp_replace(rtrim(t, ','), '^.* as ', ''), false, false FROM states WHERE language = 'typescript' AND export_at > closed_at AND close_n IS NULL
+  UNION ALL
+  SELECT path, language, n, regexp_replace(trim(regexp_extract(line, 'export\\s+\\{{([^}}]+)\\}}', 1)), '^.* as ', ''), false, false FROM code WHERE language = 'typescript' AND regexp_matches(line, 'export\\s+\\{{[^}}]+\\}}')
+  UNION ALL
+  SELECT path, language, n, regexp_extract(t, '^([A-Z][A-Za-z0-9_]*)', 1), false, false FROM states WHERE language = 'go' AND block_at > closed_at AND close_n IS NULL AND regexp_matches(t, '^[A-Z][A-Za-z0-9_]*(?:\\s|$)')
 )"""
+_IMPORTS = r""", told AS (
+  SELECT path, language, n, n AS ends, CASE language
+    WHEN 'typescript' THEN coalesce(nullif(regexp_extract(line, '^import\s+\{\s*([^}]+?)\s*\}\s+from', 1), ''), nullif(regexp_extract(line, 'export\s+\{\s*([^}]+?)\s*\}\s+from', 1), ''))
+    WHEN 'python' THEN nullif(regexp_extract(line, '^from\s+\S+\s+import\s+([^(]+)$', 1), '')
+    WHEN 'go' THEN nullif(regexp_extract(line, '^import\s+([A-Za-z_.][A-Za-z0-9_]*\s+"[^"]+")', 1), '')
+    WHEN 'java' THEN nullif(regexp_extract(line, '^import\s+(?:static\s+)?(?:\w+\.)*(\w+)\s*;', 1), '')
+    ELSE nullif(regexp_extract(line, '^using\s+([A-Za-z_][A-Za-z0-9_]*)\s*=', 1), '') END AS said,
+    CASE language WHEN 'typescript' THEN CASE WHEN starts_with(line, 'export') THEN 're-export' ELSE 'named' END WHEN 'python' THEN 'named' WHEN 'go' THEN 'package' WHEN 'java' THEN 'class' ELSE 'alias' END AS kind
+  FROM code
+  UNION ALL
+  SELECT path, language, CASE WHEN language = 'go' THEN n ELSE import_at END, CASE WHEN language = 'go' THEN n ELSE ends END, regexp_replace(rtrim(t, ','), '^type ', ''), CASE WHEN language = 'go' THEN 'package' ELSE 'named' END
+  FROM states WHERE import_at > closed_at AND close_n IS NULL
+), imports AS (
+  SELECT path, language, n, ends, kind,
+    CASE WHEN language = 'go' THEN regexp_extract(said, '([^/"]*)"$', 1) ELSE regexp_replace(said, ' as .*$', '') END AS name,
+    CASE WHEN language = 'go' THEN coalesce(nullif(regexp_extract(said, '^([A-Za-z_.][A-Za-z0-9_]*)\s', 1), ''), regexp_extract(said, '([^/"]*)"$', 1)) ELSE regexp_replace(said, '^.* as ', '') END AS local
+  FROM told WHERE said IS NOT NULL
+), asked AS (SELECT DISTINCT path, language, CASE WHEN kind = 'package' THEN local ELSE name END AS name FROM imports)"""
+_ENTRY = "regexp_extract(path, '[^/]*$') IN (" + ", ".join(map(_q, ENTRY_POINTS)) + ")"
 _CONFIDENCE = "CASE WHEN is_type THEN least(CASE WHEN language = 'python' AND decorated THEN 0.3 WHEN language = 'python' THEN 0.6 WHEN language IN ('go', 'csharp') THEN 0.7 ELSE 0.9 END, 0.5) WHEN language = 'python' AND decorated THEN 0.3 WHEN language = 'python' THEN 0.6 WHEN language IN ('go', 'csharp') THEN 0.7 ELSE 0.9 END::DOUBLE"
 
 
+def _code(spark: SparkSession, folder: str) -> DataFrame:
+    """The code corpus, rendered once."""
+    return written(code_files(spark, folder), "code")
+
+
+def _symbols(files: DataFrame) -> DataFrame:
+    """The symbols of files, found once."""
+    return written(symbols.file_symbols(files), "symbols")
+
+
 def exported_symbols(spark: SparkSession, folder: str) -> DataFrame:
-    return symbols.exports(code_lines(spark, folder))
+    return symbols.exports(symbols.file_symbols(code_files(spark, folder)))
 
 
 def imported_symbols(spark: SparkSession, folder: str) -> DataFrame:
-    return symbols.imports(code_lines(spark, folder))
+    return symbols.imports(symbols.file_symbols(code_files(spark, folder)))
+
+
+def reachable_files(spark: SparkSession, folder: str) -> DataFrame:
+    return modules.reachable_files(_code(spark, folder), project_files(spark, folder))
+
+
+def _commits(spark: SparkSession, folder: str) -> DataFrame:
+    """A log of commits: every order adds its file on its day; those of some priorities change it only."""
+    added = F.when(F.col("o_orderpriority") == "5-LOW", "M").otherwise("A")
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("k"), added.alias("status"), F.col("o_orderdate").alias("at"))
+    named = spark.sql(f"SELECT {rendered.ORDER_PATH} AS path, status, at FROM (SELECT CAST(k AS BIGINT) AS k, CAST(k % 5 AS INT) AS lang, status, at FROM {{orders}})", orders=orders)
+    return named
+
+
+def recent_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files added in the 300 days before the last commit."""
+    log = _commits(spark, folder)
+    return symbols.recent_files(log, F.lit(log.agg(F.max("at")).first()[0]), 300)
 
 
 def dead_exports(spark: SparkSession, folder: str) -> DataFrame:
-    return symbols.dead_exports(code_lines(spark, folder))
+    files = _code(spark, folder)
+    return symbols.dead_exports(_symbols(files), modules.reachable_files(files, project_files(spark, folder)), recent_files(spark, folder))
 
 
 def dead_exports_by_words(spark: SparkSession, folder: str) -> DataFrame:
-    return symbols.dead_exports_by_words(code_lines(spark, folder))
+    files = _code(spark, folder)
+    return symbols.dead_exports_by_words(files, symbols.file_symbols(files))
 
 
 def divergent_exports(spark: SparkSession, folder: str) -> DataFrame:
-    return symbols.divergent_exports(code_lines(spark, folder))
+    return symbols.divergent_exports(symbols.file_symbols(code_files(spark, folder)))
 
 
 def fan_in(spark: SparkSession, folder: str) -> DataFrame:
-    return symbols.fan_in(code_lines(spark, folder))
+    return symbols.fan_in(_symbols(code_files(spark, folder)))
 
 
 def single_implementations(spark: SparkSession, folder: str) -> DataFrame:
-    return symbols.implementations(code_lines(spark, folder))
+    return symbols.implementations(code_files(spark, folder))
 
 
-def pass_throughs(spark: SparkSession, folder: str) -> DataFrame:
-    lines = code_lines(spark, folder)
-    files = _contents(lines).withColumn("language", language(F.col("path")))
-    return symbols.pass_throughs(files, symbols.fan_in(lines))
+def _with_importers(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    files = _code(spark, folder)
+    return files, symbols.fan_in(_symbols(files))
 
 
-def _with_importers(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return code_files(spark, folder), symbols.fan_in(code_lines(spark, folder))
+def pass_throughs(spark: SparkSession, folder: str) -> DataFrame:
+    return symbols.pass_throughs(*_with_importers(spark, folder))
 
 
 def single_method_classes(spark: SparkSession, folder: str) -> DataFrame:
@@ -383,9 +439,18 @@ SELECT a.path AS path_a, b.path AS path_b, count(*)::BIGINT AS n_windows FROM ke
  AND (a.path < b.path OR (a.path = b.path AND b.start - a.start >= {code_duplicates.SIZE})) GROUP BY 1, 2"""
 
 
-_FAN_IN = """, wanted AS (SELECT DISTINCT path AS importer, name FROM imports WHERE name IS NOT NULL), pairs AS (
-  SELECT e.path, count(DISTINCT importer) AS k FROM exports e JOIN wanted w ON w.name = e.name AND w.importer <> e.path GROUP BY e.path
+_FAN_IN = """, pairs AS (
+  SELECT e.path, count(DISTINCT w.path) AS k FROM exports e JOIN asked w ON w.name = e.name AND w.path <> e.path GROUP BY e.path
 ), fan_in AS (SELECT p.path, coalesce(k, 0)::BIGINT AS fan_in FROM (SELECT DISTINCT path FROM exports) p LEFT JOIN pairs USING (path))"""
+_REACHABLE = r""", specs AS (
+  SELECT regexp_replace(path, '/[^/]*$', '') AS dir, regexp_extract(path, '^projects/[^/]*') AS root, unnest(regexp_extract_all(line, '(?:export\s+\*\s+from|\bimport\s*\()\s*[''"]([^''"]+)[''"]', 1)) AS spec FROM code WHERE language = 'typescript'
+), bases AS (
+  SELECT CASE WHEN starts_with(spec, './') THEN dir || substr(spec, 2) WHEN starts_with(spec, '@lazy/') THEN root || '/src/lazy/' || substr(spec, 7) WHEN starts_with(spec, '@/') THEN root || '/src/' || substr(spec, 3) END AS base FROM specs
+), reachable AS (
+  SELECT DISTINCT path FROM (SELECT DISTINCT path FROM code) c JOIN bases b ON regexp_replace(c.path, '\.[^./]*$', '') = regexp_replace(b.base, '\.js$', '')
+)"""
+_ORDER_FILES = f"SELECT {rendered.ORDER_PATH} AS path, o_orderdate AS added_at, o_orderpriority AS priority FROM (SELECT o_orderkey AS k, o_orderkey % 5 AS lang, o_orderdate, o_orderpriority FROM orders)"
+_RECENT = f", recent AS (SELECT DISTINCT path FROM ({_ORDER_FILES}) WHERE priority <> '5-LOW' AND added_at >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 300 DAYS)"
 PASS_THROUGHS = f"""{CODE}{_EXPORTS}{_IMPORTS}{_FAN_IN}, whole AS (
   SELECT path, language, string_agg(line, chr(10) ORDER BY n) AS x FROM code WHERE NOT {_TEST} GROUP BY path, language
 ), counted AS (
@@ -393,22 +458,30 @@ PASS_THROUGHS = f"""{CODE}{_EXPORTS}{_IMPORTS}{_FAN_IN}, whole AS (
          {_count('x', symbols.ANY_FUNCTION)}::BIGINT AS n_functions FROM whole
 )
 SELECT path, fan_in, n_pass, n_functions FROM counted JOIN fan_in USING (path)
-WHERE n_pass > 0 AND n_functions > 0 AND n_pass >= 0.5 * n_functions AND fan_in BETWEEN 1 AND 2"""
+WHERE n_pass > 0 AND n_functions > 0 AND n_pass >= 0.5 * n_functions AND fan_in BETWEEN 1 AND 2 AND NOT {_ENTRY}"""
 
 # a file of the corpus has one class at most, which its last line closes
-_ASKED = f"""{CODE}{_EXPORTS}{_IMPORTS}{_FAN_IN}, whole AS (SELECT path, language, string_agg(line, chr(10) ORDER BY n) AS x FROM code GROUP BY path, language), asked AS (
-  SELECT path, language, x FROM whole JOIN fan_in USING (path) WHERE fan_in BETWEEN 1 AND 2 AND language IN ('typescript', 'java', 'csharp') AND NOT {_TEST}
+_ASKED = f"""{CODE}{_EXPORTS}{_IMPORTS}{_FAN_IN}, whole AS (SELECT path, language, string_agg(line, chr(10) ORDER BY n) AS x FROM code GROUP BY path, language), few AS (
+  SELECT path, language, x FROM whole JOIN fan_in USING (path) WHERE fan_in BETWEEN 1 AND 2 AND language IN ('typescript', 'java', 'csharp') AND NOT {_TEST} AND NOT {_ENTRY}
 )"""
 SINGLE_METHODS = f"""{_ASKED}, classes AS (
-  SELECT path, regexp_extract(x, {_q(abstractions.CLASS)}, 1) AS symbol, regexp_extract_all(substr(x, strpos(x, 'class ')), {_q('(?m)' + abstractions.METHOD)}, 1) AS methods FROM asked WHERE contains(x, 'class ')
+  SELECT path, regexp_extract(x, {_q(abstractions.CLASS)}, 1) AS symbol, regexp_extract_all(substr(x, strpos(x, 'class ')), {_q('(?m)' + abstractions.METHOD)}, 1) AS methods FROM few WHERE contains(x, 'class ')
 )
 SELECT path, symbol, methods[1] AS method FROM classes WHERE len(methods) = 1"""
-SINGLE_IMPLEMENTATIONS = f"""{_ASKED}, offered AS (SELECT DISTINCT path, language, unnest(regexp_extract_all(x, {_q(abstractions.INTERFACE)}, 1)) AS symbol FROM asked), listed AS (
+SINGLE_IMPLEMENTATIONS = f"""{_ASKED}, offered AS (SELECT DISTINCT path, language, unnest(regexp_extract_all(x, {_q(abstractions.INTERFACE)}, 1)) AS symbol FROM few), listed AS (
   SELECT trim(unnest(string_split(list, ','))) AS symbol, colon FROM (
-    SELECT unnest(regexp_extract_all(x, {_q(abstractions.IMPLEMENTS)}, 1)) AS list, false AS colon FROM whole UNION ALL SELECT unnest(regexp_extract_all(x, {_q(abstractions.COLON)}, 1)), true FROM whole)
+    SELECT unnest(regexp_extract_all(x, {_q(symbols.IMPLEMENTS)}, 1)) AS list, false AS colon FROM whole UNION ALL SELECT unnest(regexp_extract_all(x, {_q(symbols.COLON)}, 1)), true FROM whole)
 )
 SELECT o.path, o.symbol FROM offered o JOIN listed n ON n.symbol = o.symbol AND (NOT n.colon OR o.language = 'csharp') GROUP BY o.path, o.symbol HAVING count(*) = 1"""
 
+# the last line of a file that holds a word, of all its imported names only
+UNUSED_IMPORTS = f"""{CODE}{_STATES}{_IMPORTS}, mine AS (
+  SELECT path, language, n, ends, local FROM imports WHERE kind IN ('named', 'class', 'package') AND NOT {_TEST}
+), wanted AS (SELECT DISTINCT path, local AS word FROM mine), words AS (
+  SELECT path, n, unnest(list_distinct(regexp_extract_all(line, '[A-Za-z0-9_]+'))) AS word FROM code
+), last AS (SELECT path, word, max(n) AS n FROM words SEMI JOIN wanted USING (path, word) GROUP BY ALL)
+SELECT i.path, i.language, i.n::INTEGER AS n, i.local AS name FROM mine i LEFT JOIN last l ON l.path = i.path AND l.word = i.local WHERE coalesce(l.n, 0) <= i.ends"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "file_metrics": file_metrics,
     "code_metrics": code_metrics,
@@ -422,6 +495,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "outdated_usage": outdated_usage,
     "exported_symbols": exported_symbols,
     "imported_symbols": imported_symbols,
+    "reachable_files": reachable_files,
+    "recent_files": recent_files,
     "dead_exports": dead_exports,
     "dead_exports_by_words": dead_exports_by_words,
     "divergent_exports": divergent_exports,
@@ -451,17 +526,19 @@ SQL: dict[str, str] = {
     "race_findings": RACES,
     "inconsistent_patterns": INCONSISTENT,
     "outdated_usage": _outdated_sql(),
-    "exported_symbols": f"{CODE}{_EXPORTS} SELECT * FROM exports",
-    "imported_symbols": f"{CODE}{_IMPORTS} SELECT * FROM imports WHERE name IS NOT NULL",
-    "dead_exports": f"{CODE}{_EXPORTS}{_IMPORTS} SELECT path, language, n, name, {_CONFIDENCE} AS confidence FROM exports e WHERE language IN ('typescript', 'python', 'java') AND NOT {_TEST} AND NOT EXISTS (SELECT 1 FROM imports i WHERE i.language = e.language AND i.name = e.name)",
-    "dead_exports_by_words": f"{CODE}{_EXPORTS}, words AS (SELECT language, path, unnest(regexp_extract_all(line, '[A-Za-z0-9_]+')) AS word FROM code WHERE language IN ('go', 'csharp')), totals AS (SELECT language, word, count(DISTINCT path) AS k FROM words GROUP BY 1, 2) SELECT path, language, n, name, {_CONFIDENCE} AS confidence FROM exports e JOIN totals t USING (language) WHERE t.word = e.name AND t.k = 1 AND NOT {_TEST}",
+    "exported_symbols": f"{CODE}{_EXPORTS} SELECT path, language, n::INTEGER AS n, name, is_type, decorated FROM exports",
+    "imported_symbols": f"{CODE}{_STATES}{_IMPORTS} SELECT path, language, n::INTEGER AS n, name, local, kind FROM imports",
+    "reachable_files": f"{CODE}{_REACHABLE} SELECT path FROM reachable",
+    "recent_files": f"WITH x AS (SELECT 1){_RECENT} SELECT path FROM recent",
+    "dead_exports": f"{CODE}{_EXPORTS}{_IMPORTS}{_REACHABLE}{_RECENT} SELECT path, language, n::INTEGER AS n, name, CASE WHEN language = 'python' AND decorated THEN 0.3 WHEN is_type THEN 0.5 ELSE round(CASE language WHEN 'python' THEN 0.6 ELSE 0.9 END + CASE WHEN path IN (FROM recent) THEN 0.05 ELSE 0 END, 2) END::DOUBLE AS confidence FROM exports e WHERE language IN ('typescript', 'python', 'java') AND NOT {_TEST} AND NOT {_ENTRY} AND path NOT IN (FROM reachable) AND NOT EXISTS (SELECT 1 FROM asked i WHERE i.language = e.language AND i.name = e.name)",
+    "dead_exports_by_words": f"{CODE}{_EXPORTS}, words AS (SELECT language, path, unnest(regexp_extract_all(line, '[A-Za-z0-9_]+')) AS word FROM code WHERE language IN ('go', 'csharp')), totals AS (SELECT language, word, count(DISTINCT path) AS k FROM words GROUP BY 1, 2) SELECT path, language, n::INTEGER AS n, name, {_CONFIDENCE} AS confidence FROM exports e JOIN totals t USING (language) WHERE t.word = e.name AND t.k = 1 AND NOT {_TEST} AND NOT {_ENTRY}",
     "divergent_exports": f"{CODE}{_EXPORTS} SELECT name, count(DISTINCT path)::BIGINT AS n_files, min(path) AS first_path FROM exports WHERE NOT {_TEST} AND CASE WHEN regexp_matches(name, '[a-z][A-Z]') OR (contains(name, '_') AND len(list_filter(string_split(name, '_'), lambda p: p <> '')) >= 2) THEN length(name) >= 6 ELSE length(name) >= 12 END GROUP BY name HAVING count(DISTINCT path) >= 2",
     "fan_in": f"{CODE}{_EXPORTS}{_IMPORTS}{_FAN_IN} SELECT * FROM fan_in",
     "pass_through_files": PASS_THROUGHS,
     "single_method_classes": SINGLE_METHODS,
     "single_implementation_interfaces": SINGLE_IMPLEMENTATIONS,
     "implementations": f"{CODE}, each AS (SELECT trim(unnest(string_split(nullif(regexp_extract(line, 'implements\\s+([A-Za-z_$][\\w$]*(?:\\s*,\\s*[A-Za-z_$][\\w$]*)*)', 1), ''), ','))) AS interface FROM code) SELECT interface, count(*)::BIGINT AS n_implementations FROM each GROUP BY 1",
-    "unused_imports": f"{CODE}{_IMPORTS}, words AS (SELECT path, n, unnest(regexp_extract_all(line, '[A-Za-z0-9_]+')) AS word FROM code), last AS (SELECT path, word, max(n) AS n FROM words GROUP BY 1, 2) SELECT i.path, i.language, i.n, i.name FROM imports i LEFT JOIN last l ON l.path = i.path AND l.word = i.name WHERE i.name IS NOT NULL AND i.language <> 'csharp' AND NOT {_TEST.replace('(path,', '(i.path,')} AND coalesce(l.n, 0) <= i.n",
+    "unused_imports": UNUSED_IMPORTS,
     "classified_files": CLASSIFIED,
     "token_histogram": TOKENS,
     "window_matches": f"{_WINDOWS} SELECT * FROM pairs",

@@ -10,22 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcloom.functions.textual import TRIMMED, trim_both
+from srcloom.functions.textual import spaced
+from srcloom.operators.symbols import implemented
 from srcloom.sources.corpora import is_entry_point, is_test
 
-#: How classes, their methods, interfaces and implementations are written.
+#: How classes, their methods and interfaces are written.
 CLASS = r"class\s+([A-Za-z_$][A-Za-z0-9_$]*)"
 METHOD = r"^\s+(?:(?:public|private|protected|static|async|get|set)\s+)*([A-Za-z_$][A-Za-z0-9_$]*)\s*\("
 INTERFACE = r"interface\s+([A-Za-z_$][A-Za-z0-9_$]*)"
-IMPLEMENTS = r"implements\s+([A-Za-z_$][\w$]*(?:\s*,\s*[A-Za-z_$][\w$]*)*)"
-COLON = r"class\s+\w+\s*:\s*([A-Za-z_][\w]*(?:\s*,\s*[A-Za-z_][\w]*)*)"
 LANGUAGES = ("typescript", "java", "csharp")
 
 
-def _spaced(pattern: str) -> str:
-    return pattern.replace(r"\s", f"[{TRIMMED}]")
-
-
 def class_body(text: Column) -> Column:
     """From the first { of a text to the } that closes it; { alone where none does, null where there is no {."""
     pieces = F.split(F.regexp_replace(text, r"^[^{]*", ""), r"(?<=[{}])", -1)
@@ -50,26 +45,21 @@ def _asked(files: DataFrame, importers: DataFrame) -> DataFrame:
 def single_method_classes(files: DataFrame, importers: DataFrame) -> DataFrame:
     """path, symbol and method of classes with one method besides the constructor; files has path, language and content,
     importers is fan_in's result. A class without braces has no methods."""
-    pattern = _spaced(CLASS)
+    pattern = spaced(CLASS)
     parts = _asked(files, importers).filter(F.col("content").contains("class")).select(
         "path", F.split("content", pattern, -1).alias("after"), F.regexp_extract_all("content", F.lit(pattern), F.lit(0)).alias("heads"), F.regexp_extract_all("content", F.lit(pattern), F.lit(1)).alias("names")
     )
     later = lambda k: F.array_join(F.zip_with(F.concat(F.array(F.lit("")), F.slice("heads", k + 2, F.size("heads"))), F.slice("after", k + 2, F.size("after")), lambda h, t: F.concat(h, t)), "")
-    classes = parts.select("path", F.explode(F.transform("names", lambda name, k: F.struct(name.alias("symbol"), later(k).alias("rest")))).alias("c")).select("path", "c.symbol", class_body(F.col("c.rest")).alias("body"))
-    methods = F.filter(F.regexp_extract_all("body", F.lit("(?m)" + _spaced(METHOD)), F.lit(1)), lambda m: m != "constructor")
+    bodies = F.transform("names", lambda name, k: F.struct(name.alias("symbol"), F.transform(F.array(later(k)), class_body)[0].alias("body")))
+    classes = parts.select("path", F.explode(bodies).alias("c")).select("path", "c.*")
+    methods = F.filter(F.regexp_extract_all("body", F.lit("(?m)" + spaced(METHOD)), F.lit(1)), lambda m: m != "constructor")
     return classes.withColumn("methods", methods).filter(F.size("methods") == 1).select("path", "symbol", F.col("methods")[0].alias("method"))
 
 
 def single_implementation_interfaces(files: DataFrame, importers: DataFrame) -> DataFrame:
     """path and symbol of interfaces that one `implements` clause of all files names; C# interfaces count what stands
     after a class's colon, too."""
-    offered = _asked(files, importers).select("path", "language", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(_spaced(INTERFACE)), F.lit(1)))).alias("symbol"))
-    listed = lambda pattern: F.transform(F.flatten(F.transform(F.regexp_extract_all("content", F.lit(_spaced(pattern)), F.lit(1)), lambda names: F.split(names, ","))), lambda name: trim_both(name))
-
-    def told(pattern: str, colon: bool) -> Column:
-        return F.transform(listed(pattern), lambda name: F.struct(name.alias("symbol"), F.lit(colon).alias("colon")))
-
-    named = files.select(F.explode(F.concat(told(IMPLEMENTS, False), told(COLON, True))).alias("i")).select("i.*")
-    counted = named.groupBy("symbol").agg(F.count_if(~F.col("colon")).alias("clauses"), F.count_if("colon").alias("colons"))
+    offered = _asked(files, importers).select("path", "language", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(spaced(INTERFACE)), F.lit(1)))).alias("symbol"))
+    counted = implemented(files).groupBy(F.col("interface").alias("symbol")).agg(F.count_if(~F.col("colon")).alias("clauses"), F.count_if("colon").alias("colons"))
     total = F.col("clauses") + F.when(F.col("language") == "csharp", F.col("colons")).otherwise(0)
     return offered.join(counted, "symbol").filter(total == 1).select("path", "symbol")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from srcloom.functions.shared import written
 from srcloom.operators import findings, metrics, patterns, statements, symbols
 from srcloom.sources.corpora import lines_of
 
@@ -57,15 +58,15 @@ def enabled(rows: DataFrame, disabled: list[str] | None) -> DataFrame:
 
 def scan(files: DataFrame, thresholds: dict[str, int] | None = None, disabled: list[str] | None = None) -> DataFrame:
     """The findings of all scans of files (path, language, content) in one schema, with run_id 0, a place, score and id."""
-    lines = lines_of(files)
+    lines, named = lines_of(files), written(symbols.file_symbols(files), "symbols")
     parts = [
         of_metrics(metrics.metric_findings(lines, thresholds)),
         of_patterns(patterns.pattern_hits(lines)),
         of_races(patterns.races(lines)),
-        of_dead_exports(symbols.dead_exports(lines)),
-        of_dead_exports(symbols.dead_exports_by_words(lines)),
+        of_dead_exports(symbols.dead_exports(named)),
+        of_dead_exports(symbols.dead_exports_by_words(files, named)),
         of_unused_imports(statements.unused_imports(files)),
-        of_divergent_exports(symbols.divergent_exports(lines)),
+        of_divergent_exports(symbols.divergent_exports(named)),
     ]
     rows = enabled(reduce(DataFrame.unionByName, parts), disabled)
     placed = rows.withColumn("run_id", F.lit(0).cast("long")).withColumn("ord", F.col("start_line").cast("long"))

@@ -86,39 +86,55 @@ def _parsed(language: str, statement: Column) -> Column:
     return nothing
 
 
-def import_symbols(files: DataFrame) -> DataFrame:
-    """path, language, n (line of the symbol's statement, or of itself in a Go block), name, local, kind and used (whether
-    the local name stands after the statement) of every import of files (path, language, content)."""
+def _found(language: str, with_use: bool) -> Column:
+    """The symbols that a content of one language imports, as structs; `used` only if it is asked for."""
+    pattern = "(?m)" + STATEMENTS[language]
+    text = without_comments(F.col("content")) if language == "typescript" else F.col("content")
+
+    def symbols(whole: Column) -> Column:
+        pieces, found = F.split(whole, pattern, -1), F.regexp_extract_all(whole, F.lit(pattern), F.lit(0))
+        both = F.zip_with(pieces, found, lambda a, b: F.struct(F.coalesce(a, F.lit("")).alias("a"), F.coalesce(b, F.lit("")).alias("b")))
+        return F.transform(F.array(both), lambda parts: F.flatten(F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p, k: of_statement(parts, p, k))))[0]
+
+    def of_statement(parts: Column, p: Column, k: Column) -> Column:
+        before = F.aggregate(F.slice(parts, 1, k), F.lit(0), lambda n, q: n + _newlines(q["a"]) + _newlines(q["b"])) + _newlines(p["a"])
+        lead = _newlines(F.regexp_extract(p["b"], r"^\s*", 0))
+        rest = F.array_join(F.transform(F.slice(parts, k + 2, F.size(parts)), lambda q: F.concat(q["a"], q["b"])), "")
+        # what a Go block lists after a symbol follows it, too
+        lines_after = lambda s: F.array_join(F.slice(F.split(p["b"], "\n"), s["at"] + 2, 1 << 30), "\n")
+        next_line = F.regexp_replace(rest, r"^[^\n]*\n?", "")
 
-    def of(language: str) -> Column:
-        pattern = "(?m)" + STATEMENTS[language]
-        text = without_comments(F.col("content")) if language == "typescript" else F.col("content")
+        def told(s: Column) -> Column:
+            known = [(before + lead + s["at"] + 1).alias("n"), s["name"].alias("name"), s["local"].alias("local"), s["kind"].alias("kind")]
+            if not with_use:
+                return F.struct(*known)
+            follows = F.when(s["rest_of_line"], rest).otherwise(F.concat(lines_after(s), F.lit("\n"), next_line) if language == "go" else next_line)
+            # the name has to stand there at all before a pattern looks for it as a word
+            used = follows.contains(s["local"]) & F.rlike(follows, F.concat(F.lit(r"(?<![0-9A-Za-z_])\Q"), s["local"], F.lit(r"\E(?![0-9A-Za-z_])")))
+            return F.struct(*known, used.alias("used"))
 
-        def symbols(whole: Column) -> Column:
-            pieces, found = F.split(whole, pattern, -1), F.regexp_extract_all(whole, F.lit(pattern), F.lit(0))
-            both = F.zip_with(pieces, found, lambda a, b: F.struct(F.coalesce(a, F.lit("")).alias("a"), F.coalesce(b, F.lit("")).alias("b")))
-            return F.transform(F.array(both), lambda parts: F.flatten(F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p, k: of_statement(parts, p, k))))[0]
+        return F.transform(_parsed(language, p["b"]), told)
 
-        def of_statement(parts: Column, p: Column, k: Column) -> Column:
-            before = F.aggregate(F.slice(parts, 1, k), F.lit(0), lambda n, q: n + _newlines(q["a"]) + _newlines(q["b"])) + _newlines(p["a"])
-            lead = _newlines(F.regexp_extract(p["b"], r"^\s*", 0))
-            rest = F.array_join(F.transform(F.slice(parts, k + 2, F.size(parts)), lambda q: F.concat(q["a"], q["b"])), "")
-            # what a Go block lists after a symbol follows it, too
-            lines_after = lambda s: F.array_join(F.slice(F.split(p["b"], "\n"), s["at"] + 2, 1 << 30), "\n")
-            next_line = F.regexp_replace(rest, r"^[^\n]*\n?", "")
+    return F.transform(F.array(text), symbols)[0]
 
-            def told(s: Column) -> Column:
-                follows = F.when(s["rest_of_line"], rest).otherwise(F.concat(lines_after(s), F.lit("\n"), next_line) if language == "go" else next_line)
-                used = F.rlike(follows, F.concat(F.lit(r"(?<![0-9A-Za-z_])\Q"), s["local"], F.lit(r"\E(?![0-9A-Za-z_])")))
-                return F.struct((before + lead + s["at"] + 1).alias("n"), s["name"].alias("name"), s["local"].alias("local"), s["kind"].alias("kind"), used.alias("used"))
 
-            return F.transform(_parsed(language, p["b"]), told)
+#: Words without which no statement of a language stands in a text.
+_HOLDS = {"typescript": ("import", "export", "require"), "python": ("import",), "go": ("import",), "java": ("import",), "csharp": ("using",)}
 
-        return F.transform(F.array(text), symbols)[0]
 
-    languages = list(STATEMENTS)
-    found = reduce(lambda a, x: a.when(F.col("language") == x, of(x)), languages[1:], F.when(F.col("language") == languages[0], of(languages[0])))
-    return files.select("path", "language", F.explode(found).alias("s")).select("path", "language", "s.*").filter("local <> ''")
+def imports_of_content(with_use: bool = False) -> Column:
+    """The imports of a row (language, content): an array of n, name, local, kind and, if asked for, used."""
+    out = None
+    for language in STATEMENTS:
+        holds = reduce(lambda a, w: a | F.col("content").contains(w), _HOLDS[language], F.lit(False))
+        out = (F.when if out is None else out.when)((F.col("language") == language) & holds, _found(language, with_use))
+    return F.filter(out, lambda s: s["local"] != "")
+
+
+def import_symbols(files: DataFrame) -> DataFrame:
+    """path, language, n (line of the symbol's statement, or of itself in a Go block), name, local, kind and used (whether
+    the local name stands after the statement) of every import of files (path, language, content)."""
+    return files.select("path", "language", F.explode(imports_of_content(True)).alias("s")).select("path", "language", "s.*")
 
 
 #: Kinds of imports whose use is not asked: names handed on, and forms that the check leaves alone.

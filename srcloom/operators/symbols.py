@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcloom.functions.textual import group_of, matches, trim_both
+from srcloom.functions.textual import group_of, matches, spaced, trim_both
+from srcloom.operators.statements import imports_of_content
 from srcloom.sources.corpora import is_entry_point, is_test
 
 #: What exports a name, in the order tried.
@@ -46,79 +47,149 @@ def _by_language(cases: dict[str, Column]) -> Column:
     return reduce(lambda a, kv: a.when(F.col("language") == kv[0], kv[1]), items[1:], F.when(F.col("language") == items[0][0], items[0][1]))
 
 
-def exports(lines: DataFrame) -> DataFrame:
-    """path, language, n, name, is_type and decorated (the line before begins with @) of exporting lines."""
-    name = _by_language({x: F.coalesce(*[group_of(F.col("line"), p) for p in patterns]) for x, patterns in EXPORTS.items()})
-    before = F.lag(trim_both(F.col("line"))).over(Window.partitionBy("path").orderBy("n"))
-    marked = lines.withColumn("name", name).withColumn("decorated", F.coalesce(before.startswith("@"), F.lit(False)))
-    return marked.filter("name IS NOT NULL").select("path", "language", "n", "name", matches(F.col("line"), r"^export\s+(?:type|interface)\b").alias("is_type"), "decorated")
-
-
-def _listed(symbols: Column) -> Column:
-    """Names of a comma list: what stands before `as`, without a leading `type`."""
-    each = F.transform(F.split(symbols, ","), lambda s: F.regexp_replace(F.regexp_replace(trim_both(s), r"\s+as\s+.*$", ""), r"^type\s+", ""))
-    return F.filter(each, lambda s: (s != "") & (s != "*"))
-
-
-def imports(lines: DataFrame) -> DataFrame:
-    """path, language, n and name of imported symbols, by the one-line forms of each language."""
-    lines = lines.select("path", "language", "n", trim_both(F.col("line")).alias("line"))
-    line = F.col("line")
-    one = lambda x: F.when(x.isNotNull(), F.array(x))
-    mixed = r"^import\s+([A-Za-z_$][\w$]*)\s*,\s*\{([^}]+)\}\s+from"
-    typescript = F.coalesce(
-        F.when(matches(line, mixed), F.concat(F.array(group_of(line, mixed)), _listed(group_of(line, mixed, 2)))),
-        _listed(group_of(line, r"^import\s+type\s+\{([^}]+)\}\s+from")),
-        _listed(group_of(line, r"^import\s+\{([^}]+)\}\s+from")),
-        one(group_of(line, r"^import\s+([A-Za-z_$][A-Za-z0-9_$]*)\s+from")),
-        one(group_of(line, r"^import\s+\*\s+as\s+([A-Za-z_$][A-Za-z0-9_$]*)\s+from")),
-        F.transform(F.split(group_of(line, r"(?:const|let|var)\s+\{([^}]+)\}\s*=\s*require\s*\("), ","), lambda s: trim_both(F.element_at(F.split(s, ":"), -1))),
-        one(group_of(line, r"(?:const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*=\s*require\s*\(")),
-        _listed(group_of(line, r"^export\s+\{([^}]+)\}\s+from")),
-    )
-    python = F.coalesce(
-        _listed(F.regexp_replace(group_of(line, r"^from\s+\S+\s+import\s+(.+)"), r"[()]", "")),
-        F.transform(F.split(group_of(line, r"^import\s+(.+)"), ","), lambda s: trim_both(F.element_at(F.split(s, r"\s+as\s+"), -1))),
-    )
-    go = F.coalesce(one(group_of(line, r'^import\s+([A-Za-z_.][A-Za-z0-9_]*)\s+"[^"]+"')), one(F.element_at(F.split(group_of(line, r'^import\s+"([^"]+)"'), "/"), -1)))
-    java = one(F.element_at(F.split(group_of(line, r"^import\s+(?:static\s+)?([\w.]+)\s*;"), r"\."), -1))
-    csharp = F.coalesce(one(group_of(line, r"^using\s+([A-Za-z_][A-Za-z0-9_]*)\s*=")), one(group_of(line, r"^using\s+([\w.]+)\s*;")))
-    names = _by_language({"typescript": typescript, "python": python, "go": go, "java": java, "csharp": csharp})
-    return lines.select("path", "language", "n", F.explode(names).alias("name")).filter("name <> ''")
+#: Words without which no line of a language exports a name.
+_EXPORT_WORDS = {"typescript": ("export",), "go": ("func", "type", "var", "const"), "python": ("def", "class"), "csharp": ("public",), "java": ("public",)}
+#: Lists of exported names, and what opens and closes a block of Go declarations and names in it.
+EXPORT_LIST = r"export\s+\{([^}]+)\}"
+GO_BLOCK, GO_BLOCK_NAME = r"^(?:var|const)\s*\(", r"^([A-Z][A-Za-z0-9_]*)(?:\s|$)"
+
+
+def _export(n: Column, name: Column, is_type: Column | bool = False, decorated: Column | bool = False) -> Column:
+    told = lambda x: F.lit(x) if isinstance(x, bool) else x
+    return F.struct(n.cast("int").alias("n"), name.alias("name"), told(is_type).alias("is_type"), F.coalesce(told(decorated), F.lit(False)).alias("decorated"))
+
+
+def _line_exports(lines: Column) -> Column:
+    """Exports that one line states."""
+
+    def of_line(x: Column, k: Column) -> Column:
+        cases = {lang: F.when(reduce(lambda a, w: a | x.contains(w), _EXPORT_WORDS[lang], F.lit(False)), F.coalesce(*[group_of(x, p) for p in patterns])) for lang, patterns in EXPORTS.items()}
+        decorated = (F.col("language") == "python") & trim_both(F.get(lines, k - 1)).startswith("@")
+        return F.struct(_by_language(cases).alias("name"), x.alias("line"), k.alias("k"), decorated.alias("decorated"))
+
+    named = F.filter(F.transform(lines, of_line), lambda e: e["name"].isNotNull())
+    return F.transform(named, lambda e: _export(e["k"] + 1, e["name"], (F.col("language") == "typescript") & matches(e["line"], r"^export\s+(?:type|interface)\b"), e["decorated"]))
+
+
+def _list_exports(content: Column) -> Column:
+    """Names of `export { a, b as c }`, which may span lines; a renamed one counts by its new name, at the line of `export`."""
+
+    def of_lists(pieces: Column) -> Column:
+        lists = F.regexp_extract_all(content, F.lit(EXPORT_LIST), F.lit(0))
+
+        def of_list(text: Column, k: Column) -> Column:
+            passed = F.concat(F.slice(pieces, 1, k + 1), F.slice(lists, 1, k))
+            n = F.aggregate(passed, F.lit(0), lambda m, x: m + F.regexp_count(x, F.lit("\n"))) + 1
+            inside = F.transform(F.split(F.regexp_extract(text, EXPORT_LIST, 1), ","), lambda x: trim_both(F.regexp_replace(trim_both(x), r"^[\s\S]*\s+as\s+", "")))
+            return F.transform(F.filter(inside, lambda x: x != ""), lambda x: _export(n, x))
+
+        return F.flatten(F.transform(lists, of_list))
+
+    return F.when(content.rlike(EXPORT_LIST), F.transform(F.array(F.split(content, EXPORT_LIST, -1)), of_lists)[0])
+
+
+def _block_exports(lines: Column, known: Column) -> Column:
+    """Names of Go's `var (...)` and `const (...)` that no line exports already."""
+    trimmed = F.transform(lines, lambda x, k: F.struct(trim_both(x).alias("t"), k.alias("k")))
+
+    def told(rows: Column) -> Column:
+        places = lambda test: F.transform(F.filter(rows, lambda r: test(r["t"])), lambda r: r["k"])
+        last = lambda found, k: F.coalesce(F.array_max(F.filter(found, lambda x: x < k)), F.lit(-1))
+
+        def between(opens: Column, closes: Column) -> Column:
+            inside = F.filter(rows, lambda r: r["t"].rlike(GO_BLOCK_NAME) & (last(opens, r["k"]) > last(closes, r["k"])))
+            names = F.transform(inside, lambda r: _export(r["k"] + 1, F.regexp_extract(r["t"], GO_BLOCK_NAME, 1)))
+            return F.filter(names, lambda e: ~F.exists(known, lambda x: x["name"] == e["name"]))
+
+        both = F.struct(places(lambda t: t.rlike(GO_BLOCK)).alias("opens"), places(lambda t: t == ")").alias("closes"))
+        return F.transform(F.array(both), lambda b: between(b["opens"], b["closes"]))[0]
+
+    return F.when(F.col("content").rlike("(?m)" + GO_BLOCK.replace("^", r"^\s*")), F.transform(F.array(trimmed), told)[0])
+
+
+def exports_of_content() -> Column:
+    """The exports of a row (language, content): an array of n, name, is_type and decorated (the line before begins with @)."""
+    none = F.array().cast("array<struct<n:int,name:string,is_type:boolean,decorated:boolean>>")
+
+    def of(lines: Column) -> Column:
+        stated = _line_exports(lines)
+        listed = F.concat(stated, F.coalesce(_list_exports(F.col("content")), none))
+        blocks = F.transform(F.array(stated), lambda known: F.concat(known, F.coalesce(_block_exports(lines, known), none)))[0]
+        return F.when(F.col("language") == "typescript", listed).when(F.col("language") == "go", blocks).otherwise(stated)
+
+    return F.transform(F.array(F.split("content", "\n", -1)), of)[0]
+
+
+def file_symbols(files: DataFrame) -> DataFrame:
+    """path, language, exports and imports of files (path, language, content), all found in the file's own row.
+
+    Write it once: every question about symbols is a join on it.
+    """
+    kept = files.filter(F.col("language").isNotNull() & F.col("content").isNotNull())
+    return kept.select("path", "language", exports_of_content().alias("exports"), F.coalesce(imports_of_content(), F.array().cast("array<struct<n:int,name:string,local:string,kind:string>>")).alias("imports"))
+
+
+def exports(symbols: DataFrame) -> DataFrame:
+    """path, language, n, name, is_type and decorated of every export."""
+    return symbols.select("path", "language", F.explode("exports").alias("e")).select("path", "language", "e.*")
+
+
+def imports(symbols: DataFrame) -> DataFrame:
+    """path, language, n, name, local and kind of every import."""
+    return symbols.select("path", "language", F.explode("imports").alias("i")).select("path", "language", "i.*")
+
+
+def _asked_for(symbols: DataFrame) -> DataFrame:
+    """path, language and names (distinct) by which a file asks for symbols: whole modules and packages by their local name."""
+    name = lambda i: F.when(i["kind"].isin("module", "require", "package"), i["local"]).otherwise(i["name"])
+    return symbols.select("path", "language", F.array_distinct(F.transform("imports", name)).alias("names")).filter(F.size("names") > 0)
 
 
 #: How sure a finding is by language.
 CONFIDENCE = {"python": 0.6, "go": 0.7, "csharp": 0.7}
 
 
-def _confidence() -> Column:
+#: Fixed value: what a recently added file adds to that.
+RECENT = 0.05
+
+
+def _confidence(recent: Column | None = None) -> Column:
     base = _by_language({x: F.lit(c) for x, c in CONFIDENCE.items()})
     sure = F.coalesce(base, F.lit(0.9))
+    if recent is not None:
+        sure = F.when(recent, F.round(F.least(F.lit(1.0), sure + RECENT), 2)).otherwise(sure)
     sure = F.when((F.col("language") == "python") & F.col("decorated"), 0.3).otherwise(sure)
     return F.when(F.col("is_type"), F.least(sure, F.lit(0.5))).otherwise(sure)
 
 
-def dead_exports(lines: DataFrame) -> DataFrame:
-    """path, language, n, name and confidence of exports outside tests that no file of the language imports."""
-    imported = imports(lines).select("language", "name").distinct()
-    offered = exports(lines).filter(F.col("language").isin("typescript", "python", "java") & ~is_test(F.col("path")) & ~is_entry_point(F.col("path")))
-    return offered.join(imported, ["language", "name"], "left_anti").select("path", "language", "n", "name", _confidence().alias("confidence"))
+def recent_files(log: DataFrame, at: Column, days: int = 30) -> DataFrame:
+    """path of files that a log of commits (path, status, at) adds (status A) within `days` before the time `at`."""
+    return log.filter((F.col("status") == "A") & (F.col("at") >= at - F.expr(f"INTERVAL {days} DAYS")) & (F.col("at") <= at)).select("path").distinct()
 
 
-def words(lines: DataFrame) -> DataFrame:
-    """path, language and word of every word of every line."""
-    return lines.select("path", "language", "n", F.explode(F.regexp_extract_all("line", F.lit(r"[A-Za-z0-9_]+"), F.lit(0))).alias("word"))
+def dead_exports(symbols: DataFrame, reachable: DataFrame | None = None, recent: DataFrame | None = None) -> DataFrame:
+    """path, language, n, name and confidence of exports outside tests that no file of the language imports.
 
+    Files of `reachable` (path) are left alone; those of `recent` (path) are more likely leftovers, so surer by 0.05.
+    """
+    imported = _asked_for(symbols).select("language", F.explode("names").alias("name")).distinct()
+    files = symbols.filter(F.col("language").isin("typescript", "python", "java") & ~is_test(F.col("path")) & ~is_entry_point(F.col("path")))
+    if reachable is not None:
+        files = files.join(reachable.select("path"), "path", "left_anti")
+    files = files.withColumn("recent", F.lit(False)) if recent is None else files.join(recent.select("path").withColumn("recent", F.lit(True)), "path", "left")
+    offered = files.select("path", "language", "recent", F.explode("exports").alias("e")).select("path", "language", "recent", "e.*")
+    dead = offered.join(imported, ["language", "name"], "left_anti")
+    return dead.select("path", "language", "n", "name", _confidence(F.coalesce("recent", F.lit(False))).alias("confidence"))
 
-def dead_exports_by_words(lines: DataFrame) -> DataFrame:
+
+def dead_exports_by_words(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """Go and C# exports whose name stands nowhere but in their own file, by word counts of the language's files."""
-    some = lines.filter(F.col("language").isin("go", "csharp"))
-    offered = exports(some).filter(~is_test(F.col("path")) & ~is_entry_point(F.col("path")))
+    offered = exports(symbols.filter(F.col("language").isin("go", "csharp") & ~is_test(F.col("path")) & ~is_entry_point(F.col("path"))))
     names = offered.select("language", F.col("name").alias("word")).distinct()
-    counted = words(some).join(names, ["language", "word"], "left_semi").groupBy("language", "word", "path").count()
-    totals = counted.groupBy("language", "word").agg(F.sum("count").alias("total"))
-    own = counted.join(totals, ["language", "word"]).filter("total = count").select("language", F.col("word").alias("name"), "path")
-    return offered.join(own, ["language", "name", "path"], "left_semi").select("path", "language", "n", "name", _confidence().alias("confidence"))
+    said = files.filter(F.col("language").isin("go", "csharp")).select("path", "language", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z0-9_]+"), F.lit(0)))).alias("word"))
+    spread = said.join(names, ["language", "word"], "left_semi").groupBy("language", "word").agg(F.count("*").alias("n_files"), F.min("path").alias("path"))
+    alone = spread.filter("n_files = 1").select("language", F.col("word").alias("name"), "path")
+    return offered.join(alone, ["language", "name", "path"], "left_semi").select("path", "language", "n", "name", _confidence().alias("confidence"))
 
 
 def specific(name: Column) -> Column:
@@ -127,29 +198,51 @@ def specific(name: Column) -> Column:
     return F.when(name.rlike("[a-z][A-Z]") | (name.contains("_") & (parts >= 2)), F.length(name) >= 6).otherwise(F.length(name) >= 12)
 
 
-def divergent_exports(lines: DataFrame) -> DataFrame:
+def divergent_exports(symbols: DataFrame) -> DataFrame:
     """name, n_files and first_path of specific names that several files outside tests export."""
-    offered = exports(lines).filter(~is_test(F.col("path")) & specific(F.col("name")))
+    offered = exports(symbols.filter(~is_test(F.col("path")))).filter(specific(F.col("name")))
     return offered.groupBy("name").agg(F.count_distinct("path").alias("n_files"), F.min("path").alias("first_path")).filter("n_files >= 2")
 
 
-def fan_in(lines: DataFrame) -> DataFrame:
+def fan_in(symbols: DataFrame) -> DataFrame:
     """path and fan_in of every file that exports: how many other files import one of its names.
 
-    A dotted import counts by its last part too. Providers and importers of a name meet in an equi-join on the name, so
-    adaptive execution can split a name that everything imports.
+    A dotted import counts by its last part too. Importers of a name are counted once, and a file with one imported name
+    takes that count, less itself; only files with several imported names meet their importers one by one.
     """
-    offered = exports(lines).select(F.col("path").alias("provider"), "name").distinct()
-    wanted = imports(lines).select(F.col("path").alias("importer"), F.explode(F.array_distinct(F.array("name", F.element_at(F.split("name", r"\."), -1)))).alias("name")).distinct()
-    met = offered.join(wanted, "name", "left").groupBy(F.col("provider").alias("path"))
-    return met.agg(F.count_distinct(F.when(F.col("importer") != F.col("provider"), F.col("importer"))).alias("fan_in"))
+    asked = _asked_for(symbols).select("path", F.explode("names").alias("name"))
+    wanted = asked.select("path", F.explode(F.array_distinct(F.array("name", F.element_at(F.split("name", r"\."), -1)))).alias("name")).distinct()
+    importers = wanted.groupBy("name").agg(F.count("*").alias("n"))
+    offered = symbols.select("path", F.explode(F.array_distinct(F.transform("exports", lambda e: e["name"]))).alias("name"))
+    own = wanted.withColumn("own", F.lit(1))
+    met = offered.join(importers, "name").join(own, ["path", "name"], "left").groupBy("path")
+    names = met.agg(F.count("*").alias("n_names"), F.first("name").alias("name"), F.sum(F.col("n") - F.coalesce("own", F.lit(0))).alias("n"))
+    several = offered.join(names.filter("n_names > 1").select("path"), "path", "left_semi")
+    pairs = several.join(wanted.withColumnRenamed("path", "importer"), "name").filter("importer <> path").groupBy("path").agg(F.count_distinct("importer").alias("n"))
+    counted = names.filter("n_names = 1").select("path", "n").union(pairs.select("path", "n"))
+    files = symbols.filter(F.size("exports") > 0).select("path")
+    return files.join(counted, "path", "left").select("path", F.coalesce("n", F.lit(0)).cast("long").alias("fan_in"))
+
+
+#: How implementations are written.
+IMPLEMENTS = r"implements\s+([A-Za-z_$][\w$]*(?:\s*,\s*[A-Za-z_$][\w$]*)*)"
+COLON = r"class\s+\w+\s*:\s*([A-Za-z_][\w]*(?:\s*,\s*[A-Za-z_][\w]*)*)"
+
+
+def implemented(files: DataFrame) -> DataFrame:
+    """language (of the file), interface and colon (whether a class names it after a colon) of every mention in files."""
+    listed = lambda pattern: F.transform(F.flatten(F.transform(F.regexp_extract_all("content", F.lit(spaced(pattern)), F.lit(1)), lambda names: F.split(names, ","))), lambda name: trim_both(name))
+
+    def told(pattern: str, colon: bool) -> Column:
+        return F.transform(listed(pattern), lambda name: F.struct(name.alias("interface"), F.lit(colon).alias("colon")))
+
+    some = files.filter(F.col("content").contains("implements") | F.col("content").contains("class"))
+    return some.select("language", F.explode(F.concat(told(IMPLEMENTS, False), told(COLON, True))).alias("i")).select("language", "i.*")
 
 
-def implementations(lines: DataFrame) -> DataFrame:
-    """interface and n_implementations by the `implements` clauses of the corpus."""
-    clause = group_of(F.col("line"), r"implements\s+([A-Za-z_$][\w$]*(?:\s*,\s*[A-Za-z_$][\w$]*)*)")
-    each = lines.select(F.explode(F.transform(F.split(clause, ","), trim_both)).alias("interface"))
-    return each.groupBy("interface").agg(F.count("*").alias("n_implementations"))
+def implementations(files: DataFrame) -> DataFrame:
+    """interface and n_implementations by the `implements` clauses of files, and in C# by what stands after a class's colon."""
+    return implemented(files).filter(~F.col("colon") | (F.col("language") == "csharp")).groupBy("interface").agg(F.count("*").alias("n_implementations"))
 
 
 #: Functions whose whole body is one returned call, and what counts as a function.

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcloom.functions.textual import base_name
+from srcloom.sources import rendered
 from srcloom.sources.tables import table
 
 #: The extensions of each language, and folders that hold no sources of a project.
@@ -72,100 +73,22 @@ def lines_of(files: DataFrame) -> DataFrame:
     return files.filter("content IS NOT NULL").select("path", language(F.col("path")).alias("language"), F.posexplode(F.split("content", "\n", -1)).alias("p", "line")).select("path", "language", (F.col("p") + 1).alias("n"), "line")
 
 
-#: A file of code for every order (it uses the parts of its lines) and for every part (it offers itself), in SQL that
-#: both engines run. {orders}, {lineitem} and {part} name the tables.
-CODE_LINES = """
-WITH o AS (
-  SELECT CAST(o_orderkey AS BIGINT) AS k, CAST(o_orderkey % 5 AS INT) AS lang, o_orderpriority AS priority FROM {orders}
-), l AS (
-  SELECT CAST(l_orderkey AS BIGINT) AS k, CAST(l_orderkey % 5 AS INT) AS lang, CAST(l_partkey AS STRING) AS p,
-         CAST(l_linenumber AS INT) AS ln, CAST(l_linenumber AS STRING) AS t, CAST(l_quantity AS INT) AS q, l_returnflag AS flag
-  FROM {lineitem}
-), p AS (
-  SELECT CAST(p_partkey AS BIGINT) AS p, CAST(p_partkey AS STRING) AS s, CAST(p_partkey % 5 AS INT) AS lang, CAST(p_size AS STRING) AS size, p_brand AS brand FROM {part}
-), numbered AS (
-  SELECT 'o' AS kind, k, lang, 1 AS ord, CASE lang WHEN 1 THEN '# order ' ELSE '// order ' END || CAST(k AS STRING) AS line FROM o
-  UNION ALL
-  SELECT 'o', k, lang, 10 + ln, CASE lang
-    WHEN 0 THEN 'import {{ makePart' || p || ' }} from ''../parts/part' || p || ''';'
-    WHEN 1 THEN 'from parts.part' || p || ' import make_part' || p
-    WHEN 2 THEN 'import part' || p || ' "acme/parts/part' || p || '"'
-    WHEN 3 THEN 'import acme.parts.MakePart' || p || ';'
-    ELSE 'using MakePart' || p || ' = Acme.Parts.Part' || p || ';' END FROM l
-  UNION ALL
-  SELECT 'o', k, lang, 80, CASE lang
-    WHEN 0 THEN 'export function priceOrder' || CAST(k % 97 AS STRING) || '(items) {{'
-    WHEN 1 THEN 'def price_order' || CAST(k % 97 AS STRING) || '(items):'
-    WHEN 2 THEN 'func PriceOrder' || CAST(k % 97 AS STRING) || '(items []int) int {{'
-    WHEN 3 THEN 'public class PriceOrder' || CAST(k % 97 AS STRING) || ' implements Pricer' || CAST(k % 41 AS STRING) || ' {{'
-    ELSE 'public class PriceOrder' || CAST(k % 97 AS STRING) || ' {{' END FROM o
-  UNION ALL
-  SELECT 'o', k, lang, 100 + 10 * ln, '  total' || t || ' = ' || CASE lang WHEN 0 THEN 'makePart' WHEN 1 THEN 'make_part' WHEN 2 THEN 'part' ELSE 'MakePart' END || p || '(' || CAST(q AS STRING) || ') ? 1 : 0;'
-  FROM l WHERE flag <> 'N'
-  UNION ALL
-  SELECT 'o', k, lang, 101 + 10 * ln, CASE q % 8
-    WHEN 0 THEN '  if (total' || t || ' > 1' || p || ' && ready || late) {{'
-    WHEN 1 THEN CASE lang WHEN 0 THEN '  console.log(total' WHEN 1 THEN '  print(total' WHEN 2 THEN '  fmt.Println(total' WHEN 3 THEN '  System.out.println(total' ELSE '  Console.WriteLine(total' END || t || ');'
-    WHEN 2 THEN CASE lang WHEN 1 THEN '  except:' ELSE '  try {{ run(); }} catch (Exception e) {{}}' END
-    WHEN 3 THEN CASE lang WHEN 1 THEN '  if os.path.exists(path' || t || '): {{' ELSE '  if (fs.existsSync(path' || t || ')) {{' END
-    WHEN 4 THEN '  logger.info(line' || t || '); fetch("https://api.acme.test/' || p || '");'
-    WHEN 5 THEN '  var old' || t || ' = config.limit ?? process.env.LIMIT;'
-    WHEN 6 THEN CASE lang WHEN 1 THEN '# Step ' ELSE '// Step ' END || t || ' weighs the part'
-    ELSE '  apiKey: "key' || p || 'abcdefgh",' END FROM l
-  UNION ALL
-  SELECT 'o', k, lang, 102 + 10 * ln, CASE WHEN lang = 1 THEN '    os.remove(path' || t || ')' ELSE '    fs.writeFileSync(path' || t || ', data' || CASE WHEN q % 3 = 0 THEN ', {{ flag: "wx" }}' ELSE '' END || ');' END FROM l WHERE q % 8 = 3
-  UNION ALL
-  SELECT 'o', k, lang, 103 + 10 * ln, '  }}' FROM l WHERE q % 8 IN (0, 3)
-  UNION ALL
-  SELECT 'o', k, lang, 1000, '}}' FROM o
-  UNION ALL
-  SELECT 'p', p, lang, 1, CASE lang
-    WHEN 0 THEN 'export const makePart' || s || ' = (q) => createPart(q);'
-    WHEN 1 THEN 'def make_part' || s || '(q):'
-    WHEN 2 THEN 'func MakePart' || s || '(q int) int {{ return create(q) }}'
-    WHEN 3 THEN 'public class MakePart' || s || ' implements Pricer' || CAST(p % 41 AS STRING) || ' {{'
-    ELSE 'public class MakePart' || s || ' {{' END FROM p
-  UNION ALL
-  SELECT 'p', p, lang, 2, CASE lang
-    WHEN 0 THEN 'export interface Part' || s || ' {{'
-    WHEN 1 THEN '  return create_part(q)'
-    ELSE '  // size ' || size END FROM p
-  UNION ALL
-  SELECT 'p', p, lang, 3, CASE WHEN lang = 0 THEN '  size: any; // ' || size ELSE '  brand = "' || brand || '";' END FROM p
-  UNION ALL
-  SELECT 'p', p, lang, 4, '}}' FROM p
-  UNION ALL
-  SELECT 'p', p, lang, 5, 'class Kit' || s || ' implements Part' || s || CASE WHEN p % 10 = 0 THEN ', Part' || CAST(p + 5 AS STRING) ELSE '' END || ' {{' FROM p WHERE lang = 0
-  UNION ALL
-  SELECT 'p', p, lang, 6, '  weigh(q) {{ return q; }}' FROM p WHERE lang = 0
-  UNION ALL
-  SELECT 'p', p, lang, 7, '  price(q) {{ return q; }}' FROM p WHERE lang = 0 AND p % 3 = 0
-  UNION ALL
-  SELECT 'p', p, lang, 8, '}}' FROM p WHERE lang = 0
-)
-SELECT CASE kind WHEN 'o' THEN 'orders/' ELSE 'parts/' END
-       || CASE kind WHEN 'o' THEN 'order' ELSE 'part' END || CAST(k AS STRING)
-       || CASE lang
-            WHEN 0 THEN CASE WHEN kind = 'o' AND k % 11 = 0 THEN '.test.ts' ELSE '.ts' END
-            WHEN 1 THEN CASE WHEN kind = 'o' AND k % 11 = 0 THEN '_test.py' ELSE '.py' END
-            WHEN 2 THEN '.go' WHEN 3 THEN '.java' ELSE '.cs' END AS path,
-       CASE lang WHEN 0 THEN 'typescript' WHEN 1 THEN 'python' WHEN 2 THEN 'go' WHEN 3 THEN 'java' ELSE 'csharp' END AS language,
-       CAST(row_number() OVER (PARTITION BY kind, k ORDER BY ord, line) AS INT) AS n, line
-FROM numbered
-"""
+def rendered_files(spark: SparkSession, folder: str, templates: list[rendered.Template]) -> DataFrame:
+    """A rendered body of text as files: path, language (null for none) and content. They lie by path, so that windows by path move nothing."""
+    tables = {name: table(spark, folder, name) for name in ("orders", "lineitem", "part")}
+    lines = spark.sql(rendered.spark_lines(templates), **tables)
+    gathered = lines.groupBy("path").agg(F.array_join(F.sort_array(F.collect_list(F.struct("ord", "line")))["line"], "\n").alias("content"))
+    return gathered.select("path", language(F.col("path")).alias("language"), "content")
 
 
-#: The same without the numbering of lines, for engines' own gathering of a file's lines.
-_NUMBERED, _SELECT = CODE_LINES.rsplit("SELECT CASE kind", 1)
-_NAMES = "SELECT CASE kind" + _SELECT.split("CAST(row_number()", 1)[0]
+def code_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The code corpus: a file for every order and part, and the sources of projects."""
+    return rendered_files(spark, folder, rendered.CODE)
 
 
-def code_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The code corpus as files: path, language and content. They lie by path, so that windows by path move nothing."""
-    tables = {name: table(spark, folder, name) for name in ("orders", "lineitem", "part")}
-    lines = spark.sql(f"{_NUMBERED}{_NAMES} ord, line FROM numbered", **tables)
-    gathered = lines.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("ord", "line"))).alias("lines"))
-    return gathered.select("path", language(F.col("path")).alias("language"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("content"))
+def project_files(spark: SparkSession, folder: str) -> DataFrame:
+    """What projects of the code corpus hold beside sources: manifests, configurations and rules."""
+    return rendered_files(spark, folder, rendered.PROJECT_FILES)
 
 
 def code_lines(spark: SparkSession, folder: str) -> DataFrame:

@@ -16,6 +16,11 @@ def lines(spark, **files):
     return lines_of(spark.createDataFrame(data, "path string, content string"))
 
 
+def whole(spark, **files):
+    data = [(name.replace("__", "."), content) for name, content in files.items()]
+    return spark.createDataFrame(data, "path string, content string").withColumn("language", language(F.col("path")))
+
+
 def test_metrics_of_nested_file(spark):
     text = "function a() {\n  if (x) {\n    for (;;) {\n    }\n  }\n}\n// note\n"
     m = metrics.file_metrics(lines(spark, a__ts=text)).first()
@@ -65,10 +70,11 @@ def test_race_needs_if_and_nearby_write(spark):
 
 
 def test_dead_and_divergent_exports(spark):
-    some = lines(spark, a__ts="export function usedThing() {\nexport function deadThing() {\nexport type DeadType = 1", b__ts="import { usedThing as u } from './a'\nexport function deadThing() {", c__go="func OnlyHere() {\nfunc Shared() {", d__go="x := Shared()")
+    files = whole(spark, a__ts="export function usedThing() {\nexport function deadThing() {\nexport type DeadType = 1", b__ts="import { usedThing as u } from './a'\nexport function deadThing() {", c__go="func OnlyHere() {\nfunc Shared() {", d__go="x := Shared()")
+    some = symbols.file_symbols(files)
     dead = {(r.path, r.name): r.confidence for r in symbols.dead_exports(some).collect()}
     assert dead == {("a.ts", "deadThing"): 0.9, ("a.ts", "DeadType"): 0.5, ("b.ts", "deadThing"): 0.9}
-    assert [(r.name, r.confidence) for r in symbols.dead_exports_by_words(some).collect()] == [("OnlyHere", 0.7)]
+    assert [(r.name, r.confidence) for r in symbols.dead_exports_by_words(files, some).collect()] == [("OnlyHere", 0.7)]
     assert [(r.name, r.n_files) for r in symbols.divergent_exports(some).collect()] == [("deadThing", 2)]
     assert {r.path: r.fan_in for r in symbols.fan_in(some).collect()} == {"a.ts": 1, "b.ts": 0, "c.go": 0}
 
