@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from srcloom.jobs import code_queries, finding_queries
+from srcloom.jobs import code_queries, finding_queries, project_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**code_queries.QUERIES, **finding_queries.QUERIES}
-SQL: dict[str, str] = {**code_queries.SQL, **finding_queries.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**code_queries.QUERIES, **finding_queries.QUERIES, **project_queries.QUERIES}
+SQL: dict[str, str] = {**code_queries.SQL, **finding_queries.SQL, **project_queries.SQL}

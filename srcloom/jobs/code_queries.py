@@ -282,6 +282,12 @@ def _symbols(files: DataFrame) -> DataFrame:
     return written(symbols.file_symbols(files), "symbols")
 
 
+def project_roots(spark: SparkSession, folder: str) -> DataFrame:
+    """The projects of the code corpus, and its top folders, which hold no manifests."""
+    apps = spark.sql("SELECT DISTINCT concat('projects/app', CAST(CAST(floor(p_partkey / 20) AS BIGINT) AS STRING)) AS project FROM {part}", part=table(spark, folder, "part"))
+    return apps.union(spark.createDataFrame([("orders",), ("parts",), ("projects",)], "project string"))
+
+
 def exported_symbols(spark: SparkSession, folder: str) -> DataFrame:
     return symbols.exports(symbols.file_symbols(code_files(spark, folder)))
 

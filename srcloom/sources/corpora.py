@@ -88,7 +88,7 @@ def code_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def project_files(spark: SparkSession, folder: str) -> DataFrame:
     """What projects of the code corpus hold beside sources: manifests, configurations and rules."""
-    return rendered_files(spark, folder, rendered.PROJECT_FILES)
+    return rendered_files(spark, folder, rendered.PROJECT_FILES).select("path", "content")
 
 
 def code_lines(spark: SparkSession, folder: str) -> DataFrame:

@@ -69,13 +69,24 @@ PROJECTS: list[Template] = [
     *_file("'go/use.go'", "go", _numbered("'package g'", "'import ('", "chr(9) || 'f \"fmt\"'", "chr(9) || '\"os/exec\"'", "')'", "'func Use() { f.Println() }'"), source="a"),
     *_file("'go/use.go'", "go", [("100 + p", "'func use' || s || '() int { return Alpha' || s || ' }'")], "p % 5 = 1"),
     *_file("'java/J' || s || '.java'", "java", _numbered("'public class J' || s || ' {'", "'  public int run' || s || '(int x) {'", "'    return x;'", "'  }'", "'}'"), "p % 5 = 2"),
+    *_file("'src/deps.ts'", "typescript", _numbered("CASE WHEN k % 3 = 0 THEN '// preact and reactive are others' ELSE 'import { React } from ''react'';' END", "'import { kit } from ''@acme/kit' || CAST(k % 4 AS STRING) || ''';'", "CASE k % 4 WHEN 0 THEN '// tests by @babel/core' WHEN 1 THEN '// left-padding' ELSE '// left-pad' END", "'React(kit);'"), source="a"),
     *_file("'java/Use.java'", "java", [("p", "'import acme.J' || s || ';'")], "p % 10 = 2"),
 ]
 
-#: The projects' files beside their sources.
+#: The projects' files beside their sources: configurations, manifests of some of the five kinds each, an installed package, ignore rules.
 PROJECT_FILES: list[Template] = [
     *_file("'tsconfig.json'", "json", _numbered("'{ // aliases of app ' || app", "'  \"extends\": \"./tsconfig.base\", /* shared */'", "'  \"compilerOptions\": {'", "'    \"baseUrl\": \".\",'", "'    \"paths\": { \"@/*\": [\"src/*\"], },'", "'  },'", "'}'"), source="a"),
     *_file("'tsconfig.base.json'", "json", _numbered("'{ \"compilerOptions\": { \"paths\": { \"@lazy/*\": [\"src/lazy/*\"] } } }'"), source="a"),
+    *_file("'package.json'", "json", _numbered("'{'", "'  \"name\": \"app' || app || '\",'", "'  \"scripts\": { \"build\": \"tsc -b\", \"lint\": \"biome check\" },'", "'  \"dependencies\": {'", "'    \"react\": \"17.0.' || app || '\",'", "'    \"@acme/kit' || CAST(k % 5 AS STRING) || '\": \"1.0.0\",'", "CASE WHEN k % 2 = 0 THEN '    \"moment\": \"2.29.0\",' ELSE '    \"lodash\": \"4.0.0\",' END", "'    \"left-pad\": \"1.3.0\"'", "'  },'", "'  \"devDependencies\": {'", "'    \"typescript\": \"5.4.0\",'", "'    \"@types/react\": \"20.0.0\",'", "'    \"@types/babel__core\": \"7.0.0\",'", "'    \"@biomejs/biome\": \"1.8.0\"'", "'  }'", "'}'"), "k % 4 <> 3", "a"),
+    *_file("'node_modules/typescript/package.json'", "json", _numbered("'{ \"bin\": { \"tsc\": \"bin/tsc\", \"tsserver\": \"bin/tsserver\" }, \"dependencies\": { \"hidden\": \"1\" } }'"), "k % 2 = 0", "a"),
+    *_file("'biome.json'", "json", _numbered("'{ \"extends\": [\"@biomejs/biome\"] }'"), "k % 8 = 1", "a"),
+    *_file("'requirements.txt'", "text", _numbered("'flask>=2.0'", "'optparse==1.0'", "'svc'"), "k % 3 = 0", "a"),
+    *_file("'go.mod'", "text", _numbered("'module app' || app", "'require ('", "chr(9) || 'github.com/acme/os v1.2.3'", "chr(9) || 'github.com/acme/unseen v0.1.0 // indirect'", "')'"), "k % 3 = 1", "a"),
+    *_file("'App' || app || '.csproj'", "xml", _numbered("'<ItemGroup><PackageReference Include=\"WebClient\" Version=\"4.0\" /></ItemGroup>'"), "k % 5 = 0", "a"),
+    *_file("'pom.xml'", "xml", _numbered("'<dependency><artifactId>acme</artifactId></dependency>'", "'<dependency><artifactId>servlet</artifactId></dependency>'"), "k % 5 = 1", "a"),
+    *_file("'build.gradle'", "text", _numbered("'implementation ''javax:inject:1'''"), "k % 5 = 2", "a"),
+    *_file("'.gitignore'", "text", _numbered("'# rules'", "'*.java'", "'!Use.java'", "'/go/'", "'src/**/o*.ts'", "'lazy'", "''"), source="a"),
+    *_file("'src/.gitignore'", "text", _numbered("'!old/o*3.ts'"), "k % 2 = 0", "a"),
 ]
 
 CODE = ORDERS_AND_PARTS + PROJECTS
