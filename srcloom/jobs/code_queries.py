@@ -242,13 +242,13 @@ _EXPORTS = f"""{_STATES}, named AS (
   SELECT path, language, n, line, CASE language {' '.join(f"WHEN '{x}' THEN {_coalesced_groups(p)}" for x, p in symbols.EXPORTS.items())} END AS name,
          language = 'python' AND coalesce(starts_with(trim(lag(line) OVER (PARTITION BY path ORDER BY n)), '@'), false) AS decorated FROM code
 ), exports AS (
-  SELECT path, language, n, name, language = 'typescript' AND regexp_matches(line, '^export\\s+(?:type|interface)\\b') AS is_type, decorated FROM named WHERE name IS NOT NULL
+  SELECT path, language, n, name, language = 'typescript' AND regexp_matches(line, '^export\\s+(?:type|interface)\\b') AS is_type, decorated, false AS handed_on FROM named WHERE name IS NOT NULL
   UNION ALL
-  SELECT path, language, export_at, regexp_replace(rtrim(t, ','), '^.* as ', ''), false, false FROM states WHERE language = 'typescript' AND export_at > closed_at AND close_n IS NULL
+  SELECT path, language, export_at, regexp_replace(rtrim(t, ','), '^.* as ', ''), false, false, false FROM states WHERE language = 'typescript' AND export_at > closed_at AND close_n IS NULL
   UNION ALL
-  SELECT path, language, n, regexp_replace(trim(regexp_extract(line, 'export\\s+\\{{([^}}]+)\\}}', 1)), '^.* as ', ''), false, false FROM code WHERE language = 'typescript' AND regexp_matches(line, 'export\\s+\\{{[^}}]+\\}}')
+  SELECT path, language, n, regexp_replace(trim(regexp_extract(line, 'export\\s+\\{{([^}}]+)\\}}', 1)), '^.* as ', ''), false, false, regexp_matches(line, '^\\s*export\\s+\\{{[^}}]*\\}}\\s+from\\s') FROM code WHERE language = 'typescript' AND regexp_matches(line, 'export\\s+\\{{[^}}]+\\}}')
   UNION ALL
-  SELECT path, language, n, regexp_extract(t, '^([A-Z][A-Za-z0-9_]*)', 1), false, false FROM states WHERE language = 'go' AND block_at > closed_at AND close_n IS NULL AND regexp_matches(t, '^[A-Z][A-Za-z0-9_]*(?:\\s|$)')
+  SELECT path, language, n, regexp_extract(t, '^([A-Z][A-Za-z0-9_]*)', 1), false, false, false FROM states WHERE language = 'go' AND block_at > closed_at AND close_n IS NULL AND regexp_matches(t, '^[A-Z][A-Za-z0-9_]*(?:\\s|$)')
 )"""
 _IMPORTS = r""", told AS (
   SELECT path, language, n, n AS ends, CASE language
@@ -532,13 +532,13 @@ SQL: dict[str, str] = {
     "race_findings": RACES,
     "inconsistent_patterns": INCONSISTENT,
     "outdated_usage": _outdated_sql(),
-    "exported_symbols": f"{CODE}{_EXPORTS} SELECT path, language, n::INTEGER AS n, name, is_type, decorated FROM exports",
+    "exported_symbols": f"{CODE}{_EXPORTS} SELECT path, language, n::INTEGER AS n, name, is_type, decorated, handed_on FROM exports",
     "imported_symbols": f"{CODE}{_STATES}{_IMPORTS} SELECT path, language, n::INTEGER AS n, name, local, kind FROM imports",
     "reachable_files": f"{CODE}{_REACHABLE} SELECT path FROM reachable",
     "recent_files": f"WITH x AS (SELECT 1){_RECENT} SELECT path FROM recent",
     "dead_exports": f"{CODE}{_EXPORTS}{_IMPORTS}{_REACHABLE}{_RECENT} SELECT path, language, n::INTEGER AS n, name, CASE WHEN language = 'python' AND decorated THEN 0.3 WHEN is_type THEN 0.5 ELSE round(CASE language WHEN 'python' THEN 0.6 ELSE 0.9 END + CASE WHEN path IN (FROM recent) THEN 0.05 ELSE 0 END, 2) END::DOUBLE AS confidence FROM exports e WHERE language IN ('typescript', 'python', 'java') AND NOT {_TEST} AND NOT {_ENTRY} AND path NOT IN (FROM reachable) AND NOT EXISTS (SELECT 1 FROM asked i WHERE i.language = e.language AND i.name = e.name)",
     "dead_exports_by_words": f"{CODE}{_EXPORTS}, words AS (SELECT language, path, unnest(regexp_extract_all(line, '[A-Za-z0-9_]+')) AS word FROM code WHERE language IN ('go', 'csharp')), totals AS (SELECT language, word, count(DISTINCT path) AS k FROM words GROUP BY 1, 2) SELECT path, language, n::INTEGER AS n, name, {_CONFIDENCE} AS confidence FROM exports e JOIN totals t USING (language) WHERE t.word = e.name AND t.k = 1 AND NOT {_TEST} AND NOT {_ENTRY}",
-    "divergent_exports": f"{CODE}{_EXPORTS} SELECT name, count(DISTINCT path)::BIGINT AS n_files, min(path) AS first_path FROM exports WHERE NOT {_TEST} AND CASE WHEN regexp_matches(name, '[a-z][A-Z]') OR (contains(name, '_') AND len(list_filter(string_split(name, '_'), lambda p: p <> '')) >= 2) THEN length(name) >= 6 ELSE length(name) >= 12 END GROUP BY name HAVING count(DISTINCT path) >= 2",
+    "divergent_exports": f"{CODE}{_EXPORTS} SELECT name, count(DISTINCT path)::BIGINT AS n_files, min(path) AS first_path FROM exports WHERE NOT {_TEST} AND NOT handed_on AND CASE WHEN regexp_matches(name, '[a-z][A-Z]') OR (contains(name, '_') AND len(list_filter(string_split(name, '_'), lambda p: p <> '')) >= 2) THEN length(name) >= 6 ELSE length(name) >= 12 END GROUP BY name HAVING count(DISTINCT path) >= 2",
     "fan_in": f"{CODE}{_EXPORTS}{_IMPORTS}{_FAN_IN} SELECT * FROM fan_in",
     "pass_through_files": PASS_THROUGHS,
     "single_method_classes": SINGLE_METHODS,

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from srcloom.functions.rule_catalog import MIGRATIONS, RULES
 from srcloom.functions.shared import written
-from srcloom.jobs import code_queries
+from srcloom.jobs import code_queries, project_queries
 from srcloom.operators import findings as f
 from srcloom.operators import scan
-from srcloom.sources.corpora import FINDINGS, code_files, findings
+from srcloom.sources.corpora import FINDINGS, code_files, findings, project_files
 from srcloom.sources.tables import table
 
 _F = f"WITH f AS ({FINDINGS.format(lineitem='lineitem')})"
@@ -43,7 +44,7 @@ _KEY = ("run_id", "id")
 def merged(spark: SparkSession, folder: str) -> DataFrame:
     """Every run merged into the run before it; run_id is that of the incoming one."""
     all_runs = f.stamped(findings(spark, folder))
-    scans = all_runs.join(F.broadcast(f.before(all_runs).select("run_id")), "run_id")
+    scans = all_runs.join(f.before(all_runs).select("run_id"), "run_id")
     return f.merged(f.as_prior(_state(all_runs, "run_id")), scans.select("run_id", "id", "severity", F.when(F.col("status") == "fixed", "fixed").alias("status")), _KEY)
 
 
@@ -85,7 +86,7 @@ def bulk_fix(spark: SparkSession, folder: str) -> DataFrame:
 def _scans(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The stored findings of all runs, and those of new scans of every run but the first, as open ones."""
     all_runs = f.stamped(findings(spark, folder))
-    again = all_runs.join(F.broadcast(f.before(all_runs).select("run_id")), "run_id")
+    again = all_runs.join(f.before(all_runs).select("run_id"), "run_id")
     columns = ("run_id", "id", "severity")
     return all_runs.select(*columns, "status"), again.select(*columns, F.lit("open").alias("status"))
 
@@ -150,7 +151,7 @@ def members(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def file_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return f.file_groups(findings(spark, folder), 5, 20)
+    return f.file_groups(f.stamped(findings(spark, folder)), 5, 20).withColumn("ids", F.array_join("ids", ","))
 
 
 def counted(spark: SparkSession, folder: str) -> DataFrame:
@@ -177,32 +178,81 @@ def without_runs(spark: SparkSession, folder: str) -> DataFrame:
     return f.without_run(runs, runs.filter("active OR label = '1-URGENT'")).select("id", "touch_seq", "active")
 
 
+def _inputs(spark: SparkSession, folder: str) -> scan.Inputs:
+    return scan.Inputs(written(code_files(spark, folder), "code"), written(project_files(spark, folder), "projects"), code_queries.project_roots(spark, folder), code_queries.recent_files(spark, folder), code_queries.LOW, 2)
+
+
+#: Kernels whose results SQL gives; duplicate regions are compared on their own.
+_WITH_SQL = {name: kernel for name, kernel in scan.KERNELS.items() if not name.startswith("duplicate")}
+
+
 def scan_findings(spark: SparkSession, folder: str) -> DataFrame:
-    """All scans of the code corpus as one findings table; rules of one kind of check are switched off."""
-    rows = scan.scan(written(code_files(spark, folder), "code"), code_queries.LOW, ["magic-number"])
-    return rows.select("id", *scan.COLUMNS, "score")
+    """All scans of the code corpus but duplicates, as one findings table."""
+    return scan.scan(_inputs(spark, folder), kernels=_WITH_SQL)[0].select("id", *scan.COLUMNS, "score")
+
+
+def scan_everything(spark: SparkSession, folder: str) -> DataFrame:
+    """All scans of the code corpus, duplicates and their clusters among them."""
+    return scan.scan(_inputs(spark, folder))[0].select("id", *scan.COLUMNS, "score")
+
+
+def scan_without_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """The findings of some checks switched off are left out; ids are those of the findings that stay."""
+    some = {name: scan.KERNELS[name] for name in ("patterns", "unused-dependencies", "outdated")}
+    return scan.scan(_inputs(spark, folder), ["magic-number", "outdated-pattern"], some)[0].select("id", "check_name", "file", "start_line")
 
 
 def scan_summary(spark: SparkSession, folder: str) -> DataFrame:
-    rows = scan.scan(written(code_files(spark, folder), "code"), code_queries.LOW, ["magic-number"])
+    rows = scan.scan(_inputs(spark, folder), kernels=_WITH_SQL)[0]
     return f.summaries(rows.withColumn("status", F.lit("open"))).drop("run_id")
 
 
+def _located(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings of all runs with their places; duplicates stand in a second file, too, some by a path from the root of all."""
+    rows = f.stamped(findings(spark, folder))
+    place = lambda file, line: F.struct(file.alias("file"), line.alias("start_line"), (line + 2).alias("end_line"))
+    n = F.regexp_extract("file", r"(\d+)", 1).cast("int")
+    second = place(F.concat(F.when(F.col("ord") % 2 == 0, "/work/shop/").otherwise(""), F.lit("src/file"), (n + 1).cast("string"), F.lit(".ts")), F.col("line_number") + 10)
+    first = F.array(place(F.col("file"), F.col("line_number")))
+    return f.relative_locations(rows.withColumn("locations", F.when(F.col("check_name") == "duplicate", F.concat(first, F.array(second))).otherwise(first)), "/work/shop")
+
+
+def findings_in_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings with a place in one of the files of the first suppliers, whichever of their places that is."""
+    rows = _located(spark, folder)
+    files = table(spark, folder, "supplier").filter("s_suppkey <= 5").select(F.concat(F.lit("src/file"), F.col("s_suppkey").cast("string"), F.lit(".ts")).alias("file"))
+    return f.in_files(rows, files, f.file_index(rows, _KEY), _KEY).select("run_id", "id", "check_name", F.size("locations").alias("n_places"))
+
+
 _CRITICAL = "SELECT run_id, id FROM stamped WHERE severity = 'critical' UNION ALL SELECT run_id, 'no-' || ord::VARCHAR FROM stamped WHERE severity = 'critical'"
 _REGISTRY = """WITH runs AS (
   SELECT o_custkey AS id, arg_max(o_orderpriority, o_orderkey) AS label, CASE WHEN arg_max(o_orderstatus, o_orderkey) = 'F' THEN 'archived' ELSE 'active' END AS status,
          min(o_orderdate) AS created_at, max(o_orderdate) AS updated_at, max(o_orderkey) AS touch_seq
   FROM orders GROUP BY o_custkey
 ), registry AS (SELECT *, touch_seq = (SELECT max(touch_seq) FROM runs) AS active FROM runs)"""
-_SCANNED = f"""WITH scanned AS (
-  SELECT rule AS check_name, severity, category, 'common' AS language, path AS file, 1 AS start_line, rule || ' ' || value::VARCHAR AS description, NULL::VARCHAR AS symbol, 0.95::DOUBLE AS confidence FROM ({code_queries.SQL['metric_findings']})
-  UNION ALL SELECT rule, severity, category, 'common', path, n::INTEGER, rule, NULL, 0.9 FROM ({code_queries.SQL['pattern_hits']})
-  UNION ALL SELECT 'toctou', 'high', 'security', 'common', path, n::INTEGER, 'check and act ' || (act_n - n)::VARCHAR || ' lines apart', NULL, 0.85 FROM ({code_queries.SQL['race_findings']})
-  UNION ALL SELECT 'dead-export', 'low', 'dead-code', language, path, n::INTEGER, 'Exported symbol ' || chr(39) || name || chr(39) || ' appears unused', name, confidence FROM (({code_queries.SQL['dead_exports']}) UNION ALL BY NAME ({code_queries.SQL['dead_exports_by_words']}))
-  UNION ALL SELECT 'unused-import', 'low', 'dead-code', language, path, n::INTEGER, 'Import ' || chr(39) || name || chr(39) || ' is never used', name, 0.85 FROM ({code_queries.SQL['unused_imports']})
-  UNION ALL SELECT 'divergent-export', 'medium', 'duplication', 'common', first_path, 1, chr(39) || name || chr(39) || ' is exported by ' || n_files::VARCHAR || ' files', name, 0.8 FROM ({code_queries.SQL['divergent_exports']})
-), f AS (SELECT *, 0 AS run_id, start_line AS ord, true AS fixable FROM scanned WHERE check_name <> 'magic-number')"""
-
+def _inner(sql: str) -> str:
+    """SQL over the code corpus without the corpus itself, for use below a query that holds it."""
+    rest = sql.removeprefix(code_queries.CODE).lstrip()
+    return "WITH " + rest[1:] if rest.startswith(",") else rest
+
+
+_SUGGESTED = "CASE check_name " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in scan.SUGGESTIONS.items()) + " WHEN 'outdated-pattern' THEN (SELECT 'Migrate from ' || chr(39) || m.old || chr(39) || ' to ' || chr(39) || m.new || chr(39) || '.' FROM (VALUES " + ", ".join(f"('{m.old}', '{m.new}')" for m in MIGRATIONS) + ") m(old, new) WHERE contains(description, chr(39) || m.old || chr(39))) END"
+_SCANNED = f"""{code_queries.CODE.replace("WITH code AS (", "WITH code AS MATERIALIZED (", 1)}, scanned AS MATERIALIZED (
+  SELECT rule AS check_name, severity, category, 'common' AS language, path AS file, 1 AS start_line, rule || ' ' || value::VARCHAR AS description, NULL::VARCHAR AS symbol, 0.95::DOUBLE AS confidence FROM ({_inner(code_queries.SQL['metric_findings'])})
+  UNION ALL SELECT rule, severity, category, 'common', path, n::INTEGER, rule, NULL, 0.9 FROM ({_inner(code_queries.SQL['pattern_hits'])})
+  UNION ALL SELECT 'toctou', 'high', 'security', 'common', path, n::INTEGER, 'check and act ' || (act_n - n)::VARCHAR || ' lines apart', NULL, 0.85 FROM ({_inner(code_queries.SQL['race_findings'])})
+  UNION ALL SELECT 'dead-export', 'low', 'dead-code', language, path, n::INTEGER, 'Exported symbol ' || chr(39) || name || chr(39) || ' appears unused', name, confidence FROM (({_inner(code_queries.SQL['dead_exports'])}) UNION ALL BY NAME ({_inner(code_queries.SQL['dead_exports_by_words'])}))
+  UNION ALL SELECT 'unused-import', 'low', 'dead-code', language, path, n::INTEGER, 'Import ' || chr(39) || name || chr(39) || ' is never used', name, 0.85 FROM ({_inner(code_queries.SQL['unused_imports'])})
+  UNION ALL SELECT 'unused-dep', 'low', 'dead-code', 'common', NULL, NULL, 'Dependency ' || chr(39) || name || chr(39) || ' declared in ' || manifest || ' manifest but not referenced in source', project || ':' || name, 0.7 FROM ({_inner(project_queries.SQL['unused_dependencies'])})
+  UNION ALL SELECT 'outdated-pattern', severity, 'outdated', 'common', project || '/' || location, 1, 'Outdated ' || CASE WHEN location = 'source' THEN 'usage' ELSE 'dependency' END || ' ' || chr(39) || old || chr(39), NULL, confidence FROM ({_inner(project_queries.SQL['outdated_dependencies'])})
+  UNION ALL SELECT 'inconsistent-patterns', 'low', 'consistency', 'common', NULL, NULL, 'Inconsistent ' || concern || ' patterns: ' || n_approaches::VARCHAR || ' different approaches found', NULL, 0.75 FROM ({_inner(code_queries.SQL['inconsistent_patterns'])})
+  UNION ALL SELECT 'over-engineering', 'low', 'complexity', 'common', path, 1, 'Single-method class (only method: ' || method || ') — a plain function may suffice', symbol, 0.7 FROM ({_inner(code_queries.SQL['single_method_classes'])})
+  UNION ALL SELECT 'over-engineering', 'low', 'complexity', 'common', path, 1, 'Interface ' || symbol || ' has only one implementation — may be unnecessary abstraction', symbol, 0.7 FROM ({_inner(code_queries.SQL['single_implementation_interfaces'])})
+  UNION ALL SELECT 'over-engineering', 'low', 'complexity', 'common', path, 1, CASE WHEN n_pass >= n_functions THEN 'All ' || n_functions::VARCHAR || ' exported functions are pass-throughs (fan-in: ' || fan_in::VARCHAR || ') — file may be unnecessary indirection' ELSE 'Low fan-in (' || fan_in::VARCHAR || ' importers) with ' || n_pass::VARCHAR || '/' || n_functions::VARCHAR || ' pass-through functions — may be unnecessary abstraction layer' END, regexp_extract(path, '[^/]*$'), 0.7 FROM ({_inner(code_queries.SQL['pass_through_files'])})
+  UNION ALL SELECT 'divergent-export', 'medium', 'duplication', 'common', first_path, 1, chr(39) || name || chr(39) || ' is exported by ' || n_files::VARCHAR || ' files', name, 0.8 FROM ({_inner(code_queries.SQL['divergent_exports'])})
+), f AS (SELECT *, 0 AS run_id, coalesce(start_line, 0) AS ord, true AS fixable, {_SUGGESTED} AS suggestion FROM scanned)"""
+
+_PATTERN_CHECKS = ", ".join(f"'{r.id}'" for r in RULES) + ", 'unused-dep'"
 _STATE = "SELECT id, severity, status, CASE WHEN ord % 5 = 0 THEN 'note ' || ord::VARCHAR END AS notes, ord % 6 = 0 AS severity_overridden FROM stamped"
 _STATE_OF_RUNS = _STATE.replace("SELECT id", "SELECT run_id, id", 1)
 _STEPS = "steps AS (SELECT run_id, lag(run_id) OVER (ORDER BY run_id) AS prior FROM (SELECT DISTINCT run_id FROM f))"
@@ -236,7 +286,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "list_runs": listed_runs,
     "delete_runs": without_runs,
     "scan_findings": scan_findings,
+    "scan_everything": scan_everything,
+    "scan_without_checks": scan_without_checks,
     "scan_summary": scan_summary,
+    "findings_in_files": findings_in_files,
 }
 
 SQL: dict[str, str] = {
@@ -275,11 +328,15 @@ SELECT run_id, id, CASE WHEN ord % 9 = 0 THEN severity WHEN ord % 6 = 0 THEN 'hi
     "page_facts": f"{_F}, g AS (SELECT count(*)::BIGINT AS total FROM f WHERE status <> 'stale' AND severity IN ('critical', 'high') AND coalesce(fixable, true) AND coalesce(confidence, 1.0) >= 0.5) SELECT total, 100::BIGINT AS \"offset\", 50::BIGINT AS \"limit\", greatest(least(total - 100, 50), 0)::BIGINT AS n, total > 100 + greatest(least(total - 100, 50), 0) AS truncated FROM g",
     "compact_findings": f'{_F}{_STAMPED} SELECT id, check_name AS "check", severity, category, status, description, file, line_number AS start_line, fixable, confidence FROM stamped',
     "findings_of_groups": f"{_F}{_STAMPED} SELECT check_name AS value, id, count(*) OVER (PARTITION BY check_name)::BIGINT AS n FROM stamped WHERE status <> 'stale'",
-    "file_groups_page": f"{_F} SELECT file, count(*)::BIGINT AS n, min({_RANK})::INTEGER AS worst_rank FROM f WHERE status <> 'stale' GROUP BY file ORDER BY 3, 2 DESC, 1 LIMIT 20 OFFSET 5",
+    "file_groups_page": f"{_F}{_STAMPED}, g AS (SELECT file, count(*)::BIGINT AS n, min({_RANK})::INTEGER AS worst_rank, list_sort(list_distinct(list(id))) AS ids FROM stamped WHERE status <> 'stale' GROUP BY file), t AS (SELECT count(*)::BIGINT AS total_groups, sum(n)::BIGINT AS total_findings FROM g) SELECT file, n, worst_rank, array_to_string(ids, ',') AS ids, total_groups, total_findings FROM g, t ORDER BY 2 DESC, 1 LIMIT 20 OFFSET 5",
     "count_findings": f"{_F} SELECT count(*)::BIGINT AS total FROM f WHERE status IN ('open', 'in-progress') AND category = 'security'",
     "run_registry": f"{_REGISTRY} SELECT * FROM registry",
     "list_runs": f"{_REGISTRY} SELECT id, label, active FROM registry WHERE status <> 'archived' OR active",
     "delete_runs": f"{_REGISTRY}, l AS (SELECT * FROM registry WHERE NOT active AND label <> '1-URGENT') SELECT id, touch_seq, touch_seq = (SELECT max(touch_seq) FROM l) AS active FROM l",
-    "scan_findings": f"{_SCANNED}{_STAMPED} SELECT id, check_name, severity, category, language, file, start_line, description, symbol, confidence, fixable, score FROM stamped",
+    "scan_findings": f"{_SCANNED}{_STAMPED} SELECT id, check_name, severity, category, language, file, start_line, description, symbol, confidence, fixable, suggestion, score FROM stamped",
+    "scan_without_checks": f"{_SCANNED.replace('FROM scanned)', 'FROM scanned WHERE check_name IN (' + _PATTERN_CHECKS + ') AND check_name <> ' + chr(39) + 'magic-number' + chr(39) + ')')}{_STAMPED} SELECT id, check_name, file, start_line FROM stamped",
+    "findings_in_files": f"""{_F}{_STAMPED}, wanted AS (SELECT s_suppkey AS n FROM supplier WHERE s_suppkey <= 5), placed AS (
+  SELECT run_id, id, check_name, regexp_extract(file, '([0-9]+)', 1)::BIGINT AS n FROM stamped
+) SELECT run_id, id, check_name, CASE WHEN check_name = 'duplicate' THEN 2 ELSE 1 END::INTEGER AS n_places FROM placed WHERE n IN (FROM wanted) OR (check_name = 'duplicate' AND n + 1 IN (FROM wanted))""",
     "scan_summary": f"{_SCANNED}, g AS (SELECT *, 'open' AS status FROM f) " + " UNION ALL ".join(f"SELECT '{d}' AS dimension, {d} AS value, count(*)::BIGINT AS n FROM g GROUP BY {d}" for d in ("severity", "category", "status", "check_name", "language")),
 }

@@ -48,7 +48,7 @@ def before(runs: DataFrame) -> DataFrame:
 def as_prior(findings: DataFrame) -> DataFrame:
     """findings with the run_id of the run after their own, for which they are the state before; the last run's have none."""
     steps = before(findings).select(F.col("run_id").alias("next"), F.col("prior").alias("run_id"))
-    return findings.join(F.broadcast(steps), "run_id").withColumn("run_id", F.col("next")).drop("next")
+    return findings.join(steps, "run_id").withColumn("run_id", F.col("next")).drop("next")
 
 
 def merged(existing: DataFrame, incoming: DataFrame, key: tuple[str, ...] = ("id",)) -> DataFrame:
@@ -226,8 +226,36 @@ def members_of_groups(findings: DataFrame, column: str) -> DataFrame:
 
 
 def file_groups(findings: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
-    """A page of files with findings, the worst severity first, then the most findings, then by name."""
-    return grouped_by_file(findings).orderBy("worst_rank", F.desc("n"), "file").offset(offset).limit(limit)
+    """A page of files with findings, the most findings first, then by name: file, n, worst_rank, the ids of its findings, and
+    how many groups and findings there are in all. Only ids of the page's files are gathered."""
+    sizes = grouped_by_file(findings)
+    page_ = sizes.orderBy(F.desc("n"), "file").offset(offset).limit(limit)
+    live = findings.filter("status <> 'stale'").select("file", "id").distinct()
+    ids = live.join(page_.select("file"), "file", "left_semi").groupBy("file").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    totals = sizes.agg(F.count("*").alias("total_groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_findings"))
+    one = F.lit(1)
+    return page_.join(ids, "file").withColumn("_k", one).join(totals.withColumn("_k", one), "_k").select("file", "n", "worst_rank", "ids", "total_groups", "total_findings")
+
+
+def relative_locations(findings: DataFrame, root: str) -> DataFrame:
+    """findings whose places (locations: file, start_line, end_line) are all relative to `root`, with forward slashes."""
+    start = root.replace("\\", "/").rstrip("/") + "/"
+    plain = lambda x: F.translate(x, "\\", "/")
+    short = lambda x: F.when(plain(x).startswith(start), F.substring(plain(x), len(start) + 1, 1 << 30)).otherwise(plain(x))
+    return findings.withColumn("locations", F.transform("locations", lambda p: F.struct(short(p["file"]).alias("file"), p["start_line"].alias("start_line"), p["end_line"].alias("end_line"))))
+
+
+def file_index(findings: DataFrame, key: tuple[str, ...] = ("id",)) -> DataFrame:
+    """file and the key of findings with a place in it, once each: the side table that file questions are asked of."""
+    return findings.select(F.explode(F.array_distinct(F.transform("locations", lambda p: p["file"]))).alias("file"), *key).filter("file IS NOT NULL")
+
+
+def in_files(findings: DataFrame, files: DataFrame, index: DataFrame, key: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Findings with any place in one of `files` (file), by a side table, and rechecked: an index that lags behind adds none."""
+    asked = files.select("file").distinct()
+    hits = index.join(asked, "file").groupBy(*key).agg(F.collect_set("file").alias("_files"))
+    met = findings.join(hits, list(key))
+    return met.filter(F.exists("locations", lambda p: F.array_contains("_files", p["file"]))).drop("_files")
 
 
 def counted(findings: DataFrame) -> DataFrame:

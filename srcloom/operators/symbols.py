@@ -54,9 +54,13 @@ EXPORT_LIST = r"export\s+\{([^}]+)\}"
 GO_BLOCK, GO_BLOCK_NAME = r"^(?:var|const)\s*\(", r"^([A-Z][A-Za-z0-9_]*)(?:\s|$)"
 
 
-def _export(n: Column, name: Column, is_type: Column | bool = False, decorated: Column | bool = False) -> Column:
-    told = lambda x: F.lit(x) if isinstance(x, bool) else x
-    return F.struct(n.cast("int").alias("n"), name.alias("name"), told(is_type).alias("is_type"), F.coalesce(told(decorated), F.lit(False)).alias("decorated"))
+#: Fixed value: a line that hands on names of another module.
+HANDS_ON = r"^\s*export\s+\{[^}]*\}\s+from\s+"
+
+
+def _export(n: Column, name: Column, is_type: Column | bool = False, decorated: Column | bool = False, handed_on: Column | bool = False) -> Column:
+    told = lambda x: F.coalesce(F.lit(x) if isinstance(x, bool) else x, F.lit(False))
+    return F.struct(n.cast("int").alias("n"), name.alias("name"), told(is_type).alias("is_type"), told(decorated).alias("decorated"), told(handed_on).alias("handed_on"))
 
 
 def _line_exports(lines: Column) -> Column:
@@ -81,7 +85,8 @@ def _list_exports(content: Column) -> Column:
             passed = F.concat(F.slice(pieces, 1, k + 1), F.slice(lists, 1, k))
             n = F.aggregate(passed, F.lit(0), lambda m, x: m + F.regexp_count(x, F.lit("\n"))) + 1
             inside = F.transform(F.split(F.regexp_extract(text, EXPORT_LIST, 1), ","), lambda x: trim_both(F.regexp_replace(trim_both(x), r"^[\s\S]*\s+as\s+", "")))
-            return F.transform(F.filter(inside, lambda x: x != ""), lambda x: _export(n, x))
+            line = F.get(F.split(content, "\n"), n - 1)
+            return F.transform(F.filter(inside, lambda x: x != ""), lambda x: _export(n, x, handed_on=line.rlike(HANDS_ON)))
 
         return F.flatten(F.transform(lists, of_list))
 
@@ -108,8 +113,9 @@ def _block_exports(lines: Column, known: Column) -> Column:
 
 
 def exports_of_content() -> Column:
-    """The exports of a row (language, content): an array of n, name, is_type and decorated (the line before begins with @)."""
-    none = F.array().cast("array<struct<n:int,name:string,is_type:boolean,decorated:boolean>>")
+    """The exports of a row (language, content): an array of n, name, is_type, decorated (the line before begins with @) and
+    handed_on (its line re-exports names of another module)."""
+    none = F.array().cast("array<struct<n:int,name:string,is_type:boolean,decorated:boolean,handed_on:boolean>>")
 
     def of(lines: Column) -> Column:
         stated = _line_exports(lines)
@@ -130,7 +136,7 @@ def file_symbols(files: DataFrame) -> DataFrame:
 
 
 def exports(symbols: DataFrame) -> DataFrame:
-    """path, language, n, name, is_type and decorated of every export."""
+    """path, language, n, name, is_type, decorated and handed_on of every export."""
     return symbols.select("path", "language", F.explode("exports").alias("e")).select("path", "language", "e.*")
 
 
@@ -199,8 +205,8 @@ def specific(name: Column) -> Column:
 
 
 def divergent_exports(symbols: DataFrame) -> DataFrame:
-    """name, n_files and first_path of specific names that several files outside tests export."""
-    offered = exports(symbols.filter(~is_test(F.col("path")))).filter(specific(F.col("name")))
+    """name, n_files and first_path of specific names that several files outside tests export; names handed on from another module do not count."""
+    offered = exports(symbols.filter(~is_test(F.col("path")))).filter(specific(F.col("name")) & ~F.col("handed_on"))
     return offered.groupBy("name").agg(F.count_distinct("path").alias("n_files"), F.min("path").alias("first_path")).filter("n_files >= 2")
 
 

@@ -61,7 +61,7 @@ PROJECTS: list[Template] = [
     *_file("'src/load.ts'", "typescript", [("p", "'const l' || s || ' = () => import(''' || CASE WHEN p % 8 = 1 THEN './lazy/l' ELSE '@lazy/l' END || s || ''');'")], "p % 4 = 1"),
     *_file("'src/lib/u' || s || '/part.ts'", "typescript", _numbered("'const inner = 1;'", "'export {'", "'  inner as u' || s || ','", "'  spare' || s || ','", "'};'"), "p % 4 = 2"),
     *_file("'src/run.ts'", "typescript", [("p * 10", "'import {'"), ("p * 10 + 1", "'  u' || s || ','"), ("p * 10 + 2", "'  type Opt' || s || ' as O' || s || ','"), ("p * 10 + 3", "'} from ''@/lib/u' || s || '/part'';'"), ("p + 1000000000000", "'u' || s || '();'")], "p % 4 = 2"),
-    *_file("'src/old/o' || s || '.ts'", "typescript", _numbered("'export class O' || s || ' {'", "'  run() { return 1; }'", "'}'", "'export type T' || s || ' = string;'", "'export { helper' || s || ' as again' || s || ' } from ''../lib/none'';'"), "p % 4 = 3"),
+    *_file("'src/old/o' || s || '.ts'", "typescript", _numbered("'export class O' || s || ' {'", "'  run() { return 1; }'", "'}'", "'export type T' || s || ' = string;'", "'export { helper' || s || ' as againShared } from ''../lib/none'';'"), "p % 4 = 3"),
     *_file("'svc/mod' || s || '.py'", "python", _numbered("'@app.route(\"/v' || s || '\")'", "'def view' || s || '():'", "'  return 1'", "'def used' || s || '():'", "'  return 2'", "'class Spare' || s || ':'", "'  pass'"), "p % 5 = 0"),
     *_file("'svc/start' || app || '.py'", "python", [("p * 10", "'from svc.mod' || s || ' import ('"), ("p * 10 + 1", "'    used' || s || ' as u' || s || ','"), ("p * 10 + 3", "')'"), ("p + 1000000000000", "'u' || s || '()'")], "p % 5 = 0"),
     *_file("'svc/start' || app || '.py'", "python", [("p * 10 + 2", "'    Spare' || s || ','")], "p % 10 = 0"),
