@@ -199,8 +199,9 @@ def _approach_sql() -> str:
 
 
 INCONSISTENT = f"""{CODE}, whole AS (SELECT path, string_agg(line, chr(10) ORDER BY n) AS x FROM code WHERE NOT {_TEST} GROUP BY path), clean AS (
-  SELECT path, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x,
-    '/\\*.*?\\*/', '', 'gs'), '(?m)//.*$', '', 'g'), '(?m)#.*$', '', 'g'), '`[^`]*`', '``', 'g'), '"[^"\\n]*"', '""', 'g'), '''[^''\\n]*''', '''''', 'g') AS x FROM whole
+  SELECT path, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x,
+    '/\\*[\\s\\S]*?\\*/', '', 'g'), '(\\A|[^:])//[^\\n]*', '\\1', 'g'), '(?m)^\\s*#[^\\n]*', '', 'g'), '`[^`]*`', '""', 'g'), '"(?:[^"\\\\]|\\\\.)*"', '""', 'g'), '''(?:[^''\\\\]|\\\\.)*''', '''''', 'g'),
+    '([=({{\\[,;!&|?:\\s])/[^/\\n]+/[gimsuy]*', '\\1""', 'g') AS x FROM whole
 ), found AS ({_approach_sql()})
 SELECT concern, count(*)::BIGINT AS n_approaches, string_agg(approach || '=' || n_files::VARCHAR, '; ' ORDER BY approach || '=' || n_files::VARCHAR) AS approaches
 FROM found GROUP BY concern HAVING count(*) >= 2
@@ -372,16 +373,10 @@ FROM f"""
 
 
 def token_histogram(spark: SparkSession, folder: str) -> DataFrame:
-    return duplicates.tokens(code_lines(spark, folder)).groupBy("token").agg(F.count("*").alias("n"))
+    return code_duplicates.token_counts(code_duplicates.token_files(code_files(spark, folder)))
 
 
 _KEYWORD_LIST = ", ".join(_q(k) for k in duplicates.KEYWORDS)
-TOKENS = f"""{CODE}, raw AS (
-  SELECT unnest(regexp_extract_all(regexp_replace(line, '//.*$|#.*$', '', 'g'), '"(?:[^"\\\\]|\\\\.)*"|''(?:[^''\\\\]|\\\\.)*''|[A-Za-z_$][A-Za-z0-9_$]*|[0-9][0-9A-Za-z_.]*|[(){{}}\\[\\];,.<>+*/=!&|?:-]')) AS t FROM code
-)
-SELECT CASE WHEN t[1] IN ('"', '''') THEN 'STR' WHEN regexp_matches(t[1], '[0-9]') THEN 'NUM' WHEN t IN ({_KEYWORD_LIST}) OR NOT regexp_matches(t[1], '[A-Za-z_$]') THEN t ELSE 'IDENT' END AS token, count(*)::BIGINT AS n
-FROM raw GROUP BY 1"""
-
 WINDOW = 40
 
 
@@ -404,11 +399,12 @@ def code_window_matches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def code_duplicate_regions(spark: SparkSession, folder: str) -> DataFrame:
-    return code_duplicates.duplicate_regions(code_files(spark, folder))
+    regions = code_duplicates.duplicate_regions(_code(spark, folder))
+    return regions.withColumn("samples", F.array_join(F.transform("samples", lambda x: F.concat(x["a"], F.lit(" vs "), x["b"])), "; "))
 
 
 def code_duplicate_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    return code_duplicates.region_clusters(code_duplicate_regions(spark, folder))
+    return code_duplicates.region_clusters(code_duplicates.duplicate_regions(_code(spark, folder)))
 
 
 _WINDOWS = f"""WITH items AS (
@@ -433,6 +429,11 @@ SELECT path, root, count(*) OVER (PARTITION BY root)::BIGINT AS size FROM rooted
 
 # the corpus holds no negative numbers, which RE2 could not tell from differences
 _ONE_TOKEN = "|".join((code_duplicates.COMMENT.replace(r"\Z", r"\z"), code_duplicates.STRING, code_duplicates.NAME, code_duplicates.NUMBER, r"[(){}\[\];,.<>+*/=!&|?:-]"))
+TOKENS = f"""{CODE}, whole AS (SELECT path, string_agg(line, chr(10) ORDER BY n) AS x FROM code GROUP BY path), raw AS (
+  SELECT unnest(list_filter(regexp_extract_all(x, {_q(_ONE_TOKEN)}), lambda t: NOT (t[1] = '#' OR starts_with(t, '//') OR starts_with(t, '/*')))) AS t FROM whole
+)
+SELECT CASE WHEN t[1] IN ('"', '''', '`') THEN 'STR' WHEN regexp_matches(t[1], '[0-9]') THEN 'NUM' WHEN t IN ({_KEYWORD_LIST}) OR NOT regexp_matches(t[1], '[A-Za-z_$]') THEN t ELSE 'IDENT' END AS token, count(*)::BIGINT AS n
+FROM raw GROUP BY 1"""
 CODE_WINDOWS = f"""{CODE}, whole AS (SELECT path, string_agg(line, chr(10) ORDER BY n) AS x FROM code GROUP BY path), raw AS (
   SELECT path, list_filter(regexp_extract_all(x, {_q(_ONE_TOKEN)}), lambda t: NOT (t[1] = '#' OR starts_with(t, '//') OR starts_with(t, '/*'))) AS w FROM whole
 ), items AS (
@@ -488,6 +489,82 @@ UNUSED_IMPORTS = f"""{CODE}{_STATES}{_IMPORTS}, mine AS (
 ), last AS (SELECT path, word, max(n) AS n FROM words SEMI JOIN wanted USING (path, word) GROUP BY ALL)
 SELECT i.path, i.language, i.n::INTEGER AS n, i.local AS name FROM mine i LEFT JOIN last l ON l.path = i.path AND l.word = i.local WHERE coalesce(l.n, 0) <= i.ends"""
 
+def _list(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join(map(_q, values)) + "]"
+
+
+_D = code_duplicates
+# tokens of the corpus do not span lines; a pair's windows are walked in order, a window inside a region found before is passed over
+REGIONS = f"""{CODE.replace("WITH code", "WITH RECURSIVE code", 1)}, listed AS (
+  SELECT path, n - 1 AS at_line, line, unnest(raws) AS raw, unnest(range(len(raws))) AS i FROM (
+    SELECT path, n, line, list_filter(regexp_extract_all(line, {_q(_ONE_TOKEN)}), lambda t: NOT (t[1] = '#' OR starts_with(t, '//') OR starts_with(t, '/*'))) AS raws
+    FROM code WHERE NOT regexp_matches(regexp_extract(path, '[^/]*$'), {_q(_D.TEST_NAMES)})) WHERE len(raws) > 0
+), coded AS (
+  SELECT *, CASE WHEN raw[1] IN ('"', '''', '`') THEN 'STR' WHEN regexp_matches(raw[1], '[0-9]') THEN 'NUM' WHEN raw IN ({_KEYWORD_LIST}) OR NOT regexp_matches(raw[1], '[A-Za-z_$]') THEN raw ELSE 'IDENT' END AS code FROM listed
+), stepped AS (
+  SELECT *, coalesce(sum(CASE WHEN code IN ('(', '[', '{{') THEN 1 WHEN code IN (')', ']', '}}') THEN -1 ELSE 0 END) OVER (PARTITION BY path ORDER BY at_line, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth FROM coded
+), files AS (
+  SELECT path, list(code ORDER BY at_line, i) AS w, list(raw ORDER BY at_line, i) AS raws, list(at_line ORDER BY at_line, i) AS at_lines,
+         list(depth ORDER BY at_line, i) || [sum(CASE WHEN code IN ('(', '[', '{{') THEN 1 WHEN code IN (')', ']', '}}') THEN -1 ELSE 0 END)] AS depths
+  FROM stepped GROUP BY path HAVING count(*) >= {_D.SIZE}
+), held AS (
+  SELECT path, start, md5(array_to_string(list_slice(w, start + 1, start + {_D.SIZE}), ' ')) AS key FROM (SELECT path, w, unnest(range(len(w) - {_D.SIZE} + 1)) AS start FROM files)
+), common AS (SELECT key FROM held GROUP BY key HAVING count(*) BETWEEN 2 AND {duplicates.MOST_IN_BUCKET}), kept AS (SELECT * FROM held SEMI JOIN common USING (key)), pairs AS (
+  SELECT a.path AS path_a, b.path AS path_b, list({{'a': a.start, 'b': b.start}} ORDER BY a.start, b.start) AS starts FROM kept a JOIN kept b ON a.key = b.key
+   AND (a.path < b.path OR (a.path = b.path AND b.start - a.start >= {_D.SIZE})) GROUP BY 1, 2
+), sides AS MATERIALIZED (
+  SELECT p.*, a.w AS wa, b.w AS wb, a.at_lines AS la FROM pairs p JOIN files a ON a.path = p.path_a JOIN files b ON b.path = p.path_b
+), walk AS (
+  SELECT path_a, path_b, 0 AS k, []::STRUCT(a BIGINT, b BIGINT, n BIGINT)[] AS found FROM pairs
+  UNION ALL
+  SELECT path_a, path_b, k + 1, CASE WHEN free AND la[s.a + n] - la[s.a + 1] + 1 >= {_D.LEAST_LINES} THEN list_append(found, {{'a': s.a, 'b': s.b, 'n': n}}) ELSE found END FROM (
+    SELECT *, CASE WHEN free THEN {_D.SIZE} + coalesce(list_filter(range(0, most - {_D.SIZE}), lambda i: wa[s.a + {_D.SIZE} + 1 + i] <> wb[s.b + {_D.SIZE} + 1 + i])[1], most - {_D.SIZE}) END AS n FROM (
+      SELECT w.path_a, w.path_b, w.k, w.found, p.wa, p.wb, p.la, p.starts[w.k + 1] AS s, least(len(p.wa) - p.starts[w.k + 1].a, len(p.wb) - p.starts[w.k + 1].b) AS most,
+             len(list_filter(w.found, lambda r: (p.starts[w.k + 1].a >= r.a AND p.starts[w.k + 1].a < r.a + r.n) OR (p.starts[w.k + 1].b >= r.b AND p.starts[w.k + 1].b < r.b + r.n)
+               )) = 0 AS free
+      FROM walk w JOIN sides p ON p.path_a = w.path_a AND p.path_b = w.path_b WHERE w.k < len(p.starts)))
+), ended AS (
+  SELECT path_a, path_b, unnest(found) AS r FROM walk w JOIN pairs p USING (path_a, path_b) WHERE w.k = len(p.starts)
+), shaped AS (
+  SELECT path_a, path_b, r.a AS start_a, r.b AS start_b, r.n AS token_count, a.at_lines[r.a + 1] AS start_line_a, a.at_lines[r.a + r.n] AS end_line_a, b.at_lines[r.b + 1] AS start_line_b, b.at_lines[r.b + r.n] AS end_line_b,
+         list_slice(a.w, r.a + 1, r.a + r.n) AS x, list_slice(a.raws, r.a + 1, r.a + r.n) AS ra, list_slice(b.raws, r.b + 1, r.b + r.n) AS rb,
+         path_a = path_b AND a.depths[r.a + 1] >= 1 AND list_min(list_slice(a.depths, r.a + 1, r.b + r.n + 1)) >= a.depths[r.a + 1] AS in_container
+  FROM ended JOIN files a ON a.path = path_a JOIN files b ON b.path = path_b
+), measured AS (
+  SELECT *, floor(len(list_filter(x, lambda t: list_contains({_list(_D.STRUCTURAL)}, t)))::DOUBLE / token_count * 1000 + 0.5) / 1000 AS structural_ratio,
+         floor(len(list_distinct(x))::DOUBLE / token_count * 1000 + 0.5) / 1000 AS token_diversity,
+         list_transform(list_filter(range(1, token_count + 1), lambda i: x[i] IN ('STR', 'NUM') AND ra[i] <> rb[i]), lambda i: ra[i] || ' vs ' || rb[i]) AS differing
+  FROM shaped
+), placed AS (
+  SELECT path, f, l, count(*) AS k FROM (SELECT path_a AS path, start_line_a AS f, end_line_a AS l FROM measured UNION ALL SELECT path_b, start_line_b, end_line_b FROM measured) GROUP BY ALL
+), sure AS (
+  SELECT m.*, floor((0.6 * least(1.0::DOUBLE, structural_ratio / 0.25::DOUBLE) + 0.4::DOUBLE * least(1.0::DOUBLE, token_diversity / 0.15::DOUBLE)) * least(1.0::DOUBLE, 3.0::DOUBLE / greatest(1, a.k, b.k)::DOUBLE) * 100 + 0.5) / 100 AS plain
+  FROM measured m JOIN placed a ON a.path = path_a AND a.f = start_line_a AND a.l = end_line_a JOIN placed b ON b.path = path_b AND b.f = start_line_b AND b.l = end_line_b
+), texts AS (SELECT path, list(line ORDER BY n) AS lines FROM code GROUP BY path), regions AS (
+  SELECT path_a, path_b, start_a::INTEGER AS start_a, start_b::INTEGER AS start_b, token_count::INTEGER AS token_count, start_line_a::INTEGER AS start_line_a, end_line_a::INTEGER AS end_line_a, start_line_b::INTEGER AS start_line_b, end_line_b::INTEGER AS end_line_b,
+         1.0::DOUBLE AS similarity, structural_ratio, token_diversity, in_container,
+         CASE WHEN structural_ratio < 0.15 THEN 'extract-config' WHEN list_has_any(x, {_list(_D.WRAPPERS)}) THEN 'extract-wrapper' WHEN x[1] IN ({', '.join(map(_q, _D.DECLARATIONS))}) THEN 'extract-and-share' ELSE 'extract-function' END AS category,
+         len(differing)::INTEGER AS divergent_literals, array_to_string(differing[1:3], '; ') AS samples,
+         CASE WHEN in_container AND structural_ratio < 0.2 AND token_diversity < 0.15 THEN least(plain, 0.45::DOUBLE) ELSE plain END AS confidence,
+         array_to_string(lines[start_line_a + 1 : start_line_a + least(end_line_a - start_line_a + 1, {_D.SNIPPET_LINES})], chr(10)) || CASE WHEN end_line_a - start_line_a + 1 > {_D.SNIPPET_LINES} THEN chr(10) || '// ... ' || (end_line_a - start_line_a + 1 - {_D.SNIPPET_LINES})::VARCHAR || ' more lines' ELSE '' END AS snippet
+  FROM sure JOIN texts ON texts.path = path_a
+), duplicate_regions AS MATERIALIZED (SELECT * FROM regions WHERE confidence >= {_D.LEAST_CONFIDENCE})"""
+REGION_CLUSTERS = f"""{REGIONS}, named AS (
+  SELECT *, path_a || ':' || start_line_a || '-' || end_line_a AS ra, path_b || ':' || start_line_b || '-' || end_line_b AS rb FROM duplicate_regions
+), links AS (SELECT DISTINCT ra AS u, rb AS v FROM named UNION SELECT rb, ra FROM named), reached AS (
+  SELECT u AS region, u AS other FROM links UNION SELECT r.region, l.v FROM reached r JOIN links l ON r.other = l.u
+), rooted AS (SELECT region, min(other) AS root FROM reached GROUP BY region), members AS (
+  SELECT DISTINCT region, path, lines FROM (SELECT ra AS region, path_a AS path, end_line_a - start_line_a + 1 AS lines FROM named UNION ALL SELECT rb, path_b, end_line_b - start_line_b + 1 FROM named)
+), sizes AS (
+  SELECT root, count(*)::BIGINT AS member_count, count(DISTINCT path)::BIGINT AS files_affected, sum(lines)::BIGINT AS duplicated_lines FROM members JOIN rooted USING (region) GROUP BY root
+), stats AS (
+  SELECT root, floor(avg(similarity) * 100 + 0.5) / 100 AS similarity, floor(avg(token_count) + 0.5)::BIGINT AS token_count,
+         arg_min({{'category': category, 'divergent_literals': divergent_literals, 'snippet': snippet}}, {{'a': path_a, 'b': path_b, 'c': start_a, 'd': start_b}}) AS first
+  FROM named JOIN rooted ON rooted.region = ra GROUP BY root
+)
+SELECT root, member_count, files_affected, duplicated_lines, similarity, token_count, floor(files_affected * similarity * duplicated_lines + 0.5) / 100 AS impact, first.category, first.divergent_literals, first.snippet
+FROM sizes JOIN stats USING (root)"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "file_metrics": file_metrics,
     "code_metrics": code_metrics,
@@ -550,4 +627,6 @@ SQL: dict[str, str] = {
     "window_matches": f"{_WINDOWS} SELECT * FROM pairs",
     "duplicate_clusters": CLUSTERS,
     "code_window_matches": CODE_WINDOWS,
+    "code_duplicate_regions": f"{REGIONS} SELECT * FROM duplicate_regions",
+    "code_duplicate_clusters": REGION_CLUSTERS,
 }

@@ -114,12 +114,16 @@ def nesting(lines: DataFrame) -> DataFrame:
     return brace_nesting(facts.filter(~python)).unionByName(indent_nesting(facts.filter(python)))
 
 
+#: Names of files that gather what belongs nowhere, surely and perhaps.
+GRAB_BAGS, SHARED_BAGS = r"(?i)^(?:helpers?|utils?|misc|lib|tools|functions|methods)$", r"(?i)^(?:common|shared)$"
+
+
 def metric_findings(lines: DataFrame, thresholds: dict[str, int] | None = None) -> DataFrame:
     """path, rule, severity, category and value of every threshold that a file exceeds."""
     most = {**THRESHOLDS, **(thresholds or {})}
     facts = file_metrics(lines).join(nesting(lines), "path", "left").withColumn("test", is_test(F.col("path")))
     name = F.regexp_replace(base_name(F.col("path")), r"\.[^.]*$", "")
-    strong, weak = name.rlike(r"(?i)^(?:helpers?|utils?|misc|lib|tools|functions|methods)$"), name.rlike(r"(?i)^(?:common|shared)$")
+    strong, weak = name.rlike(GRAB_BAGS), name.rlike(SHARED_BAGS)
     big, wide = F.col("line_count") > 150, F.col("exports") > 5
     rules = (
         ("metrics-long-file", "medium", "metrics", F.col("line_count") > F.when(F.col("test"), 2 * most["lines"]).otherwise(most["lines"]), F.col("line_count")),

@@ -136,14 +136,21 @@ def inconsistent(files: DataFrame, least: int = 3) -> DataFrame:
     return by.filter(F.col("n_approaches") >= least)
 
 
+#: What is blanked before approaches are looked for, in this order, and by what.
+NOISE = (
+    (r"/\*[\s\S]*?\*/", ""),
+    (r"(\A|[^:])//[^\n]*", "$1"),
+    (r"(?m)^\s*#[^\n]*", ""),
+    (r"`[^`]*`", '""'),
+    (r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', '""'),
+    (r"'[^'\\]*+(?:\\.[^'\\]*+)*+'", "''"),
+    (r"(?<=[=({\[,;!&|?:\s])/[^/\n]+/[gimsuy]*", '""'),
+)
+
+
 def without_noise(content: Column) -> Column:
-    """Content with comments dropped and quoted text blanked."""
-    x = F.regexp_replace(content, r"(?s)/\*.*?\*/", "")
-    x = F.regexp_replace(x, r"(?m)//.*$", "")
-    x = F.regexp_replace(x, r"(?m)#.*$", "")
-    x = F.regexp_replace(x, r"`[^`]*`", "``")
-    x = F.regexp_replace(x, r'"[^"\n]*"', '""')
-    return F.regexp_replace(x, r"'[^'\n]*'", "''")
+    """Content with comments dropped, and with quoted text and regex literals blanked."""
+    return reduce(lambda x, rule: F.regexp_replace(x, *rule), NOISE, content)
 
 
 #: The language whose files show each ecosystem's outdated interfaces.

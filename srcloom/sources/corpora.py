@@ -26,19 +26,17 @@ TEST_NAMES = r"\.test\.[jt]sx?$|\.spec\.[jt]sx?$|_test\.go$|test_.*\.py$|.*_test
 
 
 #: Names of files that a framework, a tool or a runtime enters by itself.
-ENTRY_POINTS = tuple(
-    """
-    index.js index.ts index.jsx index.tsx main.js main.ts main.go app.js app.ts server.js server.ts __init__.py __main__.py Program.cs Main.java
-    page.js page.ts page.jsx page.tsx layout.js layout.ts layout.jsx layout.tsx loading.js loading.ts loading.jsx loading.tsx
-    error.js error.ts error.jsx error.tsx not-found.js not-found.ts not-found.jsx not-found.tsx route.js route.ts middleware.js middleware.ts
-    template.js template.ts template.jsx template.tsx app.vue root.tsx root.jsx entry.client.tsx entry.server.tsx
-    +page.svelte +layout.svelte +server.ts +server.js cli.js cli.ts bin.js bin.ts mod.ts mod.js setup.py setup.cfg conftest.py
-    _app.tsx _app.ts _app.jsx _app.js _document.tsx _document.ts _document.jsx _document.js _error.tsx _error.ts _error.jsx _error.js
-    manage.py wsgi.py asgi.py Startup.cs Application.java global-error.tsx global-error.ts global-error.jsx global-error.js
-    default.tsx default.ts default.jsx default.js instrumentation.ts instrumentation.js opengraph-image.tsx opengraph-image.ts opengraph-image.js
-    twitter-image.tsx twitter-image.ts twitter-image.js sitemap.ts sitemap.js robots.ts robots.js manifest.ts manifest.js
-    """.split()
-)
+ENTRY_POINTS = (
+    "index.js", "index.ts", "index.jsx", "index.tsx", "main.js", "main.ts", "main.go", "app.js", "app.ts", "server.js", "server.ts", "__init__.py", "__main__.py", "Program.cs", "Main.java",
+    "page.js", "page.ts", "page.jsx", "page.tsx", "layout.js", "layout.ts", "layout.jsx", "layout.tsx", "loading.js", "loading.ts", "loading.jsx", "loading.tsx",
+    "error.js", "error.ts", "error.jsx", "error.tsx", "not-found.js", "not-found.ts", "not-found.jsx", "not-found.tsx", "route.js", "route.ts", "middleware.js", "middleware.ts",
+    "template.js", "template.ts", "template.jsx", "template.tsx", "app.vue", "root.tsx", "root.jsx", "entry.client.tsx", "entry.server.tsx",
+    "+page.svelte", "+layout.svelte", "+server.ts", "+server.js", "cli.js", "cli.ts", "bin.js", "bin.ts", "mod.ts", "mod.js", "setup.py", "setup.cfg", "conftest.py",
+    "_app.tsx", "_app.ts", "_app.jsx", "_app.js", "_document.tsx", "_document.ts", "_document.jsx", "_document.js", "_error.tsx", "_error.ts", "_error.jsx", "_error.js",
+    "manage.py", "wsgi.py", "asgi.py", "Startup.cs", "Application.java", "global-error.tsx", "global-error.ts", "global-error.jsx", "global-error.js",
+    "default.tsx", "default.ts", "default.jsx", "default.js", "instrumentation.ts", "instrumentation.js", "opengraph-image.tsx", "opengraph-image.ts", "opengraph-image.js",
+    "twitter-image.tsx", "twitter-image.ts", "twitter-image.js", "sitemap.ts", "sitemap.js", "robots.ts", "robots.js", "manifest.ts", "manifest.js",
+)
 
 
 def is_entry_point(path: Column) -> Column:

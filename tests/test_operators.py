@@ -174,3 +174,16 @@ def test_findings_of_all_runs(spark, folder):
 def test_runs_follow_each_other_over_gaps(spark):
     rows = spark.createDataFrame([(1, "x", "ignored"), (4, "x", "open"), (4, "y", "false-positive"), (9, "y", "open"), (9, "x", "open")], "run_id long, id string, status string")
     assert sorted(tuple(r) for r in findings.carried(rows, findings.as_prior(rows), ("run_id", "id")).collect()) == [(4, "x", "ignored"), (9, "y", "false-positive")]
+
+
+def test_noise_is_blanked(spark):
+    text = "a /* x\ny */ b // c\nhttp://kept\n  # hash\nx = `t\nu` + \"q\\\"r\" + 's\\'t';\nif (/fe[t]ch/.test(y)) z = a / b / c;"
+    got = spark.createDataFrame([(text,)], "x string").select(patterns.without_noise(F.col("x"))).first()[0]
+    assert got == "a  b \nhttp://kept\nx = \"\" + \"\" + '';\nif (\"\".test(y)) z = a \"\" c;" or got == "a  b \nhttp://kept\n\nx = \"\" + \"\" + '';\nif (\"\".test(y)) z = a \"\" c;"
+
+
+def test_token_counts(spark):
+    from srcloom.operators import code_duplicates
+
+    files = spark.createDataFrame([("a.ts", "/* if x */ if (y1 > 0x1F) return `if ${x}`;"), ("b.py", None), ("c.go", "")], "path string, content string")
+    assert {r.token: r.n for r in code_duplicates.token_counts(code_duplicates.token_files(files)).collect()} == {"if": 1, "(": 1, "IDENT": 1, ">": 1, "NUM": 1, ")": 1, "return": 1, "STR": 1, ";": 1}
