@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from srcloom.functions.shared import written
 from srcloom.functions.textual import base_name, count_of, matches, replaced, trim_start
 from srcloom.sources.corpora import is_test
 
@@ -36,7 +37,8 @@ def branch_points(x: Column) -> Column:
 
 
 def line_facts(lines: DataFrame) -> DataFrame:
-    """lines with is_comment, is_code, code (the stripped line), branches, exports and imports."""
+    """lines with is_comment, is_code, code (the stripped line), branches, exports, imports, and for nesting: down and up (a line
+    that begins with } and one that ends with {) and indent (null for blank lines)."""
     python, go = F.col("language") == "python", F.col("language") == "go"
     trimmed = trim_start(F.col("line"))
     facts = lines.withColumn("trimmed", trimmed).withColumn("code", stripped(F.col("trimmed"), F.coalesce(python, F.lit(False))))
@@ -48,14 +50,22 @@ def line_facts(lines: DataFrame) -> DataFrame:
         .withColumn("is_code", (F.col("trimmed") != "") & ~F.col("is_comment"))
         .withColumn("branches", branch_points(code))
         .withColumn("exports", F.when(go, matches(code, r"\b(?:func|type|var|const)\s+[A-Z]")).otherwise(code.contains("export") & matches(code, r"\bexport\b")).cast("int"))
+        .withColumn("down", F.when(code.contains("}") & matches(code, r"^\s*\}"), 1).otherwise(0))
+        .withColumn("up", F.when(code.contains("{") & matches(code, r"\{\s*$"), 1).otherwise(0))
+        .withColumn("indent", F.when(F.col("trimmed") != "", F.length("line") - F.length("trimmed")))
         .withColumn("imports", F.when(go, go_import).otherwise((code.contains("import") & matches(code, r"\bimport\b")) | (code.contains("require") & matches(code, r"\brequire\s*\("))).cast("int"))
     )
 
 
 def file_metrics(lines: DataFrame) -> DataFrame:
     """Counts by file: lines, code and comment lines, branch points, exports, imports and comments per code line."""
+    return metrics_of(line_facts(lines))
+
+
+def metrics_of(facts: DataFrame) -> DataFrame:
+    """file_metrics from the facts of lines."""
     long = lambda x: F.coalesce(x, F.lit(0)).cast("long")
-    counted = line_facts(lines).groupBy("path").agg(
+    counted = facts.groupBy("path").agg(
         F.count("*").alias("line_count"),
         long(F.count_if("is_code")).alias("code_lines"),
         long(F.count_if("is_comment")).alias("comment_lines"),
@@ -72,7 +82,6 @@ def brace_depths(facts: DataFrame) -> DataFrame:
     A line that begins with } goes down one level unless it is at level 0, then one that ends with { goes up one. Without
     the floor that is a running sum of steps; the floor adds back the deepest dip below 0 so far.
     """
-    facts = facts.withColumn("down", F.when(matches(F.col("code"), r"^\s*\}"), 1).otherwise(0)).withColumn("up", F.when(matches(F.col("code"), r"\{\s*$"), 1).otherwise(0))
     so_far = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     in_order = Window.partitionBy("path").orderBy("n")
     summed = facts.withColumn("after", F.sum(F.col("up") - F.col("down")).over(so_far))
@@ -87,7 +96,7 @@ def indent_nesting(facts: DataFrame) -> DataFrame:
     Only small numbers of each line are gathered, and the fold over a file's lines keeps the stack of open levels; blank
     lines change nothing.
     """
-    lines = facts.select("path", "n", F.when(F.col("trimmed") != "", F.length("line") - F.length("trimmed")).alias("indent"), F.col("branches").cast("long").alias("branches"))
+    lines = facts.select("path", "n", "indent", F.col("branches").cast("long").alias("branches"))
     rows = lines.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("n", "indent", "branches"))).alias("steps"))
     start = F.struct(F.array(F.lit(0)).alias("stack"), F.lit(0).alias("most"), F.lit(0).cast("long").alias("weighed"))
 
@@ -110,7 +119,12 @@ def brace_nesting(facts: DataFrame) -> DataFrame:
 
 def nesting(lines: DataFrame) -> DataFrame:
     """max_depth and complexity of every file, by indentation in Python and by braces elsewhere."""
-    facts, python = line_facts(lines), F.coalesce(F.col("language") == "python", F.lit(False))
+    return nesting_of(line_facts(lines))
+
+
+def nesting_of(facts: DataFrame) -> DataFrame:
+    """nesting from the facts of lines."""
+    python = F.coalesce(F.col("language") == "python", F.lit(False))
     return brace_nesting(facts.filter(~python)).unionByName(indent_nesting(facts.filter(python)))
 
 
@@ -121,7 +135,8 @@ GRAB_BAGS, SHARED_BAGS = r"(?i)^(?:helpers?|utils?|misc|lib|tools|functions|meth
 def metric_findings(lines: DataFrame, thresholds: dict[str, int] | None = None) -> DataFrame:
     """path, rule, severity, category and value of every threshold that a file exceeds."""
     most = {**THRESHOLDS, **(thresholds or {})}
-    facts = file_metrics(lines).join(nesting(lines), "path", "left").withColumn("test", is_test(F.col("path")))
+    told = written(line_facts(lines).drop("line", "trimmed", "code"), "line-facts")  # a few numbers a line, asked three times
+    facts = metrics_of(told).join(nesting_of(told), "path", "left").withColumn("test", is_test(F.col("path")))
     name = F.regexp_replace(base_name(F.col("path")), r"\.[^.]*$", "")
     strong, weak = name.rlike(GRAB_BAGS), name.rlike(SHARED_BAGS)
     big, wide = F.col("line_count") > 150, F.col("exports") > 5
