@@ -34,12 +34,15 @@ def even_partitions(total: int, each: int, least: int = 1) -> int:
     return max(least, -(-total // each))
 
 
-def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """`df` as a table in the shared folder that is bucketed by `key`: joins by it move only their other side.
+def bucketed(df: DataFrame, name: str, key: str | tuple[str, ...], buckets: int, order: tuple[str, ...] = ()) -> DataFrame:
+    """`df` as a table in the shared folder that is bucketed by `key`, sorted within by `order`: joins by the key move only their other side.
 
-    Give rows whose tasks hold few values of the key each, as every task writes one file for each bucket it meets.
+    Give rows whose tasks hold few values of the key each, or rows dealt by it, as every task writes one file for each bucket it meets.
     """
     spark = df.sparkSession
     unique = f"srcloom_{name}_{uuid.uuid4().hex}".replace("-", "_")
-    df.write.format("parquet").bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/{unique}").saveAsTable(unique)
+    keys = (key,) if isinstance(key, str) else key
+    writer = df.write.format("parquet").bucketBy(buckets, *keys)
+    writer = writer.sortBy(*order) if order else writer
+    writer.option("path", f"{shared_folder(spark)}/{unique}").saveAsTable(unique)
     return spark.table(unique)
