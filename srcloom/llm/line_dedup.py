@@ -4,7 +4,7 @@ Documents are dealt into batches by their id, and the keys of their lines are wr
 run is a table of keys sorted by (hi, lo), with how many documents of the batches so far hold the key and the largest of
 them. Each batch is reduced to one row a key and merge-joined with the runs: known keys take their tally along and add
 to it, keys that no run holds come in by the anti-join (the rows without a match), and the batch's rows become a run of
-level 0. A key's newest run is the one that counts. When a level has `fan_in` runs they are compacted into one run of the next
+level 0. Runs are bucketed and sorted by key, so a merge moves the new batch's keys only and no run. A key's newest run is the one that counts. When a level has `fan_in` runs they are compacted into one run of the next
 level, newer ones anti-joining older ones, so that later batches meet few runs. At the end the runs themselves are the
 verdict: nothing is counted again.
 
@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcloom.functions.shared import even_partitions, shared_folder, written
+from srcloom.functions.shared import bucketed, even_partitions, shared_folder, written
 from srcloom.llm.skew import HOT_SHARE, joined
 
 #: Fixed values of the contract.
@@ -36,6 +36,8 @@ LEAST_CHARS, LEAST_DOCS = 40, 5
 
 #: Documents that a batch should hold, the fewest and most batches, and runs of a level before it is compacted.
 BATCH_DOCS, LEAST_BATCHES, MOST_BATCHES, FAN_IN = 20_000_000, 6, 24, 3
+#: Lines of a batch for each bucket of its run, and the fewest buckets.
+BUCKET_LINES, LEAST_BUCKETS = 500_000, 8
 
 
 def lower_ascii(x: Column) -> Column:
@@ -67,10 +69,13 @@ def superseded(newer: DataFrame, older: DataFrame) -> DataFrame:
 
 
 class LineRuns:
-    """Sorted runs of (hi, lo, n_docs, last_doc) in levels, newest first, as tables in the shared folder."""
+    """Sorted runs of (hi, lo, n_docs, last_doc) in levels, newest first, as tables in the shared folder.
 
-    def __init__(self, fan_in: int = FAN_IN):
-        self.fan_in = fan_in
+    All runs have the same buckets of (hi, lo), so that joins among them, and with a batch, move no run.
+    """
+
+    def __init__(self, fan_in: int = FAN_IN, buckets: int = 8):
+        self.fan_in, self.buckets = fan_in, buckets
         self.levels: list[list[DataFrame]] = []
         self.compactions = 0
 
@@ -87,7 +92,10 @@ class LineRuns:
             known = seen.select(*KEY, F.col("n_docs").alias("_n"), F.col("last_doc").alias("_last"))
             merged = run.join(known, list(KEY), "left")  # rows without a match are new keys
             run = merged.select(*KEY, (F.col("n_docs") + F.coalesce("_n", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "_last").alias("last_doc"))
-        self._place(written(run.sortWithinPartitions(*KEY), "run"), 0)
+        self._place(self._stored(run), 0)
+
+    def _stored(self, run: DataFrame) -> DataFrame:
+        return bucketed(run.repartition(self.buckets, *KEY), "run", KEY, self.buckets, KEY)
 
     def _place(self, run: DataFrame, level: int) -> None:
         if len(self.levels) == level:
@@ -97,7 +105,7 @@ class LineRuns:
             merged = reduce(superseded, self.levels[level])
             self.levels[level] = []
             self.compactions += 1
-            self._place(written(merged.sortWithinPartitions(*KEY), "run"), level + 1)
+            self._place(self._stored(merged), level + 1)
 
 
 def keyed_lines(docs: DataFrame, least_chars: int, batches: int) -> DataFrame:
@@ -115,7 +123,7 @@ def deduplicated(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: in
     docs = docs.drop("n_lines", "n_dropped", "_goes", "_lines", "_kept")
     batches = batches or min(MOST_BATCHES, even_partitions(docs.count(), BATCH_DOCS, LEAST_BATCHES))
     lines = keyed_lines(docs, least_chars, batches)
-    runs = LineRuns(fan_in)
+    runs = LineRuns(fan_in, even_partitions(lines.count() // batches, BUCKET_LINES, LEAST_BUCKETS))
     for batch in range(batches):
         runs.add(lines.filter(F.col("batch") == batch).select("hi", "lo", "doc_id"))
     goes = written(runs.newest().filter(F.col("n_docs") >= least_docs).select(*KEY, "n_docs", "last_doc"), "verdicts")
