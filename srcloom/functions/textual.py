@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
+from re import _parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,6 +47,49 @@ def group_of(x: Column, pattern: str, group: int = 1) -> Column:
     return F.when(matches(x, pattern), F.regexp_extract(x, ascii_pattern(pattern), group))
 
 
+@lru_cache(maxsize=None)
+def needed(pattern: str) -> tuple[str, ...]:
+    """Strings of which every match of a pattern holds at least one; none where the pattern does not tell."""
+
+    def best(*choices: tuple[str, ...]) -> tuple[str, ...]:
+        return max(choices, key=lambda c: min(map(len, c), default=0), default=())
+
+    def of(items) -> tuple[str, ...]:
+        found, run = [], ""
+        for kind, value in [*items, (None, None)]:
+            name = str(kind)
+            if name == "LITERAL":
+                run += chr(value)
+                continue
+            if run:
+                found.append((run,))
+            run = ""
+            if name == "SUBPATTERN" and not value[1] & re.IGNORECASE:
+                found.append(of(value[3]))
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] >= 1:
+                found.append(of(value[2]))
+            elif name == "ATOMIC_GROUP":
+                found.append(of(value))
+            elif name == "BRANCH":
+                each = [of(branch) for branch in value[1]]
+                found.append(tuple(dict.fromkeys(x for branch in each for x in branch)) if all(each) else ())
+        return best(*found)
+
+    try:
+        parsed = _parser.parse(pattern)
+    except re.error:
+        return ()
+    return () if parsed.state.flags & re.IGNORECASE else of(parsed)
+
+
+def matches_holding(x: Column, pattern: str) -> Column:
+    """matches, with the pattern tried only where a string stands that each of its matches holds."""
+    strings = needed(pattern)
+    if min(map(len, strings), default=0) < 2 or len(strings) > 12:
+        return matches(x, pattern)
+    return reduce(lambda a, b: a | b, [x.contains(w) for w in strings]) & matches(x, pattern)
+
+
 def replaced(x: Column, holds: str, pattern: str, by: str) -> Column:
     """regexp_replace where x holds a string that every match of the pattern holds; other texts skip the pattern."""
     return F.when(x.contains(holds), F.regexp_replace(x, pattern, by)).otherwise(x)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcloom.functions.rule_catalog import MIGRATIONS, RULES, Rule
-from srcloom.functions.textual import glob_pattern, matches, trim_both
+from srcloom.functions.textual import glob_pattern, matches, matches_holding, trim_both
 from srcloom.sources.corpora import EXTENSIONS, is_test
 
 
@@ -29,9 +29,9 @@ def pattern_hits(lines: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
         """Codes of the rules that the line hits (twice the place in `rules`) or is the undoing of (one more)."""
         out = []
         for k, r in applies[language]:
-            out.append(F.when(matches(F.col("line"), r.pattern), 2 * k))
+            out.append(F.when(matches_holding(F.col("line"), r.pattern), 2 * k))
             if r.unless:
-                out.append(F.when(matches(F.col("line"), r.unless), 2 * k + 1))
+                out.append(F.when(matches_holding(F.col("line"), r.unless), 2 * k + 1))
         return F.array_compact(F.array(*out))
 
     found = reduce(lambda a, x: a.when(F.col("language") == x, tried(x)), languages[1:], F.when(F.col("language") == languages[0], tried(languages[0])))

@@ -187,3 +187,10 @@ def test_token_counts(spark):
 
     files = spark.createDataFrame([("a.ts", "/* if x */ if (y1 > 0x1F) return `if ${x}`;"), ("b.py", None), ("c.go", "")], "path string, content string")
     assert {r.token: r.n for r in code_duplicates.token_counts(code_duplicates.token_files(files)).collect()} == {"if": 1, "(": 1, "IDENT": 1, ">": 1, "NUM": 1, ")": 1, "return": 1, "STR": 1, ";": 1}
+
+
+@pytest.mark.parametrize("pattern, strings", [(r"\bfoo\(", ("foo(",)), (r"a(?:bcd|ef)+", ("bcd", "ef")), (r"x?yz", ("yz",)), (r"(?:ab|c*)d", ("d",)), (r"(?i)foo", ()), (r"[ab]\d", ()), (r"foo|bar", ("foo", "bar")), (r"(?<!q)ab(?=longer)", ("ab",)), (r"(", ())])
+def test_needed_strings(pattern, strings):
+    from srcloom.functions.textual import needed
+
+    assert set(needed(pattern)) == set(strings)
