@@ -44,3 +44,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))
+
+
+def named_components(links: DataFrame) -> DataFrame:
+    """name and root (a number for each component) of the names that links (u, v: strings) connect; names get numbers of their own, no hashes."""
+    names = written(links.select(F.col("u").alias("name")).union(links.select("v")).distinct().withColumn("id", F.monotonically_increasing_id()), "names")
+    number = lambda c: names.select(F.col("name").alias(c), F.col("id").alias(f"{c}_id"))
+    edges = links.select("u", "v").distinct().join(number("u"), "u").join(number("v"), "v")
+    return components(edges.select(F.col("u_id").alias("u"), F.col("v_id").alias("v"))).join(names, F.col("node") == F.col("id")).select("name", "root")
