@@ -7,7 +7,8 @@ labelled rows that may be learned from, or less where toxic features are rarer i
 them, as when labelled rows were not drawn evenly.
 
 The fit uses bounded samples, POSITIVES confirmed toxic documents and UNLABELLED others, chosen by a hash of doc_id, one
-text each; the driver receives only their candidate features, at most CANDIDATES different ones. Scoring reads every whole text
+text each. Their features are counted by tasks, and the driver receives, of each text, only the few that tell toxic texts
+from others. Scoring reads every whole text
 once, where it lies, with the fitted weights (a few hundred kB) in the task: nothing is shuffled.
 
 Only rows with crc32(doc_id as text) mod 5 other than 0 teach; held-out documents are in neither sample. Labels, lang,
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from srcloom.functions.shared import written
 from srcloom.llm.textbytes import LOWER_VALUE, byte_classes, give_back, mix64, runs_as_binary, text_slices, word_hashes, word_spans
 
 POSITIVES, UNLABELLED, CANDIDATES = 4_000, 12_000, 40_000
@@ -143,6 +145,41 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prio
     return w, float(b)
 
 
+def _spread_of(candidates: np.ndarray):
+    """In how many toxic and other texts of a task each feature place occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = _Chosen(candidates)
+        sums = np.zeros((2, lookup.places), dtype=np.int64)
+        for batch in batches:
+            positive = np.asarray(batch.column("positive"))
+            for a, b, data, offsets in text_slices(batch.column("text")):
+                owner, at = lookup.present(data, offsets)
+                for k, which in enumerate((positive[a:b][owner], ~positive[a:b][owner])):
+                    sums[k] += np.bincount(at[which], minlength=lookup.places)
+        some = np.flatnonzero(sums.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[0, some]), pa.array(sums[1, some])], ["place", "in_p", "in_u"])
+
+    return run
+
+
+def _places(candidates: np.ndarray, use: np.ndarray):
+    """The numbers of the used feature places of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = _Chosen(candidates)
+        number = np.full(lookup.places + 1, -1, dtype=np.int32)
+        number[use] = np.arange(len(use))
+        for batch in batches:
+            for a, b, data, offsets in text_slices(batch.column("text")):
+                owner, at = lookup.present(data, offsets)
+                keep = number[at] >= 0
+                lists = runs_as_binary(number[at[keep]], np.searchsorted(owner[keep], np.arange(b - a + 1)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("positive").slice(a, b - a), lists], ["doc_id", "positive", "at"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """The model of `labels` (doc_id, toxic) over the texts of `docs`; None without a toxic document to learn from."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -158,41 +195,27 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         return None
     spark = docs.sparkSession
     sample = spark.createDataFrame(chosen, "doc_id long, positive boolean")
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "positive").agg(F.max("text").alias("text"))
+    texts = written(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "positive").agg(F.max("text").alias("text")), "toxicity-sample")
     least = max(2, len(positives) // 200)
     counted = texts.filter("positive").select("text").mapInArrow(_counts, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     candidates = np.sort(np.array([r[0] for r in counted.orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect()], dtype=np.int64).view(np.uint64))
 
-    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = _Chosen(candidates)
-        for batch in batches:
-            for a, b, data, offsets in text_slices(batch.column("text")):
-                owner, at = lookup.present(data, offsets)
-                lists = runs_as_binary(at.astype(np.int32), np.searchsorted(owner, np.arange(b - a + 1)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("positive").slice(a, b - a), lists], ["doc_id", "positive", "at"])
-
-    rows = sorted((r[1], r[0], bytes(r[2])) for r in texts.select("doc_id", "positive", "text").mapInArrow(present, "doc_id long, positive boolean, at binary").collect())
+    n_p, n_u = texts.agg(F.count_if(F.col("positive")), F.count_if(~F.col("positive"))).first()
+    # features that toxic texts show clearly more often than unlabelled text
+    told = texts.select("positive", "text").mapInArrow(_spread_of(candidates), "place int, in_p long, in_u long").groupBy("place").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u"))
+    p, u = F.col("in_p") / n_p, F.col("in_u") / max(1, n_u)
+    pooled = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), (F.col("in_p") + F.col("in_u")) / (n_p + max(1, n_u))))
+    z = (p - u) / F.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / max(1, n_u)))
+    found = told.select("place", p.alias("p"), u.alias("u"), z.alias("z"), "in_p").filter((F.col("z") > 4) & (F.col("p") > 2.5 * F.col("u")) & (F.col("in_p") >= least)).orderBy("place").collect()
+    use = np.array([r.place for r in found], dtype=np.int64)
+    rows = sorted((r[1], r[0], bytes(r[2])) for r in texts.select("doc_id", "positive", "text").mapInArrow(_places(candidates, use), "doc_id long, positive boolean, at binary").collect())
     positive = np.array([r[0] for r in rows], dtype=bool)
     lists = [np.frombuffer(r[2], dtype=np.int32) for r in rows]
-    if not positive.any():
-        return None
-    # features that toxic texts show clearly more often than unlabelled text
-    places = len(candidates) * LEVELS
-    count = lambda which: np.bincount(np.concatenate([x for x, y in zip(lists, positive, strict=True) if y == which] or [np.zeros(0, dtype=np.int64)]), minlength=places)
-    n_p, n_u = positive.sum(), max(1, (~positive).sum())
-    in_p, in_u = count(True), count(False)
-    p, u = in_p / n_p, in_u / n_u
-    pooled = np.clip((in_p + in_u) / (n_p + n_u), 1e-9, 1 - 1e-9)
-    z = (p - u) / np.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u))
-    use = np.flatnonzero((z > 4) & (p > 2.5 * u) & (in_p >= least))
-    place = np.full(places, -1)
-    place[use] = np.arange(len(use))
-    lists = [place[x][place[x] >= 0] for x in lists]
     # toxic texts are at most the share of the unlabelled ones that the rates of their clearest features allow, and a fifth
-    clear = use[np.argsort(-z[use], kind="stable")[:15]]
-    prior = min(n_toxic / n, 1.2 * float(np.median(u[clear] / p[clear])) if len(clear) else 1.0)
+    clear = sorted(found, key=lambda r: -r.z)[:15]
+    prior = min(n_toxic / n, 1.2 * float(np.median([r.u / r.p for r in clear])) if clear else 1.0)
     w, b = fit_nnpu(lists, positive, len(use), prior)
-    weights = np.zeros(places)
+    weights = np.zeros(len(candidates) * LEVELS)
     weights[use] = w
     weights = weights.reshape(-1, LEVELS)
     keep = weights.any(axis=1)
