@@ -7,6 +7,7 @@ upper bound stays under the k-th best lower bound of its query cannot be among t
 are recomputed from the original components in double precision and kept in a heap of k for each query; cells' heaps
 meet in one ranking. The bounds are never cut short, so the result is that of brute force.
 
+Copies of one vector beyond the k + 1 of smallest id leave a block when it is packed, as they are nearest to nobody.
 A cell holds at most GROUP candidates and one query block, whatever the size of the table; candidates are dealt by
 hash, so no source or group of copies meets in a cell. Query blocks are replicated once for each candidate group.
 
@@ -28,14 +29,28 @@ from pyspark.sql import functions as F
 from srcloom.functions.shared import even_partitions, written
 
 GROUP, QUERY_BLOCK, TILE = 4096, 1024, 1024
+#: Components of vectors that are rescored at once.
+SLICE = 1 << 21
 
 _BLOCK = "dim int, part int, ids binary, vectors binary, codes binary, scales binary, errors binary"
 
 
-def _packed(rows_each: int):
-    """Packs rows (part, vec_id, vector) of a task, which come sorted by part, into blocks of up to rows_each rows."""
+def _first_copies(ids: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
+    """Places of the `most` rows of smallest id of each distinct vector: no query has use for more of its copies."""
+    _, which = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True)
+    order = np.lexsort((ids, which))
+    ranks = np.arange(len(order)) - np.searchsorted(which[order], which[order])
+    return np.sort(order[ranks < most])
+
+
+def _packed(rows_each: int, copies: int | None = None):
+    """Packs rows (part, vec_id, vector) of a task, which come sorted by part, into blocks of up to rows_each rows, with at most
+    `copies` rows of one vector in a block, if given."""
 
     def block(dim: int, part: int, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        if copies is not None:
+            keep = _first_copies(ids, x, copies)
+            ids, x = ids[keep], x[keep]
         wide = x.astype(np.float64)
         top = np.abs(wide).max(axis=1, keepdims=True)
         unit = wide / top
@@ -128,14 +143,20 @@ def _cell(k: int):
                     floor = heaps.floor
                     if low.shape[1] >= k:
                         floor = np.maximum(floor, np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k])
-                    query, at = np.nonzero((near + slack >= floor[:, None]) & ~own)
-                    score = cosine(q_vectors[query], vectors[cut][at])
-                    found = ids[cut][at]
-                    order = np.lexsort((found, -score, query))
-                    query, score, found = query[order], score[order], found[order]
-                    place = np.arange(len(query)) - np.searchsorted(query, query)
-                    for q, s, i in zip(query[place < k].tolist(), score[place < k].tolist(), found[place < k].tolist(), strict=True):
-                        heaps.push(q, s, i)
+                    left_query, left_at = np.nonzero((near + slack >= floor[:, None]) & ~own)
+                    above = (near + slack)[left_query, left_at]
+                    # pairs are rescored in slices, and those that the slices before have ruled out by then are not
+                    for a in range(0, len(left_query), max(1, SLICE // dim)):
+                        query, at = left_query[a : a + max(1, SLICE // dim)], left_at[a : a + max(1, SLICE // dim)]
+                        some = above[a : a + max(1, SLICE // dim)] >= heaps.floor[query]
+                        query, at = query[some], at[some]
+                        score = cosine(q_vectors[query], vectors[cut][at])
+                        found = ids[cut][at]
+                        order = np.lexsort((found, -score, query))
+                        query, score, found = query[order], score[order], found[order]
+                        place = np.arange(len(query)) - np.searchsorted(query, query)
+                        for q, s, i in zip(query[place < k].tolist(), score[place < k].tolist(), found[place < k].tolist(), strict=True):
+                            heaps.push(q, s, i)
             out += [(int(q), -i, s) for q, heap in zip(q_ids, heaps.heaps, strict=True) for s, i in heap]
         return pa.table({"query_id": pa.array([r[0] for r in out], pa.int64()), "vec_id": pa.array([r[1] for r in out], pa.int64()), "score": pa.array([r[2] for r in out], pa.float64())})
 
@@ -155,9 +176,9 @@ def nearest(vectors: DataFrame, queries_each: int = 50, k: int = 5) -> DataFrame
     rows = usable(vectors)
     n, n_queries = rows.agg(F.count("*"), F.count_if(F.pmod("vec_id", F.lit(queries_each)) == 0)).first()
     groups, blocks = even_partitions(n, GROUP), even_partitions(n_queries, QUERY_BLOCK)
-    dealt = lambda df, parts, rows_each: df.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).repartition("part").sortWithinPartitions("part", "vec_id").mapInArrow(_packed(rows_each), _BLOCK)
+    dealt = lambda df, parts, rows_each, copies=None: df.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).repartition("part").sortWithinPartitions("part", "vec_id").mapInArrow(_packed(rows_each, copies), _BLOCK)
     asked = written(dealt(rows.filter(F.pmod("vec_id", F.lit(queries_each)) == 0), blocks, QUERY_BLOCK), "queries")
-    held = dealt(rows, groups, GROUP)
+    held = dealt(rows, groups, GROUP, k + 1)
     asked = asked.withColumnRenamed("part", "q").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     held = held.withColumnRenamed("part", "c").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     found = asked.groupBy("dim", "q", "c").cogroup(held.groupBy("dim", "q", "c")).applyInArrow(_cell(k), "query_id long, vec_id long, score double")

@@ -815,3 +815,22 @@ def test_quality_rules_rows(odd, empty):
     got = quality_rules.judged(odd).collect()
     assert len(got) == len(ODD) and not any(r.kept for r in got if r.text is None or not r.text.strip())
     assert quality_rules.report(empty).count() == 0
+
+
+def test_line_runs_do_not_move(spark):
+    runs = line_dedup.LineRuns(fan_in=3, buckets=4)
+    for k in range(4):  # one compacted run and one more
+        runs.add(spark.createDataFrame([(h, h * 7, k * 10 + d) for h in range(50) for d in range(2)], "hi long, lo long, doc_id long"))
+    assert [len(level) for level in runs.levels] == [1, 1] and runs.compactions == 1
+    plan = runs.newest()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert {(r.hi, r.n_docs, r.last_doc) for r in runs.newest().collect()} == {(h, 8, 31) for h in range(50)}
+
+
+def test_copies_of_one_vector_are_rescored_in_slices(spark):
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(3000)] + [(5000 + i, [1.0, 2.0, 3.0 + i / 100]) for i in range(20)]
+    got = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 500, 5).collect()
+    want = {q: [i for i in range(6) if i != q][:5] for q in range(0, 3000, 500)}
+    assert {q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in want} == want
+    x = np.array([[1.0, 2.0], [0.0, 1.0], [1.0, 2.0], [1.0, 2.0]])
+    assert nearest._first_copies(np.array([9, 1, 3, 5]), x, 2).tolist() == [1, 2, 3]
