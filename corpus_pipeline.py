@@ -1,7 +1,12 @@
-"""A training corpus from raw documents: low quality and toxic documents go, repeated lines and near copies go, the rest is packed."""
+"""A training corpus from raw documents: low quality and toxic documents go, repeated lines and near copies go, the rest is packed.
+
+Every stage but the last returns the columns it got. Those that no stage reads are carried along untouched, also if they
+are named like something a stage makes (`score`, `n_dropped`, `_n`).
+"""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,22 +18,46 @@ from srcloom.llm.queries import tokenizer_file
 from srcloom.sources.tables import table
 
 
+#: What stages read and change; all other columns are carried through a stage in one, so that no name can clash.
+OWN, CARRIED = ("doc_id", "text", "lang", "source", "n_chars"), "_carried"
+
+
+def _apart(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that sees only OWN columns and gives the others back as they were, whatever their names."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        others = [c for c in docs.columns if c not in OWN]
+        if not others:
+            return stage(spark, docs, sf_dir)
+        quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+        carried = docs.select(*[c for c in docs.columns if c in OWN], F.struct(*[quoted(c).alias(f"c{k}") for k, c in enumerate(others)]).alias(CARRIED))
+        kept = stage(spark, carried, sf_dir)
+        return kept.select(*[F.col(f"{CARRIED}.c{others.index(c)}").alias(c) if c in others else c for c in docs.columns])
+
+    return run
+
+
+@_apart
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.5 or more."""
     return quality_classifier.scored(docs).filter("score >= 0.5").select(*docs.columns)
 
 
+@_apart
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted toxic."""
     return toxicity.scored(docs, table(spark, sf_dir, "labels")).filter("predicted = 0").select(*docs.columns)
 
 
+@_apart
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines; n_chars follows the text."""
     kept = line_dedup.deduplicated(docs).select(*docs.columns)
-    return kept.withColumn("n_chars", F.length("text").cast("long"))
+    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
+@_apart
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: the one with the smallest doc_id, or any if none has one.
 
