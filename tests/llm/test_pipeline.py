@@ -3,6 +3,7 @@
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -55,3 +56,16 @@ def test_near_duplicate_stage_with_null_and_repeated_ids(spark):
 def test_packing_stage_gives_the_ids(spark, folder):
     rows = corpus_pipeline.packing_stage(spark, table(spark, folder, "documents"), folder).collect()
     assert rows and all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
+
+
+def test_columns_of_any_name_come_back_as_they_were(spark, folder):
+    names = ["_every", "_goes", "_judged", "_a", "_b", "_n", "score", "predicted", "n_dropped", "n_lines", "component", "fp", "_carried", "a.b", "row"]
+    docs = table(spark, folder, "documents")
+    extra = docs.select("*", *[F.concat(F.lit(f"{k}:"), F.col("doc_id").cast("string")).alias(n) for k, n in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, extra, folder)
+        assert out.columns == extra.columns, name
+        rows = out.collect()
+        assert len(rows) > docs.count() // 2, name
+        for r in rows:
+            assert list(r[len(docs.columns) :]) == [f"{k}:{r.doc_id}" for k in range(len(names))], name
