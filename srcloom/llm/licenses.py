@@ -4,7 +4,8 @@ Each rule is a regular expression over a text's words (lower case, one space bet
 confidence and the keywords one of which it cannot match without. Words of a whole batch are hashed at once and looked
 up among the keywords; only stretches of REACH words around a keyword are spelt out, and only rules of the keywords met
 there are tried. Overlapping detections are resolved by priority: one that lies within the interval of a detection of
-higher priority, or of the same priority and greater length, is suppressed. Base phrases are never suppressed.
+higher priority, or of the same priority and greater length, is suppressed. Base phrases, which the caller may give, are
+never suppressed.
 
 Texts are scanned whole, where they lie, and nothing is shuffled; a stretch is as long as its keywords lie dense.
 
@@ -31,7 +32,7 @@ WORD = byte_classes(bytes([*range(48, 58), *range(65, 91), *range(97, 123), *ran
 #: Words spelt out on either side of a keyword; no rule spans more.
 REACH = 20
 
-#: Fixed values of the contract: phrases and their labels.
+#: Base phrases and their labels, where the caller gives no others.
 BASE = (("mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
 #: Licenses: label, names as patterns over words, keywords.
@@ -105,15 +106,23 @@ def _compiled(pattern: str) -> re.Pattern:
     return re.compile(rf"(?<= )(?:{pattern})(?= )")
 
 
-def rules() -> list[Rule]:
+def _base_rule(phrase: str, label: str, known: set[str]) -> Rule:
+    """A phrase of lower-case words; a word that is a keyword already is its keyword, so no further places are looked at."""
+    words = phrase.split()
+    if not 0 < len(words) <= REACH or any(words[k:] == words[:-k] for k in range(1, len(words))):
+        raise ValueError(f"A base phrase has 1 to {REACH} words and does not overlap itself: {phrase!r}")
+    return Rule(label, _compiled(" ".join(map(re.escape, words))), (max(words, key=lambda w: (w in known, len(w), w)),), 100, 1.0, True)
+
+
+def rules(base: tuple[tuple[str, str], ...] = BASE) -> list[Rule]:
     """Base phrases first, then signatures, every license in every phrasing, statements and bare names of several words."""
-    out = [Rule(label, _compiled(phrase), (max(phrase.split(), key=lambda w: (w != "license", len(w), w)),), 100, 1.0, True) for phrase, label in BASE]
-    out += [Rule(label, _compiled(pattern), keywords, 95, confidence) for label, pattern, keywords, confidence in SIGNATURES]
+    out = [Rule(label, _compiled(pattern), keywords, 95, confidence) for label, pattern, keywords, confidence in SIGNATURES]
     for at, (phrasing, confidence) in enumerate(PHRASINGS):
         out += [Rule(label, _compiled(phrasing.replace("{name}", f"(?:{name})")), keywords, 90 - at, confidence) for label, name, keywords in LICENSES]
     out += [Rule(label, _compiled(pattern), keywords, 50, confidence) for pattern, label, keywords, confidence in STATEMENTS]
     out += [Rule(label, _compiled(name), keywords, 40, 0.6) for label, name, keywords in LICENSES if " " in name and label.startswith(("gpl", "lgpl", "agpl", "mpl", "epl", "eupl", "cc"))]
-    return out
+    known = {keyword for rule in out for keyword in rule.keywords}
+    return [_base_rule(phrase, label, known) for phrase, label in base] + out
 
 
 def resolved(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
@@ -198,25 +207,25 @@ class Scanner:
 _FIELDS = (("doc_id", pa.int64(), "long"), ("n_words", pa.int64(), "long"), ("n_base", pa.int64(), "long"), ("first_word", pa.int64(), "long"), ("last_word", pa.int64(), "long"), ("base_labels", pa.string(), "string"), ("labels", pa.string(), "string"), ("score", pa.float64(), "double"), ("detections", pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("label", pa.string()), ("confidence", pa.float64())])), "array<struct<first_word:long,end_word:long,label:string,confidence:double>>"))
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """Per row of docs: words, base phrases and labels, and all resolved detections by place."""
+def scanned(docs: DataFrame, base: tuple[tuple[str, str], ...] = BASE) -> DataFrame:
+    """Per row of docs: words, base phrases (phrase, label) and labels, and all resolved detections by place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(rules())
+        scanner = Scanner(rules(base))
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column("text")):
                 n_words, found = scanner.scan(data, offsets)
                 rows = []
                 for k in range(b - a):
                     kept = found.get(k, [])
-                    base = [d for d in kept if d[2].base]
-                    places = [d[0] for d in base]
+                    of_base = [d for d in kept if d[2].base]
+                    places = [d[0] for d in of_base]
                     rows.append(
                         (
-                            len(base),
+                            len(of_base),
                             min(places, default=None),
                             max(places, default=None),
-                            ",".join(sorted({d[2].label for d in base})),
+                            ",".join(sorted({d[2].label for d in of_base})),
                             ",".join(sorted({d[2].label for d in kept})),
                             max((d[2].confidence for d in kept), default=0.0),
                             [{"first_word": s, "end_word": e, "label": r.label, "confidence": r.confidence} for s, e, r in sorted(kept, key=lambda d: (d[0], d[1], d[2].label))],
@@ -229,6 +238,6 @@ def scanned(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{name} {kind}" for name, _, kind in _FIELDS))
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, base: tuple[tuple[str, str], ...] = BASE) -> DataFrame:
     """`scanned` without the detections."""
-    return scanned(docs).drop("detections")
+    return scanned(docs, base).drop("detections")

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from srcloom.llm import chat, hard_negatives, licenses, line_dedup, manifest, nearest, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_codec, substrings, toxicity
 from srcloom.sources.tables import table
 
+#: Fixed values of the contract of op8: phrases and their labels.
+LICENSE_PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+
 
 def tokenizer_file(name: str) -> str:
     """A file of the installed package of public tokenizers."""
@@ -46,7 +49,7 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_license_scans(spark: SparkSession, folder: str) -> DataFrame:
-    return licenses.report(table(spark, folder, "documents"))
+    return licenses.report(table(spark, folder, "documents"), base=LICENSE_PHRASES)
 
 
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from srcloom.llm import chat, licenses, line_dedup, nearest, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_codec, skew, toxicity
-from srcloom.llm.queries import tokenizer_file
+from srcloom.llm.queries import op8_license_scans, tokenizer_file
 from srcloom.sources.tables import table
 
 DOCS = "doc_id long, text string, score string, n_words string, n_lines string, start string"
@@ -682,6 +682,32 @@ def test_licenses_on_a_long_text_dense_with_keywords(spark):
     assert row.n_base == 100_000 and row.last_word == 199_998
 
 
+def test_licenses_query_finds_the_phrases_of_its_contract(spark, tmp_path):
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    rng = random.Random(14)
+    parts = ["Under", "the", "MIT", "License", "under the MIT-license", "apache license", "Version", "2", "cc by", "NC", "sa", "É", "\u212a", "\x7f", "\n", "9"]
+    texts = [rng.choice([" ", "", "\x00"]).join(rng.choices(parts, k=300)) for _ in range(60)]
+    texts += ["MIT License", "the MIT license", "Licensed under the MIT License.", "under the MIT License, under the mit license", "under the MIT licensed", None, "", "apache license version 2"]
+    texts.append("under " * 50_000 + "the mit license")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op8_license_scans(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        found = [(k, label) for phrase, label in phrases.items() for k in range(len(words)) if words[k : k + phrase.count(" ") + 1] == phrase.split()]
+        places, labels = [k for k, _ in found], {label for _, label in found}
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)))
+        assert labels <= set(r.labels.split(",")) and 0 <= r.score <= 1
+    assert [(got[60 + k].n_base, got[60 + k].labels) for k in range(5)] == [(0, "mit"), (0, "mit"), (1, "mit"), (2, "mit"), (0, "mit")]
+
+
+def test_licenses_base_phrases_are_checked():
+    for phrase in ("", "cc by cc", "word " * 21):
+        with pytest.raises(ValueError):
+            licenses.rules(base=((phrase, "x"),))
+
+
 def test_licenses_rows(odd, empty):
     assert licenses.report(odd).count() == len(ODD) and licenses.report(empty).count() == 0
 
